@@ -22,6 +22,8 @@ _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _ROLLS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: For tokens without punctuation: every ASCII byte but letters and digits separates.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -85,12 +87,12 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         at = to
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
+def split(texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
     data, off = text_bytes(texts)
     if lower:
         data = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SEPARATOR[data]
+    inside[1:-1] = ~separator[data]
     word = inside[1:-1]
     first, last = word & ~inside[:-2], word & ~inside[2:]
     if len(data):

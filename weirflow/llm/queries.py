@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm import ann, chat, decontaminate, packing, quality, sharding, toxicity, warc
+from weirflow.llm._labels import fold
+from weirflow.llm._shared import new_folder
 from weirflow.llm.simhash import near_duplicates
 from weirflow.llm.substring import dedup_substrings
 
@@ -19,20 +22,122 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _held_out(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.select(
+        "doc_id", (fold("doc_id", modulus) == remainder).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    return _held_out(toxicity.score(docs, model), 5, 0)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -1L conv_id, i turn, r role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(i, r)")
+    turns = turns.unionByName(probe).select("conv_id", "turn", "role", chat.as_parts(F.col("text")).alias("content"))
+    chats = chat.format_chats(turns).select("conv_id", "formatted", chat.read_turns(F.col("formatted"), F.col("loss_mask")).alias("turns"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    trained = F.array_join(F.transform("turns", lambda t: t["trained"]), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length(trained).cast("bigint").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start_word", "n_words")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    records = warc.read_archives(spark, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return packing.pack(pieces)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold("doc_id", 3) != 1)
+    return _held_out(quality.score(docs, model), 3, 1)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat": op4_chat,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
+    "op7_packing": op7_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CONTROL = r"(<|\[)(\\*)(\||s>|/s>|INST\]|/INST\])"
+ORACLE_SQL = {
+    "op4_chat": rf"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+            CAST(sum(8 + length(role) + 1 + length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g')) + 7) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
+    "op8_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM w WHERE len(words) >= 20),
+        k AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 19], ' ') AS k FROM s),
+        f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM k),
+        g AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 20)))) AS gone FROM f WHERE n > 1 GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+            sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ')
+                ELSE array_to_string([words[i] for i in range(1, len(words) + 1) if NOT list_contains(gone, i)], ' ') END) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id)""",
+}
