@@ -58,14 +58,23 @@ def _record(refers: Column) -> Column:
     )
 
 
+#: Revisits up to this number go to the writing tasks whole (about 100 bytes each); more are joined by a shuffle.
+SENT_REVISITS = 200_000
+
+
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """One WARC record per row of ``pages`` in the files of ``folder``; payloads move once, by page id."""
+    """One WARC record per row of ``pages`` in the files of ``folder``.
+
+    Payloads stay where they are read, unless there are more than ``SENT_REVISITS`` revisits.
+    """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumns({"bytes": _bytes(F.col("payload")), "digest": F.sha2("payload", 256)})
     known = cut(base.where(F.col("bytes") >= revisit_bytes).select("page_id", "digest"))
     firsts = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = known.join(firsts, "digest").where("page_id <> refers_to").distinct()
+    revisits = cut(known.join(firsts, "digest").where("page_id <> refers_to").distinct())
+    if revisits.count() <= SENT_REVISITS:
+        revisits = F.broadcast(revisits)
     records = base.join(revisits, ["page_id", "digest"], "left").select(_record(F.col("refers_to")).alias("value"))
     records.write.option("lineSep", END).text(folder)
 
@@ -160,7 +169,6 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
     """
     found = cut(candidates(spark, folder))
     true = found.join(reachable(found), ["file", "offset"]).where(F.col("succ") <= F.col("file_end"))
-    true = cut(true)
     whole = true.where("whole")
     columns = ["file", "offset", "page", "url", "kind", "refers", "said_digest", "said_bytes", "payload_bytes", "payload_digest"]
     seg = _segments(spark, folder).select("file", "split", "at", "value")
@@ -175,7 +183,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
         )
     else:
         out = out.select(*columns)
-    if not true.where("not whole").isEmpty():
+    if not found.where("not whole").isEmpty() and not true.where("not whole").isEmpty():
         # segments of a payload that holds record starts: the owner is the last true record before them
         owners = true.select("file", "offset", F.col("offset").alias("owner"), F.col("whole").alias("own_whole"))
         rows = found.select("file", "offset", "split", "at").join(owners, ["file", "offset"], "left")
