@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids up to this number are sent to the tasks whole (8 bytes each); more are joined by a shuffle.
+SENT_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +37,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` but for the rows whose id is in the one column of ``ids``; rows with a null id stay.
+
+    Texts stay where they are unless there are more than ``SENT_IDS`` ids.
+    """
+    drop = cut(ids.toDF("__drop").where("__drop IS NOT NULL").distinct())
+    if drop.count() <= SENT_IDS:
+        drop = F.broadcast(drop)
+    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm._shared import without
 from weirflow.llm._words import Words, chunks, gram_hashes, split, word_hashes
 
 BLOCKS, BLOCK_BITS = 4, 16
@@ -220,5 +221,4 @@ def contaminated(
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
     """``docs`` without the documents that hold a benchmark item; rows with a null id are kept."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__drop"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, id_col=id_col, **options).select("doc_id"), id_col)

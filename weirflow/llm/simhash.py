@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._shared import cut, partitions
+from weirflow.llm._shared import cut, partitions, without
 from weirflow.llm._words import LOWER, chunks
 from weirflow.llm.components import connected_components
 
@@ -212,5 +212,4 @@ def keep_first(docs: DataFrame, n: int = 3, k: int = 3, id_col: str = "doc_id",
     Rows with a null id are kept. Rows that repeat the smallest id are all kept.
     """
     groups = near_duplicates(docs, n, k, id_col, text_col)
-    drop = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")
+    return without(docs, groups.where("component_id <> doc_id").select("doc_id"), id_col)

@@ -257,6 +257,17 @@ def _held(docs: DataFrame, items: np.ndarray) -> DataFrame:
     return docs.mapInArrow(scan, f"doc_id {kind}, y int, held array<int>").orderBy("doc_id", "y")
 
 
+def _scores(texts: pa.Array, m: Model, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label model's posterior and calibrated score of each text."""
+    n = len(texts)
+    d, i = _known(_tokens(texts), m.items, filter_)
+    raw = np.bincount(d, m.weights[i], minlength=n) + m.bias
+    votes = np.unique(d[m.voters[i] >= 0] * 1024 + m.voters[i][m.voters[i] >= 0])
+    voted = np.bincount(votes // 1024, m.vote_weights[votes % 1024], minlength=n) + m.vote_bias
+    a, b = m.calibration
+    return _sigmoid(voted), _sigmoid(a + b * np.clip(raw, -30, 30))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, posterior, score`` of every document in one scan; posterior is the label model's own."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # max_items items at most
@@ -266,12 +277,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         filter_ = _filter(m.items)
         for batch in batches:
             for part in chunks(batch):
-                d, i = _known(_tokens(part.column("text")), m.items, filter_)
-                raw = np.bincount(d, m.weights[i], minlength=part.num_rows) + m.bias
-                votes = np.unique(d[m.voters[i] >= 0] * 1024 + m.voters[i][m.voters[i] >= 0])
-                voted = np.bincount(votes // 1024, m.vote_weights[votes % 1024], minlength=part.num_rows) + m.vote_bias
-                a, b = m.calibration
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_sigmoid(voted)), pa.array(_sigmoid(a + b * np.clip(raw, -30, 30)))], ["doc_id", "posterior", "score"])
+                posterior, value = _scores(part.column("text"), m, filter_)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(posterior), pa.array(value)], ["doc_id", "posterior", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, posterior double, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` with a score below ``threshold``; scored and filtered in one scan."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = _filter(sent.value.items)
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                value = _scores(part.column(part.schema.get_field_index(text_col)), sent.value, filter_)[1]
+                yield part.filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(scan, docs.schema)
