@@ -1,9 +1,13 @@
 """Quality score by compression with dictionaries of good and bad text.
 
-Two zstandard dictionaries are built from labelled good and bad documents. A
-text is compressed with either, in independent blocks so that the dictionary
-matters throughout, and the difference of the sizes, divided by their sum, is
-calibrated to a probability by logistic regression on further labelled rows.
+Two zstandard dictionaries are built from labelled good and bad documents;
+lines that both hold teach nothing and are left out. A text is compressed with
+either, in independent blocks so that the dictionary matters throughout. The
+difference of the sizes, divided by their sum (plus a constant, since short
+texts say little), is calibrated to a probability by logistic regression on
+further labelled rows. How far the text shrinks at all is a second input of the
+calibration: text that repeats itself shrinks to almost nothing with either
+dictionary, so their difference cannot tell it.
 
 The dictionaries and the calibration see at most ``per_class`` labelled rows
 of either kind and ``dictionary_bytes`` of their text; every document is scored
@@ -27,13 +31,15 @@ from weirflow.llm._labels import labelled_sample
 from weirflow.llm._words import chunks
 
 BLOCK = 4096
+#: Bytes added to the sum of both sizes.
+SHORT = 512
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float]  # intercept and slope
+    weights: tuple[float, ...]  # intercept, slope of the difference, slope of the shrinkage
     level: int = 3
 
 
@@ -60,25 +66,27 @@ class Compressor:
         return sum(len(compress(view[i : i + BLOCK])) for i in range(0, len(text), BLOCK))
 
 
-def difference(texts: list[bytes], good: Compressor, bad: Compressor) -> np.ndarray:
-    """(bad size - good size) / (bad size + good size): above zero where good text explains it better."""
+def sizes(texts: list[bytes], good: Compressor, bad: Compressor) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised difference (above zero where good text explains it better), and the log of the shrinkage."""
     a = np.array([good.size(t) for t in texts], np.float64)
     b = np.array([bad.size(t) for t in texts], np.float64)
-    return (b - a) / np.maximum(1.0, a + b)
+    raw = np.fromiter(map(len, texts), np.float64, len(texts))
+    return (b - a) / (a + b + SHORT), np.log((raw + SHORT) / ((a + b) / 2 + SHORT))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method with a little shrinkage."""
-    scale = float(x.std()) or 1.0
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Intercept and slopes (``x``: one row per observation) by Newton's method with a little shrinkage."""
+    x = x.reshape(len(x), -1)
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     design = np.column_stack([np.ones(len(x)), x / scale])
-    w, ridge = np.zeros(2), np.diag([1e-6, 1e-2])
+    w, ridge = np.zeros(design.shape[1]), np.diag([1e-6, *[1e-2] * x.shape[1]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (weight * (y - p)) - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1] / scale)
+    return (float(w[0]), *(w[1:] / scale).tolist())
 
 
 def fit(
@@ -91,7 +99,7 @@ def fit(
     if not all(shares.values()):
         rate = (shares[1] / sum(shares.values())) if sum(shares.values()) else 0.5
         rate = min(max(rate, 1e-3), 1 - 1e-3)
-        return Model(b"", b"", (float(np.log(rate / (1 - rate))), 0.0), level)
+        return Model(b"", b"", (float(np.log(rate / (1 - rate))), 0.0, 0.0), level)
     sample = labelled_sample(docs, labels, label_col, usable, per_class, id_col, text_col).where("text is not null")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     running = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,17 +107,19 @@ def fit(
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     for r in for_dictionary.orderBy("y", F.xxhash64("doc_id"), "doc_id").collect():
         texts[r.y].append(r.text.encode())
-    model = Model(train_dictionary(texts[1], dictionary_size), train_dictionary(texts[0], dictionary_size), (0.0, 0.0), level)
-    rest = [(r.x, r.y) for r in _differences(sample.where(half == 1), model, "text", ["y"]).select("x", "y").collect()]
-    if len({y for _, y in rest}) == 2:
-        x, y = np.array([a for a, _ in rest]), np.array([b for _, b in rest], np.float64)
+    lines = {y: {line for t in texts[y] for line in t.split(b"\n")} for y in texts}
+    own = {y: [b"\n".join(line for line in t.split(b"\n") if line not in lines[1 - y]) for t in texts[y]] for y in texts}
+    model = Model(train_dictionary(own[1], dictionary_size), train_dictionary(own[0], dictionary_size), (0.0, 0.0, 0.0), level)
+    rest = [(r.x, r.shrinkage, r.y) for r in _sizes(sample.where(half == 1), model, "text", ["y"]).select("x", "shrinkage", "y").collect()]
+    if len({r[2] for r in rest}) == 2:
+        x, y = np.array([r[:2] for r in rest]), np.array([r[2] for r in rest], np.float64)
         prior = np.array([shares[0], shares[1]], np.float64) / sum(shares.values())
         weight = prior[y.astype(int)] / np.array([np.mean(y == 0), np.mean(y == 1)])[y.astype(int)]
         model.weights = fit_logistic(x, y, weight)
     return model
 
 
-def _differences(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+def _sizes(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,14 +128,16 @@ def _differences(docs: DataFrame, model: Model, text_col: str, keep: list[str])
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(difference(texts, good, bad))], [*keep, "x"])
+                x, shrinkage = sizes(texts, good, bad)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(x), pa.array(shrinkage)], [*keep, "x", "shrinkage"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"{fields}, x double")
+    return docs.select(*keep, F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"{fields}, x double, shrinkage double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, difference, score`` of every document in one scan."""
-    found = _differences(docs.withColumnRenamed(id_col, "doc_id"), model, text_col, ["doc_id"])
-    a, b = model.weights
-    return found.select("doc_id", F.col("x").alias("difference"), (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))).alias("score"))
+    found = _sizes(docs.withColumnRenamed(id_col, "doc_id"), model, text_col, ["doc_id"])
+    a, b, c = model.weights
+    odds = F.lit(a) + F.lit(b) * F.col("x") + F.lit(c) * F.col("shrinkage")
+    return found.select("doc_id", F.col("x").alias("difference"), (1 / (1 + F.exp(-odds))).alias("score"))
