@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions.columns import confidence, evidence_signals, proportional_allocation
+from weirflow.functions.columns import confidence, evidence_signals, proportional_allocation, rupees
 from weirflow.operators import chokepoint, counterfactual, evaluate, features, forecast, motifs, pareto, risk, scan, taint, traverse
 from weirflow.plans.investigate import Request, investigate
 from weirflow.sources import synthetic
@@ -694,3 +694,56 @@ def volume_rollup(spark: SparkSession, d: str) -> DataFrame:
     return moves.rollup("sender_inst", "channel").agg(F.count("*").alias("transfers"), F.sum("amount_minor_units").alias("volume"), F.count_distinct("receiver").alias("receivers"))
 
 
+
+
+# ---- texts and ids --------------------------------------------------------------------------------
+
+
+@_register(
+    "rupee_text",
+    _with("""SELECT case_id, account, '₹' || CASE WHEN length(w) <= 3 THEN w ELSE ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(..)', '\\1,', 'g')), ',') || ',' || right(w, 3) END || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') AS volume
+        FROM (SELECT *, CAST(m // 100 AS VARCHAR) AS w FROM (SELECT case_id, sender AS account, CAST(sum(amount_minor_units * 977) AS BIGINT) AS m FROM a GROUP BY ALL))"""),
+)
+def rupee_text(spark: SparkSession, d: str) -> DataFrame:
+    moves = scan.active(transfers(spark, d))
+    return moves.groupBy("case_id", F.col("sender").alias("account")).agg(rupees(F.sum(F.col("amount_minor_units") * 977)).alias("volume"))
+
+
+@_register("intervention_ids", _with("SELECT DISTINCT case_id, sender AS target_account, 'cf-' || left(sha256('account_hold:' || sender || ':' || strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 16) AS intervention_id FROM a JOIN times USING (case_id)"))
+def intervention_ids(spark: SparkSession, d: str) -> DataFrame:
+    moves = scan.active(transfers(spark, d))
+    types = dict(moves.dtypes)
+    holds = moves.select("case_id", F.lit("account_hold").alias("kind"), F.col("sender").alias("target_account"), F.lit(None).cast(types["event_id"]).alias("target_event")).distinct()
+    return counterfactual.with_id(counterfactual.valid(holds), times_of(moves)).select("case_id", "target_account", "intervention_id")
+
+
+@_register(
+    "selection_explained",
+    _with(f"""{_OPTIONS}, sl AS (SELECT case_id, intervention_id, row_number() OVER (PARTITION BY case_id ORDER BY intercepted DESC, legitimate, eff DESC, affected_accounts, affected_edges, intervention_id) AS n FROM fr)
+        SELECT j.case_id, j.intervention_id, round(eff, 6) AS efficiency, CASE WHEN n = 1 THEN 'recommended: feasible and Pareto-efficient, first by recovery, collateral, efficiency, scope and id' WHEN n > 1 THEN 'Pareto-efficient, but later by the tie-breaking order'
+            WHEN feasible THEN 'dominated on one or more objectives' ELSE 'infeasible: ' || concat_ws(', ', CASE WHEN legitimate > 12000 THEN 'maximum_legitimate_capital_affected' END, CASE WHEN affected_edges > 40 THEN 'maximum_affected_edges' END) END AS reason
+        FROM j LEFT JOIN sl USING (case_id, intervention_id)""", dense=True),
+)
+def selection_explained(spark: SparkSession, d: str) -> DataFrame:
+    rows = pareto.explained(_options(spark, d), LIMITS)
+    return rows.select("case_id", "intervention_id", F.round(F.col("efficiency").cast("double"), 6).alias("efficiency"), "reason")
+
+
+@_register("source_interception")
+def source_interception(spark: SparkSession, d: str) -> DataFrame:
+    moves, marked, allocated, times = _late(spark, d)
+    options = traverse.cut_lineage(counterfactual.with_id(counterfactual.candidates(moves, allocated, times), times))
+    return counterfactual.source_details(moves, marked, allocated, options, times)
+
+
+@_register("chokepoint_edges")
+def chokepoint_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Least-collateral cuts between the seeds' receivers and five other accounts, per case."""
+    moves, marked, allocated, _ = _late(spark, d)
+    times = times_of(moves, "06:00:00")
+    origin = marked.join(moves.select("case_id", "transaction_id", "receiver"), ["case_id", "transaction_id"]).select("case_id", F.col("receiver").alias("account"))
+    ten = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("account")
+    sinks = moves.select("case_id").distinct().select("case_id", ten).join(origin, ["case_id", "account"], "left_anti")
+    later = scan.active(moves).join(times, "case_id").where("occurred_at > as_of AND sender < 10")
+    found = chokepoint.chokepoints(moves.where("sender < 10"), later, counterfactual.edge_hold_collateral(allocated, times), origin, sinks)
+    return found.select("case_id", "status", F.col("cost").cast("string").alias("cost"), "residual_path", "event_id", "collateral", "position")
