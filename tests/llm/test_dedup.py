@@ -179,7 +179,7 @@ def test_substrings_against_brute_force(spark, n):
         parts = [prose(rng, words, rng.randint(0, 40))]
         for _ in range(rng.randint(0, 3)):
             parts += [rng.choice(passages), prose(rng, words, rng.randint(0, 20))]
-        rows.append((i * 3 % 120, rng.choice(["\n", " ", "\t  "]).join(parts)))
+        rows.append((i * 7 % 120, rng.choice(["\n", " ", "\t  "]).join(parts)))
     rows += [(500, None), (501, ""), (502, "a " * 100), (503, "b"), (504, passages[0]), (504, passages[0]), (None, passages[1]), (505, " ".join([passages[2]] * 40) + " x" * 30000)]
     docs = spark.createDataFrame([(*r, "k") for r in rows], DOCS + ", start string")
     out = dedup_substrings(docs, n=n, gram=min(8, n - 2), max_bits=22).collect()

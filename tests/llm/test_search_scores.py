@@ -33,7 +33,7 @@ def test_search_is_exact_where_windows_hold_everything(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(6).astype(float).tolist()) for i in range(200)]
     rows += [(i, rows[7][1]) for i in range(200, 240)]  # copies
-    odd = [(1000, None), (1001, []), (1002, [0.0] * 6), (1003, [float("nan")] * 6), (1004, [1.0, None, 0, 0, 0, 0]), (1005, [1.0, 2.0]), (None, rows[0][1]), (3, rows[3][1])]
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 6), (1003, [float("nan")] * 6), (1004, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1005, [1.0, 2.0]), (None, rows[0][1]), (3, rows[3][1])]
     df = spark.createDataFrame([(*r, 1.0) for r in rows + odd], VECTORS + ", score double")
     got = {}
     for r in ann.search(df, F.col("vec_id") % 20 == 0, k=5, curves=2, window=300).collect():
@@ -170,7 +170,7 @@ def test_decontamination_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame, bench).collect()}
     want = brute_matches(docs, items)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 30
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 20
     sliced = decontaminate.contaminated(frame, bench, slice_items=7)
     assert {(r.doc_id, r.item_id) for r in sliced.collect()} == want.keys()
     kept = decontaminate.remove_contaminated(frame, bench).collect()

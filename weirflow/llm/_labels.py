@@ -22,7 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).drop("n")
     )
-    return docs.join(F.broadcast(some), docs[id_col] == F.col("__id")).select(F.col("__id").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "y")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
 
 
 def logistic(x: float) -> float:

@@ -137,7 +137,8 @@ def _sizes(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> Dat
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, difference, score`` of every document in one scan."""
-    found = _sizes(docs.withColumnRenamed(id_col, "doc_id"), model, text_col, ["doc_id"])
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = _sizes(narrow, model, "text", ["doc_id"])
     a, b, c = model.weights
     odds = F.lit(a) + F.lit(b) * F.col("x") + F.lit(c) * F.col("shrinkage")
     return found.select("doc_id", F.col("x").alias("difference"), (1 / (1 + F.exp(-odds))).alias("score"))

@@ -139,6 +139,19 @@ def vote_moments(docs: DataFrame, items: np.ndarray, voters: np.ndarray, m: int,
     return n, out
 
 
+def _triplets(cov: np.ndarray) -> np.ndarray:
+    """First guess of u: the lower median of cov_ij cov_ik / cov_jk over pairs of other voters, robust to some correlated pairs."""
+    m = len(cov)
+    u = np.full(m, 1e-6)
+    for i in range(m):
+        others = np.delete(np.arange(m), i)
+        j, k = (others[x] for x in np.triu_indices(m - 1, 1))
+        ok = (cov[j, k] > 1e-12) & (cov[i, j] > 0) & (cov[i, k] > 0)
+        if ok.any():
+            u[i] = np.sqrt(np.quantile(cov[i, j[ok]] * cov[i, k[ok]] / cov[j[ok], k[ok]], 0.5, method="lower"))
+    return u
+
+
 def label_model(n: int, together: np.ndarray, prior: float, correlated_share: float = 0.1) -> tuple[np.ndarray, float]:
     """Weight of each vote in the posterior's log odds, and the log odds without any vote."""
     m, n = len(together), max(1, n)
@@ -146,18 +159,15 @@ def label_model(n: int, together: np.ndarray, prior: float, correlated_share: fl
     cov = together / n - np.outer(mean, mean)
     spread = np.sqrt(mean * (1 - mean))
     kept = ~np.eye(m, dtype=bool)
-    u = np.zeros(m)
-    for round_ in range(2):
-        u = np.sqrt(np.maximum(1e-12, np.max(np.where(kept, cov, 0), axis=1)))
-        for _ in range(200):  # alternating least squares of cov ~ u u' over the kept pairs
-            u = np.maximum(1e-9, 0.5 * u + 0.5 * (np.where(kept, cov, 0) @ u) / np.maximum(1e-12, kept @ (u * u)))
-        residual = (cov - np.outer(u, u)) / np.outer(spread, spread)
-        if round_ == 0:
-            upper = np.triu_indices(m, 1)
-            worst = np.argsort(-residual[upper])[: int(correlated_share * len(upper[0]))]
-            for i, j in zip(upper[0][worst], upper[1][worst]):
-                if residual[i, j] > 0:
-                    kept[i, j] = kept[j, i] = False
+    u = _triplets(cov)
+    residual = (cov - np.outer(u, u)) / np.outer(spread, spread)
+    upper = np.triu_indices(m, 1)
+    worst = np.argsort(-residual[upper])[: int(correlated_share * len(upper[0]))]
+    for i, j in zip(upper[0][worst], upper[1][worst]):
+        kept[i, j] = kept[j, i] = residual[i, j] <= 0
+    for _ in range(200):  # alternating least squares of cov ~ u u' over the kept pairs
+        u = np.maximum(1e-9, 0.5 * u + 0.5 * (np.where(kept, cov, 0) @ u) / np.maximum(1e-12, kept @ (u * u)))
+    residual = (cov - np.outer(u, u)) / np.outer(spread, spread)
     gap = u / np.sqrt(prior * (1 - prior))
     if_clean = np.clip(mean - prior * gap, 0.5 / n, None)
     if_toxic = np.clip(if_clean + gap, if_clean, 1 - 1e-6)

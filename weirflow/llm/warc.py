@@ -192,7 +192,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
         rows = rows.withColumn("owner", F.last("owner", True).over(back)).where("owner is not null").drop("own_whole")
         parts = rows.join(seg, ["file", "split", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts"))
         text = F.array_join(F.transform("parts", lambda p: p["value"]), END + MAGIC)
-        rest = F.when((F.col("owner") == 0) & F.col("text").startswith(MAGIC), F.substr("text", F.lit(len(MAGIC) + 1))).otherwise(F.col("text"))
+        rest = F.when((F.col("offset") == 0) & F.col("text").startswith(MAGIC), F.substr("text", F.lit(len(MAGIC) + 1))).otherwise(F.col("text"))
         joined = true.where("not whole").drop("payload_bytes", "payload_digest").join(parts.withColumnRenamed("owner", "offset"), ["file", "offset"])
         joined = joined.withColumn("text", text).withColumn("rest", rest)
         joined = joined.withColumn("block", F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(length as int))"))
