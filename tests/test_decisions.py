@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import CHAIN, at, graph, named, seeds
-from weirflow.functions.columns import benchmark_efficiency, compact_rupees, iso, recovery_efficiency, rupees
+from weirflow.functions.columns import as_list, benchmark_efficiency, compact_rupees, is_stale, iso, recovery_efficiency, rupees, stage_badge, trade_off
 from weirflow.operators import chokepoint, forecast, pareto, risk, scan
 from weirflow.operators.features import account_features, next_hop_features
 from weirflow.plans.investigate import Request, investigate
@@ -71,6 +71,12 @@ def test_scalar_rules(spark):
     money = spark.createDataFrame([(1234567890,), (-99,), (100000,), (0,), (123456789012,)], "m bigint")
     assert [r[0] for r in money.select(rupees(F.col("m"))).collect()] == ["₹1,23,45,678.90", "-₹0.99", "₹1,000.00", "₹0.00", "₹1,23,45,67,890.12"]
     assert [r[0] for r in money.select(compact_rupees(F.col("m"))).collect()] == ["₹1.23Cr", "-₹1", "₹1.0K", "₹0", "₹123.46Cr"]
+    badges = spark.createDataFrame([("failed",), ("odd",)], "s string").select(stage_badge(F.col("s")).alias("b")).collect()
+    assert [(r.b.label, r.b.variant) for r in badges] == [("Failed", "danger"), ("odd", "neutral")]
+    told = df.select(trade_off(F.col("i"), F.col("l")).alias("t")).collect()
+    assert (told[0].t, told[2].t) == ("Recovers ₹1.00 and affects ₹0.20 (5.0x)", "Recovers ₹0.10 and affects nobody else")
+    lists = df.select(as_list(F.col("i"), False).alias("a"), as_list(F.array("i"), True).alias("b"), is_stale(F.lit(None), F.lit(1)).alias("c"), is_stale(F.lit(2), F.lit(1)).alias("d")).first()
+    assert (lists.a, lists.b, lists.c, lists.d) == ([100], [100], False, True)
     times = spark.sql("SELECT timestamp_ntz'2026-01-02 03:04:05' t UNION ALL SELECT timestamp_ntz'2026-01-02 03:04:05.000600'")
     assert [r[0] for r in times.select(iso(F.col("t"))).collect()] == ["2026-01-02T03:04:05+00:00", "2026-01-02T03:04:05.000600+00:00"]
 

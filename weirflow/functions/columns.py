@@ -130,3 +130,39 @@ def compact_rupees(minor: Column) -> Column:
         .when(value >= 1e3, F.concat(F.format_number(value / 1e3, 1), F.lit("K"))).otherwise(F.format_number(value, 0))
     )
     return F.concat(F.when(minor < 0, "-").otherwise(""), F.lit("₹"), text)
+
+
+# fixed values: how the status of an investigation stage is shown
+_BADGES = {
+    "completed": ("Available", "success"),
+    "available": ("Available", "success"),
+    "insufficient_evidence": ("Insufficient Evidence", "warning"),
+    "infeasible": ("Policy Infeasible", "warning"),
+    "unavailable": ("Unavailable", "neutral"),
+    "failed": ("Failed", "danger"),
+    "skipped": ("Skipped", "neutral"),
+}
+
+
+def stage_badge(status: Column) -> Column:
+    """``label`` and ``variant`` of a stage's status; an unknown status is its own label."""
+    table = F.create_map(*(x for k, (a, b) in _BADGES.items() for x in (F.lit(k), F.struct(F.lit(a).alias("label"), F.lit(b).alias("variant")))))
+    return F.coalesce(F.try_element_at(table, status), F.struct(status.alias("label"), F.lit("neutral").alias("variant")))
+
+
+def is_stale(analysed_at: Column, decision_time: Column) -> Column:
+    """Whether there is an analysis and it was made for another time."""
+    return F.coalesce(analysed_at != decision_time, F.lit(False))
+
+
+def trade_off(intercepted: Column, legitimate: Column) -> Column:
+    """What a hold recovers, and at what cost."""
+    ratio = F.format_number(intercepted / F.greatest(F.lit(1), legitimate), 1)
+    return F.when(legitimate == 0, F.concat(F.lit("Recovers "), rupees(intercepted), F.lit(" and affects nobody else"))).otherwise(
+        F.concat(F.lit("Recovers "), rupees(intercepted), F.lit(" and affects "), rupees(legitimate), F.lit(" ("), ratio, F.lit("x)"))
+    )
+
+
+def as_list(value: Column, is_list: bool) -> Column:
+    """A list from a value that may be one or a single item; null gives an empty list."""
+    return F.coalesce(value if is_list else F.when(value.isNotNull(), F.array(value)), F.array())

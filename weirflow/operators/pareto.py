@@ -158,3 +158,10 @@ def highest_taint_edge(allocated: DataFrame, times: DataFrame, eligible: DataFra
     later = allocated.join(times.select("case_id", "as_of"), "case_id").where("occurred_at > as_of").join(eligible.select("case_id", "event_id"), ["case_id", "event_id"], "left_semi")
     order = Window.partitionBy("case_id").orderBy(F.desc("tainted"), "sequence")
     return later.withColumn("n", F.row_number().over(order)).where("n = 1").select("case_id", "event_id", "tainted")
+
+
+def candidate_table(rows: DataFrame, sort: str = "intercepted", ascending: bool = False, feasible_only: bool = False) -> DataFrame:
+    """``rows`` of each case with their place by one measure (``intercepted``, ``legitimate`` or ``provenance_confidence``), ties by id."""
+    shown = rows.where("feasible") if feasible_only else rows
+    key = F.asc(sort) if ascending else F.desc(sort)
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(key, "intervention_id")))

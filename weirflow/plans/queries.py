@@ -729,6 +729,12 @@ def selection_explained(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "intervention_id", F.round(F.col("efficiency").cast("double"), 6).alias("efficiency"), "reason")
 
 
+@_register("candidate_table", _with(f"{_OPTIONS} SELECT case_id, intervention_id, legitimate, CAST(row_number() OVER (PARTITION BY case_id ORDER BY legitimate, intervention_id) AS INTEGER) AS place FROM j WHERE feasible", dense=True))
+def candidate_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = pareto.candidate_table(pareto.judged(_options(spark, d), LIMITS), "legitimate", ascending=True, feasible_only=True)
+    return rows.select("case_id", "intervention_id", "legitimate", "place")
+
+
 @_register("source_interception")
 def source_interception(spark: SparkSession, d: str) -> DataFrame:
     moves, marked, allocated, times = _late(spark, d)

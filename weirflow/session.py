@@ -27,8 +27,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+#: Bytes of an Arrow batch between the JVM and Python: long texts make batches of many rows very large.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so Python tasks can import it."""
+    """Send this package to the executors once per application, so Python tasks can import it.
+
+    Arrow batches of the session are bounded too, unless it has bounds of its own.
+    """
+    if spark.sparkContext.getConf().get(_BATCH) is None and spark.sparkContext.getConf().get(_ROWS) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+        spark.conf.set(_ROWS, "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
