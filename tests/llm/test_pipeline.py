@@ -1,35 +1,104 @@
+"""Every stage of the pipeline against a brute-force version of it, on the whole smallest table."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from weirflow.llm.simhash import near_duplicates
+from tests.llm.test_dedup import WORD, brute_components, brute_substrings, reference_print
+from weirflow.llm import decontaminate, toxicity
+from weirflow.llm._words import LOWER
+from weirflow.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+def brute_toxic(spark, docs):
+    """The fitted model applied to one text at a time on the driver."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(frame, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    filter_ = toxicity._filter(model.items)
+    return {i: t for i, t in docs.items() if toxicity._scores(pa.array([t]), model, filter_)[1][0] < 0.5}
+
+
+def brute_near(docs):
+    groups = brute_components({i: reference_print(t) for i, t in docs.items()})
+    return {i: t for i, t in docs.items() if groups[i] == i}
+
+
+def brute_cut(docs):
+    out = {}
+    for i, n, gone, kept in brute_substrings(list(docs.items()), 20):
+        if not gone or gone < n:
+            out[i] = kept
+    return out
+
+
+def brute_leaks(docs, items):
+    cut = lambda t: t.encode().translate(LOWER).split()
+    bags = {i: decontaminate._shingles(cut(t), 5) for i, t in items.items()}
+    where = defaultdict(set)
+    for i, bag in bags.items():
+        for s in bag:
+            where[s].add(i)
+    clean = {}
+    for d, text in docs.items():
+        words, bad = cut(text), False
+        near = defaultdict(list)
+        for p in range(len(words) - 4):
+            for i in where.get(tuple(words[p : p + 5]), ()):
+                near[i].append(p)
+        for i, ps in near.items():
+            n = min(len(cut(items[i])), len(words))
+            for s in range(max(0, min(ps) - n), min(len(words) - n, max(ps)) + 1):
+                bad |= decontaminate.similarity(decontaminate._shingles(words[s : s + n], 5), bags[i]) >= 0.8
+        if not bad:
+            clean[d] = text
+    return clean
+
+
+def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "packing"]
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    before = {r.doc_id for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES:
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "packing"]
+    squash = lambda t: " ".join(WORD.findall(t or ""))
+    brute = {"toxicity": lambda d: brute_toxic(spark, d), "near_dedup": brute_near, "substring_dedup": brute_cut, "decontamination": lambda d: brute_leaks(d, items)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in docs.collect()}
         out = stage(spark, docs, SF)
-        rows = out.collect()
-        if name == "packing":
-            assert {r.doc_id for r in rows} == before and sum(r.length for r in rows) > 0
-            break
         assert out.columns == docs.columns
-        now = {r.doc_id for r in rows}
-        assert now <= before
+        rows = out.collect()
+        got, want = {r.doc_id: squash(r.text) for r in rows}, {i: squash(t) for i, t in brute[name](before).items()}
+        assert got == want, name
+        assert all(r.n_chars == len(r.text) for r in rows)
         if name == "toxicity":
-            gone = before - now
-            assert gone and sum(labels.get(i, 1) for i in gone) >= 0.9 * len(gone)
-        if name == "near_dedup":
-            groups = near_duplicates(docs).collect()
-            assert now == {r.component_id for r in groups}
+            gone = before.keys() - got.keys()
+            assert gone and sum(labels.get(i, 1) for i in gone) >= 0.9 * len(gone) and sum(labels.get(i, 0) for i in got) <= 4
+        if name in ("near_dedup", "substring_dedup"):
+            assert got != {i: squash(t) for i, t in before.items()}
         docs = spark.createDataFrame(rows, docs.schema)
-        before = now
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    tokenizer, pieces, used = Tokenizer.from_file(tokenizer_path()), {}, defaultdict(list)
+    for i, t in texts.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for k in range(-(-len(ids) // 2048)):
+            part = ids[2048 * k : 2048 * (k + 1)]
+            pieces[i, k] = (len(part), zlib.crc32(part.tobytes()))
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in packed} == pieces and len(packed) == len(pieces)
+    for r in packed:
+        used[r.sequence_id].append((r.offset, r.length))
+    for s in used.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
 
 
-def test_run_equals_its_stages(spark):
+def test_run_writes_every_stage(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     used = {}
     for r in rows:

@@ -25,17 +25,17 @@ _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 #: For tokens without punctuation: every ASCII byte but letters and digits separates.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if (base, size) not in _powers:
-        if size > 1 << 22:
-            return _make_powers(base, size)
-        _powers[base, size] = _make_powers(base, size)
-    return _powers[base, size]
+    """base**0 .. base**(n-1) modulo 2**64, and maybe more; one table a base is kept, the longest short of 8 MB."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = _make_powers(base, 1 << max(16, (n - 1).bit_length()))
+        if len(known) <= 1 << 20:
+            _powers[base] = known
+    return known
 
 
 def _make_powers(base: int, n: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def word_hashes(words: Words, which: int = 0) -> np.ndarray:
     while at < len(out):
         to = max(at + 1, int(np.searchsorted(words.end, words.start[at] + CHUNK_BYTES, "right")))
         a, b = int(words.start[at]), int(words.end[to - 1])
-        if b - a <= 4 * CHUNK_BYTES:
+        if b - a <= CHUNK_BYTES:  # else one very long word, hashed below
             sums = np.zeros(b - a + 1, np.uint64)
             np.cumsum((words.data[a:b].astype(np.uint64) + np.uint64(1)) * powers(base, b - a)[: b - a], out=sums[1:])
             s, e = words.start[at:to] - a, words.end[at:to] - a

@@ -93,7 +93,7 @@ def item_counts(sample: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, limit=8 << 20):
+            for part in chunks(batch, limit=2 << 20):
                 words = _tokens(part.column("text"))
                 y = part.column("y").to_numpy(zero_copy_only=False)
                 for hashes in item_hashes(words):
