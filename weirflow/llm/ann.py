@@ -4,10 +4,10 @@ Vectors gain one component that makes all norms equal (queries get zero there),
 so the largest inner product is the smallest distance. Each curve projects on
 a few random orthogonal directions, shifts the grid at random and orders rows by
 Hilbert key. Rows are range-partitioned by (curve, key) in Spark, get a rank from
-partition counts, and form blocks of ``2 * window`` rows that overlap by half
-on either side, so a query meets at least ``window`` neighbours each way on
-every curve. Blocks score in double precision, windows of all curves merge, and
-the best are ranked.
+partition counts, and form blocks of ``window`` rows. A row is sent to its own
+block only and a query to the four blocks around it, so it meets at least
+``1.5 * window`` neighbours each way on every curve. Blocks score in double
+precision, windows of all curves merge, and the best are ranked.
 
 Equal vectors are one class with their smallest ids: no more than ``k + 1`` of
 them can appear in a result. Vectors that are null, empty, zero or hold null or
@@ -155,8 +155,9 @@ def search(
     earlier = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("part", "curve", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = ranked.join(counts, ["part", "curve"]).withColumn("rank", F.col("base") + F.col("index") - F.col("first"))
-    block, half = F.floor(F.col("rank") / (2 * window)).cast("int"), F.col("rank") % (2 * window) < window
-    home = F.when(F.col("query"), F.array(block)).otherwise(F.array(block, F.when(half, block - 1).otherwise(block + 1)))
+    block, lower = F.floor(F.col("rank") / window).cast("int"), F.col("rank") % window < window // 2
+    first = F.when(lower, block - 2).otherwise(block - 1)
+    home = F.when(F.col("query"), F.sequence(F.greatest(first, F.lit(0)), first + 3)).otherwise(F.array(block))
     dealt = ranked.select("curve", "class", "query", home.alias("blocks")).join(points.select("class", "v"), "class")
     dealt = dealt.select("curve", F.explode("blocks").alias("block"), "class", "query", "v")
 
