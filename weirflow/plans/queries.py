@@ -750,6 +750,6 @@ def chokepoint_edges(spark: SparkSession, d: str) -> DataFrame:
     origin = marked.join(moves.select("case_id", "transaction_id", "receiver"), ["case_id", "transaction_id"]).select("case_id", F.col("receiver").alias("account"))
     ten = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("account")
     sinks = moves.select("case_id").distinct().select("case_id", ten).join(origin, ["case_id", "account"], "left_anti")
-    later = scan.active(moves).join(times, "case_id").where("occurred_at > as_of AND sender < 10")
-    found = chokepoint.chokepoints(moves.where("sender < 10"), later, counterfactual.edge_hold_collateral(allocated, times), origin, sinks)
+    later = scan.active(moves).join(times, "case_id").where("occurred_at > as_of")
+    found = chokepoint.chokepoints(moves, later, counterfactual.edge_hold_collateral(allocated, times), origin, sinks)
     return found.select("case_id", "status", F.col("cost").cast("string").alias("cost"), "residual_path", "event_id", "collateral", "position")
