@@ -25,3 +25,12 @@ def test_chokepoints_over_all_transfers(spark):
             if sender in reached and (reached[sender] is None or reached[sender] < at):
                 reached.setdefault(receiver, at)
         assert (status != "no_path_exists") == bool(set(reached) & (set(range(5)) - {start})), case
+
+
+def test_outcomes_of_every_candidate_at_noon(spark):
+    queries = __spark_entry__.queries()
+    key = lambda r: (r.case_id, r.kind, r.target_account, r.target_event)
+    outcomes = queries["counterfactual_outcomes"](spark, SF).collect()
+    assert outcomes and {key(r) for r in outcomes} == {key(r) for r in queries["counterfactual_candidates"](spark, SF).collect()}
+    sources = queries["source_interception"](spark, SF).select("intervention_id").distinct().collect()
+    assert {r.intervention_id for r in sources} == {r.intervention_id for r in outcomes}

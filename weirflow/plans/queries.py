@@ -465,15 +465,15 @@ def counterfactual_candidates(spark: SparkSession, d: str) -> DataFrame:
     return counterfactual.candidates(moves, allocated, times_of(moves))
 
 
-def _late(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Dense transfers with a decision time late in the day, so that few events are left to replay."""
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Dense transfers, their seeds and allocations, and the decision times."""
     moves, marked, allocated = _dense(spark, d)
-    return moves, marked, traverse.cut_lineage(allocated), times_of(moves, "22:00:00")
+    return moves, marked, traverse.cut_lineage(allocated), times_of(moves)
 
 
 @_register("counterfactual_outcomes")
 def counterfactual_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    moves, marked, allocated, times = _late(spark, d)
+    moves, marked, allocated, times = _decided(spark, d)
     options = traverse.cut_lineage(counterfactual.with_id(counterfactual.candidates(moves, allocated, times), times))
     found = counterfactual.outcomes(moves, marked, allocated, options, times)
     return found.select("case_id", "intervention_id", "kind", "target_account", "target_event", "intercepted", "legitimate", "remaining", "affected_edges", "affected_accounts", "provenance_confidence")
@@ -737,7 +737,7 @@ def candidate_table(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("source_interception")
 def source_interception(spark: SparkSession, d: str) -> DataFrame:
-    moves, marked, allocated, times = _late(spark, d)
+    moves, marked, allocated, times = _decided(spark, d)
     options = traverse.cut_lineage(counterfactual.with_id(counterfactual.candidates(moves, allocated, times), times))
     return counterfactual.source_details(moves, marked, allocated, options, times)
 
@@ -745,7 +745,7 @@ def source_interception(spark: SparkSession, d: str) -> DataFrame:
 @_register("chokepoint_edges")
 def chokepoint_edges(spark: SparkSession, d: str) -> DataFrame:
     """Least-collateral cuts between the seeds' receivers and five other accounts, per case."""
-    moves, marked, allocated, _ = _late(spark, d)
+    moves, marked, allocated, _ = _decided(spark, d)
     times = times_of(moves, "06:00:00")
     origin = marked.join(moves.select("case_id", "transaction_id", "receiver"), ["case_id", "transaction_id"]).select("case_id", F.col("receiver").alias("account"))
     ten = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("account")
