@@ -56,6 +56,33 @@ def test_search_recall_with_small_windows(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
+def test_equal_scores_go_to_the_smaller_id(spark):
+    rows = [(0, [1.0, 0.0])] + [(j, [1.0, float(j)]) for j in range(1, 301)] + [(j, [1.0, -float(j)]) for j in range(301, 340)]
+    for options in ({}, {"recall": 1.0}, {"curves": 2, "window": 100}):
+        found = ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0, **options).collect()
+        assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(i, i, 1.0) for i in range(1, 21)]
+
+
+def test_exact_mode_and_mixed_norms(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 256)  # many blocks, and several groups of queries in one
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(12) * (30 if i % 300 == 0 else 1)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, VECTORS)
+    want = brute_nearest(rows, range(0, 3000, 5), 6)
+    found = ann.search(df, F.col("vec_id") % 5 == 0, k=6, recall=1.0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(q, n + 1, i) for q, best in want.items() for n, (i, _) in enumerate(best)}
+    near = ann.search(df, F.col("vec_id") % 5 == 0, k=6, recall=0.95).collect()
+    assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in near) / len(found) >= 0.9
+
+
+def test_window_follows_the_sampled_neighbours():
+    near, far = np.full((100, 12), 10), np.full((100, 12), 90_000)
+    assert ann.choose(near, 1_000_000, 50_000, 0.98) == (1, 256)
+    assert ann.choose(far, 1_000_000, 50_000, 0.98) == (1, 90_001)
+    assert ann.choose(np.where(np.arange(12) < 3, far, near), 1_000_000, 50_000, 0.98)[0] == 4
+    assert ann.choose(near, 1000, 50, 1.0) == (1, 1000)
+
+
 def test_search_of_nothing_and_of_few(spark):
     assert ann.search(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
     few = ann.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], VECTORS), F.lit(True)).collect()
