@@ -74,7 +74,7 @@ def tokenize_pieces(
     tokenizer: str,
     max_len: int = 2048,
     end_id: int = 0,
-    by_word: bool = True,
+    by_word: bool = False,
     keep_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -82,7 +82,8 @@ def tokenize_pieces(
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` of every piece.
 
     A document is its ids and ``end_id``; one longer than ``max_len`` is cut
-    into pieces of that length, the last of which may be shorter.
+    into pieces of that length, the last of which may be shorter. ``by_word`` is
+    for tokenizers that lower-case and split at white space (see ``encode``).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]

@@ -76,7 +76,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), by_word=True, keep_ids=False)
     return packing.pack(pieces)
 
 
