@@ -10,7 +10,9 @@ start keeps only what the chain of true records reaches. Payloads cut by such
 bytes are put together again from their segments.
 
 Null payloads are empty, null URLs empty, null page ids a record id without a
-number. Of records with equal payloads of at least ``revisit_bytes`` that with
+number. A record's length may have up to 18 digits; one of 2 GiB or more is
+stepped over like any other, but its payload is more than a Spark value holds
+and reading it fails. Of records with equal payloads of at least ``revisit_bytes`` that with
 the smallest page id is the response and the others revisit it; repeated rows
 of that page id are all responses.
 """
@@ -62,10 +64,10 @@ def _record(refers: Column) -> Column:
 SENT_REVISITS = 200_000
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 100, sent_revisits: int = SENT_REVISITS, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """One WARC record per row of ``pages`` in the files of ``folder``.
 
-    Payloads stay where they are read, unless there are more than ``SENT_REVISITS`` revisits.
+    Payloads stay where they are read, unless there are more than ``sent_revisits`` revisits.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -73,7 +75,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 100, id_c
     known = cut(base.where(F.col("bytes") >= revisit_bytes).select("page_id", "digest"))
     firsts = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = cut(known.join(firsts, "digest").where("page_id <> refers_to").distinct())
-    if revisits.count() <= SENT_REVISITS:
+    if revisits.count() <= sent_revisits:
         revisits = F.broadcast(revisits)
     records = base.join(revisits, ["page_id", "digest"], "left").select(_record(F.col("refers_to")).alias("value"))
     records.write.option("lineSep", END).text(folder)
@@ -106,9 +108,9 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("header", head)
         .withColumn("head_bytes", _bytes(F.col("header")) + len(END))
         .withColumn("has_head", F.instr("rest", END) > 0)
-        .withColumn("length", F.when(F.col("has_head"), field("Content-Length", "([0-9]{1,9})").try_cast("bigint")))
+        .withColumn("length", F.when(F.col("has_head"), field("Content-Length", "([0-9]{1,18})").try_cast("bigint")))
         .withColumn("kind", field("WARC-Type", r"([\w-]+)"))
-        .withColumn("block", F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(coalesce(length, 0) as int))"))
+        .withColumn("block", F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(least(coalesce(length, 0), 2147483647) as int))"))
         .withColumn("whole", F.col("has_head") & F.col("length").isNotNull() & (F.length("block") == F.col("length")))
     )
     rows = parsed.select(
@@ -175,7 +177,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
     out = whole.select(*columns, "split", "at")
     if with_payload:
         rest = F.when((F.col("split") == 0) & F.col("value").startswith(MAGIC), F.substr("value", F.lit(len(MAGIC) + 1))).otherwise(F.col("value"))
-        block = F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(length as int))")
+        block = F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(least(length, 2147483647) as int))")
         http = F.octet_length(F.substring_index(F.col("block").cast("string"), END, 1)) + len(END)
         out = (
             whole.join(seg, ["file", "split", "at"]).withColumn("rest", rest).withColumn("block", block)
@@ -195,7 +197,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
         rest = F.when((F.col("offset") == 0) & F.col("text").startswith(MAGIC), F.substr("text", F.lit(len(MAGIC) + 1))).otherwise(F.col("text"))
         joined = true.where("not whole").drop("payload_bytes", "payload_digest").join(parts.withColumnRenamed("owner", "offset"), ["file", "offset"])
         joined = joined.withColumn("text", text).withColumn("rest", rest)
-        joined = joined.withColumn("block", F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(length as int))"))
+        joined = joined.withColumn("block", F.expr("substring(cast(rest as binary), cast(head_bytes + 1 as int), cast(least(length, 2147483647) as int))"))
         size, digest = _digests(F.col("block"), F.lit(True))
         joined = joined.withColumns({"payload_bytes": size, "payload_digest": digest})
         if with_payload:
