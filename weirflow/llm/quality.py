@@ -93,7 +93,10 @@ def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3000, dictionary_bytes: int = 4 << 20, dictionary_size: int = 65_536,
     level: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Model:
-    """Half of the sample, up to ``dictionary_bytes`` a kind, builds the dictionaries; the rest calibrates."""
+    """Half of the sample, up to ``dictionary_bytes`` a kind, builds the dictionaries; the rest calibrates.
+
+    One text gives at most a 64th of ``dictionary_bytes``: a longer one, blocks spread over all of it.
+    """
     counts = {r[0]: r[1] for r in labels.where(usable).groupBy(F.col(label_col).cast("int")).count().collect()}
     shares = {y: counts.get(y, 0) for y in (0, 1)}
     if not all(shares.values()):
@@ -103,10 +106,11 @@ def fit(
     sample = labelled_sample(docs, labels, label_col, usable, per_class, id_col, text_col).where("text is not null")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     running = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    for_dictionary = sample.where(half == 0).withColumn("sum", F.sum(F.octet_length("text")).over(running)).where(F.col("sum") <= dictionary_bytes)
+    excerpts = _excerpts(sample.where(half == 0).select("doc_id", "y", "text"), max(BLOCK, dictionary_bytes // 64))
+    for_dictionary = excerpts.withColumn("sum", F.sum(F.octet_length("text")).over(running)).where(F.col("sum") <= dictionary_bytes)
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     for r in for_dictionary.orderBy("y", F.xxhash64("doc_id"), "doc_id").collect():
-        texts[r.y].append(r.text.encode())
+        texts[r.y].append(bytes(r.text))
     lines = {y: {line for t in texts[y] for line in t.split(b"\n")} for y in texts}
     own = {y: [b"\n".join(line for line in t.split(b"\n") if line not in lines[1 - y]) for t in texts[y]] for y in texts}
     model = Model(train_dictionary(own[1], dictionary_size), train_dictionary(own[0], dictionary_size), (0.0, 0.0, 0.0), level)
@@ -119,6 +123,23 @@ def fit(
     return model
 
 
+def _excerpts(docs: DataFrame, most: int) -> DataFrame:
+    """Texts as bytes; of one longer than ``most``, blocks spread evenly over it, so that none takes the whole budget."""
+
+    def cut_(text: bytes) -> bytes:
+        blocks, wanted = -(-len(text) // BLOCK), max(1, most // BLOCK)
+        if len(text) <= most:
+            return text
+        return b"".join(text[BLOCK * at : BLOCK * (at + 1)] for at in (i * blocks // wanted for i in range(wanted)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.binary())], ["doc_id", "y", "text"])
+
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, text binary")
+
+
 def _sizes(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
