@@ -6,9 +6,11 @@ size-weighted sample of keys gives quantile boundaries; rows fall into ranges
 by binary search; ranges that come out overfull get splitters of their own.
 Sums per range place every range exactly, and a running sum inside a range
 places every row, so shard sizes differ by about one document. A group of
-copies smaller than ``group_share`` of a shard is not cut.
+copies smaller than ``group_share`` of a shard is not cut; a larger one is, since
+whole it would leave its shard longer than the others by as much.
 
-Null texts have no bytes. Null ids sort first. Repeated rows are kept.
+Null texts have no bytes. Null ids sort first, ids that are no integers by their
+hash. Repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirflow.llm._shared import cut
 
@@ -75,12 +78,13 @@ def shard_by_bytes(
     """
     text = F.col(text_col).cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
+    tie = F.col(id_col).cast("bigint") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.xxhash64(F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("string")))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         size.alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LOWEST)).alias("tie"),
+        F.coalesce(tie, F.lit(_LOWEST)).alias("tie"),
     )
     rows = cut(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -94,7 +98,7 @@ def shard_by_bytes(
 
     splitters = _splitters(sampled(rows, total, ranges * sample_per_range), ranges)
     target = total / ranges
-    for _ in range(3):
+    while True:
         sums = {r.range: r for r in _ranged(rows, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
         overfull = [r for r in sums.values() if r.bytes > 2 * target and r.n > 1]
         parts = _ranged(rows, splitters).where(F.col("range").isin([r.range for r in overfull])) if overfull else None
@@ -110,7 +114,7 @@ def shard_by_bytes(
                 found.append(_splitters(by_range.get(r.range, []), int(-(-r.bytes // max(1.0, target)))))
         more = np.unique(np.concatenate([splitters, *found]), axis=0)
         if len(more) == len(splitters):
-            break
+            break  # what is overfull now is one row or rows that no key tells apart
         splitters = more
     order = sorted(sums)
     bytes_before = dict(zip(order, np.concatenate([[0], np.cumsum([sums[r].bytes for r in order])]).tolist()))
