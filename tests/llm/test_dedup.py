@@ -191,6 +191,17 @@ def test_substrings_against_brute_force(spark, n):
     assert all(t == dict(rows)[i] for i, t in texts.items() if i is not None)
 
 
+def test_substrings_with_clashing_columns_and_string_ids(spark):
+    rng, words = random.Random(5), vocabulary(5, 60)
+    shared = prose(rng, words, 30)
+    rows = [(f"id-{i % 10}-{i:03}", f"{prose(rng, words, i % 20)} {shared if i % 4 == 0 else ''} {prose(rng, words, 5)}") for i in range(60)] + [(None, shared)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id string, text string, doc int, n_words int, N_removed int")
+    out = dedup_substrings(docs).collect()
+    assert set(out[0].asDict()) == {"doc_id", "text", "doc", "n_words", "n_removed"} and {r.doc for r in out} == {1}
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, " ".join(WORD.findall(r.text))) for r in out)
+    assert got == sorted((str(i), *rest) for i, *rest in brute_substrings(rows, 20))
+
+
 def test_substrings_of_nothing(spark):
     assert dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
 

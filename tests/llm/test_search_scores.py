@@ -212,3 +212,14 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.contaminated(some, bench.where("false")).count() == 0
     assert decontaminate.contaminated(some, bench).count() == 3
     assert [r.doc_id for r in decontaminate.remove_contaminated(some, bench).collect()] == [None]
+
+
+def test_one_long_text_leaves_the_dictionaries_as_they_are(spark):
+    docs, labels = labelled(spark)
+    plain = quality.fit(docs, labels, F.lit(True), dictionary_bytes=1 << 18)
+    long = spark.createDataFrame([(10_000 + i, "word " * 200_000, "x") for i in range(40)], docs.schema)
+    more = labels.unionByName(spark.createDataFrame([(10_000 + i, 1, 0) for i in range(40)], labels.schema))
+    model = quality.fit(docs.unionByName(long), more, F.lit(True), dictionary_bytes=1 << 18)
+    assert len(model.good) > len(plain.good) // 2 and len(model.bad) > len(plain.bad) // 2
+    rows = quality.score(docs, model).collect()
+    assert np.mean([(r.score >= 0.5) == bool(truth[0][r.doc_id][0]) for r in rows if r.doc_id in truth[0]]) > 0.95

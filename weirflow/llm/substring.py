@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm._shared import partitions
+from weirflow.llm._shared import cut, partitions
 from weirflow.llm._words import chunks, gram_hashes, mix, split, word_hashes
 
 DEPTH = 2
@@ -243,15 +243,22 @@ def dedup_substrings(docs: DataFrame, n: int = 20, gram: int = 8, max_bits: int
     A word goes if a window of ``n`` words over it has an equal that starts
     earlier (smaller id, or the same document and an earlier word). What stays
     of a changed text is its kept stretches, joined by one space; other texts
-    are unchanged. ``max_bits`` bounds the sketch to ``2**max_bits`` cells a
+    are unchanged. Columns of those two names are replaced. ``max_bits`` bounds the sketch to ``2**max_bits`` cells a
     row; beyond that more windows pass the prefilter and results are the same.
     """
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    ranges = repeated_ranges(narrow, n, gram, max_bits)
-    ranges = ranges.groupBy("doc").agg(F.collect_list("start").alias("__starts"), F.collect_list("run").alias("__runs"))
+    docs = docs.drop("n_words", "n_removed")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        source = docs.withColumn("__doc", F.col(id_col).cast("bigint"))
+    else:  # numbers in the order of the ids
+        ids = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy("__id")
+        numbers = cut(ids.withColumn("__doc", F.monotonically_increasing_id()))
+        source = docs.join(numbers, docs[id_col] == F.col("__id"), "left").drop("__id")
+    narrow = source.where("__doc IS NOT NULL").select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    ranges = repeated_ranges(narrow, n, gram, max_bits).withColumnRenamed("doc", "__key")
+    ranges = ranges.groupBy("__key").agg(F.collect_list("start").alias("__starts"), F.collect_list("run").alias("__runs"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     place = docs.columns.index(text_col)
-    joined = docs.join(ranges, docs[id_col].cast("bigint") == F.col("doc"), "left").drop("doc")
+    joined = source.join(ranges, F.col("__doc") == F.col("__key"), "left").drop("__key", "__doc")
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
