@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weirflow.llm import _words
+from weirflow.llm import _words, simhash
 from weirflow.llm.components import connected_components
 from weirflow.llm.simhash import fingerprint_links, keep_first, link_lists, majority, near_duplicates
 from weirflow.llm.substring import dedup_substrings
@@ -90,6 +91,27 @@ def test_links_connect_dense_balls(spark):
     assert len(set(got.values())) == sum(len(m) > 1 for m in sizes.values())
 
 
+def test_five_shared_positions_hold_one_key():
+    for five in combinations(range(8), 5):
+        assert sum(set(c) <= set(five) for c in simhash.PLANES) == 1
+    a, b = np.array([0x1122334455667788], np.uint64), np.array([0x1122FF4455007789], np.uint64)
+    assert simhash.shared_bytes(a ^ b).tolist() == [0b11011010]
+
+
+def test_frequent_keys_are_dealt_by_a_fifth_byte(spark):
+    rng = random.Random(2)
+    values = {0x1122334400000000 | rng.getrandbits(32) for _ in range(3000)}
+    values |= {v ^ (1 << rng.randrange(32)) for v in list(values)[:300]}
+    df = spark.createDataFrame([(v,) for v in values], "fingerprint bigint")
+    roots = [{r.node: r.root for r in connected_components(fingerprint_links(df, sampled=s, frequent=f)).collect()} for s, f in ((1, 100), (1024, 1 << 30))]
+    want = {v: r for v, r in brute_components({v: v for v in values}).items()}
+    groups = [sorted(sorted(v for v in got if got[v] == r) for r in set(got.values())) for got in roots]
+    grouped = {}
+    for v, r in want.items():
+        grouped.setdefault(r, []).append(v)
+    assert groups[0] == groups[1] == sorted(sorted(g) for g in grouped.values() if len(g) > 1)
+
+
 def test_long_lists_by_flipping_bits_equal_all_pairs():
     rng = np.random.default_rng(3)
     low = np.unique(rng.integers(0, 1 << 24, 9000).astype(np.uint64))
