@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weirflow.llm import _words, simhash
+from weirflow.llm import _words, simhash, substring
 from weirflow.llm.components import connected_components
 from weirflow.llm.simhash import fingerprint_links, keep_first, link_lists, majority, near_duplicates
 from weirflow.llm.substring import dedup_substrings
@@ -224,6 +224,17 @@ def test_substrings_with_clashing_columns_and_string_ids(spark):
     assert got == sorted((str(i), *rest) for i, *rest in brute_substrings(rows, 20))
 
 
+def test_share_of_windows_that_pass_does_not_grow_with_the_text(spark):
+    rng = np.random.default_rng(6)
+    share = []
+    for docs in (50, 800):
+        texts = [(i, " ".join(map(str, rng.integers(0, 1 << 40, 400)))) for i in range(docs)]
+        df = spark.createDataFrame([*texts, (docs, texts[0][1])], "doc bigint, text string")
+        bits = substring.sketch_bits(sum(len(t) for _, t in texts) // 3)  # as if words were shorter
+        share.append(substring.repeated_cells(df, 20, 8, bits).count() / (docs * 57))
+    assert share[0] < 1.2 / 50 + 0.03 and share[1] < 1.2 / 800 + 0.03
+
+
 def test_substrings_of_nothing(spark):
     assert dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
 

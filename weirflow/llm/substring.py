@@ -5,10 +5,13 @@ smallest hash among its word runs of ``gram`` words. Equal windows have equal
 anchors at different places, so the number of places an anchor occurs at is at
 least the count of any window it stands for, and a count-min sketch of anchor
 places overestimates window counts while holding about a seventh of the
-entries. Tasks sketch their own partition, partition sketches merge by cell
-block, and only "twice or more" bits go back to the tasks. The second pass
-groups exactly (by 128-bit hashes of the word sequence) the windows whose
-estimate is two or more; a window that occurs twice is never missed.
+entries. The sketch is one sparse row whose width follows the text: about 64
+cells for each expected anchor, so its selectivity is alike at every size. Tasks
+sketch their own partition, and partition sketches merge as a sum by cell, dealt
+over the cluster. Only cells of two or more go back to the tasks, as a bitmap
+with two positions for each, which follows their number up to ``max_bits``. The
+second pass groups exactly (by 128-bit hashes of the word sequence) the windows
+whose estimate is two or more; a window that occurs twice is never missed.
 
 Null texts have no words and stay null. Rows with a null id are kept whole and
 count for nothing. Rows of one id are one document: none of them is earlier
@@ -30,7 +33,6 @@ from pyspark.sql import types as T
 from weirflow.llm._shared import cut, partitions
 from weirflow.llm._words import chunks, gram_hashes, mix, split, word_hashes
 
-DEPTH = 2
 BLOCK_BITS = 22
 #: Windows held back in a task before they are folded and emitted.
 HELD = 1 << 20
@@ -55,35 +57,29 @@ def _anchors(hashes: np.ndarray, doc: np.ndarray, n: int, gram: int) -> tuple[np
     return grams, _sliding(grams, n - gram + 1, np.minimum), doc[: len(doc) - n + 1] == doc[n - 1 :]
 
 
-def _cells(anchor: np.ndarray, bits: int, row: int) -> np.ndarray:
-    return (mix(anchor ^ _SALTS[row]) >> np.uint64(64 - bits)) | np.uint64(row << bits)
+def sketch_bits(text_bytes: int) -> int:
+    """Cells of the sketch, as a power of two: 64 for each expected anchor (one in about 45 bytes)."""
+    return min(62, max(BLOCK_BITS, int(text_bytes * 64 // 45).bit_length()))
 
 
-def sketch_bits(text_bytes: int, max_bits: int) -> int:
-    """Cells per sketch row: six for each expected anchor, so selectivity is alike at every size."""
-    return min(max_bits, max(BLOCK_BITS, int(text_bytes // 7).bit_length()))
+def bitmap_bits(cells: int, max_bits: int) -> int:
+    """Bits of the bitmap, as a power of two: 16 for each repeated cell."""
+    return min(max_bits, max(BLOCK_BITS, (16 * cells).bit_length()))
 
 
-def repeated_cells(docs: DataFrame, n: int, gram: int, bits: int) -> bytes:
-    """The merged sketch, as one bit per cell: is its count two or more?"""
+def _places(cells: np.ndarray, bits: int, which: int) -> np.ndarray:
+    return mix(cells ^ _SALTS[which]) >> np.uint64(64 - bits)
+
+
+def repeated_cells(docs: DataFrame, n: int, gram: int, bits: int) -> DataFrame:
+    """``cell``: the cells of the merged sketch that count two or more."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            anchors = np.concatenate(found)
-            for row in range(DEPTH):
-                cells = np.sort(_cells(anchors, bits, row))
-                new = np.ones(len(cells), bool)
-                new[1:] = cells[1:] != cells[:-1]
-                once, again = cells[new], cells[1:][~new[1:]]
-                for name, part in ((1, once), (2, np.unique(again))):
-                    blocks, at = np.unique(part >> np.uint64(BLOCK_BITS), return_index=True)
-                    ends = np.append(at[1:], len(part))
-                    low = (part & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
-                    data = [np.diff(low[a:b], prepend=np.uint32(0)).astype(np.uint32).tobytes() for a, b in zip(at, ends)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(blocks.astype(np.int32)), pa.array(np.full(len(blocks), name, np.int8)), pa.array(data, pa.binary())],
-                        ["block", "seen", "cells"],
-                    )
+        def emit(found: list[np.ndarray]) -> pa.RecordBatch:
+            cells = np.sort(np.concatenate(found) >> np.uint64(64 - bits))
+            twice = np.ones(len(cells), bool)  # two of a cell say all that more would
+            twice[2:] = cells[2:] != cells[:-2]
+            return pa.RecordBatch.from_arrays([pa.array(cells[twice].view(np.int64))], ["cell"])
 
         found: list[np.ndarray] = []
         for batch in batches:
@@ -98,32 +94,44 @@ def repeated_cells(docs: DataFrame, n: int, gram: int, bits: int) -> bytes:
                 padded[width - 1 : width - 1 + len(least)] = np.where(inside, least, 0)
                 found.append(grams[_sliding(padded, width, np.maximum) == grams])
                 if sum(map(len, found)) >= HELD:
-                    yield from emit(found)
+                    yield emit(found)
                     found = []
         if found:
-            yield from emit(found)
+            yield emit(found)
+
+    return docs.mapInArrow(sketch, "cell bigint").groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2").select("cell")
+
 
-    def merge(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: int, count: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(count >= 2, bitorder="little").tobytes()])], ["block", "bits"])
+def cell_bitmap(cells: DataFrame, bits: int) -> bytes:
+    """``cells`` as a bitmap of ``2**bits`` bits, put together block by block."""
 
-        now, count = -1, None
-        for table in tables:
-            for block, seen, cells in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2)):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells_ = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.concatenate([_places(cells_, bits, which) for which in range(2)])
+            low = (at & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(BLOCK_BITS)).astype(np.int32)), pa.array(low)], ["block", "low"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(block: int, seen: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(seen, bitorder="little").tobytes()])], ["block", "bits"])
+
+        now, seen = -1, np.zeros(1 << BLOCK_BITS, bool)
+        for batch in batches:
+            blocks, low = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for block in np.unique(blocks).tolist():  # ascending, as the rows are
                 if block != now:
-                    if count is not None:
-                        yield done(now, count)
-                    now, count = block, np.zeros(1 << BLOCK_BITS, np.uint8)
-                at = np.cumsum(np.frombuffer(cells.as_buffer(), np.uint32), dtype=np.uint32)
-                count[at] = np.minimum(count[at] + seen, 2)
-        if count is not None:
-            yield done(now, count)
-
-    blocks = docs.mapInArrow(sketch, "block int, seen tinyint, cells binary")
-    blocks = blocks.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
-    out = bytearray(DEPTH << (bits - 3))
+                    if now >= 0:
+                        yield done(now, seen)
+                    now, seen = block, np.zeros(1 << BLOCK_BITS, bool)
+                seen[low[blocks == block]] = True
+        if now >= 0:
+            yield done(now, seen)
+
+    out = bytearray(1 << (bits - 3))
     size = 1 << (BLOCK_BITS - 3)
-    for row in blocks.mapInArrow(merge, "block int, bits binary").toLocalIterator():
+    placed = cells.mapInArrow(place, "block int, low int").repartition(partitions(cells.sparkSession), "block").sortWithinPartitions("block")
+    for row in placed.mapInArrow(merge, "block int, bits binary").toLocalIterator():
         out[row.block * size : (row.block + 1) * size] = row.bits
     return bytes(out)
 
@@ -159,21 +167,23 @@ def _batch(w0: np.ndarray, w1: np.ndarray, doc: np.ndarray, start: np.ndarray, r
     )
 
 
-def repeated_ranges(docs: DataFrame, n: int = 20, gram: int = 8, max_bits: int = 28) -> DataFrame:
+def repeated_ranges(docs: DataFrame, n: int = 20, gram: int = 8, max_bits: int = 29) -> DataFrame:
     """``doc, start, run``: word ranges of ``docs`` (``doc`` bigint, ``text``) that windows seen earlier cover."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(total, max_bits)
-    seen = spark.sparkContext.broadcast(repeated_cells(docs, n, gram, bits))  # at most 2**max_bits / 4 bytes
+    bits = sketch_bits(total)
+    cells = cut(repeated_cells(docs, n, gram, bits))
+    wide = bitmap_bits(cells.count(), max_bits)
+    seen = spark.sparkContext.broadcast(cell_bitmap(cells, wide))  # at most 2**max_bits / 8 bytes
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(seen.value, np.uint8)
 
         def twice(anchor: np.ndarray) -> np.ndarray:
             out = np.ones(len(anchor), bool)
-            for row in range(DEPTH):
-                cell = _cells(anchor, bits, row)
-                out &= (bitmap[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for which in range(2):
+                at = _places(anchor >> np.uint64(64 - bits), wide, which)
+                out &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             return out
 
         def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +247,15 @@ def repeated_ranges(docs: DataFrame, n: int = 20, gram: int = 8, max_bits: int =
     return found.mapInArrow(settle, "doc bigint, start int, run int")
 
 
-def dedup_substrings(docs: DataFrame, n: int = 20, gram: int = 8, max_bits: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, n: int = 20, gram: int = 8, max_bits: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words that repeated windows cover, plus ``n_words`` and ``n_removed``.
 
     A word goes if a window of ``n`` words over it has an equal that starts
     earlier (smaller id, or the same document and an earlier word). What stays
     of a changed text is its kept stretches, joined by one space; other texts
-    are unchanged. Columns of those two names are replaced. ``max_bits`` bounds the sketch to ``2**max_bits`` cells a
-    row; beyond that more windows pass the prefilter and results are the same.
+    are unchanged. Columns of those two names are replaced. ``max_bits`` bounds the bitmap of
+    repeated cells (29: 64 MB, full at 33 million of them); beyond that more
+    windows pass the prefilter and results are the same.
     """
     docs = docs.drop("n_words", "n_removed")
     if isinstance(docs.schema[id_col].dataType, T.IntegralType):
