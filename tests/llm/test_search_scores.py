@@ -204,6 +204,21 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted({d for d, _ in docs} - {d for d, _ in want})
 
 
+def test_a_long_text_that_repeats_one_item_and_a_large_benchmark(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeghiklmnor") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(8, 60)))) for i in range(3000)]
+    near = items[1][1].split()
+    near[len(near) // 2] = "zz"
+    docs = [(1, " ".join([items[0][1]] * 3000)), (2, " ".join(rng.choice(words) for _ in range(5000)) + " " + " ".join(near)), (3, " ".join(t for _, t in items[10:40]))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert "Union" not in found._jdf.queryExecution().toString()  # one scan
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    small = [(2, docs[1][1]), (3, docs[2][1])]
+    assert got[1, 0] == 1.0 and {k: v for k, v in got.items() if k[0] > 1} == pytest.approx(brute_matches(small, items[:60]))
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")

@@ -1,16 +1,21 @@
 """Benchmark decontamination by SimHash windows of each item's size.
 
-Item fingerprints are indexed in blocks of 16 bits: fingerprints at most
-``radius`` bits apart have a block at most ``radius // 4`` bits apart, so the
-multi-index finds all pairs within the radius. At a weighted similarity of 0.8
-a bit differs with probability 0.15 (about 10 of 64, deviation 2.9); the
-default radius of 22 is four deviations beyond that. Pairs found are verified
-by the exact weighted Jaccard similarity of their five-word shingles (weights
-are multiplicities).
-
-Windows without any shingle of any item have similarity 0 and get no
-fingerprint. Items reach the tasks in slices of bounded size; a benchmark of
-more than one slice is searched slice by slice.
+A scan finds the shingles of any item in each text. An item is looked for where
+the text holds enough of its shingles for the similarity asked for, in windows
+of the item's size that do: neither leaves out a match. Those windows get
+fingerprints. Item fingerprints are indexed in blocks of 16 bits: fingerprints
+at most ``radius`` bits apart have a block at most ``radius // 4`` bits apart,
+so the multi-index finds all within the radius. Its tables have a fixed size;
+items share their columns. Windows within the radius are verified by the exact
+weighted Jaccard similarity of their shingles (weights are multiplicities).
+
+At a weighted similarity of 0.8 a bit differs with probability 0.15, about 10 of
+64 with deviation 2.9; the default radius of 26 is over five deviations beyond
+that. Items of fewer than ``few`` shingles, whose fingerprints vary more, are
+verified at every distance.
+
+Items reach the tasks in slices of bounded size, one scan each; ``slice_bytes``
+of item text are some 50 000 items.
 
 Words are lower-cased (A-Z). Fewer words than a shingle: the whole sequence is
 one shingle. A document shorter than an item is compared as one window. Null
@@ -33,19 +38,32 @@ from weirflow.llm._shared import without
 from weirflow.llm._words import Words, chunks, gram_hashes, split, word_hashes
 
 BLOCKS, BLOCK_BITS = 4, 16
+#: Columns of a block table; item number modulo this is an item's column.
+COLUMNS = 512
 _FILTER = 1 << 22
 
 
+@dataclass
+class Grams:
+    """Shingles of one width, sorted, and the items that hold each (``first[g] : first[g + 1]`` of the lists)."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    counts: np.ndarray
+
+
 @dataclass
 class Index:
-    """One slice of items: shingles, fingerprints and the block tables."""
+    """One slice of items: texts, fingerprints, block tables, and shingles by width."""
 
     ids: list
+    texts: list[str]
     size: np.ndarray
-    shingles: list[Counter]
+    shingles: np.ndarray
     prints: np.ndarray
     tables: list[np.ndarray]
-    grams: dict[int, np.ndarray]  # by words a shingle: sorted hashes
+    grams: dict[int, Grams]
 
 
 def _shingles(words: list[bytes], n: int) -> Counter:
@@ -62,45 +80,50 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def build_index(items: list[tuple], n: int, radius: int) -> Index:
-    kept, size, shingles, prints, grams = [], [], [], [], {}
+    ids, texts, size, shingles, prints = [], [], [], [], []
+    rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    tables = [np.zeros((1 << BLOCK_BITS, COLUMNS // 64), np.uint64) for _ in range(BLOCKS)]
+    near = np.flatnonzero(np.bitwise_count(np.arange(1 << BLOCK_BITS, dtype=np.uint64)) <= radius // BLOCKS)
     for item_id, text in items:
         words = split(pa.array([text or ""]), lower=True)
         count = len(words.start)
         if not count:
             continue
-        width = min(n, count)
-        hashes, _ = gram_hashes(word_hashes(words), words.doc, width)
-        grams.setdefault(width, []).append(hashes)
-        prints.append(_prints(_bits(hashes).sum(axis=0, dtype=np.int64)[None], np.array([len(hashes)]))[0])
-        kept.append(item_id)
+        hashes, _ = gram_hashes(word_hashes(words), words.doc, min(n, count))
+        rows.setdefault(min(n, count), []).append((hashes, np.full(len(hashes), len(ids), np.int32)))
+        mark = _prints(_bits(hashes).sum(axis=0, dtype=np.int64)[None], np.array([len(hashes)]))[0]
+        for b, table in enumerate(tables):
+            block = int(mark >> np.uint64(BLOCK_BITS * b)) & ((1 << BLOCK_BITS) - 1)
+            table[near ^ block, len(ids) % COLUMNS // 64] |= np.uint64(1 << len(ids) % 64)
+        ids.append(item_id)
+        texts.append(text)
         size.append(count)
-        shingles.append(_shingles(_word_list(words, 0, count), n))
-    prints = np.array(prints, np.uint64)
-    values, lanes = np.arange(1 << BLOCK_BITS, dtype=np.uint64), -(-max(1, len(kept)) // 64)
-    tables = []
-    for b in range(BLOCKS):
-        table = np.zeros((1 << BLOCK_BITS, lanes), np.uint64)
-        for j, p in enumerate(prints):
-            block = (p >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)
-            near = np.bitwise_count(values ^ block) <= radius // BLOCKS
-            table[near, j // 64] |= np.uint64(1) << np.uint64(j % 64)
-        tables.append(table)
-    return Index(kept, np.array(size, np.int64), shingles, prints, tables, {w: np.unique(np.concatenate(g)) for w, g in grams.items()})
-
-
-def _word_list(words: Words, a: int, b: int) -> list[bytes]:
+        shingles.append(len(hashes))
+        prints.append(mark)
+    grams = {}
+    for width, parts in rows.items():
+        hashes, owner = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((owner, hashes))
+        hashes, owner = hashes[order], owner[order]
+        new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
+        counts = np.diff(np.append(new, len(hashes)))
+        hashes, owner = hashes[new], owner[new]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        grams[width] = Grams(hashes[first], np.append(first, len(hashes)), owner, counts)
+    return Index(ids, texts, np.array(size, np.int64), np.array(shingles, np.int64), np.array(prints, np.uint64), tables, grams)
+
+
+def _word_list(words: Words, a: int = 0, b: int | None = None) -> list[bytes]:
     return [words.data[s:e].tobytes() for s, e in zip(words.start[a:b], words.end[a:b])]
 
 
-def _hits(hashes: np.ndarray, doc: np.ndarray, index: Index, filters: dict[int, np.ndarray]) -> np.ndarray:
-    """Words at which a shingle of some item starts."""
-    found = [np.zeros(0, np.int64)]
-    for width, known in index.grams.items():
-        grams, at = gram_hashes(hashes, doc, width)
-        maybe = np.flatnonzero(filters[width][grams & np.uint64(_FILTER - 1)])
-        where = np.minimum(np.searchsorted(known, grams[maybe]), len(known) - 1)
-        found.append(at[maybe[known[where] == grams[maybe]]])
-    return np.unique(np.concatenate(found))
+def _hits(hashes: np.ndarray, doc: np.ndarray, grams: Grams, width: int, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which a shingle of some item starts, and which shingle."""
+    found, at = gram_hashes(hashes, doc, width)
+    maybe = np.flatnonzero(filter_[found & np.uint64(_FILTER - 1)])
+    where = np.minimum(np.searchsorted(grams.hashes, found[maybe]), len(grams.hashes) - 1)
+    hit = grams.hashes[where] == found[maybe]
+    return at[maybe[hit]], where[hit]
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -109,48 +132,98 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def _search(words: Words, hashes: np.ndarray, hits: np.ndarray, index: Index, n: int, radius: int, threshold: float) -> dict[tuple[int, int], tuple]:
-    """Best (similarity, first word, words) of each (text, item)."""
-    best: dict[tuple[int, int], tuple] = {}
-    per = words.per_doc()
-    first = np.cumsum(per) - per
-    for d in np.unique(words.doc[hits]):
-        a, m = int(first[d]), int(per[d])
-        mine = hits[(hits >= a) & (hits < a + m)] - a
-        for size in np.unique(index.size):
-            span, width = min(int(size), m), min(n, int(size))
-            if span < width or span < threshold * size:
-                continue
-            # starts of windows that hold at least one hit
-            low = np.maximum(mine - (span - width), 0)
-            high = np.minimum(mine, m - span)
-            ok = low <= high
-            if not ok.any():
-                continue
-            delta = np.zeros(m - span + 2, np.int64)
-            np.add.at(delta, low[ok], 1)
-            np.add.at(delta, high[ok] + 1, -1)
-            starts = np.flatnonzero(np.cumsum(delta)[:-1] > 0)
-            grams, _ = gram_hashes(hashes[a : a + m], np.zeros(m, np.int8), width)
-            prints = np.empty(len(starts), np.uint64)
+def _least_shared(span: int, item: np.ndarray | int, threshold: float) -> np.ndarray | int:
+    """Shingles that a window of ``span`` must share with an item of ``item`` to reach the threshold."""
+    return np.ceil(threshold * (span + item) / (1 + threshold) - 1e-9).astype(np.int64)
+
+
+def _wanted(gram: np.ndarray, grams: Grams, index: Index, words: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Items of which a text with these shingles (and so many words) may hold enough, with their shingles found and the counts of those."""
+    held, times = np.unique(gram, return_counts=True)
+    n = grams.first[held + 1] - grams.first[held]
+    at = np.repeat(grams.first[held], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    items, back = np.unique(grams.items[at], return_inverse=True)
+    shared = np.bincount(back, np.minimum(grams.counts[at], np.repeat(times, n)))
+    width = index.size[items] - index.shingles[items] + 1
+    span = np.minimum(index.size[items], words)
+    enough = (span >= width) & (shared >= _least_shared(span - width + 1, index.shingles[items], threshold))
+    order = np.argsort(back, kind="stable")
+    cuts = np.searchsorted(back[order], np.arange(len(items) + 1))
+    own, counts = np.repeat(held, n)[order], grams.counts[at][order]
+    for i in np.flatnonzero(enough).tolist():
+        yield int(items[i]), own[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]
+
+
+def _window_prints(grams: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """Fingerprints of the windows of ``count`` shingles that begin at ``starts`` (ascending)."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        to = int(np.searchsorted(starts, starts[k] + 4096, "right"))
+        part = starts[k:to]
+        base, end = int(part[0]), int(part[-1]) + count
+        sums = np.zeros((end - base + 1, 64), np.int32)
+        np.cumsum(_bits(np.ascontiguousarray(grams[base:end])), axis=0, out=sums[1:], dtype=np.int32)
+        out[k:to] = _prints(sums[part - base + count] - sums[part - base], np.full(len(part), count))
+        k = to
+    return out
+
+
+def _overlaps(places: np.ndarray, gram: np.ndarray, own: np.ndarray, counts: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """Shingles, with multiplicity, that each window shares with an item that holds ``own`` so many times."""
+    out = np.zeros(len(starts), np.int64)
+    order = np.argsort(gram, kind="stable")
+    gram, places = gram[order], places[order]
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    for a, b in zip(first, np.append(first[1:], len(gram))):
+        inside = np.searchsorted(places[a:b], starts + count) - np.searchsorted(places[a:b], starts)
+        out += np.minimum(inside, counts[np.searchsorted(own, gram[a])])
+    return out
+
+
+def _search(text: tuple, index: Index, n: int, radius: int, few: int, threshold: float) -> Iterator[tuple[int, float, int, int]]:
+    """(item, similarity, first word, words) of the best window of each item that one text holds.
+
+    ``text``: word hashes, a function from a range to its words, and by width the places and numbers of item shingles.
+    """
+    hashes, words_of, hits = text
+    m = len(hashes)
+    for width, (places, gram) in hits.items():
+        grams = index.grams[width]
+        windows: dict[int, dict[int, tuple]] = {}  # by item size
+        for j, own, counts in _wanted(gram, grams, index, m, threshold):
+            span = min(int(index.size[j]), m)
+            count = span - width + 1
+            held = np.isin(gram, own)
+            at, what = places[held], gram[held]
+            start = np.arange(max(0, int(at[0]) - count + 1), min(m - span, int(at[-1])) + 1)
+            start = start[np.searchsorted(at, start + count) - np.searchsorted(at, start) >= _least_shared(count, int(index.shingles[j]), threshold)]
+            if len(start):
+                windows.setdefault(span, {})[j] = (start, at, what, own, counts)
+        for span, items in windows.items():
             count = span - width + 1
-            for k in range(0, len(starts), 4096):
-                part = starts[k : k + 4096]
-                base, end = int(part[0]), int(part[-1]) + count
-                sums = np.zeros((end - base + 1, 64), np.int32)
-                np.cumsum(_bits(np.ascontiguousarray(grams[base:end])), axis=0, out=sums[1:], dtype=np.int32)
-                prints[k : k + 4096] = _prints(sums[part - base + count] - sums[part - base], np.full(len(part), count))
-            near = np.zeros((len(starts), index.tables[0].shape[1]), np.uint64)
-            for b, table in enumerate(index.tables):
-                near |= table[(prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)]
-            for j in np.flatnonzero(index.size == size):
-                listed = (near[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1) == 1
-                within = np.flatnonzero(listed & (np.bitwise_count(prints ^ index.prints[j]) <= radius))
-                for s in starts[within]:
-                    value = similarity(_shingles(_word_list(words, a + s, a + s + span), n), index.shingles[j])
-                    if value >= threshold and (-value, int(s)) < best.get((int(d), int(j)), ((2.0,),))[0]:
-                        best[int(d), int(j)] = ((-value, int(s)), span)
-    return best
+            starts = np.unique(np.concatenate([w[0] for w in items.values()]))
+            prints = _window_prints(gram_hashes(hashes, np.zeros(m, np.int8), width)[0], starts, count)
+            for j, (start, at, what, own, counts) in items.items():
+                marks = prints[np.searchsorted(starts, start)]
+                listed = np.zeros(len(start), bool)
+                for b, table in enumerate(index.tables):
+                    block = (marks >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)
+                    listed |= (table[block, j % COLUMNS // 64] >> np.uint64(j % 64)) & np.uint64(1) == 1
+                near = listed & (np.bitwise_count(marks ^ index.prints[j]) <= radius)
+                start = start if index.shingles[j] < few else start[near]
+                shared = _overlaps(at, what, own, counts, start, count)
+                value = shared / (count + int(index.shingles[j]) - shared)
+                good = np.flatnonzero(value >= threshold - 1e-12)
+                if not len(good):
+                    continue
+                best = int(start[good[np.lexsort((start[good], -value[good]))[0]]])
+                bag = _shingles(_word_list(split(pa.array([index.texts[j]]), lower=True)), n)
+                exact = similarity(_shingles(words_of(best, best + span), n), bag)
+                if abs(exact - value.max()) > 1e-9:  # two words with one hash
+                    exact, best = max((similarity(_shingles(words_of(s, s + span), n), bag), -s) for s in start.tolist())
+                    best = -best
+                if exact >= threshold:
+                    yield j, exact, best, span
 
 
 def contaminated(
@@ -158,9 +231,10 @@ def contaminated(
     benchmark: DataFrame,
     n: int = 5,
     threshold: float = 0.8,
-    radius: int = 22,
-    slice_items: int = 512,
-    slice_bytes: int = 8 << 20,
+    radius: int = 26,
+    few: int = 16,
+    slice_items: int = 1 << 16,
+    slice_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -185,25 +259,30 @@ def contaminated(
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index: Index = sent.value
             filters = {}
-            for width, known in index.grams.items():
+            for width, grams in index.grams.items():
                 filters[width] = np.zeros(_FILTER, bool)
-                filters[width][known & np.uint64(_FILTER - 1)] = True
+                filters[width][grams.hashes & np.uint64(_FILTER - 1)] = True
             for batch in batches:
                 for part in chunks(batch):
                     words = split(part.column("text"), lower=True)
-                    hashes = word_hashes(words)
-                    hits = _hits(hashes, words.doc, index, filters)
-                    if not len(hits):
-                        continue
-                    best = _search(words, hashes, hits, index, n, radius, threshold)
-                    rows = sorted(best)
+                    hashes, per = word_hashes(words), words.per_doc()
+                    first = np.cumsum(per) - per
+                    hits = {w: _hits(hashes, words.doc, g, w, filters[w]) for w, g in index.grams.items()}
+                    rows = []
+                    for d in np.unique(np.concatenate([np.zeros(0, np.int64), *(words.doc[at] for at, _ in hits.values())])).tolist():
+                        a, b = int(first[d]), int(first[d] + per[d])
+                        cuts = {w: np.searchsorted(at, [a, b]) for w, (at, _) in hits.items()}
+                        own = {w: (hits[w][0][x:y] - a, hits[w][1][x:y]) for w, (x, y) in cuts.items() if x < y}
+                        text = hashes[a:b], lambda s, e, a=a: _word_list(words, a + s, a + e), own
+                        rows += [(d, *found) for found in _search(text, index, n, radius, few, threshold)]
+                    rows.sort()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column("doc_id").take(pa.array([d for d, _ in rows], pa.int64())),
-                            pa.array([index.ids[j] for _, j in rows], item_type),
-                            pa.array([-best[r][0][0] for r in rows], pa.float64()),
-                            pa.array([best[r][0][1] for r in rows], pa.int64()),
-                            pa.array([best[r][1] for r in rows], pa.int64()),
+                            part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
+                            pa.array([index.ids[r[1]] for r in rows], item_type),
+                            pa.array([r[2] for r in rows], pa.float64()),
+                            pa.array([r[3] for r in rows], pa.int64()),
+                            pa.array([r[4] for r in rows], pa.int64()),
                         ],
                         ["doc_id", "item_id", "similarity", "start_word", "n_words"],
                     )
