@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,12 +152,39 @@ def test_label_model_weighs_accurate_voters_more():
     y = rng.random(40000) < 0.1
     votes = np.stack([np.where(y, rng.random(40000) < a, rng.random(40000) < b) for a, b in ((0.8, 0.001), (0.6, 0.001), (0.5, 0.01), (0.3, 0.1))], axis=1)
     votes = np.column_stack([votes, votes[:, 1]]).astype(float)  # the last says what the second says
-    weights, bias = toxicity.label_model(len(y), votes.T @ votes, 0.1)
+    m = toxicity.label_model(len(y), votes.T @ votes, 0.1)
+    weights, bias = m.weights, m.bias
     assert weights[0] > weights[2] > weights[3] > 0 and weights[4] < weights[0]
     posterior = 1 / (1 + np.exp(-(votes @ weights + bias)))
     assert np.mean((posterior > 0.5) == y) > 0.96
 
 
+def test_label_model_finds_planted_accuracies_and_correlations():
+    rng, n = np.random.default_rng(1), 200_000
+    y = rng.random(n) < 0.15
+    told = [(0.8, 0.01), (0.6, 0.02), (0.5, 0.05), (0.4, 0.002), (0.7, 0.1), (0.3, 0.02)]
+    votes = [np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in told]
+    votes.append(np.where(rng.random(n) < 0.7, votes[2], np.where(y, rng.random(n) < 0.5, rng.random(n) < 0.05)))  # mostly what the third says
+    votes += [np.zeros(n, bool), np.ones(n, bool), rng.random(n) < 0.2]  # say nothing
+    votes = np.stack(votes, axis=1).astype(float)
+    m = toxicity.label_model(n, votes.T @ votes, 0.15)
+    want = np.array([*told, told[2]])
+    assert np.allclose(m.if_toxic[:7], want[:, 0], atol=0.03) and np.allclose(m.if_clean[:7], want[:, 1], atol=0.01)
+    found = {(int(i), int(j)): float(m.correlation[i, j]) for i, j in zip(*np.nonzero(np.triu(m.correlation)))}
+    rest = votes[~y][:, [2, 6]]
+    assert found.keys() == {(2, 6)} and abs(found[2, 6] - 0.7 * np.corrcoef(rest.T)[0, 1]) < 0.25
+    assert np.abs(m.weights[7:]).max() < 0.1
+
+
+def test_shapes_and_lists_vote(spark):
+    texts = pa.array(["so SHOUTY", "ab", "!!", "soooo", "you you", "x! !", None, "aa AAA", "a\n" * 3])
+    words = toxicity._tokens(texts)
+    assert [f.tolist() for f in toxicity._shapes(texts, words)] == [[0], [2], [3, 7], [4, 8]]
+    docs, labels = labelled(spark)
+    m = toxicity.fit(docs, labels, F.lit(True))
+    assert set(m.voters) >= {-1, 0, 1} and m.votes.if_toxic[: toxicity.LEXICONS].max() > 0.2
+
+
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 

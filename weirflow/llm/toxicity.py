@@ -1,19 +1,23 @@
 """Toxicity score by weak supervision.
 
-Items are lower-cased words and word beginnings (of 4, 5 and 6 bytes). A small
-fixed list of insults and items whose rate among labelled toxic documents far
-exceeds that among clean ones form lexicon voters (words) and pattern voters
-(beginnings); items are dealt to voters by hash. Each voter votes "toxic" on a
-document that holds one of its items and abstains otherwise.
+Named voters look at each document. Lexicons: eight lists of insults, some
+fixed, most of them words whose rate among labelled toxic documents far exceeds
+that among clean ones. A word belongs to one list, and every list has words of
+all languages: lists of one language each would exclude one another, and the
+label model needs voters that are independent given the label. Patterns: word beginnings (of 4, 5 and 6 bytes) of the same kind, in two parts. Shape: runs of
+capitals, runs of exclamation marks, stretched letters, a word said twice in a
+row. Clean side: words and beginnings typical of clean documents; these vote
+"toxic" where a document has none of them. A voter votes 1 or 0.
 
 The label model is generative: y, then votes with P(vote|y=1) and P(vote|y=0).
 Its accuracies come from second moments of the votes over all documents:
 off-diagonal covariances of voters independent given y are a product u_i u_j.
-Pairs whose covariance departs most from it are taken as correlated, left out
-of the fit, and discounted in the posterior by their correlation. The posterior
+Pairs whose covariance exceeds it by a correlation of ``correlated`` or more are
+taken as dependent, left out of the fit, and discounted in the posterior by that
+correlation; fit and choice alternate until the choice stays. The posterior
 labels of a bounded sample train a sparse logistic regression over all selected
-items, which scores every document whole; its output is calibrated on the
-sample's gold labels.
+words and beginnings, which scores every document whole; its output is
+calibrated on the sample's gold labels.
 
 Null and empty texts hold no items and get the score of a text without any.
 Without labels of both kinds the score is the share of toxic labels (0 if
@@ -31,19 +35,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm._labels import labelled_sample
-from weirflow.llm._words import PUNCTUATION, Words, chunks, mix, split, word_hashes
+from weirflow.llm._words import PUNCTUATION, Words, chunks, mix, split, text_bytes, word_hashes
 from weirflow.llm.quality import fit_logistic
 
-# fixed values: insults that the first lexicon voter knows without any label
+# fixed values: insults that the lexicons know without any label
 INSULTS = (
     "idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile",
     "idiota", "estúpido", "imbécil", "basura", "dummkopf", "abschaum", "trottel", "crétin", "abruti", "ordure",
 )
 PREFIXES = (4, 5, 6)
+LEXICONS, PARTS = 8, 2
+SHAPES = ("capitals", "exclamation marks", "stretched letters", "word said twice")
+VOTERS = (*(f"words {i + 1}" for i in range(LEXICONS)), *(f"beginnings of {n}, part {i + 1}" for n in PREFIXES for i in range(PARTS)), "no clean words", "no clean beginnings", *SHAPES)
+_CLEAN = (VOTERS.index("no clean words"), VOTERS.index("no clean beginnings"))
 _FILTER = 1 << 20
 _KIND = np.array([0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87], np.uint64)
 
 
+@dataclass
+class Accuracies:
+    """What the label model estimates: P(vote|y) of each voter, correlations given y (zero: independent), and the posterior's weights."""
+
+    if_toxic: np.ndarray
+    if_clean: np.ndarray
+    correlation: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+
 @dataclass
 class Model:
     items: np.ndarray  # sorted hashes
@@ -51,8 +70,7 @@ class Model:
     weights: np.ndarray
     bias: float
     calibration: tuple[float, float]
-    vote_weights: np.ndarray
-    vote_bias: float
+    votes: Accuracies
 
 
 def item_hashes(words: Words) -> list[np.ndarray]:
@@ -82,6 +100,36 @@ def _known(words: Words, items: np.ndarray, filter_: np.ndarray) -> tuple[np.nda
     return pairs // max(1, len(items)), pairs % max(1, len(items))
 
 
+def _shapes(texts: pa.Array, words: Words) -> list[np.ndarray]:
+    """Numbers of the texts that each of ``SHAPES`` finds."""
+    data, off = text_bytes(texts)
+
+    def of(start: np.ndarray, length: int) -> np.ndarray:
+        doc = np.searchsorted(off, start, "right") - 1
+        return np.unique(doc[start + length <= off[doc + 1]])
+
+    def runs(hit: np.ndarray, length: int) -> np.ndarray:
+        for _ in range(length - 1):
+            hit = hit[:-1] & hit[1:]
+        return of(np.flatnonzero(hit), length)
+
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    same = (data[1:] == data[:-1]) & letter[1:]
+    hashes = word_hashes(words)
+    twice = np.flatnonzero((hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1]))
+    return [runs((data >= 65) & (data <= 90), 4), runs(data == 33, 2), of(np.flatnonzero(same[1:] & same[:-1]), 3), np.unique(words.doc[twice])]
+
+
+def _votes(texts: pa.Array, words: Words, doc: np.ndarray, item: np.ndarray, voters: np.ndarray) -> np.ndarray:
+    """One row a text, one column a voter, from the items that texts hold."""
+    out = np.zeros((len(texts), len(VOTERS)), np.int8)
+    out[doc[voters[item] >= 0], voters[item][voters[item] >= 0]] = 1
+    out[:, _CLEAN] = 1 - out[:, _CLEAN]
+    for i, found in enumerate(_shapes(texts, words)):
+        out[found, len(VOTERS) - len(SHAPES) + i] = 1
+    return out
+
+
 def _filter(items: np.ndarray) -> np.ndarray:
     out = np.zeros(_FILTER, bool)
     out[items & np.uint64(_FILTER - 1)] = True
@@ -89,14 +137,17 @@ def _filter(items: np.ndarray) -> np.ndarray:
 
 
 def item_counts(sample: DataFrame) -> DataFrame:
-    """``item, toxic, clean``: documents of either label that hold an item; counted per task before the shuffle."""
+    """``kind, item, toxic, clean``: documents of either label that hold an item; counted per task before the shuffle.
+
+    Kinds are words (0) and beginnings (from 1, as in ``PREFIXES``).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=2 << 20):
                 words = _tokens(part.column("text"))
                 y = part.column("y").to_numpy(zero_copy_only=False)
-                for hashes in item_hashes(words):
+                for kind, hashes in enumerate(item_hashes(words)):
                     order = np.lexsort((words.doc, hashes))
                     h, d = hashes[order], words.doc[order]
                     new = np.ones(len(h), bool)
@@ -105,27 +156,25 @@ def item_counts(sample: DataFrame) -> DataFrame:
                     items, first = np.unique(h, return_index=True)
                     toxic = np.add.reduceat(y[d].astype(np.int64), first) if len(h) else np.zeros(0, np.int64)
                     total = np.diff(np.append(first, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(toxic), pa.array(total - toxic)], ["item", "toxic", "clean"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), kind, np.int8)), pa.array(items.view(np.int64)), pa.array(toxic), pa.array(total - toxic)], ["kind", "item", "toxic", "clean"])
 
-    counted = sample.select("text", "y").mapInArrow(count, "item bigint, toxic bigint, clean bigint")
-    return counted.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.select("text", "y").mapInArrow(count, "kind tinyint, item bigint, toxic bigint, clean bigint")
+    return counted.groupBy("kind", "item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def vote_moments(docs: DataFrame, items: np.ndarray, voters: np.ndarray, m: int, text_col: str) -> tuple[int, np.ndarray]:
+def vote_moments(docs: DataFrame, items: np.ndarray, voters: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
     """Number of documents, and how many of them each pair of voters votes on together, over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast((items, voters))
+    sent, m = docs.sparkSession.sparkContext.broadcast((items, voters)), len(VOTERS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items_, voters_ = sent.value
         filter_, total, n = _filter(items_), np.zeros((m, m), np.int64), 0
         for batch in batches:
             for part in chunks(batch):
-                d, i = _known(_tokens(part.column("text")), items_, filter_)
-                d, v = d[voters_[i] >= 0], voters_[i][voters_[i] >= 0]
-                rows, at = np.unique(d, return_inverse=True)
-                votes = np.zeros((len(rows), m), np.int64)
-                votes[at, v] = 1
-                total, n = total + votes.T @ votes, n + part.num_rows
+                texts = part.column("text")
+                words = _tokens(texts)
+                votes = _votes(texts, words, *_known(words, items_, filter_), voters_).astype(np.float32)
+                total, n = total + np.rint(votes.T @ votes).astype(np.int64), n + part.num_rows
         i, j = np.indices((m, m))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i.ravel(), -1)), pa.array(np.append(j.ravel(), -1)), pa.array(np.append(total.ravel(), n))], ["i", "j", "n"])
 
@@ -152,31 +201,36 @@ def _triplets(cov: np.ndarray) -> np.ndarray:
     return u
 
 
-def label_model(n: int, together: np.ndarray, prior: float, correlated_share: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weight of each vote in the posterior's log odds, and the log odds without any vote."""
+def label_model(n: int, together: np.ndarray, prior: float, correlated: float = 0.25) -> Accuracies:
+    """Fit to the number of documents and the counts of joint votes."""
     m, n = len(together), max(1, n)
     mean = np.clip(np.diag(together) / n, 0.5 / n, 1 - 0.5 / n)
     cov = together / n - np.outer(mean, mean)
     spread = np.sqrt(mean * (1 - mean))
-    kept = ~np.eye(m, dtype=bool)
-    u = _triplets(cov)
-    residual = (cov - np.outer(u, u)) / np.outer(spread, spread)
-    upper = np.triu_indices(m, 1)
-    worst = np.argsort(-residual[upper])[: int(correlated_share * len(upper[0]))]
-    for i, j in zip(upper[0][worst], upper[1][worst]):
-        kept[i, j] = kept[j, i] = residual[i, j] <= 0
-    for _ in range(200):  # alternating least squares of cov ~ u u' over the kept pairs
-        u = np.maximum(1e-9, 0.5 * u + 0.5 * (np.where(kept, cov, 0) @ u) / np.maximum(1e-12, kept @ (u * u)))
+    apart = ~np.eye(m, dtype=bool)
+    tells = (spread > np.sqrt(2.0 / n)) if n > 4 else np.ones(m, bool)  # a voter that never or always votes says nothing
+    apart &= np.outer(tells, tells)
+    u, kept = np.where(tells, _triplets(np.where(np.outer(tells, tells), cov, 0)), 1e-9), None
+    for _ in range(10):
+        residual = (cov - np.outer(u, u)) / np.outer(spread, spread)
+        now = apart & (residual < correlated)
+        now[now.sum(axis=1) < 2] = apart[now.sum(axis=1) < 2]  # nothing left to tell it by
+        now &= now.T | (now.sum(axis=1) < 3)[:, None]
+        if kept is not None and np.array_equal(now, kept):
+            break
+        kept = now
+        for _ in range(200):  # alternating least squares of cov ~ u u' over the kept pairs
+            u = np.maximum(1e-9, 0.5 * u + 0.5 * (np.where(kept, cov, 0) @ u) / np.maximum(1e-12, kept @ (u * u)))
     residual = (cov - np.outer(u, u)) / np.outer(spread, spread)
     gap = u / np.sqrt(prior * (1 - prior))
-    if_clean = np.clip(mean - prior * gap, 0.5 / n, None)
-    if_toxic = np.clip(if_clean + gap, if_clean, 1 - 1e-6)
+    if_clean = np.clip(mean - prior * gap, 0.5 / n, 1 - 1e-6)
+    if_toxic = np.clip(if_clean + gap, if_clean, np.maximum(if_clean, 0.98))  # no voter is taken to see everything
     # votes that say the same thing share one weight
-    correlation = np.where(kept | np.eye(m, dtype=bool), 0, np.clip(residual, 0, 1))
-    discount = 1 / (1 + correlation.sum(axis=1))
+    correlation = np.where(apart & (residual >= correlated), np.clip(residual, 0, 1), 0)
+    discount = tells / (1 + correlation.sum(axis=1))
     on = np.log(if_toxic / if_clean)
     off = np.log((1 - if_toxic) / (1 - if_clean))
-    return discount * (on - off), float(np.log(prior / (1 - prior)) + (discount * off).sum())
+    return Accuracies(if_toxic, if_clean, correlation, discount * (on - off), float(np.log(prior / (1 - prior)) + (discount * off).sum()))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -203,8 +257,8 @@ def train_linear(rows: np.ndarray, items: np.ndarray, target: np.ndarray, weight
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 8000, max_items: int = 3000, lexicons: int = 12, patterns: int = 8,
-    least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 8000, max_items: int = 3000,
+    least: int = 4, correlated: float = 0.25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """Fit on at most ``per_class`` labelled rows of either kind; vote moments come from all documents."""
     counts = {r[0]: r[1] for r in labels.where(usable).groupBy(F.col(label_col).cast("int")).count().collect()}
@@ -212,7 +266,8 @@ def fit(
     if not positive or not negative:
         p = min(max(positive / max(1, positive + negative), 1e-6), 1 - 1e-6)
         none = np.zeros(0)
-        return Model(np.zeros(0, np.uint64), none.astype(int), none, float(np.log(p / (1 - p))), (0.0, 1.0), none, 0.0)
+        blind = Accuracies(none, none, none, np.zeros(len(VOTERS)), float(np.log(p / (1 - p))))
+        return Model(np.zeros(0, np.uint64), none.astype(int), none, float(np.log(p / (1 - p))), (0.0, 1.0), blind)
     prior = positive / (positive + negative)
     sample = labelled_sample(docs, labels, label_col, usable, per_class, id_col, text_col)
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -223,59 +278,71 @@ def fit(
     picked = scored.where((F.col("toxic") >= least) & (F.col("lift") > 1.5)).orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "item").limit(max_items * 2 // 3).collect()
     clean = scored.where(F.col("lift") < -1).orderBy(F.desc(strength), "item").limit(max_items // 3).collect()
     insults = item_hashes(_tokens(pa.array([" ".join(INSULTS)])))[0]
-    lifts = {int(np.int64(r.item).view(np.uint64)): r.lift for r in [*picked, *clean]}
-    items = np.unique(np.concatenate([np.array(list(lifts), np.uint64), insults]))
-
-    # lexicon and pattern voters from items that hardly occur in clean text
-    sure = np.array([lifts.get(int(i), 0.0) for i in items]) > 2.5
-    voters = np.where(sure, 1 + (mix(items) % np.uint64(lexicons + patterns)).astype(np.int64), -1)
-    voters[np.isin(items, insults)] = 0
-    m = 1 + lexicons + patterns
-    n, together = vote_moments(docs, items, voters, m, text_col)
-    vote_weights, vote_bias = label_model(n, together, prior)
-
-    rows, cols, y = [], [], []
-    for r in _held(sample, items).collect():
+    found = {int(np.int64(r.item).view(np.uint64)): (r.kind, r.lift, r.toxic) for r in [*picked, *clean]}
+    items = np.unique(np.concatenate([np.array(list(found), np.uint64), insults]))
+
+    # voters that say "toxic" hold items that hardly occur in clean text
+    kind, lifts, often = (np.array([found.get(int(i), (0, 0.0, 0))[x] for i in items]) for x in range(3))
+    voters = np.full(len(items), -1)
+    sure, words = lifts > 2.5, kind == 0
+    voters[lifts < 0] = np.where(words[lifts < 0], *_CLEAN)
+
+    def dealt(which: np.ndarray, parts: int) -> np.ndarray:
+        """The frequent ones first, one to each part in turn, so that parts are alike."""
+        out = np.empty(which.sum(), np.int64)
+        out[np.lexsort((items[which], -often[which]))] = np.arange(len(out)) % parts
+        return out
+
+    for k in range(1, len(PREFIXES) + 1):
+        voters[sure & (kind == k)] = LEXICONS + PARTS * (k - 1) + dealt(sure & (kind == k), PARTS)
+    listed = (sure & words) | np.isin(items, insults)
+    voters[listed] = dealt(listed, LEXICONS)
+    n, together = vote_moments(docs, items, voters, text_col)
+    model = label_model(n, together, prior, correlated)
+
+    rows, cols, y, posterior = [], [], [], []
+    for r in _held(sample, items, voters, model).collect():
         rows += [len(y)] * len(r.held)
         cols += r.held
         y.append(r.y)
-    rows, cols, y = np.array(rows, np.int64), np.array(cols, np.int64), np.array(y, np.float64)
-    votes = np.zeros((len(y), m))
-    votes[rows[voters[cols] >= 0], voters[cols][voters[cols] >= 0]] = 1
-    posterior = _sigmoid(votes @ vote_weights + vote_bias)
+        posterior.append(r.posterior)
+    rows, cols, y, posterior = np.array(rows, np.int64), np.array(cols, np.int64), np.array(y, np.float64), np.array(posterior)
     share = np.array([max(1e-9, np.mean(y == 0)), max(1e-9, np.mean(y == 1))])
     weight = np.array([1 - prior, prior])[y.astype(int)] / share[y.astype(int)]
     w, b = train_linear(rows, cols, posterior, weight, len(items))
     calibration = fit_logistic(np.clip(np.bincount(rows, w[cols], minlength=len(y)) + b, -30, 30), y, weight)
-    return Model(items, voters, w, b, calibration, vote_weights, vote_bias)
+    return Model(items, voters, w, b, calibration, model)
 
 
-def _held(docs: DataFrame, items: np.ndarray) -> DataFrame:
-    """``doc_id, y, held``: the numbers of the items that each text holds."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _held(docs: DataFrame, items: np.ndarray, voters: np.ndarray, model: Accuracies) -> DataFrame:
+    """``doc_id, y, posterior, held``: the label model's posterior and the numbers of the items that each text holds."""
+    sent = docs.sparkSession.sparkContext.broadcast((items, voters, model))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = _filter(sent.value)
+        items_, voters_, model_ = sent.value
+        filter_ = _filter(items_)
         for batch in batches:
             for part in chunks(batch):
-                d, i = _known(_tokens(part.column("text")), sent.value, filter_)
+                texts = part.column("text")
+                words = _tokens(texts)
+                d, i = _known(words, items_, filter_)
+                posterior = _sigmoid(_votes(texts, words, d, i, voters_) @ model_.weights + model_.bias)
                 offsets = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(i.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), held], ["doc_id", "y", "held"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(posterior), held], ["doc_id", "y", "posterior", "held"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc_id {kind}, y int, held array<int>").orderBy("doc_id", "y")
+    return docs.mapInArrow(scan, f"doc_id {kind}, y int, posterior double, held array<int>").orderBy("doc_id", "y")
 
 
-def _scores(texts: pa.Array, m: Model, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label model's posterior and calibrated score of each text."""
-    n = len(texts)
-    d, i = _known(_tokens(texts), m.items, filter_)
-    raw = np.bincount(d, m.weights[i], minlength=n) + m.bias
-    votes = np.unique(d[m.voters[i] >= 0] * 1024 + m.voters[i][m.voters[i] >= 0])
-    voted = np.bincount(votes // 1024, m.vote_weights[votes % 1024], minlength=n) + m.vote_bias
+def _scores(texts: pa.Array, m: Model, filter_: np.ndarray, posterior: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+    """Label model's posterior (if asked for) and calibrated score of each text."""
+    words = _tokens(texts)
+    d, i = _known(words, m.items, filter_)
+    raw = np.bincount(d, m.weights[i], minlength=len(texts)) + m.bias
+    voted = _sigmoid(_votes(texts, words, d, i, m.voters) @ m.votes.weights + m.votes.bias) if posterior else None
     a, b = m.calibration
-    return _sigmoid(voted), _sigmoid(a + b * np.clip(raw, -30, 30))
+    return voted, _sigmoid(a + b * np.clip(raw, -30, 30))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,7 +369,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
         filter_ = _filter(sent.value.items)
         for batch in batches:
             for part in chunks(batch, text_col):
-                value = _scores(part.column(part.schema.get_field_index(text_col)), sent.value, filter_)[1]
+                value = _scores(part.column(part.schema.get_field_index(text_col)), sent.value, filter_, posterior=False)[1]
                 yield part.filter(pa.array(value < threshold))
 
     return docs.mapInArrow(scan, docs.schema)
