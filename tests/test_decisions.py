@@ -1,13 +1,17 @@
+import random
 from decimal import Decimal
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import CHAIN, at, graph, named, seeds
 from weirflow.functions.columns import as_list, benchmark_efficiency, compact_rupees, is_stale, iso, recovery_efficiency, rupees, stage_badge, trade_off
-from weirflow.operators import chokepoint, forecast, pareto, risk, scan
-from weirflow.operators.features import account_features, next_hop_features
+from weirflow.operators import chokepoint, forecast, pareto, risk, scan, traverse
+from weirflow.operators.features import account_features, heuristic_next_hops, next_hop_features, predicted_next_hops
+from weirflow.operators.traverse import upstream
 from weirflow.plans.investigate import Request, investigate
+from weirflow.sources import synthetic
 
 
 def cut(spark, rows, collateral, sources, sinks, minutes=None):
@@ -31,6 +35,71 @@ def test_cuts(spark):
     assert cut(spark, [("e1", "A", "B", 0), ("e2", "B", "C", 0)], {}, ["A"], ["C"])[0] == "no_path_exists"
 
 
+def test_cut_reports(spark):
+    rows = [("ab", "A", "B", 0), ("ac", "A", "C", 0), ("bd", "B", "D", 1), ("cd", "C", "D", 2), ("bc", "B", "C", 1), ("back", "D", "A", 9), ("ba", "B", "A", 3)]
+    g = graph(spark, *rows).unionByName(graph(spark, ("x", "A", "B", 0), case="bad")).unionByName(graph(spark, ("y", "A", "B", 0), case="none"))
+    costs = spark.createDataFrame([("c", "bd", 5), ("c", "cd", 7)], "case_id string, event_id string, collateral bigint")
+    every = lambda *a: named(spark, *a).unionByName(named(spark, *a, case="bad")).unionByName(named(spark, *a, case="none"))
+    sinks = named(spark, "D").unionByName(named(spark, "A", " ", case="bad")).unionByName(named(spark, "Z", case="none"))
+    report, edges = chokepoint.reports(g, g, costs, every("A"), sinks)
+    got = {r.case_id: r for r in report.collect()}
+    r = got["c"]
+    assert (r.status, r.cut_size, r.collateral, r.verified, r.initial_paths, r.residual_paths, r.events, r.eligible) == ("optimal_cut_found", 2, 0, True, 3, 0, 7, 7)
+    assert [e.event_id for e in r.per_edge] == [x.event_id for x in edges.where("case_id = 'c'").orderBy("position").collect()] and r.summary.startswith("A least cut of 2 edge(s) parts 1 source(s)")
+    assert (got["bad"].status, got["bad"].verified, got["none"].status, got["none"].verified, got["none"].initial_paths) == ("invalid_input", False, "no_path_exists", True, 0)
+    small = chokepoint.reports(g, g, costs, every("A"), sinks, chokepoint.Budgets(arcs=10, paths=1))[0].where("case_id = 'c'").first()
+    assert small.status == "budget_exceeded" and not small.verified and small.arcs > 10
+    capped = chokepoint.reports(g, g, costs, every("A"), sinks, chokepoint.Budgets(paths=2))[0].where("case_id = 'c'").first()
+    assert capped.initial_paths == 2 and capped.verified
+    with pytest.raises(ValueError):
+        chokepoint.Budgets(paths=0)
+
+
+def test_counted_paths_equal_all_paths():
+    rng = random.Random(3)
+    for _ in range(60):
+        events = [(rng.randint(0, 8), rng.randint(0, 5), rng.randint(0, 5)) for _ in range(rng.randint(0, 14))]
+        sources, sinks = {0, 1}, {4, 5}
+
+        def walk(at, time, seen, depth):
+            for t, s, r in events:
+                if s == at and (time is None or t > time) and r not in seen:
+                    yield 1 if r in sinks else 0
+                    if r not in sinks and depth < 9:
+                        yield from walk(r, t, seen | {r}, depth + 1)
+
+        want = sum(sum(walk(s, None, {s}, 0)) for s in sources)
+        assert chokepoint.count_paths(events, sources, sinks, 10_000) == want
+        assert chokepoint.count_paths(events, sources, sinks, 2) == min(want, 2)
+
+
+def test_cut_cost_equals_the_least_of_all_cuts(spark):
+    rng, cases, g, costs = random.Random(5), {}, None, []
+    for case in "pqrstu":
+        rows = [(f"{case}{i}", *rng.sample("ABCDE", 2), rng.randint(0, 9)) for i in range(13)]
+        cases[case] = rows, {r[0]: rng.randint(0, 4) for r in rows}
+        g = graph(spark, *rows, case=case) if g is None else g.unionByName(graph(spark, *rows, case=case))
+        costs += [(case, e, v) for e, v in cases[case][1].items()]
+    side = lambda a: spark.createDataFrame([(c, a) for c in cases], "case_id string, account string")
+    rows_ = chokepoint.chokepoints(g, g, spark.createDataFrame(costs, "case_id string, event_id string, collateral bigint"), side("A"), side("E")).collect()
+    cut_at_all = 0
+    for case, (rows, collateral) in cases.items():
+        price = {e: v * (len(rows) + 1) + 1 for e, v in collateral.items()}
+
+        def open_(gone, rows=rows):
+            reached = {"A": -1}
+            for _, s, r, t in sorted((x for x in rows if x[0] not in gone), key=lambda x: x[3]):
+                if s == "A" or reached.get(s, 99) < t:
+                    reached[r] = min(t, reached.get(r, 99))
+            return "E" in reached
+
+        best = min(sum(price[e] for e in gone) for n in range(6) for gone in combinations(price, n) if not open_(set(gone)))
+        mine = [r for r in rows_ if r.case_id == case]
+        assert (mine[0].status, int(mine[0].cost)) == ("optimal_cut_found" if best else "no_path_exists", best) and not open_({r.event_id for r in mine})
+        cut_at_all += best > 0
+    assert cut_at_all >= 3
+
+
 def test_network_size_and_terminals(spark):
     g = graph(spark, *[(f"e{i:02d}", f"a{i:02d}", f"a{i + 1:02d}", i) for i in range(50)])
     costs = chokepoint.encoded_costs(g, g, g.select("case_id", "event_id", F.lit(0).alias("collateral")))
@@ -56,6 +125,14 @@ def test_frontier_and_selection(spark):
     assert [r.intervention_id for r in tie.where("selected").collect()] == ["a"]
 
 
+def test_comparisons_of_a_case(spark):
+    rows = evaluations(spark, ("a", 100, 20, 1, 1, 1.0), ("b", 90, 40, 1, 1, 1.0), ("d", 95, 500, 1, 1, 1.0))
+    told = pareto.comparisons(pareto.explained(rows, pareto.Limits(maximum_legitimate_capital_affected=100))).first()
+    assert (told.intervention_id, told.intercepted, [o.intervention_id for o in told.others]) == ("a", 100, ["b", "d"]) and "infeasible" in told.others[1].reason
+    none = pareto.comparisons(pareto.explained(rows, pareto.Limits(maximum_affected_edges=0))).first()
+    assert none.intervention_id is None and len(none.others) == 3 and none.verdict.startswith("no feasible")
+
+
 def test_limits(spark):
     limits = pareto.Limits(100, 10, 1, 1, 1, 0.9)
     row = pareto.judged(evaluations(spark, ("x", 1, 11, 2, 2, 0.8)), limits).first()
@@ -95,6 +172,41 @@ def test_account_features(spark):
     assert (pair.candidate, pair.past_transfers_count, pair.past_transfer_volume, pair.candidate_in_degree) == ("C", 1, 250_000, 1)
 
 
+def test_next_hops_without_all_pairs_equal_those_with(spark):
+    rng = random.Random(1)
+    rows = [(f"e{i}", *(f"a{rng.randint(0, 14):02d}" for _ in range(2)), i) for i in range(40)]
+    g = graph(spark, *rows).unionByName(graph(spark, *rows[:9], case="d"))
+    times = at(spark, 30).unionByName(at(spark, 30, case="d"))
+    banks = spark.createDataFrame([(f"a{i:02d}", f"b{i % 3}" if i % 5 else None) for i in range(16)], "account string, institution string")
+    known = g.join(times, "case_id").where("occurred_at <= as_of").drop("as_of")
+    for institutions in (banks, None):
+        whole = heuristic_next_hops(next_hop_features(g, times, None, institutions), upstream(known, scan.accounts(known)), 4)
+        got = predicted_next_hops(g, times, institutions, 4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+        some = named(spark, "a03", "a07", "a15")
+        part = predicted_next_hops(g, times, institutions, 4, some).collect()
+        assert sorted(map(tuple, part)) == sorted(tuple(r) for r in whole.collect() if r.case_id == "c" and r.source in ("a03", "a07")) + sorted(tuple(r) for r in part if r.source == "a15")
+
+
+def test_fitted_next_hops(spark):
+    world = synthetic.synthetic_world(spark, worlds=3)
+    labels = world.where("mark = 'fraud'").select("case_id", "sender", "receiver")
+    banks = world.select(F.col("sender").alias("account"), F.col("sender_inst").alias("institution")).union(world.select("receiver", "receiver_inst")).distinct()
+    moments = risk.next_hop_moments(world, labels)
+    rows = traverse.cut_lineage(risk.next_hop_rows(world, moments, banks))
+    accounts = scan.accounts(world).groupBy("case_id").count().withColumnRenamed("count", "n")
+    per = rows.groupBy("case_id", "source").agg(F.count("*").alias("rows"), F.sum("label").alias("hits")).join(accounts, "case_id").join(moments, ["case_id", "source"]).collect()
+    assert len(per) == moments.count() and all(r["rows"] == r.n - 1 and r.hits == len(set(r.targets) - {r.source}) for r in per)
+    model = risk.next_hop_model()
+    model.rounds = 3
+    best = risk.fitted_next_hops(rows.drop("label"), model.fit(rows), top_k=3)
+    metrics = risk.next_hop_metrics(best, rows.where("label = 1")).first()
+    assert metrics.top_3 > 0.4 and best.where("rank > 3").isEmpty() and best.first().signals.past_transfers_count >= 0
+    times = {r.case_id: r.as_of for r in risk.observation_times(world).collect()}
+    benign = world.where("family = 'benign_high_volume_merchant'").groupBy("case_id").agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).collect()
+    assert all(abs((times[r.case_id] - r.a) / (r.b - r.a) - 0.85) < 1e-6 for r in benign)
+
+
 def test_beam_keeps_the_best_paths(spark):
     hops = spark.createDataFrame([("c", "m1", f"m{i + 2}", i + 1, p) for i, p in enumerate((0.5, 0.3, 0.15, 0.05))], "case_id string, source string, candidate string, rank int, probability double")
     start = spark.createDataFrame([("c", "m1", 1000)], "case_id string, account string, amount bigint")

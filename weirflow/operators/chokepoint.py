@@ -7,6 +7,7 @@ two ends; ``v:account:micros`` for an account at one of its times.
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,12 +15,26 @@ from pyspark.sql import functions as F
 
 from weirflow.operators.features import micros
 from weirflow.operators.scan import active
+from weirflow.operators.traverse import cut_lineage
 
-# fixed values: default budgets of a search
-MAX_EVENTS, MAX_VERTICES, MAX_ARCS = 10_000, 50_000, 100_000
 WIDE = "decimal(38,0)"
 
 
+@dataclass(frozen=True)
+class Budgets:
+    """What a search may take: sizes of one case's network, and paths that are counted."""
+
+    # fixed values: defaults
+    events: int = 10_000
+    vertices: int = 50_000
+    arcs: int = 100_000
+    paths: int = 1_000
+
+    def __post_init__(self) -> None:
+        if min(self.events, self.vertices, self.arcs, self.paths) < 1:
+            raise ValueError("budgets must be positive")
+
+
 def check_terminals(sources: DataFrame, sinks: DataFrame) -> None:
     """Both sides must have accounts, and none in common."""
     clean = lambda d: d.where(F.trim(F.col("account").cast("string")) != "").select("case_id", F.trim(F.col("account").cast("string")).alias("account")).distinct()
@@ -78,11 +93,11 @@ def network_arcs(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks:
     return out
 
 
-def budgets(arcs: DataFrame) -> DataFrame:
+def budgets(arcs: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
     """``case_id, events, vertices, arcs, exceeded``: sizes of each case's network against the limits."""
     ends = arcs.select("case_id", F.explode(F.array("from_node", "to_node")).alias("n")).groupBy("case_id").agg(F.count_distinct("n").alias("vertices"))
     sizes = arcs.groupBy("case_id").agg(F.count_if(F.col("kind") == "event").alias("events"), F.count("*").alias("arcs")).join(ends, "case_id")
-    return sizes.withColumn("exceeded", (F.col("events") > MAX_EVENTS) | (F.col("vertices") > MAX_VERTICES) | (F.col("arcs") > MAX_ARCS))
+    return sizes.withColumn("exceeded", (F.col("events") > limits.events) | (F.col("vertices") > limits.vertices) | (F.col("arcs") > limits.arcs))
 
 
 class FlowGraph:
@@ -143,14 +158,15 @@ class FlowGraph:
         return total
 
 
-def min_cut(arcs: DataFrame) -> DataFrame:
+def min_cut(arcs: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
     """``case_id, status, cost, residual_path, event_id``: one row per cut edge, or one with a null event.
 
     The cut nearest the sources, which every maximum flow gives alike. Networks
     beyond the budgets get status ``budget_exceeded`` and are not gathered.
     """
     event = dict(arcs.dtypes)["event_id"]
-    sizes = budgets(arcs)
+    arcs = cut_lineage(arcs)
+    sizes = budgets(arcs, limits)
     fits = arcs.join(sizes.where("NOT exceeded").select("case_id"), "case_id", "left_semi")
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -160,16 +176,16 @@ def min_cut(arcs: DataFrame) -> DataFrame:
         infinite = int(sum(c for c, k in zip(rows["capacity"], rows["cuttable"]) if k)) + 1
         for a, b, c in zip(rows["from_node"], rows["to_node"], rows["capacity"]):
             graph.arc(names[a], names[b], int(c))
-        #ids = [graph.arc(names[a], names[b], int(c)) for a, b, c in zip(rows["from_node"], rows["to_node"], rows["capacity"])]
         flow = graph.max_flow(names["S"], names["T"])
         status = "no_path_exists" if not flow else "no_feasible_cut" if flow >= infinite else "optimal_cut_found"
         cut = []
         if status == "optimal_cut_found":
             level = graph.levels(names["S"])
             cut = [e for e, k, a, b in zip(rows["event_id"], rows["cuttable"], rows["from_node"], rows["to_node"]) if k and level[names[a]] >= 0 > level[names[b]]]
+            gone = set(cut)
             left = FlowGraph(len(names))  # without the cut edges, is the sink still reached?
             for e, k, a, b, c in zip(rows["event_id"], rows["cuttable"], rows["from_node"], rows["to_node"], rows["capacity"]):
-                if not (k and e in set(cut)):
+                if not (k and e in gone):
                     left.arc(names[a], names[b], int(c))
             open_ = left.levels(names["S"])[names["T"]] >= 0
         else:
@@ -185,16 +201,108 @@ def min_cut(arcs: DataFrame) -> DataFrame:
     return found.unionByName(over)
 
 
-def chokepoints(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+def chokepoints(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
     """The least-collateral cut of each case with its edges' details, in time order within the case."""
     costs = encoded_costs(active(events), eligible, collateral)
-    cut = min_cut(network_arcs(events, costs, sources, sinks))
+    return _detailed(events, costs, min_cut(network_arcs(events, costs, sources, sinks), limits))
+
+
+def _detailed(events: DataFrame, costs: DataFrame, cut: DataFrame) -> DataFrame:
     detail = events.select("case_id", "event_id", "transaction_id", "sender", "receiver", "amount_minor_units", "occurred_at")
     out = cut.join(detail, ["case_id", "event_id"], "left").join(costs.withColumnRenamed("cost", "edge_cost"), ["case_id", "event_id"], "left")
     order = Window.partitionBy("case_id").orderBy("occurred_at", "event_id")
     return out.withColumn("position", F.when(F.col("event_id").isNotNull(), F.row_number().over(order)))
 
 
+def count_paths(events: list[tuple], sources: set, sinks: set, most: int, depth: int = 10) -> int:
+    """Paths of strictly later events without a repeated account from sources to sinks, up to ``most``.
+
+    ``events``: (time, sender, receiver). Only events from which a sink can still be reached are followed.
+    """
+    last: dict = {}  # latest useful departure of each account
+    leaving: dict = {}
+    at = len(events)
+    events = sorted(events, key=lambda e: e[0])
+    while at:
+        first = at - 1
+        while first and events[first - 1][0] == events[at - 1][0]:
+            first -= 1
+        useful = [e for e in events[first:at] if e[2] in sinks or last.get(e[2], e[0]) > e[0]]
+        for e in useful:
+            last.setdefault(e[1], e[0])
+            leaving.setdefault(e[1], []).append(e)
+        at = first
+    found = 0
+    for source in sources:
+        steps = [iter(leaving.get(source, ()))]
+        path = [(None, source)]
+        while steps and found < most:
+            e = next(steps[-1], None)
+            if e is None:
+                steps.pop()
+                path.pop()
+                continue
+            if (path[-1][0] is not None and e[0] <= path[-1][0]) or any(e[2] == a for _, a in path):
+                continue
+            if e[2] in sinks:
+                found += 1
+            elif len(steps) < depth:
+                steps.append(iter(leaving.get(e[2], ())))
+                path.append((e[0], e[2]))
+    return found
+
+
+def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets = Budgets()) -> tuple[DataFrame, DataFrame]:
+    """One row per case of a search, and the edges of its cuts (as ``chokepoints`` gives them).
+
+    Status, cost, size and collateral of the cut; whether it is verified: no
+    residual flow in the network, and no path left in the graph without its
+    edges. Paths before and after (counted up to the budget), sizes of the
+    network, and sentences. Terminals that are missing or on both sides make a
+    case ``invalid_input``.
+    """
+    moves = active(events)
+    clean = lambda d: d.where(F.trim(F.col("account").cast("string")) != "").groupBy("case_id").agg(F.collect_set("account").alias("accounts"))
+    sides = moves.select("case_id").distinct().join(clean(sources).withColumnRenamed("accounts", "sources"), "case_id", "left").join(clean(sinks).withColumnRenamed("accounts", "sinks"), "case_id", "left")
+    invalid = F.col("sources").isNull() | F.col("sinks").isNull() | F.coalesce(F.arrays_overlap("sources", "sinks"), F.lit(False))
+    sides = cut_lineage(sides.withColumn("invalid", invalid))
+    asked = sides.where("NOT invalid")
+    side = lambda c: asked.select("case_id", F.explode(c).alias("account"))
+    costs = cut_lineage(encoded_costs(moves, eligible, collateral))
+    arcs = cut_lineage(network_arcs(moves.join(asked.select("case_id"), "case_id", "left_semi"), costs, side("sources"), side("sinks")))
+    cut = cut_lineage(min_cut(arcs, limits))
+    edges = _detailed(events, costs, cut)
+    totals = edges.groupBy("case_id").agg(
+        F.first("status").alias("status"), F.first("cost").alias("cost"), F.first("residual_path").alias("residual_path"), F.count("event_id").alias("cut_size"), F.coalesce(F.sum("collateral"), F.lit(0)).alias("collateral"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("event_id").isNotNull(), F.struct("position", "event_id", "collateral")))), lambda x: F.struct(x["event_id"].alias("event_id"), x["collateral"].alias("collateral"))).alias("per_edge"),
+    )
+    solved = totals.where("status = 'optimal_cut_found'").join(asked, "case_id").select("case_id", "sources", "sinks", F.col("per_edge.event_id").alias("cut"))
+    rows = moves.join(solved.select("case_id"), "case_id", "left_semi").select("case_id", "event_id", "sender", "receiver", micros("occurred_at").alias("t"))
+
+    def verify(key: tuple, moves_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
+        counts = []
+        for one in asked_.itertuples():
+            gone = set(one.cut)
+            every = list(zip(moves_["event_id"], moves_["t"], moves_["sender"], moves_["receiver"]))
+            before, after = ([e[1:] for e in every if keep or e[0] not in gone] for keep in (True, False))
+            counts.append((key[0], *(count_paths(e, set(one.sources), set(one.sinks), limits.paths) for e in (before, after))))
+        return pd.DataFrame(counts, columns=["case_id", "initial_paths", "residual_paths"])
+
+    paths = rows.groupBy("case_id").cogroup(solved.groupBy("case_id")).applyInPandas(verify, "case_id string, initial_paths bigint, residual_paths bigint")
+    out = sides.join(totals, "case_id", "left").join(paths, "case_id", "left").join(budgets(arcs, limits).drop("exceeded"), "case_id", "left").join(costs.groupBy("case_id").agg(F.count("*").alias("eligible")), "case_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    optimal = F.col("status") == "optimal_cut_found"
+    out = out.withColumn("status", F.when(F.col("invalid"), "invalid_input").otherwise(F.coalesce("status", F.lit("no_path_exists"))))
+    verified = (F.col("status") == "no_path_exists") | (optimal & ~F.col("residual_path") & (F.col("residual_paths") == 0))
+    summary = F.when(
+        optimal, F.format_string("A least cut of %d edge(s) parts %d source(s) from %d sink(s) at an estimated collateral of %d minor units.", zero("cut_size"), F.size("sources"), F.size("sinks"), zero("collateral"))
+    ).otherwise(F.concat(F.lit("The search ended with status "), F.col("status"), F.lit(".")))
+    return out.select(
+        "case_id", "status", "cost", zero("cut_size"), zero("collateral"), F.coalesce(verified, F.lit(False)).alias("verified"), zero("initial_paths"), zero("residual_paths"),
+        zero("events"), zero("vertices"), zero("arcs"), zero("eligible"), F.coalesce("per_edge", F.array().cast(dict(totals.dtypes)["per_edge"])).alias("per_edge"), summary.alias("summary"),
+    ), edges
+
+
 def cut_candidates(cut: DataFrame, account_type: str = "bigint") -> DataFrame:
     """Edge holds for the edges of a cut."""
     return cut.where("event_id IS NOT NULL").select("case_id", F.lit("edge_hold").alias("kind"), F.lit(None).cast(account_type).alias("target_account"), F.col("event_id").alias("target_event")).distinct()

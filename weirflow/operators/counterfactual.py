@@ -53,17 +53,21 @@ def blocked_events(transfers: DataFrame, candidates_: DataFrame, times: DataFram
     return by_account.select(keys).unionByName(by_edge.select(keys))
 
 
-def replayed_balances(transfers: DataFrame, seeds: DataFrame, blocked: DataFrame, times: DataFrame) -> DataFrame:
+def replayed_balances(transfers: DataFrame, seeds: DataFrame, allocated: DataFrame, blocked: DataFrame, times: DataFrame) -> DataFrame:
     """``case_id, intervention_id, account, source_id, amount``: tainted balances of each world with its events blocked.
 
-    History up to the time is the same in every world, so a task folds it once
-    and replays only what follows, for ``PER_TASK`` candidates of a case.
+    History up to the time is the same in every world: its balances come from
+    the allocations, and a task replays only what follows, for ``PER_TASK``
+    candidates of a case.
     """
     moves = active(transfers).select("case_id", "event_id", "transaction_id", "ingest_seq", "sender", "receiver", "amount_minor_units", "occurred_at")
-    moves = moves.join(times.select("case_id", "as_of"), "case_id").join(seeds.groupBy("case_id", "transaction_id").agg(F.collect_list(F.struct("source_id", "tainted_amount")).alias("marks")), ["case_id", "transaction_id"], "left")
+    later = moves.join(times.select("case_id", "as_of"), "case_id").where("occurred_at > as_of")
+    later = later.join(seeds.groupBy("case_id", "transaction_id").agg(F.collect_list(F.struct("source_id", "tainted_amount")).alias("marks")), ["case_id", "transaction_id"], "left")
     sets = blocked.groupBy("case_id", "intervention_id").agg(F.collect_list("event_id").alias("events"))
     order = Window.partitionBy("case_id").orderBy("intervention_id")
     sets = sets.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / PER_TASK).cast("int"))
+    past = allocated.join(times.select("case_id", "as_of"), "case_id").where("occurred_at <= as_of")
+    state = source_balances(past).groupBy("case_id").agg(F.collect_list(F.struct("account", "source_id", "amount")).alias("state"))
     chunks = sets.select("case_id", "chunk").distinct()
     account = dict(transfers.dtypes)["receiver"]
 
@@ -71,19 +75,23 @@ def replayed_balances(transfers: DataFrame, seeds: DataFrame, blocked: DataFrame
         events = events.sort_values(["occurred_at", "ingest_seq"], kind="stable")
         seeded = {tx: {m["source_id"]: int(m["tainted_amount"]) for m in marks} for tx, marks in zip(events["transaction_id"], events["marks"]) if marks is not None}
         rows = list(zip(events["event_id"], events["transaction_id"], events["sender"], events["receiver"], (int(a) for a in events["amount_minor_units"])))
-        known = int((events["occurred_at"] <= events["as_of"]).sum())
-        at_time = Ledger()
-        replay(at_time, rows[:known], seeded)
-        out = []
+        held: dict = {}
+        for state_ in worlds["state"]:
+            for entry in state_ if state_ is not None else ():
+                held.setdefault(entry["account"], {CLEAN: 0})[entry["source_id"]] = int(entry["amount"])
+        at_time, out = Ledger(held), []
         for name, stopped in zip(worlds["intervention_id"], worlds["events"]):
+            if name is None:  # the row that brings the state
+                continue
             world = at_time.copy()
-            replay(world, rows[known:], seeded, set(stopped))
+            replay(world, rows, seeded, set(stopped))
             out += [(key[0], name, a, s, v) for a, pool in world.balances.items() for s, v in pool.items() if s != CLEAN and v > 0]
         return pd.DataFrame(out, columns=["case_id", "intervention_id", "account", "source_id", "amount"])
 
-    spread = moves.join(chunks, "case_id")
-    apart = sets.select(*(F.col(c).alias(c) for c in sets.columns))
-    return spread.groupBy("case_id", "chunk").cogroup(apart.groupBy("case_id", "chunk")).applyInPandas(
+    spread = later.join(chunks, "case_id")
+    with_state = sets.select("case_id", "chunk", "intervention_id", "events").unionByName(chunks.join(state, "case_id").select("case_id", "chunk", "state"), allowMissingColumns=True)
+    with_state = with_state.select(*(F.col(c).alias(c) for c in with_state.columns))
+    return spread.groupBy("case_id", "chunk").cogroup(with_state.groupBy("case_id", "chunk")).applyInPandas(
         run, f"case_id string, intervention_id string, account {account}, source_id string, amount bigint"
     )
 
@@ -95,7 +103,7 @@ def outcomes(transfers: DataFrame, seeds: DataFrame, allocated: DataFrame, candi
     baseline; a candidate that blocks nothing leaves the baseline as it is.
     """
     stopped = blocked_events(transfers, candidates_, times)
-    after = replayed_balances(transfers, seeds, stopped, times)
+    after = replayed_balances(transfers, seeds, allocated, stopped, times)
     base = source_balances(allocated).where(F.col("source_id") != CLEAN).withColumnRenamed("amount", "base")
     worlds = stopped.select("case_id", "intervention_id").distinct()
     both = base.join(worlds, "case_id").join(after, ["case_id", "intervention_id", "account", "source_id"], "full_outer")
@@ -123,7 +131,7 @@ def outcomes(transfers: DataFrame, seeds: DataFrame, allocated: DataFrame, candi
 def source_details(transfers: DataFrame, seeds: DataFrame, allocated: DataFrame, candidates_: DataFrame, times: DataFrame) -> DataFrame:
     """Intercepted and residual taint by candidate and source."""
     stopped = blocked_events(transfers, candidates_, times)
-    after = replayed_balances(transfers, seeds, stopped, times)
+    after = replayed_balances(transfers, seeds, allocated, stopped, times)
     base = source_balances(allocated).where(F.col("source_id") != CLEAN).withColumnRenamed("amount", "base")
     both = base.join(candidates_.select("case_id", "intervention_id"), "case_id")
     idle = candidates_.select("case_id", "intervention_id").join(stopped, ["case_id", "intervention_id"], "left_anti")

@@ -150,9 +150,38 @@ def findings(chosen: DataFrame) -> DataFrame:
     return p.select("case_id", F.array_sort(F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules)))).alias("findings"))
 
 
-def forecast_comparison(observed: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Observed-future and forecast-aware choices side by side, per case, with a note."""
-    o = observed.select("case_id", F.col("intervention_id").alias("observed_id"), F.col("intercepted").alias("observed_recovery"), F.col("legitimate").alias("observed_collateral"))
-    f = forecast.select("case_id", F.col("intervention_id").alias("forecast_id"), "expected_intercepted", "worst_intercepted", "worst_legitimate", "effective_probability")
-    note = F.when(F.col("forecast_id").isNull(), "no forecast").when(F.col("observed_id").isNull(), "forecast only").when(F.col("observed_id") == F.col("forecast_id"), "same choice").otherwise("different choice")
-    return o.join(f, "case_id", "full_outer").withColumn("note", note)
+# fixed values: strategy names of the forecast benchmark
+OBSERVED, FORECAST = "observed_future", "forecast_aware"
+
+
+def forecast_comparison(observed: DataFrame, forecast: DataFrame, realized: DataFrame, cases: DataFrame) -> DataFrame:
+    """Choices with the observed future at hand and by forecast only: a row per case and strategy, with notes.
+
+    ``observed``: the chosen outcome of each case; ``forecast``: the chosen
+    forecast-aware row; ``realized``: outcomes of holds (``case_id,
+    intervention_id``) in the observed future; ``cases``: all that count.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    one = cases.select("case_id").join(observed.select("case_id", F.col("intervention_id").alias("o"), F.col("intercepted").alias("oi"), F.col("legitimate").alias("ol")), "case_id", "left")
+    two = forecast.select("case_id", F.col("intervention_id").alias("f"), "expected_intercepted", "worst_intercepted", "expected_legitimate", "worst_legitimate", "effective_probability")
+    three = realized.select("case_id", F.col("intervention_id").alias("f"), F.col("intercepted").alias("ri"), F.col("legitimate").alias("rl"))
+    both = one.join(two, "case_id", "left").join(three, ["case_id", "f"], "left")
+    has_o, has_f = F.col("o").isNotNull(), F.col("f").isNotNull()
+    ri, oi = F.coalesce("ri", F.lit(0)), F.coalesce("oi", F.lit(0))
+    notes = F.array_compact(F.array(
+        F.when(has_o & has_f & (ri == oi), "same_realized_recovery"), F.when(has_o & has_f & (ri < oi), "forecast_recovers_less"), F.when(has_o & has_f & (ri > oi), "forecast_recovers_more"),
+        F.when(has_o & has_f & (F.col("worst_legitimate") > F.col("ol")), "forecast_guards_worst_collateral"), F.when(~has_o & ~has_f, "both_without_choice"), F.when(has_o & ~has_f, "forecast_without_choice"),
+    ))
+    row = lambda name, ok, *v: F.struct(
+        F.lit(name).alias("strategy"), ok.alias("feasible"), F.col("o" if name == OBSERVED else "f").alias("intervention_id"),
+        *(zero(F.col(c)).alias(n) for c, n in zip(v, ("expected_recovery", "worst_recovery", "realized_recovery", "expected_collateral", "worst_collateral", "realized_collateral"))),
+        F.when(ok, F.lit(1.0) if name == OBSERVED else F.coalesce("effective_probability", F.lit(0.0))).otherwise(0.0).alias("stability"),
+    )
+    pair = F.array(row(OBSERVED, has_o, "oi", "oi", "oi", "ol", "ol", "ol"), row(FORECAST, has_f, "expected_intercepted", "worst_intercepted", "ri", "expected_legitimate", "worst_legitimate", "rl"))
+    return both.select("case_id", notes.alias("notes"), F.explode(pair).alias("r")).select("case_id", "r.*", "notes")
+
+
+def forecast_totals(compared: DataFrame) -> DataFrame:
+    """Per strategy of ``forecast_comparison``: sums over cases, and the mean stability to four decimals."""
+    sums = ("expected_recovery", "worst_recovery", "realized_recovery", "expected_collateral", "worst_collateral", "realized_collateral")
+    return compared.groupBy("strategy").agg(F.count("*").alias("scenarios"), F.count_if("feasible").alias("feasible"), *(F.sum(c).alias(c) for c in sums), F.bround(F.avg("stability"), 4).alias("mean_stability"))

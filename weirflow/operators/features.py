@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weirflow.operators.motifs import next_out
 from weirflow.operators.scan import active, legs
-from weirflow.operators.traverse import upstream
+from weirflow.operators.traverse import cut_lineage, upstream
 
 # fixed values: defaults where nothing was observed, and thresholds
 NO_PASS_SECONDS = 86_400.0
@@ -191,11 +191,57 @@ def heuristic_next_hops(features: DataFrame, ancestors: DataFrame | None = None,
     return ranked.select("case_id", "source", "candidate", "rank", F.round("p", digits).alias("probability"))
 
 
-def predicted_next_hops(transfers: DataFrame, times: DataFrame, institutions: DataFrame | None = None, top_k: int | None = 5) -> DataFrame:
-    """The heuristic next hop of every account, from transfers."""
-    known = active(transfers).join(times.select("case_id", "as_of"), "case_id").where("occurred_at <= as_of").drop("as_of")
-    sources = legs(known).select("case_id", "account").distinct()
-    return heuristic_next_hops(next_hop_features(transfers, times, None, institutions), upstream(known, sources), top_k)
+def predicted_next_hops(transfers: DataFrame, times: DataFrame, institutions: DataFrame | None = None, top_k: int = 5, sources: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """The heuristic next hops of ``sources`` (``case_id, account``; all accounts if not given), from transfers.
+
+    As ``heuristic_next_hops`` over all pairs with evidence, but pairs that
+    share nothing except an institution are not made. Their score depends on
+    the candidate's in-degree alone: they enter the softmax as counts by
+    in-degree, less those left out, and only the first ``top_k`` of them (after
+    as many as are left out) become rows. Only asked sources get ancestors.
+    """
+    known = active(transfers).join(times.select("case_id", "as_of"), "case_id").where("occurred_at <= as_of").select("case_id", "sender", "receiver", "status")
+    both = legs(known)
+    node = both.groupBy("case_id", "account").agg(F.count_if(F.col("direction") == "in").alias("ins"))
+    asked = (node if sources is None else sources).select("case_id", F.col("account").alias("source")).distinct()
+    pair = ["case_id", "source", "candidate"]
+    direct = known.withColumnsRenamed({"sender": "source", "receiver": "candidate"}).join(asked, ["case_id", "source"], "left_semi").select(*pair, F.lit(1).alias("sent"), F.lit(0).alias("shared"))
+    near = both.select("case_id", "account", "counterparty").distinct()
+    from_asked = near.withColumnRenamed("account", "source").join(asked, ["case_id", "source"], "left_semi")
+    shared = from_asked.join(near.withColumnRenamed("account", "candidate"), ["case_id", "counterparty"]).select(*pair, F.lit(0).alias("sent"), F.lit(1).alias("shared"))
+    related = direct.unionByName(shared).where("source <> candidate").groupBy(*pair).agg(F.sum("sent").alias("sent"), F.sum("shared").alias("shared"))
+    ancestors = upstream(known, asked.withColumnRenamed("source", "account")).withColumnsRenamed({"account": "source", "ancestor": "candidate"})
+    of = institutions.select("account", F.col("institution").alias("bank")).where("bank IS NOT NULL").distinct() if institutions is not None else None
+    if of is None:
+        related = related.withColumn("same", F.lit(0))
+    else:
+        named = lambda p: of.select(F.col("account").alias(p), F.col("bank").alias(f"{p}_bank"))
+        related = related.join(named("source"), "source", "left").join(named("candidate"), "candidate", "left")
+        related = related.withColumn("same", F.coalesce(F.col("source_bank") == F.col("candidate_bank"), F.lit(False)).cast("int"))
+    score = F.col("sent") * 2.0 + F.col("shared") * 1.5 + F.col("same") * 0.5 + F.col("ins") * 0.5
+    related = cut_lineage(related.join(node.withColumnRenamed("account", "candidate"), ["case_id", "candidate"]).select(*pair, score.alias("score")))
+    open_ = related.join(ancestors.select(pair), pair, "left_anti")
+    weights, rows = open_.select("case_id", "source", "score", F.lit(1).cast("bigint").alias("n")), open_
+    if of is not None:
+        inside = node.join(of, "account").select("case_id", "bank", "account", "ins")
+        home = asked.join(of.withColumnRenamed("account", "source"), "source").select("case_id", "source", "bank")
+        left_out = related.select(pair).unionByName(ancestors.select(pair)).unionByName(asked.select("case_id", "source", F.col("source").alias("candidate"))).distinct()
+        left_out = left_out.join(home, ["case_id", "source"]).join(inside.withColumnRenamed("account", "candidate"), ["case_id", "bank", "candidate"])
+        left_out = cut_lineage(left_out.select(*pair, "ins"))
+        fewer = left_out.groupBy("case_id", "source", "ins").agg(F.count("*").alias("less"))
+        counts = home.join(inside.groupBy("case_id", "bank", "ins").agg(F.count("*").alias("all")), ["case_id", "bank"]).join(fewer, ["case_id", "source", "ins"], "left")
+        rest = F.col("all") - F.coalesce("less", F.lit(0))
+        weights = weights.unionByName(counts.select("case_id", "source", (F.col("ins") * 0.5 + 0.5).alias("score"), rest.alias("n")).where("n > 0"))
+        place = Window.partitionBy("case_id", "bank").orderBy(F.desc("ins"), "account")
+        ranked = inside.select("case_id", "bank", F.col("account").alias("candidate"), (F.col("ins") * 0.5 + 0.5).alias("score"), F.row_number().over(place).alias("place"))
+        skipped = left_out.groupBy("case_id", "source").agg(F.count("*").alias("skip"))
+        reach = home.join(skipped, ["case_id", "source"], "left").select("case_id", "source", "bank", F.explode(F.sequence(F.lit(1), (F.coalesce("skip", F.lit(0)) + top_k).cast("int"))).alias("place"))
+        rows = rows.unionByName(reach.join(ranked, ["case_id", "bank", "place"]).join(left_out.select(pair), pair, "left_anti").select(*pair, "score"))
+    pool = weights.groupBy("case_id", "source", "score").agg(F.sum("n").alias("n")).groupBy("case_id", "source").agg(F.max("score").alias("top"), F.collect_list(F.struct("score", "n")).alias("pool"))
+    total = F.aggregate(F.array_sort("pool"), F.lit(0.0), lambda a, x: a + x["n"] * F.exp(x["score"] - F.col("top")))
+    order = Window.partitionBy("case_id", "source").orderBy(F.desc("score"), "candidate")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).join(pool.select("case_id", "source", "top", total.alias("total")), ["case_id", "source"])
+    return best.select(*pair, "rank", F.round(F.exp(F.col("score") - F.col("top")) / F.col("total"), digits).alias("probability"))
 
 
 def default_risk_scores(transfers: DataFrame, times: DataFrame) -> DataFrame:

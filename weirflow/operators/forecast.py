@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +25,17 @@ def active_sources(transfers: DataFrame, seeds: DataFrame, times: DataFrame) ->
     return held.select("case_id", "account", F.col("tainted").alias("amount"))
 
 
-def beam_paths(hops: DataFrame, sources: DataFrame, ancestors: DataFrame, times: DataFrame, top_k: int = 3, max_depth: int = 3, hop_seconds: int = 300, min_probability: float = 0.01) -> DataFrame:
+def beam_paths(hops: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFrame, ancestors: DataFrame, times: DataFrame, top_k: int = 3, max_depth: int = 3, hop_seconds: int = 300, min_probability: float = 0.01) -> DataFrame:
     """Likely paths of each case: ``path_rank, path_id, source, amount, accounts, probabilities, cumulative, hops``.
 
     ``hops``: ``case_id, source, candidate, rank, probability`` of at least
-    ``2 * top_k`` ranks. Every source keeps ``top_k`` partial paths a level and
+    ``2 * top_k`` ranks, or a function that gives them for the accounts
+    (``case_id, account``) that a level has reached. Every source keeps ``top_k`` partial paths a level and
     never returns to an account it came from or money came through. A path ends
     at a dead end or at ``max_depth``; paths that leave the beam are dropped.
     """
-    step = cut_lineage(hops.where((F.col("rank") <= 2 * top_k) & (F.col("probability") >= min_probability)).select("case_id", F.col("source").alias("at"), "candidate", "probability"))
+    likely = lambda h: cut_lineage(h.where((F.col("rank") <= 2 * top_k) & (F.col("probability") >= min_probability)).select("case_id", F.col("source").alias("at"), "candidate", "probability"))
+    step = None if callable(hops) else likely(hops)
     behind = ancestors.groupBy("case_id", "account").agg(F.collect_set("ancestor").alias("behind"))
     start = sources.where("amount > 0").join(behind, ["case_id", "account"], "left")
     kind = dict(sources.dtypes)["account"]
@@ -43,6 +47,8 @@ def beam_paths(hops: DataFrame, sources: DataFrame, ancestors: DataFrame, times:
     done = None
     for depth in range(1, max_depth + 1):
         beam = cut_lineage(beam)
+        if callable(hops):
+            step = likely(hops(beam.select("case_id", F.col("at").alias("account")).distinct()))
         grown = beam.join(step, ["case_id", "at"]).where("NOT array_contains(visited, candidate)")
         expand = Window.partitionBy("case_id", "accounts").orderBy(F.desc("probability"), "candidate")
         grown = grown.withColumn("n", F.row_number().over(expand)).where(F.col("n") <= top_k).drop("n")
@@ -157,9 +163,8 @@ def evaluate(transfers: DataFrame, seeds: DataFrame, paths: DataFrame, candidate
 def paths_from(transfers: DataFrame, seeds: DataFrame, times: DataFrame, institutions: DataFrame | None = None, top_k: int = 3, max_depth: int = 3, hop_seconds: int = 300) -> tuple[DataFrame, DataFrame]:
     """``active_sources`` and ``beam_paths`` of each case with the heuristic next hop."""
     from weirflow.operators.features import predicted_next_hops
-    from weirflow.operators.scan import accounts
 
     known = history(transfers, times)
     sources = cut_lineage(active_sources(transfers, seeds, times))
-    hops = predicted_next_hops(transfers, times, institutions, 2 * top_k)
-    return sources, cut_lineage(beam_paths(hops, sources, upstream(known, accounts(known)), times, top_k, max_depth, hop_seconds))
+    hops = lambda reached: predicted_next_hops(transfers, times, institutions, 2 * top_k, reached)
+    return sources, cut_lineage(beam_paths(hops, sources, upstream(known, sources), times, top_k, max_depth, hop_seconds))

@@ -135,6 +135,15 @@ def explained(evaluations: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return ranked(evaluations, limits).withColumns({"reason": reason, "binding": F.when(F.col("selected"), binding(limits))})
 
 
+def comparisons(explained_: DataFrame) -> DataFrame:
+    """Per case: whether anything is feasible, the selected row's figures and limits met, and why each other row was not taken, by id."""
+    other = F.when(~F.col("selected"), F.struct("intervention_id", "reason"))
+    own = lambda c: F.max(F.when(F.col("selected"), F.col(c))).alias(c)
+    out = explained_.groupBy("case_id").agg(own("intervention_id"), own("intercepted"), own("legitimate"), own("efficiency"), own("binding"), F.array_sort(F.collect_list(other)).alias("others"))
+    verdict = F.when(F.col("intervention_id").isNull(), "no feasible intervention meets all limits").otherwise("feasible and Pareto-efficient; ties by recovery, collateral, efficiency, scope and id")
+    return out.withColumn("verdict", verdict)
+
+
 def baseline_choice(rows: DataFrame, measure: str, account_holds_only: bool = True) -> DataFrame:
     """The feasible row of each case with the largest ``measure`` (missing: zero), ties by id."""
     pool = rows.where("feasible")

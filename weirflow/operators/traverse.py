@@ -12,10 +12,16 @@ from weirflow.operators.scan import active, as_of
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that driver and executors share, and go on from there."""
+    """Write ``df`` to the checkpoint folder that driver and executors share, and go on from there.
+
+    Only a local session without such a folder takes a temporary one.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirflow-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weirflow-"))
     return df.checkpoint(eager=True)
 
 
@@ -37,7 +43,7 @@ def downstream(transfers: DataFrame, start: DataFrame, max_depth: int | None = N
         arrivals = level.groupBy("case_id", F.col("receiver").alias("sender")).agg(F.min("occurred_at").alias("arrived"))
         reached = edges.join(arrivals, ["case_id", "sender"]).where("occurred_at > arrived").drop("arrived")
         level = cut_lineage(reached.join(seen.select("case_id", "event_id"), ["case_id", "event_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut_lineage(seen.unionByName(level.select(*seen.columns)))
+        seen = seen.unionByName(level.select(*seen.columns))  # levels are written, so this reads them and no more
     return seen
 
 
@@ -94,11 +100,11 @@ def _hops_to(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
 def upstream(transfers: DataFrame, of: DataFrame, time: Any = None) -> DataFrame:
     """``case_id, account, ancestor``: accounts with a chain of active edges up to ``time`` into ``account``; order of times ignored."""
     known = as_of(transfers, time) if time is not None else active(transfers)
-    links = cut_lineage(known.select("case_id", F.col("sender").alias("ancestor"), F.col("receiver").alias("via")).distinct())
+    links = cut_lineage(known.select("case_id", F.col("sender").alias("ancestor"), F.col("receiver").alias("via")).where("ancestor <> via").distinct())
     level = cut_lineage(of.select("case_id", "account", F.col("account").alias("ancestor")).distinct())
     seen = level
     while not level.isEmpty():
         back = level.withColumnRenamed("ancestor", "via").join(links, ["case_id", "via"]).select("case_id", "account", "ancestor").distinct()
         level = cut_lineage(back.join(seen, ["case_id", "account", "ancestor"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(level))
+        seen = seen.unionByName(level)  # levels are written, so this reads them and no more
     return seen.where("ancestor <> account")

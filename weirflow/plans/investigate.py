@@ -26,25 +26,26 @@ class Request:
     top_k: int = 3
     max_depth: int = 3
     with_forecast: bool = True
+    budgets: chokepoint.Budgets = field(default_factory=chokepoint.Budgets)
 
 
 @dataclass
 class Report:
-    """Frames and the status of each stage: completed, unavailable, insufficient_evidence or failed."""
+    """Frames and the status of each stage: completed, unavailable or insufficient_evidence."""
 
     frames: dict[str, DataFrame]
     stages: dict[str, str]
 
     @property
     def status(self) -> str:
-        return "partial" if {"failed", "unavailable"} & set(self.stages.values()) else "completed"
+        return "partial" if "unavailable" in set(self.stages.values()) else "completed"
 
 
 def investigate(transfers: DataFrame, request: Request) -> Report:
     """Seven stages: graph, provenance, risk, forecast, chokepoint, candidates, selection.
 
-    Seeds must be transactions of their case. A stage that cannot run is
-    recorded and the others go on.
+    Seeds must be transactions of their case. A stage that lacks what it needs
+    (a model, sinks, candidate paths) is recorded and the others go on.
     """
     frames: dict[str, DataFrame] = {}
     stages: dict[str, str] = {}
@@ -77,34 +78,29 @@ def investigate(transfers: DataFrame, request: Request) -> Report:
 
     options = counterfactual.candidates(transfers, allocated, times)
     if r.with_forecast:
-        try:
-            sources, paths = forecast.paths_from(transfers, r.seeds, times, r.institutions, r.top_k, r.max_depth)
-            holds = forecast.forecast_candidates(sources, paths, kind["event_id"])
-            frames["paths"] = paths
-            frames["forecast"] = forecast.evaluate(transfers, r.seeds, paths, holds, times)
-            options = options.unionByName(holds)
-            stages["forecast"] = "insufficient_evidence" if paths.isEmpty() else "completed"
-        except Exception as error:  # noqa: BLE001  the stage is optional
-            stages["forecast"] = "failed"
-            frames["forecast_error"] = transfers.sparkSession.createDataFrame([(str(error)[:500],)], "error string")
+        sources, paths = forecast.paths_from(transfers, r.seeds, times, r.institutions, r.top_k, r.max_depth)
+        holds = forecast.forecast_candidates(sources, paths, kind["event_id"])
+        frames["paths"] = paths
+        frames["forecast"] = forecast.evaluate(transfers, r.seeds, paths, holds, times)
+        options = options.unionByName(holds)
+        stages["forecast"] = "insufficient_evidence" if paths.isEmpty() else "completed"
     else:
         stages["forecast"] = "unavailable"
 
     if r.sinks is not None:
         marked = r.seeds.join(transfers.select("case_id", "transaction_id", "receiver"), ["case_id", "transaction_id"])
         origins = r.sources if r.sources is not None else marked.select("case_id", F.col("receiver").alias("account")).distinct()
-        chokepoint.check_terminals(origins, r.sinks)
         later = scan.active(transfers).join(times, "case_id").where("occurred_at > as_of")
-        cut = cut_lineage(chokepoint.chokepoints(transfers, later, counterfactual.edge_hold_collateral(allocated, times), origins, r.sinks))
-        frames["chokepoints"] = cut
-        options = options.unionByName(chokepoint.cut_candidates(cut, kind["sender"]))
+        report, edges = chokepoint.reports(transfers, later, counterfactual.edge_hold_collateral(allocated, times), origins, r.sinks, r.budgets)
+        frames["chokepoint_report"], frames["chokepoints"] = cut_lineage(report), edges
+        options = options.unionByName(chokepoint.cut_candidates(edges, kind["sender"]))
         stages["chokepoint"] = "completed"
 
     named = counterfactual.with_id(counterfactual.valid(options.distinct()), times)
     frames["candidates"] = named
     stages["candidates"] = "completed"
-    results = counterfactual.outcomes(transfers, r.seeds, allocated, named, times)
+    results = cut_lineage(counterfactual.explanation(counterfactual.outcomes(transfers, r.seeds, allocated, named, times)))
     frames["evaluations"] = pareto.explained(results, r.limits)
-    frames["selected"] = frames["evaluations"].where("selected")
+    frames["selected"], frames["explanation"] = frames["evaluations"].where("selected"), pareto.comparisons(frames["evaluations"])
     stages["selection"] = "completed"
     return Report(frames, stages)

@@ -46,7 +46,8 @@ def ingest(lines: DataFrame, table: DataFrame | None, case_id: str, column: str
         known = table.where(F.col("case_id") == case_id).select(F.col("event_id").cast("string").alias("known")).distinct()
         rows = rows.join(known, F.col("event.event_id") == F.col("known"), "left")
         rows = rows.withColumn("problems", F.when(F.col("known").isNotNull(), F.array_append("problems", F.lit("event exists"))).otherwise(F.col("problems"))).drop("known")
-        start = (table.where(F.col("case_id") == case_id).agg(F.max("ingest_seq")).first()[0] or -1) + 1
+        last = table.where(F.col("case_id") == case_id).agg(F.max("ingest_seq")).first()[0]
+        start = 0 if last is None else last + 1
     bad = rows.where(F.size("problems") > 0).orderBy("index").limit(20).select("index", "problems").collect()
     if bad:
         raise Rejected([(r["index"], list(r["problems"])) for r in bad])
