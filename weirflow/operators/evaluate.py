@@ -104,13 +104,17 @@ def strategies(world: DataFrame, seeds: DataFrame, times: DataFrame, limits: par
     picks = wide.where("selected").withColumn("strategy", F.lit(OWN)).drop("n")
     for name, measure in BASELINES.items():
         picks = picks.unionByName(pareto.baseline_choice(wide, measure, name != "maximum_immediate_recovery").withColumn("strategy", F.lit(name)))
+    return cut_lineage(choices(picks, times)), rows
+
+
+def choices(picks: DataFrame, cases: DataFrame) -> DataFrame:
+    """A row per case and strategy from ``picks`` (``case_id, strategy`` and an evaluation); a strategy without a pick has zeros."""
     kept = ["case_id", "strategy", "intervention_id", "intercepted", "legitimate", "affected_accounts", "affected_edges", "pareto_rank"]
-    names = world.sparkSession.createDataFrame([(n,) for n in (*BASELINES, OWN)], "strategy string")
-    every = times.select("case_id").join(F.broadcast(names))  # five names
+    names = picks.sparkSession.createDataFrame([(n,) for n in (*BASELINES, OWN)], "strategy string")
+    every = cases.select("case_id").join(F.broadcast(names))  # five names
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).alias(n)
     chosen = every.join(picks.select(kept), ["case_id", "strategy"], "left")
-    chosen = chosen.select("case_id", "strategy", "intervention_id", F.col("intervention_id").isNotNull().alias("feasible"), *(zero(n) for n in kept[3:7]), F.coalesce(F.col("pareto_rank") == 0, F.lit(False)).alias("pareto_efficient"), benchmark_efficiency(F.col("intercepted"), F.col("legitimate")).alias("efficiency"))
-    return cut_lineage(chosen), rows
+    return chosen.select("case_id", "strategy", "intervention_id", F.col("intervention_id").isNotNull().alias("feasible"), *(zero(n) for n in kept[3:7]), F.coalesce(F.col("pareto_rank") == 0, F.lit(False)).alias("pareto_efficient"), benchmark_efficiency(F.col("intercepted"), F.col("legitimate")).alias("efficiency"))
 
 
 def strategy_totals(chosen: DataFrame) -> DataFrame:

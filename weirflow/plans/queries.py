@@ -1,6 +1,6 @@
-"""Registered queries of the transfer operators, each with SQL that gives the same rows.
+"""Registered queries of the transfer operators, most with SQL that gives the same rows.
 
-Cases are days; each case's decision time is noon. Doubles are rounded and
+Cases are days; each case's decision time is noon (of a month: noon of its 16th day). Doubles are rounded and
 lists are joined to text so that rows compare exactly.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.columns import confidence, evidence_signals, proportional_allocation, rupees
@@ -34,17 +34,18 @@ def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def _with(body: str, dense: bool = False, ties: bool = False, recursive: bool = False) -> str:
+def _with(body: str, dense: bool = False, ties: bool = False, recursive: bool = False, monthly: bool = False) -> str:
     """SQL over ``transfers`` and its active part ``a``."""
-    return f"WITH {'RECURSIVE' if recursive else ''} transfers AS ({transfers_sql(dense, ties)}), a AS (SELECT * FROM transfers WHERE status = 'completed'), times AS (SELECT DISTINCT case_id, CAST(case_id || ' 12:00:00' AS TIMESTAMP) AS as_of FROM transfers) {body}"
+    noon = "'-16 12:00:00'" if monthly else "' 12:00:00'"
+    return f"WITH {'RECURSIVE' if recursive else ''} transfers AS ({transfers_sql(dense, ties, monthly)}), a AS (SELECT * FROM transfers WHERE status = 'completed'), times AS (SELECT DISTINCT case_id, CAST(case_id || {noon} AS TIMESTAMP) AS as_of FROM transfers) {body}"
 
 
 def _joined(c: str | Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-def times_of(moves: DataFrame, hour: str = "12:00:00") -> DataFrame:
-    return moves.select("case_id").distinct().withColumn("as_of", F.to_timestamp_ntz(F.concat("case_id", F.lit(f" {hour}"))))
+def times_of(moves: DataFrame, hour: str = "12:00:00", day: str = "") -> DataFrame:
+    return moves.select("case_id").distinct().withColumn("as_of", F.to_timestamp_ntz(F.concat("case_id", F.lit(f"{day} {hour}"))))
 
 
 def institutions_of(moves: DataFrame) -> DataFrame:
@@ -210,37 +211,48 @@ def fan_out_fan_in(spark: SparkSession, d: str) -> DataFrame:
 # ---- traversal ----------------------------------------------------------------------------------
 
 
+_START = f"{_SEEDS}, st AS (SELECT s.case_id, receiver AS account FROM s JOIN a USING (case_id, transaction_id))"
+
+
+def _seed_receivers(moves: DataFrame) -> DataFrame:
+    return seeds(moves).join(moves.select("case_id", "transaction_id", "receiver"), ["case_id", "transaction_id"]).select("case_id", F.col("receiver").alias("account"))
+
+
 @_register(
     "temporal_downstream",
-    _with("""SELECT case_id, event_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY ALL""", recursive=True).replace(
-        "SELECT case_id, event_id, CAST(min",
-        """, w AS (SELECT case_id, event_id, receiver, occurred_at, 1 AS depth FROM a WHERE sender = 3
-            UNION SELECT a.case_id, a.event_id, a.receiver, a.occurred_at, w.depth + 1 FROM w JOIN a ON a.case_id = w.case_id AND a.sender = w.receiver AND a.occurred_at > w.occurred_at WHERE w.depth < 4)
-        SELECT case_id, event_id, CAST(min""",
+    _with(
+        f""", {_START}, w AS (SELECT case_id, event_id, receiver, occurred_at, 1 AS depth FROM a JOIN st USING (case_id) WHERE sender = account
+            UNION SELECT a.case_id, a.event_id, a.receiver, a.occurred_at, w.depth + 1 FROM w JOIN a ON a.case_id = w.case_id AND a.sender = w.receiver AND a.occurred_at > w.occurred_at)
+        SELECT case_id, event_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY ALL""",
+        recursive=True,
     ),
-)
+)
 def temporal_downstream(spark: SparkSession, d: str) -> DataFrame:
+    """All that the receiver of each case's seed can reach."""
     moves = transfers(spark, d)
-    start = moves.select("case_id").distinct().withColumn("account", F.lit(3).cast("bigint"))
-    return traverse.downstream(moves, start, max_depth=4).select("case_id", "event_id", "depth")
+    return traverse.downstream(moves, _seed_receivers(moves)).select("case_id", "event_id", "depth")
 
 
 @_register(
     "temporal_paths",
     _with(
-        """, w AS (SELECT case_id, sender AS source, receiver AS at_, occurred_at AS t, [sender, receiver] AS seen, [event_id] AS ev FROM a WHERE sender < 10 AND sender <> receiver
-            UNION ALL SELECT a.case_id, w.source, a.receiver, a.occurred_at, list_append(w.seen, a.receiver), list_append(w.ev, a.event_id)
-            FROM w JOIN a ON a.case_id = w.case_id AND a.sender = w.at_ AND a.occurred_at > w.t AND NOT list_contains(w.seen, a.receiver) WHERE len(w.ev) < 4)
-        SELECT case_id, source, target, array_to_string(ev, ',') AS events, CAST(len(ev) AS INTEGER) AS hops FROM w JOIN (SELECT unnest(range(10)) AS target) ON at_ = target
-        WHERE NOT list_contains(seen[1:len(seen) - 1], target)""",
+        """, e AS (SELECT case_id, receiver, row_number() OVER (PARTITION BY case_id ORDER BY occurred_at, ingest_seq) AS n, row_number() OVER (PARTITION BY case_id ORDER BY occurred_at DESC, ingest_seq DESC) AS m FROM a),
+            f AS (SELECT DISTINCT case_id, receiver AS source FROM e WHERE n <= 10), l AS (SELECT DISTINCT case_id, receiver AS target FROM e WHERE m <= 10), p AS (SELECT case_id, source, target FROM f JOIN l USING (case_id) WHERE source <> target),
+            w AS (SELECT a.case_id, source, target, receiver AS at_, occurred_at AS t, [sender, receiver] AS seen, [event_id] AS ev FROM a JOIN p ON p.case_id = a.case_id AND sender = source WHERE receiver <> source
+            UNION ALL SELECT a.case_id, w.source, w.target, a.receiver, a.occurred_at, list_append(w.seen, a.receiver), list_append(w.ev, a.event_id)
+            FROM w JOIN a ON a.case_id = w.case_id AND a.sender = w.at_ AND a.occurred_at > w.t AND NOT list_contains(w.seen, a.receiver) WHERE len(w.ev) < 10 AND w.at_ <> w.target)
+        SELECT case_id, source, target, array_to_string(ev, ',') AS events, CAST(len(ev) AS INTEGER) AS hops FROM w WHERE at_ = target""",
         recursive=True,
     ),
-)
+)
 def temporal_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths from the receivers of each case's first ten transfers to those of its last ten."""
     moves = transfers(spark, d)
-    ten = F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))
-    pairs = moves.select("case_id").distinct().select("case_id", F.explode(ten).alias("source")).select("case_id", "source", F.explode(ten).alias("target")).where("source <> target")
-    found = traverse.temporal_paths(moves, pairs, max_depth=4)
+    edge = lambda *order: Window.partitionBy("case_id").orderBy(*order)
+    ends = scan.active(moves).select("case_id", "receiver", F.row_number().over(edge("occurred_at", "ingest_seq")).alias("n"), F.row_number().over(edge(F.desc("occurred_at"), F.desc("ingest_seq"))).alias("m"))
+    side = lambda c, name: ends.where(F.col(c) <= 10).select("case_id", F.col("receiver").alias(name)).distinct()
+    pairs = side("n", "source").join(side("m", "target"), "case_id").where("source <> target")
+    found = traverse.temporal_paths(moves, pairs)
     return found.select("case_id", "source", "target", _joined("events").alias("events"), F.size("events").alias("hops"))
 
 
@@ -248,7 +260,7 @@ def temporal_paths(spark: SparkSession, d: str) -> DataFrame:
     "upstream_ancestors",
     _with(
         """, k AS (SELECT DISTINCT case_id, sender, receiver FROM a JOIN times USING (case_id) WHERE occurred_at <= as_of),
-            w AS (SELECT case_id, receiver AS account, sender AS ancestor FROM k WHERE receiver < 5 UNION SELECT k.case_id, w.account, k.sender FROM w JOIN k ON k.case_id = w.case_id AND k.receiver = w.ancestor)
+            w AS (SELECT case_id, receiver AS account, sender AS ancestor FROM k UNION SELECT k.case_id, w.account, k.sender FROM w JOIN k ON k.case_id = w.case_id AND k.receiver = w.ancestor)
         SELECT case_id, account, ancestor FROM w WHERE account <> ancestor""",
         recursive=True,
     ),
@@ -256,7 +268,7 @@ def temporal_paths(spark: SparkSession, d: str) -> DataFrame:
 def upstream_ancestors(spark: SparkSession, d: str) -> DataFrame:
     moves = transfers(spark, d)
     known = moves.join(times_of(moves), "case_id").where("occurred_at <= as_of")
-    return traverse.upstream(known, scan.accounts(known).where("account < 5"))
+    return traverse.upstream(known, scan.accounts(known))
 
 
 # ---- features and next hops ---------------------------------------------------------------------
@@ -297,6 +309,20 @@ def account_features(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).select("case_id", "account", *(F.round(F.col(n) + 1e-8, 6).alias(n) for n in features.ACCOUNT_FEATURES))
 
 
+_MONTHLY = _FEATURES.replace("INTERVAL 2 HOUR", "INTERVAL 24 HOUR")
+
+
+def _monthly_features(spark: SparkSession, d: str) -> DataFrame:
+    """Cases of a month, so that accounts have days of history."""
+    moves = transfers(spark, d, monthly=True)
+    return features.account_features(moves, times_of(moves, "12:00:00", "-16"), institutions_of(moves))
+
+
+@_register("account_features_monthly", _with(f"{_MONTHLY} SELECT case_id, account, {', '.join(f'round(CAST({n} AS DOUBLE) + 1e-8, 6) AS {n}' for n in features.ACCOUNT_FEATURES)} FROM v", monthly=True))
+def account_features_monthly(spark: SparkSession, d: str) -> DataFrame:
+    return _monthly_features(spark, d).select("case_id", "account", *(F.round(F.col(n) + 1e-8, 6).alias(n) for n in features.ACCOUNT_FEATURES))
+
+
 _RULES = """array_to_string(list_filter([CASE WHEN forwarding_ratio >= 0.85 THEN 'forwarding_ratio:0.35' END, CASE WHEN forwarding_ratio < 0.15 AND in_degree > 3 THEN 'forwarding_ratio:-0.25' END,
     CASE WHEN has_rapid_pass_through = 1 AND min_pass_through_seconds < 300 THEN 'min_pass_through_seconds:0.3' END, CASE WHEN in_degree >= 3 AND fan_in_ratio > 0.65 THEN 'fan_in_ratio:0.2' END,
     CASE WHEN out_degree >= 3 AND fan_out_ratio > 0.65 THEN 'fan_out_ratio:0.2' END, CASE WHEN is_cold_start = 1 THEN 'is_cold_start:0.15' END, CASE WHEN is_cold_start = 0 AND historical_tx_count >= 5 THEN 'historical_tx_count:-0.15' END,
@@ -309,16 +335,25 @@ def evidence_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "account", F.array_join(F.transform("s", lambda x: F.concat(x["feature"], F.lit(":"), x["contribution"].cast("string"))), ",").alias("signals"))
 
 
-@_register(
-    "risk_confidence",
-    _with(f"""{_FEATURES}, r AS (SELECT *, least(1.0, (2.0 * out_degree + in_degree) / greatest(1, total_degree) / 2.0) AS s FROM v), m AS (SELECT *, abs(s - 0.5) * 2.0 AS g FROM r)
-        SELECT case_id, account, round(s, 6) AS score, round(CASE evidence_maturity_level WHEN 0 THEN least(0.55, 0.35 + 0.20 * g) WHEN 1 THEN least(0.90, greatest(0.40, 0.50 + 0.40 * g * least(1.0, total_degree / 4.0)))
-            ELSE least(0.98, greatest(0.50, 0.60 + 0.38 * g)) END, 3) AS confidence FROM m"""),
-)
-def risk_confidence(spark: SparkSession, d: str) -> DataFrame:
+_CONFIDENCE = """, r AS (SELECT *, least(1.0, (2.0 * out_degree + in_degree) / greatest(1, total_degree) / 2.0) AS s FROM v), m AS (SELECT *, abs(s - 0.5) * 2.0 AS g FROM r)
+    SELECT case_id, account, round(s, 6) AS score, round(CASE evidence_maturity_level WHEN 0 THEN least(0.55, 0.35 + 0.20 * g) WHEN 1 THEN least(0.90, greatest(0.40, 0.50 + 0.40 * g * least(1.0, total_degree / 4.0)))
+        ELSE least(0.98, greatest(0.50, 0.60 + 0.38 * g)) END, 3) AS confidence FROM m"""
+
+
+def _confident(rows: DataFrame, digits: int = 3) -> DataFrame:
     score = F.least(F.lit(1.0), (2 * F.col("out_degree") + F.col("in_degree")) / F.greatest(F.lit(1.0), F.col("total_degree")) / 2)
-    rows = _features(spark, d).withColumn("score", score)
-    return rows.select("case_id", "account", F.round("score", 6).alias("score"), F.round(confidence(F.col("score"), F.col("evidence_maturity_level"), F.col("total_degree")), 3).alias("confidence"))
+    rows = rows.withColumn("score", score)
+    return rows.select("case_id", "account", F.round("score", 6).alias("score"), F.round(confidence(F.col("score"), F.col("evidence_maturity_level"), F.col("total_degree")), digits).alias("confidence"))
+
+
+@_register("risk_confidence", _with(f"{_FEATURES}{_CONFIDENCE}"))
+def risk_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _confident(_features(spark, d))
+
+
+@_register("risk_confidence_monthly", _with(f"{_MONTHLY}{_CONFIDENCE}", monthly=True).replace("round(CASE evidence_maturity_level", "round_even(CASE evidence_maturity_level").replace("END, 3) AS confidence", "END, 4) AS confidence"))
+def risk_confidence_monthly(spark: SparkSession, d: str) -> DataFrame:
+    return _confident(_monthly_features(spark, d), 4)
 
 
 @_register("default_risk_score", _with(f", {_LEGS} SELECT case_id, account, round(sum(CASE dir WHEN 'out' THEN 2.0 ELSE 1.0 END) / count(*), 6) AS risk_score FROM l GROUP BY ALL"))
@@ -340,13 +375,24 @@ _HOPS = f""", {_LEGS}, e AS (SELECT DISTINCT case_id, account, other FROM l), w
         WHERE dd.c IS NOT NULL OR sh.c IS NOT NULL OR same)"""
 
 
-@_register("next_hop_features", _with(f"{_HOPS} SELECT case_id, source, candidate, {', '.join(f'round(CAST({n} AS DOUBLE), 6) AS {n}' for n in risk.NEXT_HOP_FEATURES)} FROM nh", dense=True))
-def next_hop_features(spark: SparkSession, d: str) -> DataFrame:
-    moves = transfers(spark, d, dense=True)
+_HOP_COLUMNS = ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in risk.NEXT_HOP_FEATURES)
+
+
+def _hop_features(moves: DataFrame) -> DataFrame:
     found = features.next_hop_features(moves, times_of(moves), None, institutions_of(moves))
     return found.select("case_id", "source", "candidate", *(F.round(n, 6).alias(n) for n in risk.NEXT_HOP_FEATURES))
 
 
+@_register("next_hop_features", _with(f"{_HOPS} SELECT case_id, source, candidate, {_HOP_COLUMNS} FROM nh", dense=True))
+def next_hop_features(spark: SparkSession, d: str) -> DataFrame:
+    return _hop_features(transfers(spark, d, dense=True))
+
+
+@_register("next_hop_features_all_accounts", _with(f"{_HOPS} SELECT case_id, source, candidate, {_HOP_COLUMNS} FROM nh"))
+def next_hop_features_all_accounts(spark: SparkSession, d: str) -> DataFrame:
+    return _hop_features(transfers(spark, d))
+
+
 _RANKED = f"""{_HOPS}, anc AS (SELECT case_id, receiver AS account, sender AS ancestor FROM k UNION SELECT k.case_id, anc.account, k.sender FROM anc JOIN k ON k.case_id = anc.case_id AND k.receiver = anc.ancestor),
     sc AS (SELECT case_id, source, candidate, 2.0 * past_transfers_count + 1.5 * shared_counterparties_count + 0.5 * same_institution + 0.5 * candidate_in_degree AS s FROM nh
         WHERE past_transfers_count + shared_counterparties_count + same_institution > 0 AND NOT EXISTS (SELECT 1 FROM anc WHERE anc.case_id = nh.case_id AND anc.account = nh.source AND anc.ancestor = nh.candidate)),
@@ -391,10 +437,11 @@ def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
     return shared.select("case_id", "sender", "p.key", "p.amount")
 
 
-# one step an event: clean and tainted balances of the twenty accounts as lists
-_TAINT = f""", {_SEEDS}, o AS (SELECT a.*, row_number() OVER (PARTITION BY a.case_id ORDER BY a.occurred_at, a.ingest_seq) AS n, s.transaction_id IS NOT NULL AS is_seed, coalesce(s.tainted_amount, 0) AS inj
+# one step an event: clean and tainted balances of all accounts as lists
+def _taint_sql(accounts: str = "20") -> str:
+    return f""", {_SEEDS}, o AS (SELECT a.*, row_number() OVER (PARTITION BY a.case_id ORDER BY a.occurred_at, a.ingest_seq) AS n, s.transaction_id IS NOT NULL AS is_seed, coalesce(s.tainted_amount, 0) AS inj
         FROM a LEFT JOIN s USING (case_id, transaction_id)),
-    f AS (SELECT case_id, CAST(0 AS BIGINT) AS n, CAST(list_transform(range(20), lambda i: 0) AS BIGINT[]) AS c, CAST(list_transform(range(20), lambda i: 0) AS BIGINT[]) AS t,
+    f AS (SELECT case_id, CAST(0 AS BIGINT) AS n, CAST(list_transform(range({accounts}), lambda i: 0) AS BIGINT[]) AS c, CAST(list_transform(range({accounts}), lambda i: 0) AS BIGINT[]) AS t,
             CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS bal, CAST(0 AS BIGINT) AS tb, CAST(0 AS BIGINT) AS mt, CAST(0 AS BIGINT) AS mc, CAST(0 AS BIGINT) AS un FROM s
         UNION ALL SELECT case_id, n, list_transform(c, lambda x, i: x + CASE WHEN i = r + 1 THEN mc + un ELSE 0 END - CASE WHEN i = q + 1 AND NOT is_seed THEN mc ELSE 0 END),
             list_transform(t, lambda x, i: x + CASE WHEN i = r + 1 THEN mt ELSE 0 END - CASE WHEN i = q + 1 AND NOT is_seed THEN mt ELSE 0 END), event_id, bal, tb, mt, mc, un FROM (
@@ -405,6 +452,9 @@ _TAINT = f""", {_SEEDS}, o AS (SELECT a.*, row_number() OVER (PARTITION BY a.cas
                     CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * t[q + 1] % before END AS rt, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * c[q + 1] % before END AS rc FROM (
                     SELECT f.case_id, o.n, f.c, f.t, o.event_id, o.sender AS q, o.receiver AS r, o.amount_minor_units AS amt, o.is_seed, o.inj, f.c[o.sender + 1] + f.t[o.sender + 1] AS before,
                         least(o.amount_minor_units, f.c[o.sender + 1] + f.t[o.sender + 1]) AS cov FROM f JOIN o ON o.case_id = f.case_id AND o.n = f.n + 1))))"""
+
+
+_TAINT = _taint_sql()
 _ALLOC = f"{_TAINT}, al AS (SELECT f.case_id, CAST(f.n - 1 AS INTEGER) AS sequence, f.event_id, o.sender, o.receiver, o.amount_minor_units, o.occurred_at, o.transaction_id, bal AS balance_before, tb AS tainted_before, mt AS tainted, mc AS clean, un AS unattributed, o.is_seed FROM f JOIN o ON o.case_id = f.case_id AND o.n = f.n)"
 _END = "en AS (SELECT case_id, arg_max(c, n) AS c, arg_max(t, n) AS t FROM f GROUP BY ALL), ba AS (SELECT case_id, unnest(range(20)) AS account, unnest(c) AS clean, unnest(t) AS tainted FROM en)"
 
@@ -471,7 +521,34 @@ def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return moves, marked, traverse.cut_lineage(allocated), times_of(moves)
 
 
-@_register("counterfactual_outcomes")
+# every candidate's world from the decision time on: blocked events leave the lists as they are
+_CANDIDATES = """cd AS (SELECT case_id, 'account_hold' AS kind, account AS target_account, CAST(NULL AS BIGINT) AS target_event FROM ba WHERE tainted > 0 AND EXISTS (SELECT 1 FROM a JOIN times USING (case_id) WHERE a.case_id = ba.case_id AND sender = account AND occurred_at > as_of)
+    UNION ALL SELECT case_id, 'edge_hold', NULL, event_id FROM al JOIN times USING (case_id) WHERE occurred_at > as_of AND tainted > 0),
+    ids AS (SELECT cd.*, as_of, 'cf-' || left(sha256(kind || ':' || coalesce(target_account, target_event) || ':' || strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 16) AS intervention_id FROM cd JOIN times USING (case_id))"""
+_WORLDS = f"""{_ALLOC}, {_END}, {_CANDIDATES},
+    st AS (SELECT f.case_id, max(f.n) AS n FROM f LEFT JOIN o ON o.case_id = f.case_id AND o.n = f.n JOIN times ON times.case_id = f.case_id WHERE f.n = 0 OR o.occurred_at <= as_of GROUP BY ALL),
+    ev AS (SELECT ids.case_id, intervention_id, o.n, o.sender AS q, o.receiver AS r, o.event_id, o.amount_minor_units AS amt, o.is_seed, o.inj,
+        occurred_at > as_of AND (CASE kind WHEN 'account_hold' THEN o.sender = target_account ELSE o.event_id = target_event END) AS stop FROM ids JOIN o USING (case_id)),
+    g AS (SELECT ids.case_id, intervention_id, f.n, f.c, f.t FROM ids JOIN st USING (case_id) JOIN f ON f.case_id = st.case_id AND f.n = st.n
+        UNION ALL SELECT case_id, intervention_id, n, list_transform(c, lambda x, i: x + CASE WHEN stop THEN 0 ELSE CASE WHEN i = r + 1 THEN mc + un ELSE 0 END - CASE WHEN i = q + 1 AND NOT is_seed THEN mc ELSE 0 END END),
+            list_transform(t, lambda x, i: x + CASE WHEN stop THEN 0 ELSE CASE WHEN i = r + 1 THEN mt ELSE 0 END - CASE WHEN i = q + 1 AND NOT is_seed THEN mt ELSE 0 END END) FROM (
+            SELECT *, CASE WHEN is_seed THEN inj ELSE CAST(pt + CASE WHEN cov - pt - pc > 0 AND rt > rc THEN 1 ELSE 0 END AS BIGINT) END AS mt,
+                CASE WHEN is_seed THEN amt - inj ELSE CAST(pc + CASE WHEN cov - pt - pc > 0 AND rt <= rc THEN 1 ELSE 0 END AS BIGINT) END AS mc, CASE WHEN is_seed THEN 0 ELSE amt - cov END AS un FROM (
+                SELECT *, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * t[q + 1] // before END AS pt, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * c[q + 1] // before END AS pc,
+                    CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * t[q + 1] % before END AS rt, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * c[q + 1] % before END AS rc FROM (
+                    SELECT g.case_id, g.intervention_id, ev.n, g.c, g.t, ev.q, ev.r, ev.amt, ev.is_seed, ev.inj, ev.stop, g.c[ev.q + 1] + g.t[ev.q + 1] AS before,
+                        least(ev.amt, g.c[ev.q + 1] + g.t[ev.q + 1]) AS cov FROM g JOIN ev ON ev.case_id = g.case_id AND ev.intervention_id = g.intervention_id AND ev.n = g.n + 1)))),
+    ge AS (SELECT case_id, intervention_id, unnest(range(20)) AS account, unnest(arg_max(t, n)) AS kept FROM g GROUP BY case_id, intervention_id),
+    rs AS (SELECT case_id, intervention_id, CAST(sum(greatest(0, tainted - kept)) AS BIGINT) AS intercepted, CAST(sum(kept) AS BIGINT) AS residual FROM ge JOIN ba USING (case_id, account) GROUP BY ALL)"""
+
+
+@_register(
+    "counterfactual_outcomes",
+    _with(f"""{_WORLDS}, sc AS (SELECT ev.case_id, intervention_id, CAST(sum(clean + unattributed) AS BIGINT) AS legitimate, count(*) AS affected_edges, max(unattributed) AS un, len(list_distinct(flatten(list([q, r])))) AS affected_accounts
+            FROM ev JOIN al USING (case_id, event_id) WHERE stop GROUP BY ALL)
+        SELECT ids.case_id, intervention_id, kind, target_account, target_event, intercepted, legitimate, residual AS remaining, affected_edges, CAST(affected_accounts AS INTEGER) AS affected_accounts, CAST(CASE WHEN un > 0 THEN 0.8 ELSE 1.0 END AS DOUBLE) AS provenance_confidence
+        FROM ids JOIN rs USING (case_id, intervention_id) JOIN sc USING (case_id, intervention_id)""", dense=True, recursive=True),
+)
 def counterfactual_outcomes(spark: SparkSession, d: str) -> DataFrame:
     moves, marked, allocated, times = _decided(spark, d)
     options = traverse.cut_lineage(counterfactual.with_id(counterfactual.candidates(moves, allocated, times), times))
@@ -577,12 +654,30 @@ def highest_taint_edge(spark: SparkSession, d: str) -> DataFrame:
 
 def _forecast(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     moves = transfers(spark, d)
-    marked, times = seeds(moves), times_of(moves, "06:00:00")
+    marked, times = seeds(moves), times_of(moves)
     sources, paths = forecast.paths_from(moves, marked, times, institutions_of(moves))
     return moves, marked, times, sources, paths
 
 
-@_register("forecast_paths")
+def _beam_level(depth: int) -> str:
+    """SQL of one level: ``g`` (three best hops of each path), ``x`` (paths without a hop) and ``b`` (three best of each source)."""
+    last = f"b{depth - 1}"
+    return f"""g{depth} AS (SELECT * FROM (SELECT w.case_id, w.source, w.amount, rk.candidate AS at_, w.cum * round(rk.p, 4) AS cum, list_append(w.acc, rk.candidate) AS acc, row_number() OVER (PARTITION BY w.case_id, w.acc ORDER BY round(rk.p, 4) DESC, rk.candidate) AS n
+            FROM {last} w JOIN rk ON rk.case_id = w.case_id AND rk.source = w.at_ AND rk.rank <= 6 AND round(rk.p, 4) >= 0.01 WHERE NOT list_contains(w.acc, rk.candidate) AND NOT EXISTS (SELECT 1 FROM anc WHERE anc.case_id = w.case_id AND anc.account = w.source AND anc.ancestor = rk.candidate)) WHERE n <= 3),
+        x{depth} AS (SELECT case_id, source, amount, at_, cum, acc FROM {last} w WHERE len(acc) > 1 AND NOT EXISTS (SELECT 1 FROM g{depth} g WHERE g.case_id = w.case_id AND g.acc[1:{depth}] = w.acc)),
+        b{depth} AS (SELECT case_id, source, amount, at_, cum, acc FROM (SELECT *, row_number() OVER (PARTITION BY case_id, source ORDER BY cum DESC, acc) AS k FROM g{depth}) WHERE k <= 3)"""
+
+
+_PATHS = f"""{_RANKED}{_taint_sql("(SELECT max(user_id) + 1 FROM events)").replace("f AS (SELECT case_id, CAST(0", "fo AS (SELECT case_id, CAST(0").replace("SELECT f.case_id, o.n, f.c, f.t", "SELECT fo.case_id, o.n, fo.c, fo.t").replace("f.c[", "fo.c[").replace("f.t[", "fo.t[").replace("FROM f JOIN o ON o.case_id = f.case_id AND o.n = f.n + 1", "FROM fo JOIN o ON o.case_id = fo.case_id AND o.n = fo.n + 1")},
+    sn AS (SELECT o.case_id, max(o.n) AS n FROM o JOIN times USING (case_id) WHERE occurred_at <= as_of GROUP BY ALL),
+    hd AS (SELECT fo.case_id, unnest(range(len(t))) AS source, unnest(t) AS amount FROM fo JOIN sn ON sn.case_id = fo.case_id AND sn.n = fo.n), b0 AS (SELECT case_id, source, amount, source AS at_, CAST(1.0 AS DOUBLE) AS cum, [source] AS acc FROM hd WHERE amount > 0),
+    {_beam_level(1)}, {_beam_level(2)}, {_beam_level(3)},
+    dn AS (SELECT * FROM x2 UNION ALL SELECT * FROM x3 UNION ALL SELECT * FROM b3), pk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY cum DESC, len(acc), acc) AS path_rank FROM dn)
+    SELECT case_id, CAST(path_rank AS INTEGER) AS path_rank, 'path-' || left(sha256(source || ':' || array_to_string(acc, '->') || ':' || strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 12) AS path_id, source, amount, array_to_string(acc, ',') AS accounts,
+        round(cum, 9) AS cumulative, CAST(len(acc) - 1 AS INTEGER) AS hops FROM pk JOIN times USING (case_id) WHERE path_rank <= 3"""
+
+
+@_register("forecast_paths", _with(_PATHS, recursive=True))
 def forecast_paths(spark: SparkSession, d: str) -> DataFrame:
     paths = _forecast(spark, d)[-1]
     return paths.select("case_id", "path_rank", "path_id", "source", "amount", _joined("accounts").alias("accounts"), F.round("cumulative", 9).alias("cumulative"), F.size("hops").alias("hops"))
@@ -613,55 +708,80 @@ def risk_metrics(spark: SparkSession, d: str) -> DataFrame:
     return found.select("case_id", "n", "positives", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "roc_auc", "average_precision", "brier")))
 
 
-def _world(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    world = traverse.cut_lineage(synthetic.synthetic_world(spark, seed=42, worlds=4))
+def worlds_of(spark: SparkSession, d: str) -> int:
+    """Worlds to make: a tenth of the directory's users, four at least."""
+    return max(4, ((spark.read.parquet(f"{d}/events.parquet").agg(F.max("user_id")).first()[0] or 0) + 1) // 10)
+
+
+def _world(spark: SparkSession, d: str, seed: int = 42, part: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    world = traverse.cut_lineage(synthetic.synthetic_world(spark, seed=seed, worlds=max(4, int(worlds_of(spark, d) * part))))
     return world, synthetic.world_seeds(world), synthetic.world_times(world)
 
 
 @_register("synthetic_world_summary")
 def synthetic_world_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.world_summary(_world(spark)[0])
+    return evaluate.world_summary(_world(spark, d)[0])
 
 
 @_register("taint_coverage")
 def taint_coverage(spark: SparkSession, d: str) -> DataFrame:
-    world, marked, _ = _world(spark)
+    world, marked, _ = _world(spark, d)
     return evaluate.coverage(world, traverse.cut_lineage(taint.allocations(world, marked)))
 
 
 @_register("taint_audit")
 def taint_audit(spark: SparkSession, d: str) -> DataFrame:
-    world, marked, _ = _world(spark)
+    world, marked, _ = _world(spark, d)
     rows = evaluate.audit(world, traverse.cut_lineage(taint.allocations(world, marked)))
     return rows.groupBy("family", "category").agg(F.count("*").alias("edges"))
 
 
 @_register("strategy_benchmark")
 def strategy_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    world, marked, times = _world(spark)
+    world, marked, times = _world(spark, d)
     totals = evaluate.strategy_totals(evaluate.strategies(world, marked, times)[0])
     return totals.withColumns({"efficiency": F.col("efficiency").cast("string"), "compliance": F.col("compliance").cast("string")})
 
 
+@_register("forecast_benchmark")
+def forecast_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Choices by forecast against choices that know the future, over labelled worlds."""
+    world, marked, times = _world(spark, d)
+    allocated = traverse.cut_lineage(taint.allocations(world, marked))
+    sources, paths = forecast.paths_from(world, marked, times, institutions_of(world))
+    holds = forecast.forecast_candidates(sources, paths)
+    expected = pareto.judged(forecast.evaluate(world, marked, paths, holds, times))
+    seen = counterfactual.candidates(world, allocated, times).unionByName(holds).distinct()
+    known = traverse.cut_lineage(counterfactual.outcomes(world, marked, allocated, counterfactual.with_id(seen, times), times))
+    best = pareto.ranked(known.join(counterfactual.with_id(counterfactual.candidates(world, allocated, times), times).select("case_id", "intervention_id"), ["case_id", "intervention_id"], "left_semi")).where("selected")
+    return evaluate.forecast_totals(evaluate.forecast_comparison(best, pareto.robust_choice(expected.where("forecast_status = 'ready'")), known, times))
+
+
+def _risk_rows(spark: SparkSession, d: str, seed: int, part: float) -> DataFrame:
+    world = _world(spark, d, seed, part)[0]
+    fraud = world.where("mark <> 'legit'").select("case_id", F.col("receiver").alias("account"))
+    return traverse.cut_lineage(risk.labelled_features(world, risk.observation_times(world), fraud, institutions_of(world)))
+
+
 @_register("mule_risk_scores")
 def mule_risk_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Train on some worlds, predict on others; one row per account of the latter."""
-    def rows(seed: int, worlds: int) -> DataFrame:
-        world = synthetic.synthetic_world(spark, seed, worlds)
-        ends = world.groupBy("case_id").agg(F.max("occurred_at").alias("as_of"))
-        fraud = world.where("mark <> 'legit'").select("case_id", F.col("receiver").alias("account"))
-        return traverse.cut_lineage(risk.labelled_features(world, ends, fraud, institutions_of(world)))
-
-    model = risk.risk_model().fit(rows(42, 12))
-    return risk.risk_predictions(model.score(rows(201, 4))).drop("signals")
+    """Train on some worlds, predict on others; one row per account of the latter that is seen by its case's observation time."""
+    model = risk.risk_model().fit(_risk_rows(spark, d, 42, 1.0))
+    return risk.risk_predictions(model.score(_risk_rows(spark, d, 201, 0.34))).drop("signals")
 
 
 @_register("investigation_report")
 def investigation_report(spark: SparkSession, d: str) -> DataFrame:
-    """The selected intervention of every synthetic case, with its reason."""
-    world, marked, times = _world(spark)
-    report = investigate(world, Request(times, marked, institutions=institutions_of(world), with_forecast=False))
-    return report.frames["selected"].select("case_id", "intervention_id", "kind", "target_account", "intercepted", "legitimate", "reason", F.array_join("binding", ",").alias("binding"))
+    """All seven stages over the synthetic worlds: the selected intervention of every case, with its reason, cut and forecast."""
+    world, marked, times = _world(spark, d)
+    flows = scan.legs(world).groupBy("case_id", "account").agg(F.count_if(F.col("direction") == "out").alias("outs"))
+    model = risk.risk_model().fit(_risk_rows(spark, d, 43, 0.34))
+    report = investigate(world, Request(times, marked, sinks=flows.where("outs = 0").select("case_id", "account"), institutions=institutions_of(world), model=model)).frames
+    cut = report["chokepoint_report"].select("case_id", F.col("status").alias("cut_status"), "cut_size", "verified")
+    ahead = report["paths"].groupBy("case_id").agg(F.count("*").alias("forecast_paths"))
+    risky = report["risk"].groupBy("case_id").agg(F.max("risk_score").alias("highest_risk"))
+    told = report["selected"].select("case_id", "intervention_id", "kind", "target_account", "intercepted", "legitimate", "reason", F.array_join("binding", ",").alias("binding"))
+    return told.join(cut, "case_id", "left").join(ahead, "case_id", "left").join(risky, "case_id", "left")
 
 
 @_register("institution_participation", _with("SELECT institution, count(*) AS legs, CAST(sum(amt) AS BIGINT) AS volume FROM (SELECT sender_inst AS institution, amount_minor_units AS amt FROM transfers UNION ALL SELECT receiver_inst, amount_minor_units FROM transfers) GROUP BY ALL"))
@@ -735,7 +855,7 @@ def candidate_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "intervention_id", "legitimate", "place")
 
 
-@_register("source_interception")
+@_register("source_interception", _with(f"{_WORLDS} SELECT ids.case_id, intervention_id, source_id, intercepted, residual FROM ids JOIN rs USING (case_id, intervention_id) JOIN s ON s.case_id = ids.case_id", dense=True, recursive=True))
 def source_interception(spark: SparkSession, d: str) -> DataFrame:
     moves, marked, allocated, times = _decided(spark, d)
     options = traverse.cut_lineage(counterfactual.with_id(counterfactual.candidates(moves, allocated, times), times))
@@ -744,12 +864,14 @@ def source_interception(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("chokepoint_edges")
 def chokepoint_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Least-collateral cuts between the seeds' receivers and five other accounts, per case."""
+    """Least-collateral cuts between each case's seed receiver and five other accounts, of events after the seed, with the search's report."""
     moves, marked, allocated, _ = _decided(spark, d)
-    times = times_of(moves, "06:00:00")
-    origin = marked.join(moves.select("case_id", "transaction_id", "receiver"), ["case_id", "transaction_id"]).select("case_id", F.col("receiver").alias("account"))
-    ten = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("account")
-    sinks = moves.select("case_id").distinct().select("case_id", ten).join(origin, ["case_id", "account"], "left_anti")
+    first = marked.join(moves, ["case_id", "transaction_id"])
+    times = first.select("case_id", F.col("occurred_at").alias("as_of"))
+    origin = first.select("case_id", F.col("receiver").alias("account"))
+    five = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("account")
+    sinks = moves.select("case_id").distinct().select("case_id", five).join(origin, ["case_id", "account"], "left_anti")
     later = scan.active(moves).join(times, "case_id").where("occurred_at > as_of")
-    found = chokepoint.chokepoints(moves, later, counterfactual.edge_hold_collateral(allocated, times), origin, sinks)
-    return found.select("case_id", "status", F.col("cost").cast("string").alias("cost"), "residual_path", "event_id", "collateral", "position")
+    report, edges = chokepoint.reports(moves, later, counterfactual.edge_hold_collateral(allocated, times), origin, sinks)
+    told = report.select("case_id", "verified", "initial_paths", "residual_paths", "cut_size")
+    return edges.select("case_id", "status", F.col("cost").cast("string").alias("cost"), "residual_path", "event_id", "collateral", "position").join(told, "case_id")

@@ -2,7 +2,7 @@
 
 ``transfers`` uses every user as an account; ``transfers_dense`` folds accounts
 to twenty so that funds mix; ``transfers_ties`` truncates times to the hour so
-that many events share a time. One case is one day.
+that many events share a time. One case is one day, or one month.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from weirflow.schema import CHANNELS
 DENSE_ACCOUNTS = 20
 
 
-def transfers(spark: SparkSession, sf_dir: str, dense: bool = False, ties: bool = False) -> DataFrame:
+def transfers(spark: SparkSession, sf_dir: str, dense: bool = False, ties: bool = False, monthly: bool = False) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     n = DENSE_ACCOUNTS if dense else (events.agg(F.max("user_id")).first()[0] or 0) + 1
     sender = F.col("user_id") % n if dense else F.col("user_id")
@@ -33,12 +33,12 @@ def transfers(spark: SparkSession, sf_dir: str, dense: bool = False, ties: bool
         (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("event_id") % 5)).alias("observed_at"),
         F.when(kind == "signup", "pending").when(kind == "error", "failed").otherwise("completed").alias("status"),
         F.element_at(F.array(*map(F.lit, CHANNELS)), (F.col("event_id") % len(CHANNELS) + 1).cast("int")).alias("channel"),
-        F.date_format("ts", "yyyy-MM-dd").alias("case_id"),
+        F.date_format("ts", "yyyy-MM" if monthly else "yyyy-MM-dd").alias("case_id"),
     )
     return flat.withColumns({"sender_inst": bank("sender"), "receiver_inst": bank("receiver")})
 
 
-def transfers_sql(dense: bool = False, ties: bool = False) -> str:
+def transfers_sql(dense: bool = False, ties: bool = False, monthly: bool = False) -> str:
     """The body of a ``WITH transfers AS (...)`` clause over ``events``."""
     n = str(DENSE_ACCOUNTS) if dense else "(SELECT max(user_id) + 1 FROM events)"
     sender = f"(user_id % {n})" if dense else "user_id"
@@ -50,7 +50,7 @@ def transfers_sql(dense: bool = False, ties: bool = False) -> str:
             ({sender} + 1 + (event_id % 7) * 2) % {n} AS receiver, CAST(round(value * 100) AS BIGINT) AS amount_minor_units,
             'INR' AS currency, CAST({time} AS TIMESTAMP) AS occurred_at, ts + to_seconds(event_id % 5) AS observed_at,
             CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
-            [{channels}][event_id % {len(CHANNELS)} + 1] AS channel, strftime(ts, '%Y-%m-%d') AS case_id
+            [{channels}][event_id % {len(CHANNELS)} + 1] AS channel, strftime(ts, '{'%Y-%m' if monthly else '%Y-%m-%d'}') AS case_id
         FROM events)"""
 
 
