@@ -32,6 +32,10 @@ def test_batches_are_taken_whole_or_not_at_all(spark):
     assert (rows[0].observed_at - rows[0].occurred_at).total_seconds() == 1
     more = events.ingest(lines(spark, event(3)), good, "case-1").first()
     assert more.ingest_seq == 2
+    one = events.ingest(lines(spark, event(1)), None, "case-1")
+    two = events.ingest(lines(spark, event(2)), one, "case-1")
+    three = events.ingest(lines(spark, [event(3), event(4)]), one.unionByName(two), "case-1")
+    assert [r.ingest_seq for d in (one, two, three) for r in d.orderBy("ingest_seq").collect()] == [0, 1, 2, 3]
     for bad, why in [
         ([event(1), event(1)], "duplicate event_id"), ([event(4, currency="inr")], "currency"), ([event(4, occurred_at="2026-01-01T10:00:00")], "occurred_at"),
         ([event(4, amount_minor_units=-1)], "amount_minor_units"), ([event(4, status="odd")], "status"), ([event(4, extra=1)], "unknown field extra"), ("not json", "json"),
@@ -53,6 +57,11 @@ def test_tables_by_case(spark, tmp_path):
     assert events.deduplicated(events.read(spark, path, "2").union(events.read(spark, path, "2"))).count() == 2
     with pytest.raises(events.Rejected):
         events.new_cases(spark.createDataFrame([("1",)], "case_id string"), spark.createDataFrame([("1",)], "case_id string"))
+    cases = f"{tmp_path}/cases"
+    spark.createDataFrame([("7", "t", ["a", "b"])], "case_id string, title string, transaction_ids array<string>").write.json(cases)
+    known = events.read_cases(spark, cases)
+    assert (known.first().case_id, known.first().transaction_ids, known.first().status) == ("7", ["a", "b"], None)
+    assert events.new_cases(spark.createDataFrame([("8",)], "case_id string"), known).count() == 1
     events.write_json(spark.sql("SELECT 1.50BD AS x"), f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").first().x == "1.50"
 

@@ -672,18 +672,39 @@ _PATHS = f"""{_RANKED}{_taint_sql("(SELECT max(user_id) + 1 FROM events)").repla
     sn AS (SELECT o.case_id, max(o.n) AS n FROM o JOIN times USING (case_id) WHERE occurred_at <= as_of GROUP BY ALL),
     hd AS (SELECT fo.case_id, unnest(range(len(t))) AS source, unnest(t) AS amount FROM fo JOIN sn ON sn.case_id = fo.case_id AND sn.n = fo.n), b0 AS (SELECT case_id, source, amount, source AS at_, CAST(1.0 AS DOUBLE) AS cum, [source] AS acc FROM hd WHERE amount > 0),
     {_beam_level(1)}, {_beam_level(2)}, {_beam_level(3)},
-    dn AS (SELECT * FROM x2 UNION ALL SELECT * FROM x3 UNION ALL SELECT * FROM b3), pk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY cum DESC, len(acc), acc) AS path_rank FROM dn)
-    SELECT case_id, CAST(path_rank AS INTEGER) AS path_rank, 'path-' || left(sha256(source || ':' || array_to_string(acc, '->') || ':' || strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 12) AS path_id, source, amount, array_to_string(acc, ',') AS accounts,
-        round(cum, 9) AS cumulative, CAST(len(acc) - 1 AS INTEGER) AS hops FROM pk JOIN times USING (case_id) WHERE path_rank <= 3"""
+    dn AS (SELECT * FROM x2 UNION ALL SELECT * FROM x3 UNION ALL SELECT * FROM b3), pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY cum DESC, len(acc), acc) AS path_rank FROM dn) WHERE path_rank <= 3)"""
+_PATH_ROWS = """SELECT case_id, CAST(path_rank AS INTEGER) AS path_rank, 'path-' || left(sha256(source || ':' || array_to_string(acc, '->') || ':' || strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 12) AS path_id, source, amount, array_to_string(acc, ',') AS accounts,
+        round(cum, 9) AS cumulative, CAST(len(acc) - 1 AS INTEGER) AS hops FROM pk JOIN times USING (case_id)"""
 
 
-@_register("forecast_paths", _with(_PATHS, recursive=True))
+@_register("forecast_paths", _with(f"{_PATHS} {_PATH_ROWS}", recursive=True))
 def forecast_paths(spark: SparkSession, d: str) -> DataFrame:
     paths = _forecast(spark, d)[-1]
     return paths.select("case_id", "path_rank", "path_id", "source", "amount", _joined("accounts").alias("accounts"), F.round("cumulative", 9).alias("cumulative"), F.size("hops").alias("hops"))
 
 
-@_register("forecast_evaluation")
+# worlds of one path each: the state at the time, then the path's hops, but for those that leave a held account (target -1: none held)
+_FUTURES = f"""{_PATHS}, ct AS (SELECT case_id, source AS target FROM hd WHERE amount > 0 UNION SELECT case_id, unnest(acc) FROM pk),
+    wo AS (SELECT case_id, path_rank, acc, amount, target FROM pk JOIN (SELECT * FROM ct UNION ALL SELECT DISTINCT case_id, -1 FROM pk) USING (case_id)),
+    fw AS (SELECT wo.case_id, path_rank, target, acc, amount AS amt, 0 AS k, fo.c, fo.t, CAST(0 AS BIGINT) AS lg, CAST(0 AS BIGINT) AS mc, CAST(0 AS BIGINT) AS mt, CAST(0 AS BIGINT) AS un FROM wo JOIN sn USING (case_id) JOIN fo ON fo.case_id = sn.case_id AND fo.n = sn.n
+        UNION ALL SELECT case_id, path_rank, target, acc, amt, k + 1, list_transform(c, lambda x, i: x + CASE WHEN stop THEN 0 ELSE CASE WHEN i = r + 1 THEN mc + un ELSE 0 END - CASE WHEN i = q + 1 THEN mc ELSE 0 END END),
+            list_transform(t, lambda x, i: x + CASE WHEN stop THEN 0 ELSE CASE WHEN i = r + 1 THEN mt ELSE 0 END - CASE WHEN i = q + 1 THEN mt ELSE 0 END END), mc + un, mc, mt, un FROM (
+            SELECT *, CAST(pt + CASE WHEN cov - pt - pc > 0 AND rt > rc THEN 1 ELSE 0 END AS BIGINT) AS mt, CAST(pc + CASE WHEN cov - pt - pc > 0 AND rt <= rc THEN 1 ELSE 0 END AS BIGINT) AS mc, amt - cov AS un FROM (
+                SELECT *, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * t[q + 1] // before END AS pt, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * c[q + 1] // before END AS pc,
+                    CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * t[q + 1] % before END AS rt, CASE WHEN before = 0 THEN 0 ELSE CAST(cov AS HUGEINT) * c[q + 1] % before END AS rc FROM (
+                    SELECT case_id, path_rank, target, acc, amt, k, c, t, acc[k + 1] AS q, acc[k + 2] AS r, acc[k + 1] = target AS stop, c[acc[k + 1] + 1] + t[acc[k + 1] + 1] AS before, least(amt, c[acc[k + 1] + 1] + t[acc[k + 1] + 1]) AS cov FROM fw WHERE k < len(acc) - 1)))),
+    fe AS (SELECT case_id, path_rank, target, arg_max(t, k) AS t FROM fw GROUP BY ALL),
+    oc AS (SELECT w.case_id, w.path_rank, w.target, CAST(list_sum(list_transform(list_zip(b.t, w.t), lambda z: greatest(0, z[1] - z[2]))) AS BIGINT) AS i,
+            (SELECT CAST(coalesce(sum(lg), 0) AS BIGINT) FROM fw h WHERE h.case_id = w.case_id AND h.path_rank = w.path_rank AND h.target = -1 AND h.k > 0 AND h.acc[h.k] = w.target) AS l
+        FROM fe w JOIN fe b ON b.case_id = w.case_id AND b.path_rank = w.path_rank AND b.target = -1 WHERE w.target >= 0),
+    ww AS (SELECT case_id, path_rank, cum / sum(cum) OVER (PARTITION BY case_id) AS w FROM pk),
+    fx AS (SELECT case_id, target, count(*) AS futures, CAST(round(sum(w * i), 0) AS BIGINT) AS e, min(i) AS lo, max(i) AS hi, max(l) AS wl, sum(CASE WHEN i > 0 THEN w ELSE 0 END) AS ep FROM oc JOIN ww USING (case_id, path_rank) GROUP BY ALL)
+    SELECT ct.case_id, 'cf-' || left(sha256('account_hold:' || ct.target || ':' || strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 16) AS intervention_id, ct.target AS target_account, CASE WHEN ct.case_id IN (SELECT case_id FROM pk) THEN 'ready' ELSE 'no_candidate_paths' END AS forecast_status,
+        coalesce(futures, 0) AS futures, coalesce(e, 0) AS expected_intercepted, coalesce(lo, 0) AS worst_intercepted, coalesce(hi, 0) AS best_intercepted, coalesce(wl, 0) AS worst_legitimate, round(coalesce(ep, 0.0), 9) AS effective_probability
+    FROM ct JOIN times USING (case_id) LEFT JOIN fx USING (case_id, target)"""
+
+
+@_register("forecast_evaluation", _with(_FUTURES, recursive=True))
 def forecast_evaluation(spark: SparkSession, d: str) -> DataFrame:
     moves, marked, times, sources, paths = _forecast(spark, d)
     found = forecast.evaluate(moves, marked, paths, forecast.forecast_candidates(sources, paths), times)
