@@ -11,19 +11,30 @@ _MICROS = "unix_micros(to_timestamp_ltz(occurred_at))"
 
 
 def _burst(transfers: DataFrame, hub: str, spoke: str, seconds: int, k: int) -> DataFrame:
-    """The first window of each hub that starts at one of its events and holds ``k`` distinct spokes."""
-    moves = active(transfers).select("case_id", F.col(hub).alias("hub"), F.col(spoke).alias("spoke"), "event_id", "occurred_at", "ingest_seq")
+    """The first window of each hub that starts at one of its events and holds ``k`` distinct spokes.
+
+    An event adds a spoke to every window that starts after the spoke's event
+    before it, not later than itself, and not more than the window's length
+    before. So the spokes of a window are counted by one running sum over the
+    ends of such spans; no window is collected but the one that is returned.
+    """
+    moves = active(transfers).select("case_id", F.col(hub).alias("hub"), F.col(spoke).alias("spoke"), "event_id", "occurred_at", "ingest_seq", F.expr(_MICROS).alias("t"))
     # hubs with too few partners never open a window
     busy = moves.groupBy("case_id", "hub").agg(F.count_distinct("spoke").alias("n")).where(F.col("n") >= k).drop("n")
     moves = moves.join(busy, ["case_id", "hub"], "left_semi")
-    ahead = f"PARTITION BY case_id, hub ORDER BY occurred_at RANGE BETWEEN CURRENT ROW AND INTERVAL {int(seconds)} SECONDS FOLLOWING"
-    seen = moves.withColumns({"spokes": F.expr(f"collect_set(spoke) OVER ({ahead})"), "window_end": F.expr(f"max(occurred_at) OVER ({ahead})")})
-    order = Window.partitionBy("case_id", "hub").orderBy("occurred_at", "ingest_seq")
-    first = seen.where(F.size("spokes") >= k).withColumn("n", F.row_number().over(order)).where("n = 1")
-    first = first.select("case_id", "hub", F.col("occurred_at").alias("window_start"), "window_end", F.array_sort("spokes").alias("spokes"))
-    inside = moves.join(first.select("case_id", "hub", "window_start", "window_end"), ["case_id", "hub"]).where("occurred_at BETWEEN window_start AND window_end")
-    events = inside.groupBy("case_id", "hub").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "ingest_seq", "event_id"))).alias("e"))
-    return first.join(events.select("case_id", "hub", F.transform("e", lambda x: x["event_id"]).alias("event_ids")), ["case_id", "hub"])
+    length = int(seconds) * 1_000_000
+    before = F.lag("t").over(Window.partitionBy("case_id", "hub", "spoke").orderBy("t", "ingest_seq"))
+    spans = moves.select("case_id", "hub", "t", "ingest_seq", F.greatest(before, F.col("t") - length - 1).alias("after"))
+    mark = lambda t, kind, change: F.struct(F.col(t).alias("t"), F.lit(kind).alias("kind"), F.lit(change).alias("change"))
+    marks = spans.select("case_id", "hub", "ingest_seq", F.explode(F.array(mark("t", 0, 0), mark("after", 1, 1), mark("t", 1, -1))).alias("m")).select("case_id", "hub", "ingest_seq", "m.*")
+    so_far = Window.partitionBy("case_id", "hub").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    first = marks.withColumn("held", F.sum("change").over(so_far)).where((F.col("kind") == 0) & (F.col("held") >= k)).groupBy("case_id", "hub").agg(F.min("t").alias("start"))
+    inside = moves.join(first, ["case_id", "hub"]).where(F.col("t").between(F.col("start"), F.col("start") + length))
+    found = inside.groupBy("case_id", "hub").agg(
+        F.min("occurred_at").alias("window_start"), F.max("occurred_at").alias("window_end"), F.array_sort(F.collect_set("spoke")).alias("spokes"),
+        F.array_sort(F.collect_list(F.struct("occurred_at", "ingest_seq", "event_id"))).alias("e"),
+    )
+    return found.select("case_id", "hub", "window_start", "window_end", "spokes", F.transform("e", lambda x: x["event_id"]).alias("event_ids"))
 
 
 def fan_out(transfers: DataFrame, seconds: int = 3600, k: int = 3) -> DataFrame:
