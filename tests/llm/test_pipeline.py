@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_dedup import WORD, brute_components, brute_substrings, reference_print
+from tests.llm.test_dedup import WORD, brute_substrings
 from weirflow.llm import decontaminate, toxicity
 from weirflow.llm._words import LOWER
 from weirflow.llm.queries import tokenizer_path
@@ -25,9 +25,27 @@ def brute_toxic(spark, docs):
     return {i: t for i, t in docs.items() if toxicity._scores(pa.array([t]), model, filter_)[1][0] < 0.5}
 
 
-def brute_near(docs):
-    groups = brute_components({i: reference_print(t) for i, t in docs.items()})
-    return {i: t for i, t in docs.items() if groups[i] == i}
+def brute_links(texts, threshold=0.8):
+    sets = []
+    for t in texts:
+        words = (t or "").encode().translate(LOWER).split()
+        width = min(5, len(words))
+        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set())
+    return [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+
+
+def brute_kept(docs):
+    """First ids of the components; ``docs`` maps ids to texts."""
+    ids = sorted(docs)
+    label = list(range(len(ids)))
+    links, moved = brute_links([docs[i] for i in ids]), True
+    while moved:
+        moved = False
+        for a, b in links:
+            least = min(label[a], label[b])
+            moved |= label[a] != label[b]
+            label[a] = label[b] = least
+    return {i: docs[i] for n, i in enumerate(ids) if label[n] == n}
 
 
 def brute_cut(docs):
@@ -67,7 +85,7 @@ def test_stages_against_brute_force(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "packing"]
     squash = lambda t: " ".join(WORD.findall(t or ""))
-    brute = {"toxicity": lambda d: brute_toxic(spark, d), "near_dedup": brute_near, "substring_dedup": brute_cut, "decontamination": lambda d: brute_leaks(d, items)}
+    brute = {"toxicity": lambda d: brute_toxic(spark, d), "near_dedup": brute_kept, "substring_dedup": brute_cut, "decontamination": lambda d: brute_leaks(d, items)}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r.doc_id: r.text for r in docs.collect()}
         out = stage(spark, docs, SF)
