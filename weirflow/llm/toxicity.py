@@ -14,10 +14,11 @@ Its accuracies come from second moments of the votes over all documents:
 off-diagonal covariances of voters independent given y are a product u_i u_j.
 Pairs whose covariance exceeds it by a correlation of ``correlated`` or more are
 taken as dependent, left out of the fit, and discounted in the posterior by that
-correlation; fit and choice alternate until the choice stays. The posterior
-labels of a bounded sample train a sparse logistic regression over all selected
-words and beginnings, which scores every document whole; its output is
-calibrated on the sample's gold labels.
+correlation; fit and choice alternate until the choice stays. In a bounded
+sample of labelled rows the label itself is one more voter, its accuracies
+estimated by EM. The posterior labels of that sample train a sparse logistic
+regression over all selected words and beginnings, which scores every document
+whole, without any label; its output is calibrated on the sample's labels.
 
 Null and empty texts hold no items and get the score of a text without any.
 Without labels of both kinds the score is the share of toxic labels (0 if
@@ -237,6 +238,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def with_labels(posterior: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 20) -> np.ndarray:
+    """The posterior of labelled rows with their label as one more voter, whose accuracies are estimated by EM."""
+    odds = np.log(np.clip(posterior, 1e-9, None)) - np.log(np.clip(1 - posterior, 1e-9, None))
+    a, b = fit_logistic(odds, label, weight)  # votes that are not quite independent are too sure of themselves
+    odds = a + b * odds
+    p = _sigmoid(odds)
+    for _ in range(steps):
+        if_toxic = np.clip((weight * p * label).sum() / max(1e-9, (weight * p).sum()), 0.5, 0.995)
+        if_clean = np.clip((weight * (1 - p) * label).sum() / max(1e-9, (weight * (1 - p)).sum()), 0.001, 0.5)
+        p = _sigmoid(odds + np.where(label == 1, np.log(if_toxic / if_clean), np.log((1 - if_toxic) / (1 - if_clean))))
+    return p
+
+
 def train_linear(rows: np.ndarray, items: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int, steps: int = 300, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels over sparse presence features, by accelerated gradient steps."""
     n = len(target)
@@ -309,7 +323,7 @@ def fit(
     rows, cols, y, posterior = np.array(rows, np.int64), np.array(cols, np.int64), np.array(y, np.float64), np.array(posterior)
     share = np.array([max(1e-9, np.mean(y == 0)), max(1e-9, np.mean(y == 1))])
     weight = np.array([1 - prior, prior])[y.astype(int)] / share[y.astype(int)]
-    w, b = train_linear(rows, cols, posterior, weight, len(items))
+    w, b = train_linear(rows, cols, with_labels(posterior, y, weight), weight, len(items))
     calibration = fit_logistic(np.clip(np.bincount(rows, w[cols], minlength=len(y)) + b, -30, 30), y, weight)
     return Model(items, voters, w, b, calibration, model)
 
