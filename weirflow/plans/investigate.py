@@ -1,4 +1,4 @@
-"""A whole investigation: every stage as a DataFrame, nothing run until it is read."""
+"""A whole investigation: every stage as a DataFrame."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ def investigate(transfers: DataFrame, request: Request) -> Report:
     frames["shortfalls"], frames["conservation"] = taint.shortfalls(allocated), taint.conservation(allocated, r.seeds)
     known = cut_lineage(forecast.history(transfers, times))
     past = taint.allocations(known, scan.seeds_in(r.seeds, known))
-    frames["tainted_now"] = taint.tainted_accounts(past)
+    frames["tainted_now"] = cut_lineage(taint.tainted_accounts(past))
     stages["provenance"] = "completed"
 
     features = account_features(transfers, times, r.institutions)
@@ -74,7 +74,7 @@ def investigate(transfers: DataFrame, request: Request) -> Report:
     else:
         frames["risk"] = risk.risk_predictions(r.model.score(features))
         stages["risk"] = "completed"
-    frames["next_hops"] = predicted_next_hops(transfers, times, r.institutions, 2 * r.top_k)
+    frames["next_hops"] = predicted_next_hops(transfers, times, r.institutions, 2 * r.top_k, frames["tainted_now"])
 
     options = counterfactual.candidates(transfers, allocated, times)
     if r.with_forecast:
