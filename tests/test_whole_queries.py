@@ -34,3 +34,16 @@ def test_outcomes_of_every_candidate_at_noon(spark):
     assert outcomes and {key(r) for r in outcomes} == {key(r) for r in queries["counterfactual_candidates"](spark, SF).collect()}
     sources = queries["source_interception"](spark, SF).select("intervention_id").distinct().collect()
     assert {r.intervention_id for r in sources} == {r.intervention_id for r in outcomes}
+
+
+def test_plans_with_code_generation_give_the_same_rows(spark):
+    """The other tests run without it, as tiny inputs compile for longer than they run."""
+    queries = __spark_entry__.queries()
+    rows = lambda name: sorted(map(str, queries[name](spark, SF).collect()))
+    names = ("fan_out", "account_features", "taint_balances", "pareto_ranks", "network_arcs")
+    plain = {name: rows(name) for name in names}
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        assert {name: rows(name) for name in names} == plain
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
