@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weirflow.llm import _words, simhash, substring
+from weirflow.llm._shared import without
 from weirflow.llm.components import connected_components
 from weirflow.llm.simhash import fingerprint_links, keep_first, link_lists, majority, near_duplicates
 from weirflow.llm.substring import dedup_substrings
@@ -247,3 +248,10 @@ def test_query_digest(spark, tmp_path):
     rows = {r.doc_id: r for r in op8_substring_dedup(spark, str(tmp_path)).collect()}
     assert rows[1].kept_sha256 == hashlib.sha256(" ".join(text.split()).encode()).hexdigest() and rows[1].n_words == 9
     assert rows[2].kept_sha256 == hashlib.sha256(b"").hexdigest() and (rows[2].n_words, rows[2].n_removed) == (0, 0)
+
+
+def test_many_ids_to_drop_are_joined(spark):
+    docs = spark.createDataFrame([(i % 7 or None, f"t{i}") for i in range(40)], DOCS)
+    ids = spark.createDataFrame([(1,), (3,), (None,)], "doc_id bigint")
+    few, many = (sorted(map(str, without(docs, ids, sent_ids=n).collect())) for n in (10, 0))
+    assert few == many == sorted(str(r) for r in docs.collect() if r.doc_id not in (1, 3))
