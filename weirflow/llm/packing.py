@@ -28,44 +28,66 @@ from weirflow.llm._words import chunks
 #: Characters for which lower-casing and splitting a word at a time gives the
 #: tokenizer's own result: ASCII, Latin letters with marks, dashes and quotes.
 _ODD = re.compile("[^\t\n\r -~¡-įı-ɏ‐-‧‰-⁞]|<\\|")
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, in two halves: as one fills up, the older one goes.
 CACHED = 400_000
 LONG_WORD = 64
-_loaded: dict[str, tuple] = {}
+#: A word of one token that stands between words encoded together, and how many are.
+BETWEEN, TOGETHER = "~", 512
+_loaded: dict[str, list] = {}
 
 
-def _tokenizer(path: str) -> tuple:
+def _tokenizer(path: str) -> list:
+    """Tokenizer, newer and older half of the words' ids."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = [Tokenizer.from_file(path), {}, {}]
     return _loaded[path]
 
 
+def _ids(tokenizer, texts: list[str]) -> list[bytes]:  # noqa: ANN001
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def word_ids(tokenizer, words: list[str]) -> dict[str, bytes]:  # noqa: ANN001
+    """The ids of each word, many words to a text, cut where the word between them is."""
+    mark, out = tokenizer.encode(BETWEEN, add_special_tokens=False).ids, {}
+    alone = [w for w in words if BETWEEN in w]
+    words = [w for w in words if BETWEEN not in w]
+    for i in range(0, len(words), TOGETHER):
+        part = words[i : i + TOGETHER]
+        joined = _ids(tokenizer, [f" {BETWEEN} ".join(part)])[0]
+        ids = np.frombuffer(joined, "<u4")
+        cuts = 4 * np.flatnonzero(ids == mark[0]) if len(mark) == 1 else ids[:0]
+        if len(cuts) != len(part) - 1:
+            alone += part
+            continue
+        out |= {w: joined[a:b] for w, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(joined)])}
+    return out | dict(zip(alone, _ids(tokenizer, alone)))
+
+
 def encode(texts: list[str], path: str, by_word: bool) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     ``by_word``: the tokenizer lower-cases and never joins across white space
     (as ``word_bpe_49k.json`` does), so ids of plain texts come from a cache of words.
     """
-    tokenizer, cache = _tokenizer(path)
-
-    def ids(batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-
+    loaded = _tokenizer(path)
     plain = [by_word and not _ODD.search(t) for t in texts]
     words = [t.lower().split() if p else None for t, p in zip(texts, plain)]
-    odd = iter(ids([t for t, p in zip(texts, plain) if not p]))
-    missing = list(set().union(*(w for w in words if w)).difference(cache))
-    if len(cache) + len(missing) > CACHED:
-        cache.clear()
-        missing = list(set().union(*(w for w in words if w)))
-    cache.update(zip(missing, ids(missing)))
-    out = [b"".join(map(cache.__getitem__, w)) if w is not None else next(odd) for w in words]
+    odd = iter(_ids(loaded[0], [t for t, p in zip(texts, plain) if not p]))
+    if len(loaded[1]) > CACHED // 2:
+        loaded[1:] = {}, loaded[1]
+    tokenizer, newer, older = loaded
+    missing = set().union(*(w for w in words if w)).difference(newer)
+    known = missing.intersection(older)
+    newer.update(zip(known, map(older.__getitem__, known)))
+    newer.update(word_ids(tokenizer, list(missing - known)))
+    out = [b"".join(map(newer.__getitem__, w)) if w is not None else next(odd) for w in words]
     for w in missing:
         if len(w) > LONG_WORD:
-            del cache[w]
+            del newer[w]
     return out
 
 
