@@ -147,6 +147,40 @@ def test_toxic_documents_go(spark):
     assert any(s >= 0.5 for _, s in scores)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_silence_scores_the_toxic_share(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    used = labels.where(fold("doc_id", 5) != 0)
+    share = used.where("toxic = 1").count() / used.count()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "qwxyz vvkkzz " * 200_000), (5, "12 34"), (5, "12 34")], "doc_id bigint, text string")
+    assert {round(r.score, 12) for r in toxicity.score(odd, model).collect()} == {round(share, 12)} and share < 0.5
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, model).select("doc_id").collect()}
+    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
+    assert len(clean - kept) <= 0.01 * len(clean) + 1
+
+
+def test_equal_votes_have_equal_targets_and_repeated_labels_change_nothing(spark):
+    posterior, label = np.array([0.9, 0.9, 1e-4, 1e-4, 0.5, 0.2]), np.array([1.0, 0, 1, 0, 1, 0])
+    out = toxicity.tempered(posterior, label, np.ones(6))
+    assert out[0] == out[1] and out[2] == out[3] < out[0]
+    docs, labels = labelled(spark)
+    a, b = (toxicity.fit(docs, x, F.lit(True)) for x in (labels, labels.unionByName(labels)))
+    assert np.array_equal(a.items, b.items) and np.allclose(a.weights, b.weights) and a.slope == b.slope
+    a, b = (quality.fit(docs, x, F.lit(True)) for x in (labels, labels.unionByName(labels)))
+    assert a.weights == b.weights
+
+
+def test_patterns_vote():
+    texts = pa.array(["you are an idiot", "idiot", "I will kill you", "an 1d10t walks", "you walk, they say idiot", "kill time", None, "1984"])
+    words = toxicity._tokens(texts)
+    found = toxicity._patterns(words, toxicity.word_hashes(words))
+    assert [f.tolist() for f in found] == [[], [2], [3]]
+    close = pa.array(["You idiot!", "idiot, you", "you utter moron", "x", "you a b idiot"])
+    words = toxicity._tokens(close)
+    assert toxicity._patterns(words, toxicity.word_hashes(words))[0].tolist() == [0, 1, 2]
+
+
 def test_label_model_weighs_accurate_voters_more():
     rng = np.random.default_rng(0)
     y = rng.random(40000) < 0.1
@@ -179,7 +213,7 @@ def test_label_model_finds_planted_accuracies_and_correlations():
 def test_shapes_and_lists_vote(spark):
     texts = pa.array(["so SHOUTY", "ab", "!!", "soooo", "you you", "x! !", None, "aa AAA", "a\n" * 3])
     words = toxicity._tokens(texts)
-    assert [f.tolist() for f in toxicity._shapes(texts, words)] == [[0], [2], [3, 7], [4, 8]]
+    assert [f.tolist() for f in toxicity._shapes(texts, words, toxicity.word_hashes(words))] == [[0], [2], [3, 7], [4, 8]]
     docs, labels = labelled(spark)
     m = toxicity.fit(docs, labels, F.lit(True))
     assert set(m.voters) >= {0, 1} and m.votes.if_toxic[: toxicity.LEXICONS].max() > 0.2

@@ -1,28 +1,38 @@
 """Toxicity score by weak supervision.
 
-Named voters look at each document. Lexicons: eight lists of insults, some
-fixed, most of them words whose rate among labelled toxic documents far exceeds
-that among clean ones. A word belongs to one list, and every list has words of
-all languages: lists of one language each would exclude one another, and the
-label model needs voters that are independent given the label. Patterns: word beginnings (of 4, 5 and 6 bytes) of the same kind, in two parts. Shape: runs of
-capitals, runs of exclamation marks, stretched letters, a word said twice in a
-row. Clean side: words and beginnings typical of clean documents; these vote
-"toxic" where a document has none of them. A voter votes 1 or 0.
+Voters look at each document; each votes 1 or 0.
+
+* Insults: words of four themes (stupidity, worthlessness, filth, mockery) in
+  four languages, fixed in advance, and learned words, whose rate among labelled
+  toxic documents far exceeds that among clean ones. A list of one theme or one
+  language would exclude the others, and the label model can only tell
+  accuracies of voters that speak about the same documents; so the words are
+  dealt out to lists by frequency.
+* Learned beginnings: of 4, 5 and 6 bytes, chosen and dealt out alike.
+* Patterns, fixed in advance: an insult next to a word of address, a threat (a
+  verb of violence before a word of address), an insult with digits for letters.
+* Clean side: words and beginnings typical of clean documents; these vote
+  "toxic" where a document has none of them.
+* Shape: runs of capitals, runs of exclamation marks, stretched letters, a word
+  said twice in a row.
 
 The label model is generative: y, then votes with P(vote|y=1) and P(vote|y=0).
 Its accuracies come from second moments of the votes over all documents:
 off-diagonal covariances of voters independent given y are a product u_i u_j.
 Pairs whose covariance exceeds it by a correlation of ``correlated`` or more are
 taken as dependent, left out of the fit, and discounted in the posterior by that
-correlation; fit and choice alternate until the choice stays. In a bounded
-sample of labelled rows the label itself is one more voter, its accuracies
-estimated by EM. The posterior labels of that sample train a sparse logistic
-regression over all selected words and beginnings, which scores every document
-whole, without any label; its output is calibrated on the sample's labels.
-
-Null and empty texts hold no items and get the score of a text without any.
-Without labels of both kinds the score is the share of toxic labels (0 if
-none). Repeated rows and null ids are scored like any other.
+correlation; fit and choice alternate until the choice stays. Posteriors of a
+bounded sample of labelled rows come from their votes alone, tempered by one
+slope and one intercept, so rows with equal votes have equal posteriors. They
+are the target of a sparse logistic regression over all items (``max_items``
+learned ones at most, the strongest), which scores every document whole.
+
+A text is judged by evidence only: the intercept is fixed at the log-odds of the
+toxic share of labels, and the calibration on the sample's labels has a slope
+but no intercept of its own. So null, empty and foreign texts, which hold no
+item, score exactly that share. Without labels of both kinds every score is the
+share (0 if none). Repeated rows and null ids are scored like any other.
+Very long texts are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -36,19 +46,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm._labels import labelled_sample
-from weirflow.llm._words import PUNCTUATION, Words, chunks, mix, split, text_bytes, word_hashes
 from weirflow.llm.quality import fit_logistic
+from weirflow.llm._words import PUNCTUATION, Words, chunks, mix, split, text_bytes, word_hashes
 
-# fixed values: insults that the lexicons know without any label
-INSULTS = (
-    "idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile",
-    "idiota", "estúpido", "imbécil", "basura", "dummkopf", "abschaum", "trottel", "crétin", "abruti", "ordure",
-)
+# fixed values: what the themes and patterns know without any label
+THEMES = {
+    "stupidity": "idiot moron stupid dumb imbecile idiota estúpido imbécil tonto dummkopf trottel dumm crétin abruti stupide",
+    "worthlessness": "loser worthless pathetic useless inútil fracasado patético versager nutzlos wertlos minable pathétique",
+    "filth": "scum trash disgusting filth vermin basura asqueroso escoria abschaum dreck ekelhaft ordure dégoûtant racaille",
+    "mockery": "clown laughable buffoon payaso ridículo witzfigur lächerlich pitre bouffon",
+}
+VIOLENCE = "kill hurt destroy strangle matar matarte destruir töten umbringen tuer frapper"
+ADDRESS = "you your yours youre u du dich dein deine ihr tú ti eres usted ustedes toi ton ta vous votre"
+DIGITS_AS_LETTERS = bytes.maketrans(b"013457", b"oieast")
 PREFIXES = (4, 5, 6)
+PATTERNS = ("insult by address", "threat", "digits for letters")
 LEXICONS, PARTS = 8, 2
 SHAPES = ("capitals", "exclamation marks", "stretched letters", "word said twice")
-VOTERS = (*(f"words {i + 1}" for i in range(LEXICONS)), *(f"beginnings of {n}, part {i + 1}" for n in PREFIXES for i in range(PARTS)), "no clean words", "no clean beginnings", *SHAPES)
+VOTERS = (*(f"insults, part {i + 1}" for i in range(LEXICONS)), *(f"learned beginnings of {n}, part {i + 1}" for n in PREFIXES for i in range(PARTS)), "no clean words", "no clean beginnings", *PATTERNS, *SHAPES)
 _CLEAN = (VOTERS.index("no clean words"), VOTERS.index("no clean beginnings"))
+_SEEN = VOTERS.index(PATTERNS[0])
 _FILTER = 1 << 20
 _KIND = np.array([0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87], np.uint64)
 
@@ -70,7 +87,7 @@ class Model:
     voters: np.ndarray  # the items' voter, -1: none
     weights: np.ndarray
     bias: float
-    calibration: tuple[float, float]
+    slope: float
     votes: Accuracies
 
 
@@ -87,6 +104,15 @@ def _tokens(texts: pa.Array) -> Words:
     return split(texts, lower=True, separator=PUNCTUATION)
 
 
+def _hashes_of(text: str) -> np.ndarray:
+    return np.unique(word_hashes(_tokens(pa.array([text]))))
+
+
+_INSULTS, _VIOLENCE, _ADDRESS = (_hashes_of(t) for t in (" ".join(THEMES.values()), VIOLENCE, ADDRESS))
+_FIXED = np.zeros(_FILTER, bool)
+_FIXED[np.concatenate([_INSULTS, _VIOLENCE]) & np.uint64(_FILTER - 1)] = True
+
+
 def _known(words: Words, items: np.ndarray, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, item number) pairs of the items that texts hold."""
     docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -101,7 +127,38 @@ def _known(words: Words, items: np.ndarray, filter_: np.ndarray) -> tuple[np.nda
     return pairs // max(1, len(items)), pairs % max(1, len(items))
 
 
-def _shapes(texts: pa.Array, words: Words) -> list[np.ndarray]:
+def _listed(words: Words, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each word is one of the sorted ``known`` hashes."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def _patterns(words: Words, hashes: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the texts that each of ``PATTERNS`` finds."""
+    n = len(hashes)
+
+    def near(at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+        """Texts in which a word of address stands ``steps`` from one of the words ``at``."""
+        found = np.zeros(len(at), bool)
+        for step in steps:
+            to = np.clip(at + step, 0, max(0, n - 1))
+            found |= (words.doc[to] == words.doc[at]) & _listed(words, hashes[to], _ADDRESS) & (to == at + step)
+        return np.unique(words.doc[at[found]])
+
+    maybe = np.flatnonzero(_FIXED[hashes & np.uint64(_FILTER - 1)])
+    insult = maybe[_listed(words, hashes[maybe], _INSULTS)]
+    violent = maybe[_listed(words, hashes[maybe], _VIOLENCE)]
+    digit = np.append(0, np.cumsum((words.data >= 48) & (words.data <= 57)))
+    digits = digit[words.end] - digit[words.start]
+    mixed = np.flatnonzero((digits > 0) & (digits < words.end - words.start))
+    hidden = np.zeros(0, np.int64)
+    if len(mixed):
+        plain = np.frombuffer(words.data.tobytes().translate(DIGITS_AS_LETTERS), np.uint8)
+        some = Words(plain, words.offsets, words.start[mixed], words.end[mixed], words.doc[mixed])
+        hidden = np.unique(some.doc[_listed(some, word_hashes(some), _INSULTS)])
+    return [near(insult, (-2, -1, 1, 2)), near(violent, (1, 2)), hidden]
+
+
+def _shapes(texts: pa.Array, words: Words, hashes: np.ndarray) -> list[np.ndarray]:
     """Numbers of the texts that each of ``SHAPES`` finds."""
     data, off = text_bytes(texts)
 
@@ -116,7 +173,6 @@ def _shapes(texts: pa.Array, words: Words) -> list[np.ndarray]:
 
     letter = ((data | 32) >= 97) & ((data | 32) <= 122)
     same = (data[1:] == data[:-1]) & letter[1:]
-    hashes = word_hashes(words)
     twice = np.flatnonzero((hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1]))
     return [runs((data >= 65) & (data <= 90), 4), runs(data == 33, 2), of(np.flatnonzero(same[1:] & same[:-1]), 3), np.unique(words.doc[twice])]
 
@@ -126,8 +182,9 @@ def _votes(texts: pa.Array, words: Words, doc: np.ndarray, item: np.ndarray, vot
     out = np.zeros((len(texts), len(VOTERS)), np.int8)
     out[doc[voters[item] >= 0], voters[item][voters[item] >= 0]] = 1
     out[:, _CLEAN] = 1 - out[:, _CLEAN]
-    for i, found in enumerate(_shapes(texts, words)):
-        out[found, len(VOTERS) - len(SHAPES) + i] = 1
+    hashes = word_hashes(words)
+    for i, found in enumerate([*_patterns(words, hashes), *_shapes(texts, words, hashes)]):
+        out[found, _SEEN + i] = 1
     return out
 
 
@@ -238,36 +295,41 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def with_labels(posterior: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 20) -> np.ndarray:
-    """The posterior of labelled rows with their label as one more voter, whose accuracies are estimated by EM."""
+def tempered(posterior: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Posteriors with a common slope and intercept of their log-odds fitted to labels: votes that are not quite independent are too sure of themselves.
+
+    Rows with the same votes still have the same posterior, whatever their label.
+    """
     odds = np.log(np.clip(posterior, 1e-9, None)) - np.log(np.clip(1 - posterior, 1e-9, None))
-    a, b = fit_logistic(odds, label, weight)  # votes that are not quite independent are too sure of themselves
-    odds = a + b * odds
-    p = _sigmoid(odds)
-    for _ in range(steps):
-        if_toxic = np.clip((weight * p * label).sum() / max(1e-9, (weight * p).sum()), 0.5, 0.995)
-        if_clean = np.clip((weight * (1 - p) * label).sum() / max(1e-9, (weight * (1 - p)).sum()), 0.001, 0.5)
-        p = _sigmoid(odds + np.where(label == 1, np.log(if_toxic / if_clean), np.log((1 - if_toxic) / (1 - if_clean))))
-    return p
+    a, b = fit_logistic(odds, label, weight)
+    return _sigmoid(a + b * odds)
 
 
-def train_linear(rows: np.ndarray, items: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int, steps: int = 300, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels over sparse presence features, by accelerated gradient steps."""
+def train_linear(rows: np.ndarray, items: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int, bias: float, steps: int = 300, ridge: float = 3e-4) -> np.ndarray:
+    """Logistic regression on soft labels over sparse presence features with a fixed intercept, by accelerated gradient steps."""
     n = len(target)
     total = weight.sum()
-    w, b = np.zeros(width), 0.0
-    vw, vb = w.copy(), b
+    w = np.zeros(width)
+    vw = w.copy()
     per_row = np.bincount(rows, minlength=n)
-    rate = 4.0 / (1.0 + float((weight * (per_row + 1)).sum() / total))
+    rate = 4.0 / (1.0 + float((weight * per_row).sum() / total))
     for step in range(steps):
-        p = _sigmoid(np.bincount(rows, vw[items], minlength=n) + vb)
+        p = _sigmoid(np.bincount(rows, vw[items], minlength=n) + bias)
         g = weight * (p - target) / total
         nw = vw - rate * (np.bincount(items, g[rows], minlength=width) + ridge * vw)
-        nb = vb - rate * g.sum()
-        k = step / (step + 3)
-        vw, vb = nw + k * (nw - w), nb + k * (nb - b)
-        w, b = nw, nb
-    return w, b
+        vw = nw + step / (step + 3) * (nw - w)
+        w = nw
+    return w
+
+
+def fit_slope(raw: np.ndarray, label: np.ndarray, weight: np.ndarray, bias: float, steps: int = 50) -> float:
+    """The a >= 0 for which sigmoid(bias + a * raw) fits the labels best, by Newton steps; a weak prior holds it near 1."""
+    a, pull = 1.0, 1e-3 * weight.sum()
+    for _ in range(steps):
+        p = _sigmoid(bias + a * raw)
+        a -= ((weight * (p - label) * raw).sum() + pull * (a - 1)) / ((weight * p * (1 - p) * raw * raw).sum() + pull)
+        a = min(max(a, 0.0), 10.0)
+    return float(a)
 
 
 def fit(
@@ -281,7 +343,7 @@ def fit(
         p = min(max(positive / max(1, positive + negative), 1e-6), 1 - 1e-6)
         none = np.zeros(0)
         blind = Accuracies(none, none, none, np.zeros(len(VOTERS)), float(np.log(p / (1 - p))))
-        return Model(np.zeros(0, np.uint64), none.astype(int), none, float(np.log(p / (1 - p))), (0.0, 1.0), blind)
+        return Model(np.zeros(0, np.uint64), none.astype(int), none, float(np.log(p / (1 - p))), 0.0, blind)
     prior = positive / (positive + negative)
     sample = labelled_sample(docs, labels, label_col, usable, per_class, id_col, text_col)
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -291,26 +353,20 @@ def fit(
     strength = F.abs("lift") * F.sqrt(F.col("toxic") / n1 + F.col("clean") / n0)
     picked = scored.where((F.col("toxic") >= least) & (F.col("lift") > 1.5)).orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "item").limit(max_items * 2 // 3).collect()
     clean = scored.where(F.col("lift") < -1).orderBy(F.desc(strength), "item").limit(max_items // 3).collect()
-    insults = item_hashes(_tokens(pa.array([" ".join(INSULTS)])))[0]
     found = {int(np.int64(r.item).view(np.uint64)): (r.kind, r.lift, r.toxic) for r in [*picked, *clean]}
-    items = np.unique(np.concatenate([np.array(list(found), np.uint64), insults]))
+    themes = item_hashes(_tokens(pa.array([" ".join(THEMES.values())])))[0]
+    items = np.unique(np.concatenate([np.array(list(found), np.uint64), themes]))
 
     # voters that say "toxic" hold items that hardly occur in clean text
     kind, lifts, often = (np.array([found.get(int(i), (0, 0.0, 0))[x] for i in items]) for x in range(3))
     voters = np.full(len(items), -1)
-    sure, words = lifts > 2.5, kind == 0
-    voters[lifts < 0] = np.where(words[lifts < 0], *_CLEAN)
-
-    def dealt(which: np.ndarray, parts: int) -> np.ndarray:
-        """The frequent ones first, one to each part in turn, so that parts are alike."""
-        out = np.empty(which.sum(), np.int64)
-        out[np.lexsort((items[which], -often[which]))] = np.arange(len(out)) % parts
-        return out
-
-    for k in range(1, len(PREFIXES) + 1):
-        voters[sure & (kind == k)] = LEXICONS + PARTS * (k - 1) + dealt(sure & (kind == k), PARTS)
-    listed = (sure & words) | np.isin(items, insults)
-    voters[listed] = dealt(listed, LEXICONS)
+    voters[lifts < 0] = np.where(kind[lifts < 0] == 0, *_CLEAN)
+    sure, at = (lifts > 2.5) | np.isin(items, themes), 0
+    for k, parts in enumerate((LEXICONS, *(PARTS for _ in PREFIXES))):
+        which = np.flatnonzero(sure & (kind == k))
+        order = which[np.lexsort((items[which], -often[which]))]
+        voters[order] = at + np.arange(len(order)) % parts  # frequent ones in turn, so that parts are alike
+        at += parts
     n, together = vote_moments(docs, items, voters, text_col)
     model = label_model(n, together, prior, correlated)
 
@@ -323,9 +379,10 @@ def fit(
     rows, cols, y, posterior = np.array(rows, np.int64), np.array(cols, np.int64), np.array(y, np.float64), np.array(posterior)
     share = np.array([max(1e-9, np.mean(y == 0)), max(1e-9, np.mean(y == 1))])
     weight = np.array([1 - prior, prior])[y.astype(int)] / share[y.astype(int)]
-    w, b = train_linear(rows, cols, with_labels(posterior, y, weight), weight, len(items))
-    calibration = fit_logistic(np.clip(np.bincount(rows, w[cols], minlength=len(y)) + b, -30, 30), y, weight)
-    return Model(items, voters, w, b, calibration, model)
+    bias = float(np.log(prior / (1 - prior)))
+    w = train_linear(rows, cols, tempered(posterior, y, weight), weight, len(items), bias)
+    slope = fit_slope(np.clip(np.bincount(rows, w[cols], minlength=len(y)), -30, 30), y, weight, bias)
+    return Model(items, voters, w, bias, slope, model)
 
 
 def _held(docs: DataFrame, items: np.ndarray, voters: np.ndarray, model: Accuracies) -> DataFrame:
@@ -353,10 +410,9 @@ def _scores(texts: pa.Array, m: Model, filter_: np.ndarray, posterior: bool = Tr
     """Label model's posterior (if asked for) and calibrated score of each text."""
     words = _tokens(texts)
     d, i = _known(words, m.items, filter_)
-    raw = np.bincount(d, m.weights[i], minlength=len(texts)) + m.bias
+    raw = np.bincount(d, m.weights[i], minlength=len(texts))
     voted = _sigmoid(_votes(texts, words, d, i, m.voters) @ m.votes.weights + m.votes.bias) if posterior else None
-    a, b = m.calibration
-    return voted, _sigmoid(a + b * np.clip(raw, -30, 30))
+    return voted, _sigmoid(m.bias + m.slope * np.clip(raw, -30, 30))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
