@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import ann, chat, decontaminate, packing, quality, sharding, toxicity, warc
+from weirflow.llm import ann, chat, decontaminate, hyperminhash, packing, quality, sharding, toxicity, warc
 from weirflow.llm._labels import fold
 from weirflow.llm._shared import new_folder
 from weirflow.llm.simhash import near_duplicates
@@ -97,6 +97,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = hyperminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
@@ -108,8 +113,10 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_minhash": op11_minhash,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CONTROL = r"(<|\[)(\\*)(\||s>|/s>|INST\]|/INST\])"
 ORACLE_SQL = {
     "op4_chat": rf"""
@@ -140,4 +147,19 @@ ORACLE_SQL = {
             sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ')
                 ELSE array_to_string([words[i] for i in range(1, len(words) + 1) if NOT list_contains(gone, i)], ' ') END) AS kept_sha256
         FROM w LEFT JOIN g USING (doc_id)""",
+    "op11_minhash": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 3], ' ') AS s
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS pos FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach AS (SELECT doc_id, doc_id AS id FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.id),
+        c AS (SELECT doc_id, min(id) AS component_id FROM reach GROUP BY doc_id)
+        SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
 }
