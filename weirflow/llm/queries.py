@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import ann, chat, decontaminate, hyperminhash, packing, quality, sharding, toxicity, warc
+from weirflow.llm import ann, chat, decontaminate, hyperminhash, packing, quality, resample, sharding, toxicity, warc
 from weirflow.llm._labels import fold
 from weirflow.llm._shared import new_folder
 from weirflow.llm.simhash import near_duplicates
@@ -102,6 +102,11 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
@@ -114,6 +119,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_minhash": op11_minhash,
+    "op12_resample": op12_resample,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -162,4 +168,31 @@ ORACLE_SQL = {
         c AS (SELECT doc_id, min(id) AS component_id FROM reach GROUP BY doc_id)
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
         FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op12_resample": rf"""
+        WITH texts AS (SELECT doc_id, 0 AS side, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+        w AS (
+            SELECT doc_id, side, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w
+            FROM texts),
+        steps AS (
+            SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY b) AS step
+            FROM (SELECT unnest(range(256)) AS b)),
+        words AS (SELECT DISTINCT w FROM w),
+        bytes AS (
+            SELECT w, list_transform(range(octet_length(encode(w))),
+                lambda i: CAST(16 * (instr('0123456789ABCDEF', hex(w)[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hex(w)[2 * i + 2]) - 1 AS BIGINT)) AS b FROM words),
+        crc AS (
+            SELECT w, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]))) % 10000 AS bucket
+            FROM bytes, steps),
+        f AS (SELECT side, doc_id, bucket FROM w JOIN crc USING (w)),
+        n AS (SELECT range AS bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM range(10000) LEFT JOIN f ON f.bucket = range GROUP BY range),
+        g AS (
+            SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+        d AS (SELECT doc_id, count(*) AS n_features, sum(gain) AS total FROM f JOIN g USING (bucket) WHERE side = 0 GROUP BY doc_id),
+        h AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(CAST(floor(total / n_features) AS BIGINT), 0) AS weight,
+                CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h
+            FROM documents LEFT JOIN d USING (doc_id)),
+        x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n // 10 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
 }
