@@ -100,6 +100,15 @@ def test_null_ids_repeats_and_nothing(spark):
     assert linked[3] == linked[4] == 3
 
 
+def test_an_id_with_two_texts_is_one_document(spark):
+    rng = random.Random(5)
+    a, b = ([f"{x}{rng.randint(0, 99)}" for _ in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[:-1])), (4, " ".join(a[1:])), (5, " ".join(b[1:]))]
+    for rounds in (0, 2):
+        got = hmh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=rounds).collect()
+        assert len(got) == 6 and all(r.component_id in (1, 2, 3) for r in got)
+
+
 def test_registers_hold_zeros_and_mantissa():
     items = np.array([(5 << 57) | (0b00010110000000001 << 40), (5 << 57) | (1 << 56), (9 << 57)], np.uint64)
     out = hmh.sketches(np.sort(items), np.array([0, 3, 3]))

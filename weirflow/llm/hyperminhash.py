@@ -15,22 +15,24 @@ threshold are dropped and the rest is verified on the whole sets.
 
 A group of m copies would make m * m pairs. What is asked for are groups, so:
 
-1. In each list two leaders are found by an aggregate, with different labels
-   (a node's label is its group so far). Each node keeps the leader of another
-   label with whom it shares most lists. These pairs are verified and joined to
-   groups. Done ``ROUNDS`` times.
-2. Lists whose members are still in different groups are looked at pair by pair
-   in tasks. A list longer than ``LONG`` is first dealt out by a second band, and
+1. In each list of a quarter of the bands two leaders are found by an aggregate,
+   with different labels (a node's label is its group so far). Each node keeps the
+   leader of another label with whom it shares most lists. These pairs, as many
+   as nodes at most, are estimated, verified and joined to groups. Done ``ROUNDS``
+   times, each with other bands.
+2. Lists of all bands whose members are still in different groups are looked at
+   pair by pair in tasks. A list longer than ``LONG`` is first dealt out by a second band, and
    by a third: its near copies meet again there, texts that share little do not.
    Rows are sent with their registers first; rows with a partner of another
-   group that could reach the threshold come again with their sets, are
+   group that could reach the threshold come again with their texts, are
    verified inside the task, and links that join groups leave it.
 
 Words are lower-cased (A-Z only). Fewer words than a shingle: the whole sequence
 is one shingle. Null texts and texts without words have an empty set, which is
 linked with nothing unless ``link_empty``, when all of them are one group. Rows
-with a null id take no part and have a null component. Repeated rows are kept;
-extra columns are ignored.
+with a null id take no part and have a null component. Repeated rows are kept; an
+id whose rows have different texts is one document that is linked by either.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ BUCKET_BITS, MANTISSA, ROWS, SEED = 7, 10, 4, 42
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 ROUNDS, LONG = 2, 2048
+#: Bands of a round that looks for leaders.
+LED = BANDS // 4
 #: For each bucket, the order in which an empty one looks for a full one.
 _ORDER = np.stack([np.random.default_rng([SEED, i]).permutation(BUCKETS) for i in range(BUCKETS)]).astype(np.int16)
 _SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -160,27 +164,27 @@ def _rows_of(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _posted(nodes: DataFrame) -> DataFrame:
-    """``key, node``: a row for each band of each node."""
+def _posted(nodes: DataFrame, bands: range = range(BANDS)) -> DataFrame:
+    """``key, node, label``: a row for each of the ``bands`` of each node."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 keys = band_keys(_rows_of(part.column("registers"), np.uint16, BUCKETS)).view(np.int64)
-                for b in range(BANDS):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, b])), part.column("node")], ["key", "node"])
+                for b in bands:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, b])), part.column("node"), part.column("label")], ["key", "node", "label"])
 
-    return nodes.select("node", "registers").mapInArrow(post, f"key bigint, node {dict(nodes.dtypes)['node']}")
+    kind = dict(nodes.dtypes)["node"]
+    return nodes.select("node", "label", "registers").mapInArrow(post, f"key bigint, node {kind}, label {kind}")
 
 
 def _led(posts: DataFrame) -> DataFrame:
     """``v, u``: each node's most frequent leader of another label, over its lists (``key, node, label``)."""
-    spot = F.struct("label", "node")
-    leaders = posts.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a.label <> b.label")
-    met = posts.join(leaders, "key").select(F.col("node").alias("v"), "label", F.explode(F.array("a", "b")).alias("u")).where("label <> u.label")
-    shared = met.groupBy("v", F.col("u.node").alias("u")).agg(F.count("*").alias("n"))
-    return shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u"))
+    leaders = posts.groupBy("key").agg(F.min("label").alias("a"), F.min_by("node", "label").alias("a_node"), F.max("label").alias("b"), F.max_by("node", "label").alias("b_node")).where("a <> b")
+    other = F.when(F.col("label") == F.col("a"), F.col("b_node")).otherwise(F.col("a_node"))
+    met = posts.join(leaders, "key").select(F.col("node").alias("v"), other.alias("u"))
+    return met.groupBy("v", "u").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("u", "n").alias("u"))
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -200,39 +204,36 @@ def _promising(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("u", "v", "n", "m", "a", "b").mapInArrow(check, f"u {kind}, v {kind}")
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, items``: the shingle sets of the ``wanted`` nodes, from their own texts."""
-    wanted = cut(wanted.select(F.col("node").alias("__node")).distinct())
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``wanted`` (written rows, with ``node``) and the node's ``text``; texts stay where they are unless many are wanted."""
     small = wanted.count() <= SENT_IDS
     source = _source(docs, id_col, text_col)
-    texts = source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("__node"), "left_semi")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                items, bounds = shingle_sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([items[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["node", "items"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(sets_of, f"node {kind}, items binary")
+    return source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
 
 
 def _verified(docs: DataFrame, links: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The ``links`` (``u, v``) whose shingle sets have the similarity."""
+    """The ``links`` (``u, v``) whose shingle sets have the similarity; a ``v`` has one ``u``, so its text is sent once."""
     links = cut(links)
-    sets = cut(node_sets(docs, links.select(F.col("u").alias("node")).union(links.select("v")), n, id_col, text_col).dropDuplicates(["node"]))
+    led = _texts(docs, links.select("u", F.col("v").alias("node")), id_col, text_col).select("u", F.col("node").alias("v"), F.col("text").alias("b"))
+    leaders = _texts(docs, cut(links.select(F.col("u").alias("node")).distinct()), id_col, text_col).select(F.col("node").alias("u"), F.col("text").alias("a"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"))):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                good[i] = similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), threshold)
-            yield batch.select(["u", "v"]).filter(pa.array(good))
+            for part in chunks(batch, "b"):
+                mine, ends = shingle_sets(part.column("b"), n)
+                leader, at = np.unique(np.array(part.column("u").to_pylist()), return_inverse=True)
+                spot = np.zeros(len(leader), np.int64)
+                spot[at] = np.arange(len(at))
+                theirs, their_ends = shingle_sets(part.column("a").take(pa.array(spot)), n)
+                good = np.zeros(part.num_rows, bool)
+                for i, k in enumerate(at.tolist()):
+                    x, y = mine[ends[i] : ends[i + 1]], theirs[their_ends[k] : their_ends[k + 1]]
+                    good[i] = similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold)
+                yield part.select(["u", "v"]).filter(pa.array(good))
 
     kind = dict(links.dtypes)["u"]
-    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
-    return cut(pairs.select("u", "v", "a", "b").mapInArrow(check, f"u {kind}, v {kind}"))
+    # repeated ids with unequal texts give a pair several rows; any that reaches the threshold counts
+    return cut(led.join(leaders, "u").select("u", "v", "a", "b").mapInArrow(check, f"u {kind}, v {kind}").distinct())
 
 
 def similar(both: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -289,7 +290,7 @@ def list_links(registers: np.ndarray, sizes: np.ndarray, group: np.ndarray, outs
     group, links, least = group.copy(), [], lowest(threshold)
     for i in outside.tolist():
         j, _ = _candidates(registers, sizes, group, i, least)
-        while len(j):
+        while len(j) and len(sets[i]):
             some, j = j[:64], j[64:]
             flat = np.concatenate([sets[x] for x in some])
             at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
@@ -312,6 +313,7 @@ def _dealt(posts: DataFrame, nodes: DataFrame, long: int) -> DataFrame:
     """``key, node, label`` of mixed lists; those of over ``long`` rows dealt out by a second band, and a third."""
     now = cut(_mixed(posts))
     done = now.where(F.col("rows") <= long).drop("rows")
+    kind = dict(nodes.dtypes)["node"]
     for _ in range(2):
         over = now.where(F.col("rows") > long)
         if over.isEmpty():
@@ -326,7 +328,6 @@ def _dealt(posts: DataFrame, nodes: DataFrame, long: int) -> DataFrame:
                     for b in range(BANDS):
                         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, b])), part.column("node"), part.column("label")], ["key", "node", "label"])
 
-        kind = dict(nodes.dtypes)["node"]
         finer = over.join(nodes.select("node", "registers"), "node").select("key", "node", "label", "registers").mapInArrow(deal, f"key bigint, node {kind}, label {kind}")
         now = cut(_mixed(finer))
         done = done.unionByName(now.where(F.col("rows") <= long).drop("rows"))
@@ -353,18 +354,22 @@ def _joined(docs: DataFrame, nodes: DataFrame, posts: DataFrame, n: int, thresho
 
     members = rows.join(nodes.select("node", "n_shingles", "registers"), "node").select("key", "node", "label", "n_shingles", "registers")
     members = cut(_lists(members, possible, f"key bigint, node {kind}, label {kind}"))
-    sets = node_sets(docs, members.select("node"), n, id_col, text_col).dropDuplicates(["node"])
-    full = members.join(nodes.select("node", "n_shingles", "registers").join(sets, "node"), "node")
+    texts = _texts(docs, cut(members.select("node").distinct()), id_col, text_col).dropDuplicates(["node"])
+    full = members.join(nodes.select("node", "n_shingles", "registers"), "node").join(texts, "node")
 
     def links(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
-        registers, sizes = _rows_of(rows_.column("registers"), np.uint16, BUCKETS), rows_.column("n_shingles").to_numpy()
+        registers = _rows_of(rows_.column("registers"), np.uint16, BUCKETS)
         group, outside = _apart(rows_.column("label").combine_chunks())
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows_.column("items")]
+        sets_: list[np.ndarray] = []
+        for part in chunks(rows_.to_batches()[0]):
+            items, bounds = shingle_sets(part.column("text"), n)
+            sets_ += [items[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        sizes = np.fromiter(map(len, sets_), np.int64, len(sets_))
         found = np.array(list_links(registers, sizes, group, outside, sets_, threshold), np.int64).reshape(-1, 2)
         node = rows_.column("node").combine_chunks()
         yield pa.RecordBatch.from_arrays([node.take(pa.array(np.ascontiguousarray(found[:, c]))) for c in range(2)], ["u", "v"])
 
-    return cut(_lists(full.select("key", "node", "label", "n_shingles", "registers", "items"), links, f"u {kind}, v {kind}"))
+    return cut(_lists(full.select("key", "node", "label", "n_shingles", "registers", "text"), links, f"u {kind}, v {kind}"))
 
 
 def near_duplicates(
@@ -379,22 +384,21 @@ def near_duplicates(
     known = all_.where("doc_id IS NOT NULL")
     nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
     full = nodes.where("n_shingles > 0").select("node", "n_shingles", "registers")
-    posts = cut(_posted(full))
-    links, roots, label = None, None, F.col("node")
+    links, roots = None, None
     for step in range(rounds + 1):
-        labelled = posts.withColumn("label", label) if roots is None else posts.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = full.withColumn("label", F.col("node")) if roots is None else full.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
         if step < rounds:
-            new = _verified(docs, _promising(_led(labelled), full, threshold), n, threshold, id_col, text_col)
+            at = step * LED % BANDS
+            new = _verified(docs, _promising(_led(_posted(labelled, range(at, at + LED))), full, threshold), n, threshold, id_col, text_col)
         else:
-            new = _joined(docs, full, labelled, n, threshold, long, id_col, text_col)
+            new = _joined(docs, full, _posted(labelled), n, threshold, long, id_col, text_col)
         if links is not None and new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
         roots = cut(connected_components(links))
     placed = nodes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("component_id"))
     own = F.col("n_shingles") == 0
-    out = all_.join(placed, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(own & F.lit(not link_empty), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    return all_.join(placed, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(own & F.lit(not link_empty), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 4, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
