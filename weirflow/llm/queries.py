@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import ann, chat, decontaminate, hyperminhash, packing, quality, resample, sharding, toxicity, warc
+from weirflow.llm import ann, chat, decontaminate, hyperminhash, packing, quality, repair, resample, sharding, toxicity, warc
 from weirflow.llm._labels import fold
 from weirflow.llm._shared import new_folder
 from weirflow.llm.simhash import near_duplicates
@@ -107,6 +107,21 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")))
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    rows = repair.marked(repair.damaged(turns, F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary"))))
+    done = repair.edits(repair.faulty(rows))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("place", "role", "text"))), lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    texts = repair.repaired(rows, done).groupBy("conv_id").agg(F.sha2(F.array_join(said, "\n"), 256).alias("repaired_sha256"))
+    found = repair.report(rows, done)
+    out = turns.select("conv_id").distinct()
+    for i, other in enumerate((found, texts)):
+        out = out.join(other.withColumnRenamed("conv_id", f"__{i}"), F.col("conv_id").eqNullSafe(F.col(f"__{i}")), "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
@@ -120,8 +135,13 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_minhash": op11_minhash,
     "op12_resample": op12_resample,
+    "op13_repair": op13_repair,
 }
 
+#: The crc32 of each byte value, and of the bytes ``b`` of a row.
+_STEPS = """SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY b) AS step
+            FROM (SELECT unnest(range(256)) AS b)"""
+_CRC = "xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1])))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CONTROL = r"(<|\[)(\\*)(\||s>|/s>|INST\]|/INST\])"
 ORACLE_SQL = {
@@ -173,15 +193,13 @@ ORACLE_SQL = {
         w AS (
             SELECT doc_id, side, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w
             FROM texts),
-        steps AS (
-            SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY b) AS step
-            FROM (SELECT unnest(range(256)) AS b)),
+        steps AS ({_STEPS}),
         words AS (SELECT DISTINCT w FROM w),
         bytes AS (
             SELECT w, list_transform(range(octet_length(encode(w))),
                 lambda i: CAST(16 * (instr('0123456789ABCDEF', hex(w)[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hex(w)[2 * i + 2]) - 1 AS BIGINT)) AS b FROM words),
         crc AS (
-            SELECT w, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]))) % 10000 AS bucket
+            SELECT w, {_CRC} % 10000 AS bucket
             FROM bytes, steps),
         f AS (SELECT side, doc_id, bucket FROM w JOIN crc USING (w)),
         n AS (SELECT range AS bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM range(10000) LEFT JOIN f ON f.bucket = range GROUP BY range),
@@ -195,4 +213,46 @@ ORACLE_SQL = {
         x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
         r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
         SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n // 10 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
+    "op13_repair": rf"""
+        WITH RECURSIVE steps AS ({_STEPS}),
+        src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS b FROM conversations),
+        k AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS kind FROM src, steps),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM k WHERE kind <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
+        f AS (
+            SELECT *, role[1] AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+                lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+        m AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+        v AS (
+            SELECT conv_id, n AS i, {{'c': 0, 's': ''}} AS v0, {{'c': 4, 's': 'II'}} AS v1, {{'c': 2, 's': 'I'}} AS v2, {{'c': 0, 's': ''}} AS v3 FROM m
+            UNION ALL
+            SELECT conv_id, i - 1, least(n0, {{'c': 2 + n2.c, 's': 'I' || n2.s}}, {{'c': 4 + n3.c, 's': 'II' || n3.s}}), least(n1, {{'c': 2 + n2.c, 's': 'I' || n2.s}}, {{'c': 4 + n3.c, 's': 'II' || n3.s}}),
+                least(n2, {{'c': 2 + n3.c, 's': 'I' || n3.s}}), least(n3, {{'c': 2 + n2.c, 's': 'I' || n2.s}})
+            FROM (
+                SELECT v.conv_id, v.i,
+                    CASE WHEN gone THEN {{'c': 3 + v0.c, 's': 'D' || v0.s}} WHEN r = 's' THEN least({{'c': 3 + v0.c, 's': 'D' || v0.s}}, {{'c': x + v1.c, 's': 'K' || v1.s}}, {{'c': 2 + x + v2.c, 's': 'R' || v2.s}})
+                        ELSE least({{'c': 3 + v0.c, 's': 'D' || v0.s}}, {{'c': CASE r WHEN 'u' THEN 0 ELSE 2 END + x + v2.c, 's': CASE r WHEN 'u' THEN 'K' ELSE 'R' END || v2.s}}) END AS n0,
+                    CASE WHEN gone THEN {{'c': 3 + v1.c, 's': 'D' || v1.s}} ELSE least({{'c': 3 + v1.c, 's': 'D' || v1.s}}, {{'c': CASE r WHEN 'u' THEN 0 ELSE 2 END + x + v2.c, 's': CASE r WHEN 'u' THEN 'K' ELSE 'R' END || v2.s}}) END AS n1,
+                    CASE WHEN gone THEN {{'c': 3 + v2.c, 's': 'D' || v2.s}} ELSE least({{'c': 3 + v2.c, 's': 'D' || v2.s}}, {{'c': CASE r WHEN 'a' THEN 0 ELSE 2 END + x + v3.c, 's': CASE r WHEN 'a' THEN 'K' ELSE 'R' END || v3.s}}) END AS n2,
+                    CASE WHEN gone THEN {{'c': 3 + v3.c, 's': 'D' || v3.s}} ELSE least({{'c': 3 + v3.c, 's': 'D' || v3.s}}, {{'c': CASE r WHEN 'u' THEN 0 ELSE 2 END + x + v2.c, 's': CASE r WHEN 'u' THEN 'K' ELSE 'R' END || v2.s}}) END AS n3
+                FROM v JOIN (SELECT conv_id, i, r, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS x FROM f) f ON f.conv_id = v.conv_id AND f.i = v.i)),
+        best AS (SELECT conv_id, v0.c AS cost, v0.s AS audit FROM v WHERE i = 0),
+        e AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM best),
+        l AS (SELECT conv_id, p, audit[p] AS e, p - len(replace(audit[1:p], 'I', '')) AS ins, len(replace(replace(audit[1:p], 'D', ''), ' ', '')) AS place, len(replace(audit, 'D', '')) AS size FROM e),
+        t AS (
+            SELECT l.conv_id, p, CASE WHEN e = 'K' THEN role WHEN (place + size) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS said
+            FROM l LEFT JOIN f ON f.conv_id = l.conv_id AND f.i = p - ins WHERE e <> 'D'),
+        h AS (SELECT conv_id, sha256(string_agg(said, chr(10) ORDER BY p)) AS repaired_sha256 FROM t GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN h USING (conv_id)""",
 }
