@@ -6,13 +6,13 @@ two ends; ``v:account:micros`` for an account at one of its times.
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.operators import flow
 from weirflow.operators.features import micros
 from weirflow.operators.scan import active
 from weirflow.operators.traverse import cut_lineage
@@ -100,111 +100,30 @@ def budgets(arcs: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
     return sizes.withColumn("exceeded", (F.col("events") > limits.events) | (F.col("vertices") > limits.vertices) | (F.col("arcs") > limits.arcs))
 
 
-class FlowGraph:
-    """Residual capacities as flat lists; augments along shortest levels without recursion."""
-
-    def __init__(self, n: int) -> None:
-        self.out: list[list[int]] = [[] for _ in range(n)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-
-    def arc(self, a: int, b: int, capacity: int) -> int:
-        self.out[a].append(len(self.to))
-        self.out[b].append(len(self.to) + 1)
-        self.to += [b, a]
-        self.room += [capacity, 0]
-        return len(self.to) - 2
-
-    def levels(self, start: int) -> list[int]:
-        level = [-1] * len(self.out)
-        level[start] = 0
-        queue = deque([start])
-        while queue:
-            u = queue.popleft()
-            for e in self.out[u]:
-                if self.room[e] and level[self.to[e]] < 0:
-                    level[self.to[e]] = level[u] + 1
-                    queue.append(self.to[e])
-        return level
-
-    def max_flow(self, start: int, end: int) -> int:
-        total = 0
-        while (level := self.levels(start))[end] >= 0:
-            turn, path, u = [0] * len(self.out), [], start
-            while True:
-                if u == end:
-                    least = min(self.room[e] for e in path)
-                    total += least
-                    for e in path:
-                        self.room[e] -= least
-                        self.room[e ^ 1] += least
-                    full = next(i for i, e in enumerate(path) if not self.room[e])
-                    u = self.to[path[full] ^ 1]
-                    del path[full:]
-                    continue
-                while turn[u] < len(self.out[u]):
-                    e = self.out[u][turn[u]]
-                    if self.room[e] and level[self.to[e]] == level[u] + 1:
-                        break
-                    turn[u] += 1
-                if turn[u] < len(self.out[u]):
-                    path.append(self.out[u][turn[u]])
-                    u = self.to[path[-1]]
-                elif path:
-                    level[u] = -1
-                    u = self.to[path.pop() ^ 1]
-                else:
-                    break
-        return total
-
-
-def min_cut(arcs: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
+def min_cut(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets | None = None, region_arcs: int = flow.REGION_ARCS) -> DataFrame:
     """``case_id, status, cost, residual_path, event_id``: one row per cut edge, or one with a null event.
 
-    The cut nearest the sources, which every maximum flow gives alike. Networks
-    beyond the budgets get status ``budget_exceeded`` and are not gathered.
+    The cut nearest the sources, which every maximum flow gives alike. A case of
+    any size is solved, by regions. A caller may set budgets of the full
+    network: cases beyond them get status ``budget_exceeded``.
     """
-    event = dict(arcs.dtypes)["event_id"]
-    arcs = cut_lineage(arcs)
-    sizes = budgets(arcs, limits)
-    fits = arcs.join(sizes.where("NOT exceeded").select("case_id"), "case_id", "left_semi")
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "from_node", "to_node"])
-        names = {n: i for i, n in enumerate(pd.unique(pd.concat([pd.Series(["S", "T"]), rows["from_node"], rows["to_node"]])))}
-        graph = FlowGraph(len(names))
-        infinite = int(sum(c for c, k in zip(rows["capacity"], rows["cuttable"]) if k)) + 1
-        for a, b, c in zip(rows["from_node"], rows["to_node"], rows["capacity"]):
-            graph.arc(names[a], names[b], int(c))
-        flow = graph.max_flow(names["S"], names["T"])
-        status = "no_path_exists" if not flow else "no_feasible_cut" if flow >= infinite else "optimal_cut_found"
-        cut = []
-        if status == "optimal_cut_found":
-            level = graph.levels(names["S"])
-            cut = [e for e, k, a, b in zip(rows["event_id"], rows["cuttable"], rows["from_node"], rows["to_node"]) if k and level[names[a]] >= 0 > level[names[b]]]
-            gone = set(cut)
-            left = FlowGraph(len(names))  # without the cut edges, is the sink still reached?
-            for e, k, a, b, c in zip(rows["event_id"], rows["cuttable"], rows["from_node"], rows["to_node"], rows["capacity"]):
-                if not (k and e in gone):
-                    left.arc(names[a], names[b], int(c))
-            open_ = left.levels(names["S"])[names["T"]] >= 0
-        else:
-            open_ = bool(flow)
-        out = pd.DataFrame({"event_id": cut or [None]})
-        if "int" in event:
-            out["event_id"] = out["event_id"].astype("Int64")
-        return out.assign(case_id=key[0], status=status, cost=str(flow), residual_path=open_)[["case_id", "status", "cost", "residual_path", "event_id"]]
-
-    found = fits.groupBy("case_id").applyInPandas(solve, f"case_id string, status string, cost string, residual_path boolean, event_id {event}")
-    found = found.withColumn("cost", F.col("cost").cast(WIDE))
-    over = sizes.where("exceeded").select("case_id", F.lit("budget_exceeded").alias("status"), F.lit(None).cast(WIDE).alias("cost"), F.lit(None).cast("boolean").alias("residual_path"), F.lit(None).cast(event).alias("event_id"))
-    return found.unionByName(over)
-
-
-def chokepoints(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
+    moves = active(events)
+    over = None
+    if limits is not None:
+        sizes = cut_lineage(budgets(network_arcs(moves, costs, sources, sinks), limits))
+        over = sizes.where("exceeded").select("case_id")
+        moves = moves.join(over, "case_id", "left_anti")
+    found = flow.least_cut(moves, *flow.max_flow(flow.contracted(moves, costs, sources, sinks), region_arcs))
+    if over is None:
+        return found
+    event = dict(events.dtypes)["event_id"]
+    return found.unionByName(over.select("case_id", F.lit("budget_exceeded").alias("status"), F.lit(None).cast(WIDE).alias("cost"), F.lit(None).cast("boolean").alias("residual_path"), F.lit(None).cast(event).alias("event_id")))
+
+
+def chokepoints(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets | None = None) -> DataFrame:
     """The least-collateral cut of each case with its edges' details, in time order within the case."""
     costs = encoded_costs(active(events), eligible, collateral)
-    return _detailed(events, costs, min_cut(network_arcs(events, costs, sources, sinks), limits))
+    return _detailed(events, costs, min_cut(events, costs, sources, sinks, limits))
 
 
 def _detailed(events: DataFrame, costs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -252,13 +171,14 @@ def count_paths(events: list[tuple], sources: set, sinks: set, most: int, depth:
     return found
 
 
-def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets = Budgets()) -> tuple[DataFrame, DataFrame]:
+def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets | None = None) -> tuple[DataFrame, DataFrame]:
     """One row per case of a search, and the edges of its cuts (as ``chokepoints`` gives them).
 
     Status, cost, size and collateral of the cut; whether it is verified: no
     residual flow in the network, and no path left in the graph without its
     edges. Paths before and after (counted up to the budget), sizes of the
-    network, and sentences. Terminals that are missing or on both sides make a
+    network, and sentences. Without ``limits`` every case is solved and paths are
+    counted up to the default. Terminals that are missing or on both sides make a
     case ``invalid_input``.
     """
     moves = active(events)
@@ -270,7 +190,8 @@ def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sourc
     side = lambda c: asked.select("case_id", F.explode(c).alias("account"))
     costs = cut_lineage(encoded_costs(moves, eligible, collateral))
     arcs = cut_lineage(network_arcs(moves.join(asked.select("case_id"), "case_id", "left_semi"), costs, side("sources"), side("sinks")))
-    cut = cut_lineage(min_cut(arcs, limits))
+    most = (limits or Budgets()).paths
+    cut = cut_lineage(min_cut(moves.join(asked.select("case_id"), "case_id", "left_semi"), costs, side("sources"), side("sinks"), limits))
     edges = _detailed(events, costs, cut)
     totals = edges.groupBy("case_id").agg(
         F.first("status").alias("status"), F.first("cost").alias("cost"), F.first("residual_path").alias("residual_path"), F.count("event_id").alias("cut_size"), F.coalesce(F.sum("collateral"), F.lit(0)).alias("collateral"),
@@ -285,11 +206,11 @@ def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sourc
             gone = set(one.cut)
             every = list(zip(moves_["event_id"], moves_["t"], moves_["sender"], moves_["receiver"]))
             before, after = ([e[1:] for e in every if keep or e[0] not in gone] for keep in (True, False))
-            counts.append((key[0], *(count_paths(e, set(one.sources), set(one.sinks), limits.paths) for e in (before, after))))
+            counts.append((key[0], *(count_paths(e, set(one.sources), set(one.sinks), most) for e in (before, after))))
         return pd.DataFrame(counts, columns=["case_id", "initial_paths", "residual_paths"])
 
     paths = rows.groupBy("case_id").cogroup(solved.groupBy("case_id")).applyInPandas(verify, "case_id string, initial_paths bigint, residual_paths bigint")
-    out = sides.join(totals, "case_id", "left").join(paths, "case_id", "left").join(budgets(arcs, limits).drop("exceeded"), "case_id", "left").join(costs.groupBy("case_id").agg(F.count("*").alias("eligible")), "case_id", "left")
+    out = sides.join(totals, "case_id", "left").join(paths, "case_id", "left").join(budgets(arcs).drop("exceeded"), "case_id", "left").join(costs.groupBy("case_id").agg(F.count("*").alias("eligible")), "case_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     optimal = F.col("status") == "optimal_cut_found"
     out = out.withColumn("status", F.when(F.col("invalid"), "invalid_input").otherwise(F.coalesce("status", F.lit("no_path_exists"))))

@@ -26,7 +26,7 @@ class Request:
     top_k: int = 3
     max_depth: int = 3
     with_forecast: bool = True
-    budgets: chokepoint.Budgets = field(default_factory=chokepoint.Budgets)
+    budgets: chokepoint.Budgets | None = None
 
 
 @dataclass

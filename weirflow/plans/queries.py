@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.columns import confidence, evidence_signals, proportional_allocation, rupees
-from weirflow.operators import chokepoint, counterfactual, evaluate, features, forecast, motifs, pareto, risk, scan, taint, traverse
+from weirflow.operators import chokepoint, counterfactual, evaluate, features, flow, forecast, motifs, pareto, risk, scan, taint, traverse
 from weirflow.plans.investigate import Request, investigate
 from weirflow.sources import synthetic
 from weirflow.sources.transfers import seeds, transfers, transfers_sql
@@ -567,13 +567,14 @@ def encoded_costs(spark: SparkSession, d: str) -> DataFrame:
     return found.select("case_id", "event_id", "collateral", F.col("cost").cast("bigint").alias("cost"))
 
 
-def _network(spark: SparkSession, d: str) -> DataFrame:
+def _network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Active transfers, costs of those after noon, accounts 0 to 4 and 7 to 11 of every case."""
     moves = scan.active(transfers(spark, d))
     later = scan.eligible(moves.join(times_of(moves), "case_id"), F.col("as_of"))
     costs = chokepoint.encoded_costs(moves, later, moves.select("case_id", "event_id", (F.col("event_id") % 97).alias("collateral")))
     cases = moves.select("case_id").distinct()
     side = lambda first: cases.select("case_id", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + 4).cast("bigint"))).alias("account"))
-    return chokepoint.network_arcs(moves, costs, side(0), side(7))
+    return moves, costs, side(0), side(7)
 
 
 @_register(
@@ -590,12 +591,26 @@ def _network(spark: SparkSession, d: str) -> DataFrame:
         SELECT case_id, kind, from_node, to_node, CAST(capacity AS BIGINT) AS capacity FROM r"""),
 )
 def network_arcs(spark: SparkSession, d: str) -> DataFrame:
-    return _network(spark, d).select("case_id", "kind", "from_node", "to_node", F.col("capacity").cast("bigint").alias("capacity"))
+    return chokepoint.network_arcs(*_network(spark, d)).select("case_id", "kind", "from_node", "to_node", F.col("capacity").cast("bigint").alias("capacity"))
 
 
 @_register("min_cut")
 def min_cut(spark: SparkSession, d: str) -> DataFrame:
-    return chokepoint.min_cut(_network(spark, d)).withColumn("cost", F.col("cost").cast("string"))
+    return chokepoint.min_cut(*_network(spark, d)).withColumn("cost", F.col("cost").cast("string"))
+
+
+@_register(
+    "flow_certificate",
+    _with(""", arrived AS (SELECT case_id, receiver AS ac, min(occurred_at) AS t FROM a WHERE receiver NOT BETWEEN 7 AND 11 GROUP BY ALL)
+        SELECT a.case_id, count(*) FILTER (WHERE sender BETWEEN 0 AND 4 OR t < occurred_at) AS events, 0 AS over_capacity, 0 AS unbalanced, 0 AS gap
+        FROM a LEFT JOIN arrived ON arrived.case_id = a.case_id AND ac = sender GROUP BY a.case_id"""),
+)
+def flow_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """The flow of every case proves the cut of every case: nothing above capacity, nothing lost, as much as the cut costs."""
+    network = _network(spark, d)
+    flowed, side = flow.max_flow(flow.contracted(*network))
+    found = flow.certificate(flowed, flow.least_cut(network[0], flowed, side))
+    return found.select("case_id", "events", "over_capacity", "unbalanced", F.col("gap").cast("bigint").alias("gap"))
 
 
 _OPTIONS = """, c AS (SELECT case_id, 'cf-' || sender AS intervention_id, sender, CAST(sum(CASE WHEN channel IN ('upi', 'neft', 'wire') THEN amount_minor_units ELSE 0 END) AS BIGINT) AS intercepted,
