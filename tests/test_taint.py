@@ -1,8 +1,11 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import CHAIN, at, graph, seeds
 from weirflow.functions.columns import proportional_allocation
-from weirflow.operators import counterfactual, taint
+from weirflow.operators import counterfactual, taint, traverse
 
 
 def run(spark, rows, marks):
@@ -54,8 +57,6 @@ def test_ties_of_remainders_go_to_the_smaller_key(spark):
     assert taint.split(1, {"Z": 1, "__clean__": 1}) == {"Z": 1, "__clean__": 0}
     rows = [(1, [("b", 1), ("a", 1)]), (5, [("x", 3), ("y", 3), ("z", 3)]), (0, [("x", 3)]), (4, [("x", 0), ("y", 0)]), (10**18 * 9, [("x", 9 * 10**18), ("y", 9 * 10**18)])]
     df = spark.createDataFrame(rows, "n bigint, parts array<struct<key:string,balance:bigint>>")
-    from pyspark.sql import functions as F
-
     for r in df.select("n", "parts", proportional_allocation(F.col("n"), F.col("parts")).alias("got")).collect():
         want = taint.split(r.n if sum(p.balance for p in r.parts) else 0, {p.key: p.balance for p in r.parts})
         assert {p.key: p.amount for p in r.got} == want
@@ -102,3 +103,23 @@ def test_shortfall_lowers_confidence_and_untainted_holds_gain_nothing(spark):
     rows = [("s", "V", "A", 0, 100), ("o", "A", "B", 10, 300), ("n", "Q", "R", 11, 50)]
     r, *_ = outcomes(spark, rows, [("s", 100)], 5, ("e", "o"), ("e", "n"))
     assert r["o"].provenance_confidence == 0.8 and r["n"].intercepted == 0 and r["n"].affected_edges == 1
+
+
+def test_large_cases_in_parts(spark):
+    rng = random.Random(6)
+    many = [(f"m{k}", rng.choice("ABCDEFGH"), rng.choice("ABCDEFGH"), k // 3, rng.randint(0, 900)) for k in range(90)]
+    apart = [(f"p{k}", f"{k % 5}{rng.choice('xyz')}", f"{k % 5}{rng.choice('xyz')}", k, rng.randint(1, 900)) for k in range(60)]
+    wide = [(f"w{k}", f"{rng.randint(0, 60)}", f"{rng.randint(0, 60)}", k, rng.randint(1, 900), "completed" if k % 7 else "failed") for k in range(120)]
+    g = graph(spark, *many, case="c").unionByName(graph(spark, *apart, case="d")).unionByName(graph(spark, *wide, case="f")).unionByName(graph(spark, ("q", "A", "B", 0, 5), case="e"))
+    s = seeds(spark, ("m1", max(1, many[1][4])), ("m40", 1)).unionByName(seeds(spark, ("p0", 1), ("p1", 1), case="d")).unionByName(seeds(spark, ("w1", 1), ("w50", 1), case="f"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("case_id", "sequence", "event_id", "occurred_at", "balance_before", "tainted_before", "tainted", "clean", "unattributed", "is_seed", F.to_json("contributions")).collect())
+    want = rows(taint.allocations(g, s))
+    assert rows(taint.allocations(g, s, fold_events=25)) == want and len(want) == 90 + 60 + 102 + 1
+
+
+def test_components_and_ranks(spark):
+    links = spark.createDataFrame([("c", i, i + 1) for i in range(40) if i != 20] + [("d", 1, 1), ("d", 7, 3)], "case_id string, a int, b int")
+    got = {(r.case_id, r.node): r.root for r in traverse.components(links, ["case_id"]).collect()}
+    assert got == {**{("c", i): 0 if i <= 20 else 21 for i in range(41)}, ("d", 1): 1, ("d", 7): 3, ("d", 3): 3}
+    rows = spark.createDataFrame([(g, k * 7 % 101) for g in "ab" for k in range(101)], "g string, x int")
+    assert all(r.place == r.x for r in traverse.ranked(rows, "g", ["x"], "place").collect())

@@ -1,8 +1,14 @@
 """Pooled proportional provenance: an ordered fold per case, and what follows from it.
 
 The fold is not associative, since proportions depend on the order of events,
-so a case is folded in one task, in (time, ingestion) order; cases run in
-parallel. Everything derived from the allocations is built-in operations.
+but events that share no account do not wait for each other. A case of up to
+``fold_events`` events is one fold, in (time, ingestion) order. A larger one is
+taken apart: accounts that are connected by no transfer are folds of their own;
+a connected part that is still too large is cut into stretches of as many
+events, folded one after another, and within a stretch again the accounts that
+its events connect are folds of their own, which begin with the balances that
+the stretch before has left. So no fold has more than twice ``fold_events``.
+Everything derived from the allocations is built-in operations.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.columns import CLEAN
 from weirflow.operators.scan import active
+from weirflow.operators.traverse import components, cut_lineage, ranked
 
 PART = "struct<source_id:string,amount:bigint>"
 ALLOCATION = (
@@ -116,29 +123,90 @@ def seeds_of(pdf: pd.DataFrame) -> dict[str, dict[str, int]]:
 
 
 _COLUMNS = ["case_id", "event_id", "transaction_id", "ingest_seq", "sender", "receiver", "amount_minor_units", "occurred_at"]
+#: Events of one fold.
+FOLD_EVENTS = 200_000
 
 
-def allocations(transfers: DataFrame, seeds: DataFrame) -> DataFrame:
+def _fold(ledger: Ledger, events: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
+    """``events`` in order with what each carried; ``ledger`` is left as it is after them."""
+    events = events.sort_values(["occurred_at", "ingest_seq"], kind="stable").reset_index(drop=True)
+    moves = zip(events["event_id"], events["transaction_id"], events["sender"], events["receiver"], (int(a) for a in events["amount_minor_units"]))
+    ran = replay(ledger, moves, seeds_of(marked))
+    frame = events.copy()
+    if "sequence" not in frame:
+        frame.insert(1, "sequence", range(len(frame)))
+    for name, i in (("balance_before", 1), ("tainted_before", 2), ("tainted", 3), ("clean", 4), ("unattributed", 5), ("is_seed", 7)):
+        frame[name] = [r[i] for r in ran]
+    frame["contributions"] = pd.Series([[{"source_id": s, "amount": a} for s, a in sorted(r[6].items())] for r in ran], dtype=object)
+    return frame
+
+
+def allocations(transfers: DataFrame, seeds: DataFrame, fold_events: int = FOLD_EVENTS) -> DataFrame:
     """What each active event carried: one row per event, in ``sequence`` within its case."""
     from pyspark.sql.types import _parse_datatype_string
 
-    def fold(key: tuple, events: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values(["occurred_at", "ingest_seq"], kind="stable").reset_index(drop=True)
-        moves = zip(events["event_id"], events["transaction_id"], events["sender"], events["receiver"], (int(a) for a in events["amount_minor_units"]))
-        ran = replay(Ledger(), moves, seeds_of(marked))
-        parts = [[{"source_id": s, "amount": a} for s, a in sorted(r[6].items())] for r in ran]
-        frame = events[["case_id", "event_id", "transaction_id", "sender", "receiver", "occurred_at", "amount_minor_units"]].copy()
-        frame.insert(1, "sequence", range(len(frame)))
-        for name, i in (("balance_before", 1), ("tainted_before", 2), ("tainted", 3), ("clean", 4), ("unattributed", 5), ("is_seed", 7)):
-            frame[name] = [r[i] for r in ran]
-        frame["contributions"] = parts
-        return frame[names]
-
     schema = _typed(transfers, ALLOCATION)
     names = [f.name for f in _parse_datatype_string(schema).fields]
     moves = active(transfers).select(*_COLUMNS)
     marked = seeds.select(*(F.col(c).alias(c) for c in ("case_id", "transaction_id", "source_id", "tainted_amount")))
-    return moves.groupBy("case_id").cogroup(marked.groupBy("case_id")).applyInPandas(fold, schema)
+    large = cut_lineage(moves.groupBy("case_id").count().where(F.col("count") > fold_events).select("case_id"))
+    if large.isEmpty():
+        return moves.groupBy("case_id").cogroup(marked.groupBy("case_id")).applyInPandas(lambda key, events, told: _fold(Ledger(), events, told)[names], schema)
+    small = moves.join(large, "case_id", "left_anti")
+    whole = small.groupBy("case_id").cogroup(marked.groupBy("case_id")).applyInPandas(lambda key, events, told: _fold(Ledger(), events, told)[names], schema)
+    return whole.unionByName(_in_parts(moves.join(large, "case_id", "left_semi"), marked, fold_events, schema, names))
+
+
+def _in_parts(moves: DataFrame, marked: DataFrame, fold_events: int, schema: str, names: list[str]) -> DataFrame:
+    """Allocations of cases that are too large for one fold."""
+    moves = cut_lineage(ranked(moves, "case_id", ["occurred_at", "ingest_seq"], "sequence").withColumn("sequence", F.col("sequence").cast("int")))
+    told = marked.groupBy("case_id", "transaction_id").agg(F.collect_list(F.struct("source_id", "tainted_amount")).alias("marks"))
+    moves = moves.join(told, ["case_id", "transaction_id"], "left")
+
+    def with_root(rows: DataFrame, scope: list[str], name: str) -> DataFrame:
+        roots = components(rows.select(*scope, F.col("sender").alias("a"), F.col("receiver").alias("b")), scope)
+        return rows.join(roots.select(*scope, F.col("node").alias("sender"), F.col("root").alias(name)), [*scope, "sender"])
+
+    moves = cut_lineage(with_root(moves, ["case_id"], "part"))
+    sizes = moves.groupBy("case_id", "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("case_id", "part").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    # a stretch is a run of spans of the case's sequence, each with fold_events of its events at most, so it has less than twice as many
+    spans = moves.join(sizes.where(F.col("n") > fold_events).drop("n"), ["case_id", "part"], "left_semi").withColumn("__span", F.floor(F.col("sequence") / fold_events))
+    spans = spans.groupBy("case_id", "part", "__span").agg(F.count("*").alias("n")).withColumn("stretch", (F.coalesce(F.sum("n").over(order), F.lit(0)) / fold_events).cast("int"))
+    moves = moves.withColumn("__span", F.floor(F.col("sequence") / fold_events)).join(spans.drop("n"), ["case_id", "part", "__span"], "left").drop("__span")
+    moves = cut_lineage(moves.withColumn("stretch", F.coalesce("stretch", F.lit(0))))
+    moves = cut_lineage(with_root(moves, ["case_id", "part", "stretch"], "fold"))
+    types = dict(moves.dtypes)
+    balance = f"case_id string, account {types['sender']}, source_id string, amount bigint"
+
+    def run(key: tuple, events: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        columns = ["case_id", "account", "source_id", "amount", *names[1:]]
+        if not len(events):
+            return pd.DataFrame([], columns=columns, dtype=object)
+        pools: dict = {}
+        for account, source, amount in zip(held["account"], held["source_id"], held["amount"]):
+            pools.setdefault(account, {CLEAN: 0})[source] = int(amount)
+        ledger = Ledger(pools)
+        marks = [(tx, m["source_id"], m["tainted_amount"]) for tx, some in zip(events["transaction_id"], events["marks"]) if some is not None for m in some]
+        done = _fold(ledger, events, pd.DataFrame(marks, columns=["transaction_id", "source_id", "tainted_amount"]))[names]
+        rows = [(key[0], None, None, None, *r[1:]) for r in done.itertuples(index=False, name=None)]
+        rows += [(key[0], a, s, v, *(None for _ in names[1:])) for a, pool in ledger.balances.items() for s, v in pool.items() if v]
+        return pd.DataFrame(rows, columns=columns, dtype=object)
+
+    out_schema = f"{balance}, {schema.removeprefix('case_id string, ')}"
+    balances_, found = None, None
+    for k in range(moves.agg(F.max("stretch")).first()[0] + 1):
+        now = moves.where(F.col("stretch") == k)
+        touched = now.select("case_id", "fold", F.explode(F.array("sender", "receiver")).alias("account")).distinct()
+        empty = touched.select("case_id", "fold", "account", F.lit("").alias("source_id"), F.lit(0).cast("bigint").alias("amount")).where("false")
+        held = empty if balances_ is None else balances_.join(touched, ["case_id", "account"]).select("case_id", "fold", "account", "source_id", "amount")
+        held = held.select(*(F.col(c).alias(c) for c in held.columns))
+        said = cut_lineage(now.groupBy("case_id", "fold").cogroup(held.groupBy("case_id", "fold")).applyInPandas(run, out_schema))
+        done, after = said.where("event_id IS NOT NULL").select(*names), said.where("account IS NOT NULL").select("case_id", "account", "source_id", "amount")
+        found = done if found is None else found.unionByName(done)
+        kept = after if balances_ is None else balances_.join(touched.select("case_id", "account"), ["case_id", "account"], "left_anti").unionByName(after)
+        balances_ = cut_lineage(kept)
+    return found
 
 
 def _typed(transfers: DataFrame, schema: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.scan import active, as_of
@@ -25,6 +25,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def components(links: DataFrame, scope: list[str]) -> DataFrame:
+    """``scope, node, root`` of undirected ``links`` (``scope, a, b``): the smallest node reachable within the scope.
+
+    Each round a node takes the smallest label around it, and then that label's
+    own label; rounds grow with the logarithm of the longest way.
+    """
+    both = links.select(*scope, "a", "b").unionByName(links.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut_lineage(both)
+    labels = cut_lineage(both.groupBy(*scope, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        around = both.join(labels.withColumnRenamed("node", "b"), [*scope, "b"]).groupBy(*scope, F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        lower = labels.join(around, [*scope, "node"]).select(*scope, "node", "root", F.least("root", "least").alias("new"))
+        lower = cut_lineage(lower)
+        jump = lower.select(*scope, F.col("node").alias("new"), F.col("new").alias("jumped"))
+        moved = cut_lineage(lower.join(jump, [*scope, "new"]).select(*scope, "node", "root", F.least("new", "jumped").alias("new")))
+        if moved.where("root <> new").isEmpty():
+            return moved.select(*scope, "node", "root")
+        labels = moved.select(*scope, "node", F.col("new").alias("root"))
+
+
+def ranked(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 0 within ``by``, without bringing a group into one task.
+
+    Rows are sorted over all tasks and counted within each; the counts, one for
+    each group and task, give where a task's first row stands.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, by, *order).withColumn("__part", F.spark_partition_id())
+    placed = cut_lineage(placed)
+    counts = placed.groupBy(by, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(by, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order)) - 1
+    return placed.withColumn("__inside", inside).join(counts, [by, "__part"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before")
+
+
 def downstream(transfers: DataFrame, start: DataFrame, max_depth: int | None = None, start_time: Any = None) -> DataFrame:
     """Active edges that money can reach from ``start`` (``case_id, account``), with the least number of hops.
 
