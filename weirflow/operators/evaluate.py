@@ -104,17 +104,28 @@ def strategies(world: DataFrame, seeds: DataFrame, times: DataFrame, limits: par
     picks = wide.where("selected").withColumn("strategy", F.lit(OWN)).drop("n")
     for name, measure in BASELINES.items():
         picks = picks.unionByName(pareto.baseline_choice(wide, measure, name != "maximum_immediate_recovery").withColumn("strategy", F.lit(name)))
-    return cut_lineage(choices(picks, times)), rows
+    cold = world.groupBy("case_id").agg(F.max(F.col("family") == "cold_start").alias("cold_start")) if "family" in world.columns else None
+    return cut_lineage(choices(picks, times if cold is None else times.join(cold, "case_id", "left"), rows)), rows
 
 
-def choices(picks: DataFrame, cases: DataFrame) -> DataFrame:
-    """A row per case and strategy from ``picks`` (``case_id, strategy`` and an evaluation); a strategy without a pick has zeros."""
+def choices(picks: DataFrame, cases: DataFrame, evaluations: DataFrame | None = None) -> DataFrame:
+    """A row per case and strategy from ``picks`` (``case_id, strategy`` and an evaluation); a strategy without a pick has zeros.
+
+    ``tie_count``: feasible rows of the case's ``evaluations`` that intercept and
+    affect as much as the pick, itself included. ``cold_start`` is that of ``cases``.
+    """
     kept = ["case_id", "strategy", "intervention_id", "intercepted", "legitimate", "affected_accounts", "affected_edges", "pareto_rank"]
     names = picks.sparkSession.createDataFrame([(n,) for n in (*BASELINES, OWN)], "strategy string")
-    every = cases.select("case_id").join(F.broadcast(names))  # five names
+    cold = F.coalesce("cold_start", F.lit(False)) if "cold_start" in cases.columns else F.lit(False)
+    every = cases.select("case_id", cold.alias("cold_start")).join(F.broadcast(names))  # five names
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).alias(n)
     chosen = every.join(picks.select(kept), ["case_id", "strategy"], "left")
-    return chosen.select("case_id", "strategy", "intervention_id", F.col("intervention_id").isNotNull().alias("feasible"), *(zero(n) for n in kept[3:7]), F.coalesce(F.col("pareto_rank") == 0, F.lit(False)).alias("pareto_efficient"), benchmark_efficiency(F.col("intercepted"), F.col("legitimate")).alias("efficiency"))
+    if evaluations is None:
+        chosen = chosen.withColumn("tie_count", F.lit(0).cast("bigint"))
+    else:
+        alike = evaluations.where("feasible").groupBy("case_id", "intercepted", "legitimate").agg(F.count("*").alias("tie_count"))
+        chosen = chosen.join(alike, ["case_id", "intercepted", "legitimate"], "left")
+    return chosen.select("case_id", "strategy", "cold_start", zero("tie_count"), "intervention_id", F.col("intervention_id").isNotNull().alias("feasible"), *(zero(n) for n in kept[3:7]), F.coalesce(F.col("pareto_rank") == 0, F.lit(False)).alias("pareto_efficient"), benchmark_efficiency(F.col("intercepted"), F.col("legitimate")).alias("efficiency"))
 
 
 def strategy_totals(chosen: DataFrame) -> DataFrame:
@@ -122,6 +133,7 @@ def strategy_totals(chosen: DataFrame) -> DataFrame:
     out = chosen.groupBy("strategy").agg(
         F.count("*").alias("scenarios"), F.count_if("feasible").alias("feasible"), F.sum("intercepted").alias("recovery"), F.sum("legitimate").alias("collateral"),
         F.sum("affected_accounts").alias("accounts"), F.sum("affected_edges").alias("edges"), F.count_if("pareto_efficient").alias("pareto_efficient"),
+        F.count_if("cold_start").alias("cold_start_scenarios"),
     )
     compliance = (F.col("feasible").cast(RATIO) / F.col("scenarios").cast(RATIO)).cast("decimal(10,6)")
     return out.withColumn("efficiency", benchmark_efficiency(F.col("recovery"), F.col("collateral"))).withColumn("compliance", compliance)
@@ -138,17 +150,20 @@ def advantages(chosen: DataFrame) -> DataFrame:
 
 def findings(chosen: DataFrame) -> DataFrame:
     """Sorted labels of what stands out in each case."""
-    p = chosen.groupBy("case_id").pivot("strategy", [*BASELINES, OWN]).agg(F.first("feasible").alias("ok"), F.first("intercepted").alias("i"), F.first("legitimate").alias("l"))
+    ties = chosen.groupBy("case_id").agg(F.max("tie_count").alias("ties"))
+    p = chosen.groupBy("case_id").pivot("strategy", [*BASELINES, OWN]).agg(F.first("feasible").alias("ok"), F.first("intercepted").alias("i"), F.first("legitimate").alias("l")).join(ties, "case_id")
     c = F.col
     best = "maximum_immediate_recovery"
     any_free = F.lit(False)
     for s in (*BASELINES, OWN):
         any_free = any_free | (c(f"{s}_ok") & (c(f"{s}_l") == 0))
+    # fixed values: finding labels
     rules = [
         ("highest_risk_loses_to_taint", c("highest_risk_ok") & c("highest_tainted_balance_ok") & (c("highest_risk_i") < c("highest_tainted_balance_i"))),
         ("maximum_recovery_has_more_collateral", c(f"{best}_ok") & c(f"{OWN}_ok") & (c(f"{best}_l") > c(f"{OWN}_l"))),
         ("pareto_lower_recovery", c(f"{best}_ok") & c(f"{OWN}_ok") & (c(f"{OWN}_i") < c(f"{best}_i"))),
         ("no_feasible_intervention", ~c(f"{OWN}_ok")),
+        ("multiple_strategies_tie", c("ties") > 1),
         ("zero_collateral_intervention", any_free),
     ]
     return p.select("case_id", F.array_sort(F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules)))).alias("findings"))
@@ -172,9 +187,15 @@ def forecast_comparison(observed: DataFrame, forecast: DataFrame, realized: Data
     both = one.join(two, "case_id", "left").join(three, ["case_id", "f"], "left")
     has_o, has_f = F.col("o").isNotNull(), F.col("f").isNotNull()
     ri, oi = F.coalesce("ri", F.lit(0)), F.coalesce("oi", F.lit(0))
+    # fixed values: comparison notes
     notes = F.array_compact(F.array(
-        F.when(has_o & has_f & (ri == oi), "same_realized_recovery"), F.when(has_o & has_f & (ri < oi), "forecast_recovers_less"), F.when(has_o & has_f & (ri > oi), "forecast_recovers_more"),
-        F.when(has_o & has_f & (F.col("worst_legitimate") > F.col("ol")), "forecast_guards_worst_collateral"), F.when(~has_o & ~has_f, "both_without_choice"), F.when(has_o & ~has_f, "forecast_without_choice"),
+        F.lit("observed_oracle_reference"),
+        F.when(has_o & has_f & (ri == oi), "identical_realized_recovery"),
+        F.when(has_o & has_f & (ri < oi), "forecast_underperforms_due_to_prediction_gap"),
+        F.when(has_o & has_f & (ri > oi), "forecast_exceeds_observed"),
+        F.when(has_o & has_f & (F.col("worst_legitimate") > F.col("ol")), "forecast_guards_worst_case_collateral"),
+        F.when(~has_o & ~has_f, "both_infeasible_or_negative_control"),
+        F.when(has_o & ~has_f, "forecast_conservative_infeasibility"),
     ))
     row = lambda name, ok, *v: F.struct(
         F.lit(name).alias("strategy"), ok.alias("feasible"), F.col("o" if name == OBSERVED else "f").alias("intervention_id"),

@@ -123,8 +123,9 @@ _PICKS = " UNION ALL ".join(
     f"SELECT case_id, intervention_id, '{name}' AS strategy FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {measure} DESC, intervention_id) AS n FROM j WHERE feasible) WHERE n = 1" for name, measure in _MEASURES.items()
 )
 _CHOSEN = f"""{_OPTIONS}, ow AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY intercepted DESC, legitimate, eff DESC, affected_accounts, affected_edges, intervention_id) AS n FROM fr),
-    pi AS ({_PICKS} UNION ALL SELECT case_id, intervention_id, 'pareto' FROM ow WHERE n = 1), ca AS (SELECT DISTINCT case_id FROM transfers), nm AS (SELECT unnest(['{"', '".join((*_MEASURES, "pareto"))}']) AS strategy),
-    ch AS (SELECT ca.case_id, nm.strategy, pi.intervention_id, pi.intervention_id IS NOT NULL AS ok, coalesce(intercepted, 0) AS i, coalesce(legitimate, 0) AS l, coalesce(affected_accounts, 0) AS ac, coalesce(affected_edges, 0) AS ae,
+    pi AS ({_PICKS} UNION ALL SELECT case_id, intervention_id, 'pareto' FROM ow WHERE n = 1), ca AS (SELECT case_id, coalesce(hour(min(occurred_at) FILTER (status = 'completed')) >= 1, false) AS cold FROM transfers GROUP BY case_id), nm AS (SELECT unnest(['{"', '".join((*_MEASURES, "pareto"))}']) AS strategy),
+    tc AS (SELECT case_id, intercepted, legitimate, count(*) AS ties FROM j WHERE feasible GROUP BY ALL),
+    ch AS (SELECT ca.case_id, cold, coalesce((SELECT ties FROM tc WHERE tc.case_id = j.case_id AND tc.intercepted = j.intercepted AND tc.legitimate = j.legitimate), 0) AS ties, nm.strategy, pi.intervention_id, pi.intervention_id IS NOT NULL AS ok, coalesce(intercepted, 0) AS i, coalesce(legitimate, 0) AS l, coalesce(affected_accounts, 0) AS ac, coalesce(affected_edges, 0) AS ae,
         pi.intervention_id IN (SELECT fr.intervention_id FROM fr WHERE fr.case_id = ca.case_id) AS eff FROM ca CROSS JOIN nm LEFT JOIN pi ON pi.case_id = ca.case_id AND pi.strategy = nm.strategy LEFT JOIN j ON j.case_id = ca.case_id AND j.intervention_id = pi.intervention_id)"""
 
 
@@ -133,12 +134,14 @@ def _chosen(spark: SparkSession, d: str) -> DataFrame:
     picks = rows.where("selected").withColumn("strategy", F.lit(evaluate.OWN))
     for name, measure in _MEASURES.items():
         picks = picks.unionByName(pareto.baseline_choice(rows, measure, account_holds_only=False).withColumn("strategy", F.lit(name)))
-    return evaluate.choices(picks, transfers(spark, d).select("case_id").distinct())
+    moves = transfers(spark, d)
+    cases = moves.groupBy("case_id").agg((F.hour(F.min(F.when(F.col("status") == "completed", F.col("occurred_at")))) >= 1).alias("cold_start"))
+    return evaluate.choices(picks, cases, rows)
 
 
 @_register(
     "observed_strategy_totals",
-    _with(f"""{_CHOSEN} SELECT strategy, count(*) AS scenarios, count(*) FILTER (ok) AS feasible, CAST(sum(i) AS BIGINT) AS recovery, CAST(sum(l) AS BIGINT) AS collateral, CAST(sum(ac) AS BIGINT) AS accounts, CAST(sum(ae) AS BIGINT) AS edges, count(*) FILTER (eff) AS pareto_efficient,
+    _with(f"""{_CHOSEN} SELECT strategy, count(*) AS scenarios, count(*) FILTER (ok) AS feasible, CAST(sum(i) AS BIGINT) AS recovery, CAST(sum(l) AS BIGINT) AS collateral, CAST(sum(ac) AS BIGINT) AS accounts, CAST(sum(ae) AS BIGINT) AS edges, count(*) FILTER (eff) AS pareto_efficient, count(*) FILTER (cold) AS cold_start_scenarios,
         round(CASE WHEN sum(l) > 0 THEN sum(i) / sum(l) WHEN sum(i) > 0 THEN sum(i) END, 6) AS efficiency, round(count(*) FILTER (ok) / count(*), 6) AS compliance FROM ch GROUP BY strategy""", dense=True),
 )
 def observed_strategy_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -156,8 +159,8 @@ def observed_advantages(spark: SparkSession, d: str) -> DataFrame:
 @_register(
     "observed_findings",
     _with(f"""{_CHOSEN}, pv AS (SELECT case_id, max(i) FILTER (strategy = 'highest_risk' AND ok) AS r, max(i) FILTER (strategy = 'highest_tainted_balance' AND ok) AS t, max(i) FILTER (strategy = 'maximum_immediate_recovery' AND ok) AS mi, max(l) FILTER (strategy = 'maximum_immediate_recovery' AND ok) AS ml,
-            max(i) FILTER (strategy = 'pareto' AND ok) AS p, max(l) FILTER (strategy = 'pareto' AND ok) AS pl, bool_or(ok AND l = 0) AS free FROM ch GROUP BY case_id)
-        SELECT case_id, concat_ws(',', CASE WHEN r < t THEN 'highest_risk_loses_to_taint' END, CASE WHEN ml > pl THEN 'maximum_recovery_has_more_collateral' END, CASE WHEN p IS NULL THEN 'no_feasible_intervention' END, CASE WHEN p < mi THEN 'pareto_lower_recovery' END,
+            max(i) FILTER (strategy = 'pareto' AND ok) AS p, max(l) FILTER (strategy = 'pareto' AND ok) AS pl, bool_or(ok AND l = 0) AS free, max(ties) AS ties FROM ch GROUP BY case_id)
+        SELECT case_id, concat_ws(',', CASE WHEN r < t THEN 'highest_risk_loses_to_taint' END, CASE WHEN ml > pl THEN 'maximum_recovery_has_more_collateral' END, CASE WHEN ties > 1 THEN 'multiple_strategies_tie' END, CASE WHEN p IS NULL THEN 'no_feasible_intervention' END, CASE WHEN p < mi THEN 'pareto_lower_recovery' END,
             CASE WHEN free THEN 'zero_collateral_intervention' END) AS findings FROM pv""", dense=True),
 )
 def observed_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -186,3 +189,27 @@ def negative_control(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd").alias("case_id"), (F.col("event_type") == "error").cast("int").alias("label"), (F.col("event_id") * 37 % 101 / 100.0).alias("score")
     )
     return risk.false_positive_rate(rows).withColumn("false_positive_rate", F.round("false_positive_rate", 6))
+
+
+@_register(
+    "observed_world_summary",
+    _with(_ALLOC + """ SELECT CASE WHEN event_id % 2 = 0 THEN 'smurfing' ELSE 'fan_out' END AS family, count(*) AS transactions, count(DISTINCT case_id) AS cases, CAST(sum(amount_minor_units) AS BIGINT) AS volume, CAST(sum(CASE WHEN fraud THEN amount_minor_units ELSE 0 END) AS BIGINT) AS fraud_volume,
+        CAST(sum(CASE WHEN fraud THEN 0 ELSE amount_minor_units END) AS BIGINT) AS legit_volume, count(*) FILTER (fraud) AS fraud_transactions, (SELECT count(DISTINCT x) FROM (SELECT event_id, sender AS x FROM transfers UNION ALL SELECT event_id, receiver FROM transfers) u WHERE u.event_id % 2 = min(m.event_id % 2)) AS accounts
+        FROM (SELECT *, event_id % 3 = 0 OR transaction_id IN (SELECT transaction_id FROM s) AS fraud FROM transfers) m GROUP BY family, event_id % 2""", dense=True, recursive=True),
+)
+def observed_world_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.world_summary(_marked(spark, d)[0]).drop("volume_text")
+
+
+# ---- observation times by id prefix --------------------------------------------------------------------
+
+
+@_register(
+    "prefix_observation_times",
+    _with("""SELECT p AS prefix, CAST(min(t) + floor((max(t) - min(t)) * 0.85) AS BIGINT) AS as_of_micros
+        FROM (SELECT unnest(range(1, 10)) AS p) JOIN (SELECT CAST(sender AS VARCHAR) AS a, CAST(receiver AS VARCHAR) AS b, epoch_us(occurred_at) AS t FROM transfers) ON starts_with(a, CAST(p AS VARCHAR)) OR starts_with(b, CAST(p AS VARCHAR)) GROUP BY p"""),
+)
+def prefix_observation_times(spark: SparkSession, d: str) -> DataFrame:
+    prefixes = spark.range(1, 10).select(F.col("id").cast("string").alias("prefix"))
+    found = risk.prefix_observation_times(transfers(spark, d), prefixes)
+    return found.select(F.col("prefix").cast("bigint").alias("prefix"), "as_of_micros")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from weirflow.functions.columns import confidence, evidence_signals, proportional_allocation, rupees
 from weirflow.operators import chokepoint, counterfactual, evaluate, features, flow, forecast, motifs, pareto, risk, scan, taint, traverse
 from weirflow.plans.investigate import Request, investigate
-from weirflow.sources import synthetic
 from weirflow.sources.transfers import seeds, transfers, transfers_sql
 from weirflow.streaming import stream
 
@@ -744,75 +743,53 @@ def risk_metrics(spark: SparkSession, d: str) -> DataFrame:
     return found.select("case_id", "n", "positives", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "roc_auc", "average_precision", "brier")))
 
 
-def worlds_of(spark: SparkSession, d: str) -> int:
-    """Worlds to make: a tenth of the directory's users, four at least."""
-    return max(4, ((spark.read.parquet(f"{d}/events.parquet").agg(F.max("user_id")).first()[0] or 0) + 1) // 10)
-
-
-def _world(spark: SparkSession, d: str, seed: int = 42, part: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    world = traverse.cut_lineage(synthetic.synthetic_world(spark, seed=seed, worlds=max(4, int(worlds_of(spark, d) * part))))
-    return world, synthetic.world_seeds(world), synthetic.world_times(world)
-
-
-@_register("synthetic_world_summary")
-def synthetic_world_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.world_summary(_world(spark, d)[0])
-
-
-@_register("taint_coverage")
-def taint_coverage(spark: SparkSession, d: str) -> DataFrame:
-    world, marked, _ = _world(spark, d)
-    return evaluate.coverage(world, traverse.cut_lineage(taint.allocations(world, marked)))
-
-
-@_register("taint_audit")
-def taint_audit(spark: SparkSession, d: str) -> DataFrame:
-    world, marked, _ = _world(spark, d)
-    rows = evaluate.audit(world, traverse.cut_lineage(taint.allocations(world, marked)))
-    return rows.groupBy("family", "category").agg(F.count("*").alias("edges"))
-
-
 @_register("strategy_benchmark")
 def strategy_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    world, marked, times = _world(spark, d)
-    totals = evaluate.strategy_totals(evaluate.strategies(world, marked, times)[0])
+    """Totals of every strategy over the observed transfers, each choosing among all simulated holds at noon."""
+    moves, marked, _, times = _decided(spark, d)
+    totals = evaluate.strategy_totals(evaluate.strategies(moves, marked, times)[0])
     return totals.withColumns({"efficiency": F.col("efficiency").cast("string"), "compliance": F.col("compliance").cast("string")})
 
 
 @_register("forecast_benchmark")
 def forecast_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    """Choices by forecast against choices that know the future, over labelled worlds."""
-    world, marked, times = _world(spark, d)
-    allocated = traverse.cut_lineage(taint.allocations(world, marked))
-    sources, paths = forecast.paths_from(world, marked, times, institutions_of(world))
+    """Choices by forecast against choices that know the future, over the observed transfers: sums, and how often each note is given."""
+    moves, marked, times, sources, paths = _forecast(spark, d)
+    allocated = traverse.cut_lineage(taint.allocations(moves, marked))
     holds = forecast.forecast_candidates(sources, paths)
-    expected = pareto.judged(forecast.evaluate(world, marked, paths, holds, times))
-    seen = counterfactual.candidates(world, allocated, times).unionByName(holds).distinct()
-    known = traverse.cut_lineage(counterfactual.outcomes(world, marked, allocated, counterfactual.with_id(seen, times), times))
-    best = pareto.ranked(known.join(counterfactual.with_id(counterfactual.candidates(world, allocated, times), times).select("case_id", "intervention_id"), ["case_id", "intervention_id"], "left_semi")).where("selected")
-    return evaluate.forecast_totals(evaluate.forecast_comparison(best, pareto.robust_choice(expected.where("forecast_status = 'ready'")), known, times))
-
-
-def _risk_rows(spark: SparkSession, d: str, seed: int, part: float) -> DataFrame:
-    world = _world(spark, d, seed, part)[0]
-    fraud = world.where("mark <> 'legit'").select("case_id", F.col("receiver").alias("account"))
-    return traverse.cut_lineage(risk.labelled_features(world, risk.observation_times(world), fraud, institutions_of(world)))
+    expected = pareto.judged(forecast.evaluate(moves, marked, paths, holds, times))
+    own = counterfactual.candidates(moves, allocated, times)
+    known = traverse.cut_lineage(counterfactual.outcomes(moves, marked, allocated, counterfactual.with_id(own.unionByName(holds).distinct(), times), times))
+    best = pareto.ranked(known.join(counterfactual.with_id(own, times).select("case_id", "intervention_id"), ["case_id", "intervention_id"], "left_semi")).where("selected")
+    compared = traverse.cut_lineage(evaluate.forecast_comparison(best, pareto.robust_choice(expected.where("forecast_status = 'ready'")), known, times))
+    notes = compared.select("strategy", F.explode("notes").alias("note")).groupBy("strategy", "note").count()
+    noted = notes.groupBy("strategy").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "note", "count"))), ",").alias("notes"))
+    return evaluate.forecast_totals(compared).join(noted, "strategy")
+
+
+def _risk_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the observed accounts at noon, labelled by whether a failed transfer reaches them that day: even days to learn from, odd ones to score."""
+    moves = transfers(spark, d)
+    failing = moves.where("status = 'failed'").select("case_id", F.col("receiver").alias("account")).distinct()
+    rows = traverse.cut_lineage(risk.labelled_features(moves, times_of(moves), failing, institutions_of(moves)))
+    even = F.substring("case_id", 9, 2).cast("int") % 2 == 0
+    return rows.where(even), rows.where(~even)
 
 
 @_register("mule_risk_scores")
 def mule_risk_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Train on some worlds, predict on others; one row per account of the latter that is seen by its case's observation time."""
-    model = risk.risk_model().fit(_risk_rows(spark, d, 42, 1.0))
-    return risk.risk_predictions(model.score(_risk_rows(spark, d, 201, 0.34))).drop("signals")
+    """Risk of every account of the odd days by a model of the even days."""
+    known, asked = _risk_rows(spark, d)
+    return risk.risk_predictions(risk.risk_model().fit(known).score(asked)).drop("signals")
 
 
 @_register("investigation_report")
 def investigation_report(spark: SparkSession, d: str) -> DataFrame:
-    """All seven stages over the synthetic worlds: the selected intervention of every case, with its reason, cut and forecast."""
-    world, marked, times = _world(spark, d)
-    flows = scan.legs(world).groupBy("case_id", "account").agg(F.count_if(F.col("direction") == "out").alias("outs"))
-    model = risk.risk_model().fit(_risk_rows(spark, d, 43, 0.34))
-    report = investigate(world, Request(times, marked, sinks=flows.where("outs = 0").select("case_id", "account"), institutions=institutions_of(world), model=model)).frames
+    """All seven stages over the observed transfers: the selected intervention of every case, with its reason, cut and forecast."""
+    moves = transfers(spark, d)
+    flows = scan.legs(moves).groupBy("case_id", "account").agg(F.count_if(F.col("direction") == "out").alias("outs"))
+    model = risk.risk_model().fit(_risk_rows(spark, d)[0])
+    report = investigate(moves, Request(times_of(moves), seeds(moves), sinks=flows.where("outs = 0").select("case_id", "account"), institutions=institutions_of(moves), model=model)).frames
     cut = report["chokepoint_report"].select("case_id", F.col("status").alias("cut_status"), "cut_size", "verified")
     ahead = report["paths"].groupBy("case_id").agg(F.count("*").alias("forecast_paths"))
     risky = report["risk"].groupBy("case_id").agg(F.max("risk_score").alias("highest_risk"))
