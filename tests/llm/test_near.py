@@ -2,11 +2,9 @@
 
 import random
 
-import numpy as np
-
 import corpus_pipeline
 from tests.llm.test_pipeline import brute_kept
-from weirflow.llm import near
+from weirflow.llm import hyperminhash, near
 
 
 def test_stage_keeps_one_of_copies_of_similarity_eight_tenths(spark):
@@ -31,29 +29,12 @@ def test_stage_keeps_one_of_copies_of_similarity_eight_tenths(spark):
     assert sum(r.doc_id is None for r in out) == 1
 
 
-def test_lists_link_what_leaders_miss():
-    rng = np.random.default_rng(2)
-    base = rng.choice(1 << 40, 300, replace=False).astype(np.uint64)
-    sets = []
-    for i in range(40):
-        s = base.copy()
-        s[rng.choice(300, 17, replace=False)] = rng.choice(1 << 40, 17).astype(np.uint64)
-        sets.append(np.unique(s if i < 36 else rng.choice(1 << 40, 300).astype(np.uint64)))
-    low = near.signatures(sets)
-    sig, keys = near.mix(low).astype(np.uint8), np.arange(40 * near.BANDS).reshape(40, -1)
-    keys[:, 3] = 7
-    near_ = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
-    label = np.arange(40) // 2
-    root = label.copy()
-    for a in range(40):
-        for b in range(a):
-            if near_(a, b):
-                root[root == root[a]] = root[b]
-    got = label.copy()
-    for a, b in near.list_links(sig, keys, 3, label, sets, 50, 0.8):
-        assert near_(a, b) and got[a] != got[b]
-        got[got == got[a]] = got[b]
-    same = lambda x: x[:, None] == x[None, :]
-    assert np.array_equal(same(got), same(root)) and len(set(got)) < 10
-    keys[:, 1] = 5  # all pairs share an earlier list
-    assert near.list_links(sig, keys, 3, label, sets, 50, 0.8) == []
+def test_one_long_list_is_not_one_task(spark):
+    rng = random.Random(9)
+    line = [f"w{rng.randrange(900)}" for _ in range(60)]
+    texts = [" ".join(line + [f"v{rng.randrange(9000)}" for _ in range(rng.choice([5, 8, 40]))]) for _ in range(260)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs, 5, long=16).collect()}
+    assert {i for i, c in got.items() if i == c} == set(brute_kept(dict(rows)))
+    assert near.near_copies(docs).select("component_id").distinct().count() == len(set(got.values()))
