@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -99,3 +100,29 @@ def test_results_do_not_depend_on_partitioning(spark):
     g = graph(spark, *[(f"e{i}", f"a{i % 7}", f"a{(i * 3 + 1) % 7}", i % 13) for i in range(80)])
     run = lambda d: sorted(map(str, motifs.fan_out(d, 3600, 2).collect() + traverse.downstream(d, named(spark, "a1")).collect()))
     assert run(g) == run(g.repartition(5, F.rand(1)))
+
+
+def test_ancestors_by_bitsets_and_by_levels(spark):
+    rng = random.Random(8)
+    cases = {f"c{n}": [(f"e{i}", f"a{rng.randrange(12 + n)}", f"a{rng.randrange(12 + n)}", i % 9, 5, "completed" if i % 6 else "failed") for i in range(14)] for n in range(6)}
+    g = graph(spark, *cases["c0"], case="c0")
+    for c in list(cases)[1:]:
+        g = g.unionByName(graph(spark, *cases[c], case=c))
+    of = spark.createDataFrame([(c, f"a{k}") for c in cases for k in range(0, 18, 2)] + [("none", "a1"), ("c0", "a2")], "case_id string, account string")
+    want = set()
+    for c, rows in cases.items():
+        into = {}
+        for _, a, b, *rest in rows:
+            if rest[2] == "completed":
+                into.setdefault(b, set()).add(a)
+        for k in range(0, 18, 2):
+            seen, todo = set(), [f"a{k}"]
+            while todo:
+                for x in into.get(todo.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+            want |= {(c, f"a{k}", x) for x in seen if x != f"a{k}"}
+    for most in (20_000, 13, 1):
+        rows = [tuple(r) for r in traverse.upstream(g, of, bitset_accounts=most).select("case_id", "account", "ancestor").collect()]
+        assert len(rows) == len(want) and set(rows) == want

@@ -123,3 +123,9 @@ def test_components_and_ranks(spark):
     assert got == {**{("c", i): 0 if i <= 20 else 21 for i in range(41)}, ("d", 1): 1, ("d", 7): 3, ("d", 3): 3}
     rows = spark.createDataFrame([(g, k * 7 % 101) for g in "ab" for k in range(101)], "g string, x int")
     assert all(r.place == r.x for r in traverse.ranked(rows, "g", ["x"], "place").collect())
+
+
+def test_an_outcome_in_words(spark):
+    row = spark.createDataFrame([("account_hold", "A", None, 3, 700, 20, 100)], "kind string, target_account string, target_event string, affected_edges int, intercepted bigint, legitimate bigint, remaining bigint")
+    text = counterfactual.explanation(row).first().explanation
+    assert text == "Counterfactual account_hold on A: 3 future edge(s) blocked, 700 minor units of tainted capital intercepted, 20 legitimate affected, 100 tainted remaining."

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,11 +136,72 @@ def _hops_to(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     return cut_lineage(seen)
 
 
-def upstream(transfers: DataFrame, of: DataFrame, time: Any = None) -> DataFrame:
-    """``case_id, account, ancestor``: accounts with a chain of active edges up to ``time`` into ``account``; order of times ignored."""
+#: Accounts of a case up to which its ancestors are bitsets of one task (50 MB then).
+BITSET_ACCOUNTS = 20_000
+
+
+def upstream(transfers: DataFrame, of: DataFrame, time: Any = None, bitset_accounts: int = BITSET_ACCOUNTS) -> DataFrame:
+    """``case_id, account, ancestor``: accounts with a chain of active edges up to ``time`` into ``account``; order of times ignored.
+
+    A case of up to ``bitset_accounts`` accounts is closed by bitsets, and only
+    the accounts asked for become rows. Larger cases go level by level.
+    """
     known = as_of(transfers, time) if time is not None else active(transfers)
     links = cut_lineage(known.select("case_id", F.col("sender").alias("ancestor"), F.col("receiver").alias("via")).where("ancestor <> via").distinct())
-    level = cut_lineage(of.select("case_id", "account", F.col("account").alias("ancestor")).distinct())
+    of = of.select("case_id", "account").distinct()
+    ends = links.select("case_id", F.explode(F.array("ancestor", "via")).alias("account"))
+    large = cut_lineage(ends.groupBy("case_id").agg(F.count_distinct("account").alias("n")).where(F.col("n") > bitset_accounts).select("case_id"))
+    some_large = not large.isEmpty()
+    small, asked = (links.join(large, "case_id", "left_anti"), of.join(large, "case_id", "left_anti")) if some_large else (links, of)
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
+    kind = dict(links.dtypes)["via"]
+    found = small.groupBy("case_id").cogroup(asked.groupBy("case_id")).applyInArrow(_ancestors, f"case_id string, account {kind}, ancestor {kind}")
+    if not some_large:
+        return found
+    return found.unionByName(_upstream_by_levels(links.join(large, "case_id", "left_semi"), of.join(large, "case_id", "left_semi")))
+
+
+def _ancestors(links: pa.Table, asked: pa.Table) -> pa.Table:
+    """All ancestors of the accounts asked for, in one case."""
+    schema = pa.schema([("case_id", asked.schema.field("case_id").type), ("account", asked.schema.field("account").type), ("ancestor", asked.schema.field("account").type)])
+    if not links.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    ends = pa.chunked_array([*links.column("ancestor").chunks, *links.column("via").chunks]).combine_chunks().dictionary_encode()
+    names, code = ends.dictionary, ends.indices.to_numpy(zero_copy_only=False)
+    source, via = code[: links.num_rows], code[links.num_rows :]
+    order = np.argsort(via, kind="stable")
+    source, via = source[order], via[order]
+    first = np.flatnonzero(np.append(True, via[1:] != via[:-1]))
+    reach = np.zeros((len(names), -(-len(names) // 64)), np.uint64)
+    np.bitwise_or.at(reach, (via, source // 64), np.uint64(1) << (source % 64).astype(np.uint64))
+    while True:  # a step follows one edge; each account takes what its predecessors have by now
+        new = reach.copy()
+        for at in range(0, len(via), 1 << 14):
+            part = slice(int(np.searchsorted(first, at)), int(np.searchsorted(first, at + (1 << 14))))
+            starts = first[part]
+            if len(starts):
+                end = first[part.stop] if part.stop < len(first) else len(via)
+                new[via[starts]] |= np.bitwise_or.reduceat(reach[source[starts[0] : end]], starts - starts[0], axis=0)
+        if np.array_equal(new, reach):
+            break
+        reach = new
+    where = pc.index_in(asked.column("account").combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+    out = []
+    for at in np.flatnonzero(~np.isnan(where.astype(float))).tolist():
+        own = int(where[at])
+        held = np.flatnonzero(np.unpackbits(reach[own].view(np.uint8), bitorder="little"))
+        held = held[held != own]
+        if len(held):
+            out.append((own, held))
+    if not out:
+        return schema.empty_table()
+    account = np.repeat([o for o, _ in out], [len(h) for _, h in out])
+    case = pa.array([asked.column("case_id")[0].as_py()], schema.field("case_id").type).take(pa.array(np.zeros(len(account), np.int64)))
+    return pa.table([case, names.take(pa.array(account)), names.take(pa.array(np.concatenate([h for _, h in out])))], schema=schema)
+
+
+def _upstream_by_levels(links: DataFrame, of: DataFrame) -> DataFrame:
+    level = cut_lineage(of.select("case_id", "account", F.col("account").alias("ancestor")))
     seen = level
     while not level.isEmpty():
         back = level.withColumnRenamed("ancestor", "via").join(links, ["case_id", "via"]).select("case_id", "account", "ancestor").distinct()
