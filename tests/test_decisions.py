@@ -2,6 +2,7 @@ import random
 from decimal import Decimal
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,17 @@ def test_investigation(spark):
     assert report.frames["selected"].first().intercepted == 10_000_000
     with pytest.raises(ValueError, match="does not belong"):
         investigate(g, Request(at(spark, 5), seeds(spark, ("nope", 1))))
+
+
+def test_frontier_in_cells_equals_all_pairs(spark):
+    rng = random.Random(12)
+    rows = [(c, f"i{c}{k}", rng.randint(0, 40), rng.randint(0, 40), rng.randint(1, 6), rng.randint(1, 6)) for c in "ab" for k in range(300)]
+    rows += [("a", "copy", *rows[0][2:])]
+    frame = spark.createDataFrame(rows, "case_id string, intervention_id string, intercepted bigint, legitimate bigint, affected_accounts bigint, affected_edges bigint")
+    beats = lambda x, y: x[2] >= y[2] and all(p <= q for p, q in zip(x[3:], y[3:])) and x[2:] != y[2:]
+    want = {r[1] for r in rows if not any(beats(x, r) for x in rows if x[0] == r[0])}
+    for cells in (1, 7):
+        assert {r.intervention_id for r in pareto.frontier(frame, cells).collect()} == want
+    points = np.array([[-r[2], *r[3:]] for r in rows if r[0] == "a"])
+    kept = pareto.undominated(points, block=16)
+    assert {r[1] for r, k in zip([r for r in rows if r[0] == "a"], kept) if k} == {i for i in want if not i.startswith("ib")}

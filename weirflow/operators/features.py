@@ -68,7 +68,6 @@ def account_features(transfers: DataFrame, times: DataFrame, institutions: DataF
     counted = rows.groupBy("case_id", "account").agg(
         F.first("as_of").alias("as_of"), F.first("own").alias("own"),
         F.count_if(inward).alias("in_degree"), F.count_if(~inward).alias("out_degree"),
-        F.collect_set(only(inward, F.col("counterparty"))).alias("senders"), F.collect_set(only(~inward, F.col("counterparty"))).alias("receivers"),
         F.count_distinct("other").alias("banks"), F.count_if(~F.col("own").eqNullSafe(F.col("other"))).alias("cross"),
         F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"),
         F.count_if(F.col("occurred_at") >= F.expr("as_of - INTERVAL 1 HOUR")).alias("last_1h"),
@@ -79,17 +78,20 @@ def account_features(transfers: DataFrame, times: DataFrame, institutions: DataF
     )
     delay = _seconds(F.col("delay_micros"))
     passed = next_out(known).groupBy("case_id", "account").agg(F.min(delay).alias("fastest"), F.percentile(delay, F.lit(0.5)).alias("middle"))
-    c = counted.join(passed, ["case_id", "account"], "left")
+    # partners first, one row each, then counts: a hub's partners are never one row
+    partners = rows.where("counterparty IS NOT NULL").groupBy("case_id", "account", "counterparty").agg(F.max(inward).alias("gives"), F.max(~inward).alias("takes"))
+    partners = partners.groupBy("case_id", "account").agg(F.count_if("gives").alias("senders"), F.count_if("takes").alias("receivers"), F.count("*").alias("either"), F.count_if(F.col("gives") & F.col("takes")).alias("both"))
+    c = counted.join(partners, ["case_id", "account"], "left").join(passed, ["case_id", "account"], "left")
     total = F.col("in_degree") + F.col("out_degree")
     span = lambda a, b: _positive(_seconds(micros(a) - micros(b)))
     duration, old_duration = span("last_at", "first_at"), F.coalesce(span("old_last", "old_first"), F.lit(0.0))
     profile = (F.col("old") >= 3) & (old_duration >= 86_400.0)
-    either = F.size(F.array_union("senders", "receivers"))
+    either = F.coalesce("either", F.lit(0))
     low, high = F.least("inbound", "outbound"), F.greatest("inbound", "outbound")
     values = {
         "in_degree": F.col("in_degree"), "out_degree": F.col("out_degree"), "total_degree": total,
-        "unique_senders": F.size("senders"), "unique_receivers": F.size("receivers"), "unique_counterparties": either,
-        "bilateral_counterparties": F.size(F.array_intersect("senders", "receivers")),
+        "unique_senders": F.coalesce("senders", F.lit(0)), "unique_receivers": F.coalesce("receivers", F.lit(0)), "unique_counterparties": either,
+        "bilateral_counterparties": F.coalesce("both", F.lit(0)),
         "fan_in_ratio": _per(F.col("in_degree"), total), "fan_out_ratio": _per(F.col("out_degree"), total),
         "institution_diversity": F.col("banks"),
         "cross_institution_tx_ratio": F.when(F.col("own").isNotNull() & (either > 0), _per(F.col("cross"), total)).otherwise(0.0),

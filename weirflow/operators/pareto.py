@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +84,44 @@ def _dominates(a: str, b: str) -> Column:
     return no_worse & better
 
 
-def frontier(feasible: DataFrame) -> DataFrame:
+#: Cells of a case whose own frontiers are found first.
+CELLS = 32
+
+
+def undominated(points: np.ndarray, block: int = 512) -> np.ndarray:
+    """Which rows (all columns to be small) no other row dominates; equal rows are all kept."""
+    order = np.lexsort(points.T[::-1])  # what dominates a row comes before it
+    keep, best = np.zeros(len(points), bool), points[:0]
+    worse = lambda a, b: ((a[None] <= b[:, None]).all(axis=2) & (a[None] < b[:, None]).any(axis=2)).any(axis=1)
+    for at in range(0, len(order), block):
+        rows = order[at : at + block]
+        out = np.zeros(len(rows), bool)
+        for k in range(0, len(best), 4096):
+            out |= worse(best[k : k + 4096], points[rows])
+        rows = rows[~out]
+        rows = rows[~worse(points[rows], points[rows])]
+        keep[rows] = True
+        best = np.concatenate([best, points[rows]])
+    return keep
+
+
+def frontier(feasible: DataFrame, cells: int = CELLS) -> DataFrame:
     """Rows that no other row of their case dominates.
 
-    Dominance is decided between distinct objective points. Points of a case
-    are first thinned by one sorted pass: in order of recovery, a point with
-    more cost in every other respect than the best so far is out, so the
-    anti-join compares few points.
+    Dominance is decided between distinct objective points, in two phases. A
+    case's points are dealt out to cells, and each cell gives its own frontier: a
+    task each, so a case of many points is no single task. The survivors are
+    thinned by one sorted pass (in order of recovery, a point with more cost in
+    every other respect than the best so far is out) and compared by an anti-join.
     """
     points = feasible.select("case_id", *OBJECTIVES).distinct()
+    cell = F.pmod(F.xxhash64(*OBJECTIVES), F.lit(cells))
+
+    def local(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        costs = np.column_stack([-rows["intercepted"], *(rows[o] for o in OBJECTIVES if o != "intercepted")])
+        return rows[undominated(costs)][["case_id", *OBJECTIVES]]
+
+    points = points.groupBy("case_id", cell.alias("cell")).applyInPandas(local, points.schema)
     ahead = Window.partitionBy("case_id").orderBy(F.desc("intercepted"), "legitimate", "affected_accounts", "affected_edges").rowsBetween(Window.unboundedPreceding, -1)
     best = F.min(F.struct("legitimate", "affected_accounts", "affected_edges")).over(ahead)
     thin = points.withColumn("best", best).where(
