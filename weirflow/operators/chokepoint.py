@@ -198,6 +198,7 @@ def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sourc
         F.transform(F.array_sort(F.collect_list(F.when(F.col("event_id").isNotNull(), F.struct("position", "event_id", "collateral")))), lambda x: F.struct(x["event_id"].alias("event_id"), x["collateral"].alias("collateral"))).alias("per_edge"),
     )
     solved = totals.where("status = 'optimal_cut_found'").join(asked, "case_id").select("case_id", "sources", "sinks", F.col("per_edge.event_id").alias("cut"))
+    solved = solved.select(*(F.col(c).alias(c) for c in solved.columns))  # both sides of the cogroup come from the transfers
     rows = moves.join(solved.select("case_id"), "case_id", "left_semi").select("case_id", "event_id", "sender", "receiver", micros("occurred_at").alias("t"))
 
     def verify(key: tuple, moves_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
