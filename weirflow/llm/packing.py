@@ -29,7 +29,7 @@ from weirflow.llm._words import chunks
 #: tokenizer's own result: ASCII, Latin letters with marks, dashes and quotes.
 _ODD = re.compile("[^\t\n\r -~¡-įı-ɏ‐-‧‰-⁞]|<\\|")
 #: Words whose ids a Python worker remembers, in two halves: as one fills up, the older one goes.
-CACHED = 1_200_000
+CACHED = 800_000
 LONG_WORD = 64
 #: A word of one token that stands between words encoded together, and how many are.
 BETWEEN, TOGETHER = "~", 512
