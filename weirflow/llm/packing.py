@@ -29,7 +29,7 @@ from weirflow.llm._words import chunks
 #: tokenizer's own result: ASCII, Latin letters with marks, dashes and quotes.
 _ODD = re.compile("[^\t\n\r -~¡-įı-ɏ‐-‧‰-⁞]|<\\|")
 #: Words whose ids a Python worker remembers, in two halves: as one fills up, the older one goes.
-CACHED = 800_000
+CACHED = 1_200_000
 LONG_WORD = 64
 #: A word of one token that stands between words encoded together, and how many are.
 BETWEEN, TOGETHER = "~", 512
@@ -67,7 +67,7 @@ def word_ids(tokenizer, words: list[str]) -> dict[str, bytes]:  # noqa: ANN001
     return out | dict(zip(alone, _ids(tokenizer, alone)))
 
 
-def encode(texts: list[str], path: str, by_word: bool) -> list[bytes]:
+def encode(texts: list[str], path: str, by_word: bool, cached: int = CACHED) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     ``by_word``: the tokenizer lower-cases and never joins across white space
@@ -77,7 +77,7 @@ def encode(texts: list[str], path: str, by_word: bool) -> list[bytes]:
     plain = [by_word and not _ODD.search(t) for t in texts]
     words = [t.lower().split() if p else None for t, p in zip(texts, plain)]
     odd = iter(_ids(loaded[0], [t for t, p in zip(texts, plain) if not p]))
-    if len(loaded[1]) > CACHED // 2:
+    if len(loaded[1]) > cached // 2:
         loaded[1:] = {}, loaded[1]
     tokenizer, newer, older = loaded
     missing = set().union(*(w for w in words if w)).difference(newer)
@@ -98,6 +98,7 @@ def tokenize_pieces(
     end_id: int = 0,
     by_word: bool = False,
     keep_ids: bool = True,
+    cached: int = CACHED,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -105,7 +106,8 @@ def tokenize_pieces(
 
     A document is its ids and ``end_id``; one longer than ``max_len`` is cut
     into pieces of that length, the last of which may be shorter. ``by_word`` is
-    for tokenizers that lower-case and split at white space (see ``encode``).
+    for tokenizers that lower-case and split at white space (see ``encode``); a
+    Python worker then remembers the ids of up to ``cached`` words, some 200 bytes each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
@@ -115,7 +117,7 @@ def tokenize_pieces(
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                encoded = [x + end for x in encode(texts, tokenizer, by_word)]
+                encoded = [x + end for x in encode(texts, tokenizer, by_word, cached)]
                 size = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
                 n = -(-size // max_len)
                 row = np.repeat(np.arange(len(n)), n)
