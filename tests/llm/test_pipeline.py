@@ -122,3 +122,15 @@ def test_run_writes_every_stage(spark):
     for r in rows:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert rows and max(used.values()) <= 2048
+
+
+def test_stages_on_no_documents_and_extra_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"label": F.lit("x"), "node": F.lit(1), "n_removed": F.lit(2), "__id": F.lit(3)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.where("false"), SF)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
+    few = docs.where("doc_id < 20")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, few, SF)
+        assert out.columns == docs.columns and {(r.label, r.node, r.n_removed) for r in out.collect()} <= {("x", 1, 2)}, name

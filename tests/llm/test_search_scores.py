@@ -135,6 +135,7 @@ def test_scores_without_labels(spark, module, label):
     only = module.score(docs, module.fit(docs, labels.where(f"{label} = 1"), F.lit(True))).collect()
     assert all(r.score > 0.9 for r in only)
     assert module.score(docs.where("false"), module.fit(docs, labels, F.lit(True))).count() == 0
+    assert module.score(docs.where("false"), module.fit(docs.where("false"), labels, F.lit(True))).count() == 0
 
 
 def test_toxic_documents_go(spark):

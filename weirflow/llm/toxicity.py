@@ -30,7 +30,7 @@ learned ones at most, the strongest), which scores every document whole.
 A text is judged by evidence only: the intercept is fixed at the log-odds of the
 toxic share of labels, and the calibration on the sample's labels has a slope
 but no intercept of its own. So null, empty and foreign texts, which hold no
-item, score exactly that share. Without labels of both kinds every score is the
+item, score exactly that share. Without labels of both kinds, or of any of the documents, every score is the
 share (0 if none). Repeated rows and null ids are scored like any other.
 Very long texts are read whole, one at a time.
 """
@@ -339,14 +339,14 @@ def fit(
     """Fit on at most ``per_class`` labelled rows of either kind; vote moments come from all documents."""
     counts = {r[0]: r[1] for r in labels.where(usable).groupBy(F.col(label_col).cast("int")).count().collect()}
     negative, positive = counts.get(0, 0), counts.get(1, 0)
-    if not positive or not negative:
+    sample = labelled_sample(docs, labels, label_col, usable, per_class, id_col, text_col)
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()} if positive and negative else {}
+    if not sizes:
         p = min(max(positive / max(1, positive + negative), 1e-6), 1 - 1e-6)
         none = np.zeros(0)
         blind = Accuracies(none, none, none, np.zeros(len(VOTERS)), float(np.log(p / (1 - p))))
         return Model(np.zeros(0, np.uint64), none.astype(int), none, float(np.log(p / (1 - p))), 0.0, blind)
     prior = positive / (positive + negative)
-    sample = labelled_sample(docs, labels, label_col, usable, per_class, id_col, text_col)
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
     lift = F.log(((F.col("toxic") + 0.25) / n1) / ((F.col("clean") + 0.25) / n0))
     scored = item_counts(sample).where(F.col("toxic") + F.col("clean") >= least).withColumn("lift", lift)
