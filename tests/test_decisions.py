@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import CHAIN, at, graph, named, seeds
 from weirflow.functions.columns import as_list, benchmark_efficiency, compact_rupees, is_stale, iso, recovery_efficiency, rupees, stage_badge, trade_off
-from weirflow.operators import chokepoint, forecast, pareto, risk, scan, traverse
+from weirflow.operators import chokepoint, features, forecast, pareto, risk, scan, traverse
 from weirflow.operators.features import account_features, heuristic_next_hops, next_hop_features, predicted_next_hops
 from weirflow.operators.traverse import upstream
 from weirflow.plans.investigate import Request, investigate
@@ -273,3 +273,16 @@ def test_frontier_in_cells_equals_all_pairs(spark):
     points = np.array([[-r[2], *r[3:]] for r in rows if r[0] == "a"])
     kept = pareto.undominated(points, block=16)
     assert {r[1] for r, k in zip([r for r in rows if r[0] == "a"], kept) if k} == {i for i in want if not i.startswith("ib")}
+
+
+def test_pairs_of_an_institution_are_not_shuffled(spark):
+    """They are made above the last exchange, and are those that share nothing else."""
+    accounts = [("c", f"a{i}", f"B{i % 2}" if i < 9 else None, i, 2, 3, 4, 5) for i in range(10)]
+    node = spark.createDataFrame(accounts, "case_id string, account string, institution string, width bigint, ins bigint, outs bigint, inbound bigint, outbound bigint")
+    related = spark.createDataFrame([("c", "a0", "a2"), ("c", "a0", "a1"), ("c", "a9", "a0")], "case_id string, source string, candidate string")
+    met = features._same_institution(related, node)
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    want = {(f"a{i}", f"a{j}") for i in range(9) for j in range(9) if i != j and i % 2 == j % 2} - {("a0", "a2")}
+    rows = met.collect()
+    assert len(rows) == len(want) and {(r.source, r.candidate) for r in rows} == want and {r.candidate: r.candidate_width for r in rows} == {f"a{i}": i for i in range(9)}
