@@ -14,7 +14,7 @@ from weirflow.llm.substring import dedup_substrings
 from weirflow.session import ship
 
 
-#: Words that a Python worker of the packing stage remembers: less than alone, as the stages before share its executor.
+#: Words that a task of the packing stage remembers: less than alone, as the stages before share its executor.
 CACHED_WORDS = 800_000
 
 
@@ -51,7 +51,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token piece's place in sequences of at most 2048 tokens."""
     ship(spark)
-    return packing.pack(packing.tokenize_pieces(docs, tokenizer_path(), by_word=True, keep_ids=False, cached=CACHED_WORDS))
+    return packing.pack(packing.tokenize_pieces(docs, tokenizer_path(), by_word=True, keep_ids=False, cached=CACHED_WORDS, forget=True))
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,18 @@ def test_a_cut_archive_loses_only_its_last_record(spark, tmp_path):
     (tmp_path / "short").mkdir()
     (tmp_path / "short" / "part-0.warc").write_bytes(data[:-40])
     assert sorted(r.page_id for r in warc.read_archives(spark, f"{tmp_path}/short").collect()) == [0, 1, 2, 3]
+
+
+def test_words_are_forgotten_after_a_task(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, 200)) for i in range(16)], DOCS).repartition(4)
+    found = lambda **how: {(r.doc_id, r.ids_crc32) for r in packing.tokenize_pieces(docs, tokenizer_path(), by_word=True, keep_ids=False, **how).collect()}
+
+    def remembered(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(d) for loaded in packing._loaded.values() for d in loaded[1:])])], ["n"])
+
+    def most():
+        return max(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(remembered, "n bigint").collect())
+
+    assert found() == found(forget=True) and most() == 0

@@ -46,6 +46,13 @@ def _tokenizer(path: str) -> list:
     return _loaded[path]
 
 
+def forget_words() -> None:
+    """Free the remembered words of this Python worker; the tokenizers stay."""
+    for loaded in _loaded.values():
+        loaded[1:] = {}, {}
+    pa.default_memory_pool().release_unused()
+
+
 def _ids(tokenizer, texts: list[str]) -> list[bytes]:  # noqa: ANN001
     return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -101,18 +108,21 @@ def tokenize_pieces(
     cached: int = CACHED,
     id_col: str = "doc_id",
     text_col: str = "text",
+    forget: bool = False,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` of every piece.
 
     A document is its ids and ``end_id``; one longer than ``max_len`` is cut
     into pieces of that length, the last of which may be shorter. ``by_word`` is
     for tokenizers that lower-case and split at white space (see ``encode``); a
-    Python worker then remembers the ids of up to ``cached`` words, some 200 bytes each.
+    Python worker then remembers the ids of up to ``cached`` words, some 200 bytes each,
+    from task to task or, with ``forget``, to the end of its task: whatever runs
+    in the executor afterwards then has that memory.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in chunks(batch):
@@ -131,6 +141,13 @@ def tokenize_pieces(
                     out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces_of(batches)
+        finally:
+            if forget:
+                forget_words()
+
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, schema)
 
