@@ -155,3 +155,19 @@ def test_many_worlds_are_replayed_at_once(spark):
     began = time.perf_counter()
     counterfactual.replay_worlds(many, [taint.CLEAN, "a"], np.full((20, 2), 700, object), [np.array([i]) for i in range(3_000)])
     assert time.perf_counter() - began < 15
+
+
+def test_a_case_is_folded_in_batches(spark):
+    rng = random.Random(8)
+    rows = [(f"m{k}", rng.choice("ABCDE"), rng.choice("ABCDE"), k // 2, rng.randint(1, 900)) for k in range(50)]
+    g, s = graph(spark, *rows).unionByName(graph(spark, *rows[:20], case="d")), seeds(spark, ("m0", 1), ("m9", 1))
+    got = lambda: sorted(tuple(r) for r in taint.allocations(g, s).select("case_id", "sequence", "event_id", "balance_before", "tainted", "clean", F.to_json("contributions")).collect())
+    want = got()
+    assert "CoGroups" not in taint.allocations(g, s)._jdf.queryExecution().toString()
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "7")
+    try:
+        assert got() == want and len(want) == 70
+    finally:
+        spark.conf.set(rows_a_batch, before)

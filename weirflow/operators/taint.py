@@ -2,7 +2,7 @@
 
 The fold is not associative, since proportions depend on the order of events,
 but events that share no account do not wait for each other. A case of up to
-``fold_events`` events is one fold, in (time, ingestion) order. A larger one is
+``fold_events`` events is one fold, in (time, ingestion) order, read a batch at a time. A larger one is
 taken apart: accounts that are connected by no transfer are folds of their own;
 a connected part that is still too large is cut into stretches of as many
 events, folded one after another, and within a stretch again the accounts that
@@ -151,12 +151,37 @@ def allocations(transfers: DataFrame, seeds: DataFrame, fold_events: int = FOLD_
     marked = seeds.select(*(F.col(c).alias(c) for c in ("case_id", "transaction_id", "source_id", "tainted_amount")))
     large = cut_lineage(moves.groupBy("case_id").count().where(F.col("count") > fold_events).select("case_id"))
     if large.isEmpty():
-        return moves.groupBy("case_id").cogroup(marked.groupBy("case_id")).applyInPandas(lambda key, events, told: _fold(Ledger(), events, told)[names], schema)
-    small = moves.join(large, "case_id", "left_anti")
-    whole = small.groupBy("case_id").cogroup(marked.groupBy("case_id")).applyInPandas(lambda key, events, told: _fold(Ledger(), events, told)[names], schema)
+        return _in_order(moves, marked, schema, names)
+    whole = _in_order(moves.join(large, "case_id", "left_anti"), marked, schema, names)
     return whole.unionByName(_in_parts(moves.join(large, "case_id", "left_semi"), marked, fold_events, schema, names))
 
 
+def _marks_of(events: pd.DataFrame) -> pd.DataFrame:
+    """Seeds of ``events`` from their ``marks``, one row each."""
+    marks = [(tx, m["source_id"], m["tainted_amount"]) for tx, some in zip(events["transaction_id"], events["marks"]) if some is not None for m in some]
+    return pd.DataFrame(marks, columns=["transaction_id", "source_id", "tainted_amount"])
+
+
+def _in_order(moves: DataFrame, marked: DataFrame, schema: str, names: list[str]) -> DataFrame:
+    """Allocations of whole cases: a task reads its cases' events in order, a batch at a time, and holds one ledger."""
+    told = marked.groupBy("case_id", "transaction_id").agg(F.collect_list(F.struct("source_id", "tainted_amount")).alias("marks"))
+    rows = moves.join(told, ["case_id", "transaction_id"], "left").repartition("case_id")
+    rows = rows.sortWithinPartitions("case_id", F.asc_nulls_last("occurred_at"), F.asc_nulls_last("ingest_seq"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        ledger, case, done = Ledger(), None, 0
+        for batch in batches:
+            for _, events in batch.groupby("case_id", sort=False, dropna=False):
+                now = events["case_id"].iloc[0]
+                if now != case:
+                    ledger, case, done = Ledger(), now, 0
+                numbered = events.assign(sequence=range(done, done + len(events)))
+                yield _fold(ledger, numbered, _marks_of(events))[names]
+                done += len(events)
+
+    return rows.mapInPandas(run, schema)
+
+
 def _in_parts(moves: DataFrame, marked: DataFrame, fold_events: int, schema: str, names: list[str]) -> DataFrame:
     """Allocations of cases that are too large for one fold."""
     moves = cut_lineage(ranked(moves, "case_id", ["occurred_at", "ingest_seq"], "sequence").withColumn("sequence", F.col("sequence").cast("int")))
@@ -187,8 +212,7 @@ def _in_parts(moves: DataFrame, marked: DataFrame, fold_events: int, schema: str
         for account, source, amount in zip(held["account"], held["source_id"], held["amount"]):
             pools.setdefault(account, {CLEAN: 0})[source] = int(amount)
         ledger = Ledger(pools)
-        marks = [(tx, m["source_id"], m["tainted_amount"]) for tx, some in zip(events["transaction_id"], events["marks"]) if some is not None for m in some]
-        done = _fold(ledger, events, pd.DataFrame(marks, columns=["transaction_id", "source_id", "tainted_amount"]))[names]
+        done = _fold(ledger, events, _marks_of(events))[names]
         rows = [(key[0], None, None, None, *r[1:]) for r in done.itertuples(index=False, name=None)]
         rows += [(key[0], a, s, v, *(None for _ in names[1:])) for a, pool in ledger.balances.items() for s, v in pool.items() if v]
         return pd.DataFrame(rows, columns=columns, dtype=object)
