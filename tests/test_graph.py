@@ -126,3 +126,20 @@ def test_ancestors_by_bitsets_and_by_levels(spark):
     for most in (20_000, 13, 1):
         rows = [tuple(r) for r in traverse.upstream(g, of, bitset_accounts=most).select("case_id", "account", "ancestor").collect()]
         assert len(rows) == len(want) and set(rows) == want
+
+
+def test_ancestors_of_large_cases_by_connected_parts(spark, monkeypatch):
+    """Cases beyond the bitsets are taken apart, so no part goes level by level that fits a task."""
+    links = [("A", "B"), ("B", "C"), ("D", "E"), ("E", "D"), ("F", "G"), ("H", "I"), ("I", "J"), ("J", "K"), ("H", "K"), ("K", "L")]
+    g = graph(spark, *((f"e{i}", a, b, i) for i, (a, b) in enumerate(links)))
+    of = named(spark, *"ABCDEFGHIJKLZ")
+    want = sorted(tuple(r) for r in traverse.upstream(g, of).select("account", "ancestor").collect())
+    assert len(want) == 16
+    levels = []
+    slow = traverse._upstream_by_levels
+    monkeypatch.setattr(traverse, "_upstream_by_levels", lambda rest, asked: levels.append(1) or slow(rest, asked))
+    for most, by_levels in ((5, 0), (4, 1), (2, 1)):
+        for task_links in (100, 3):
+            levels.clear()
+            got = traverse.upstream(g, of, bitset_accounts=most, task_links=task_links).select("account", "ancestor").collect()
+            assert (sorted(map(tuple, got)), len(levels)) == (want, by_levels)

@@ -136,29 +136,102 @@ def _hops_to(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     return cut_lineage(seen)
 
 
-#: Accounts of a case up to which its ancestors are bitsets of one task (50 MB then).
-BITSET_ACCOUNTS = 20_000
+#: Accounts of a case or connected part up to which its ancestors are bitsets of one task (50 MB then), and of a group of small parts.
+BITSET_ACCOUNTS, PART_ACCOUNTS = 20_000, 4_096
+#: Links of a case up to which one task finds its connected parts.
+TASK_LINKS = 4_000_000
 
 
-def upstream(transfers: DataFrame, of: DataFrame, time: Any = None, bitset_accounts: int = BITSET_ACCOUNTS) -> DataFrame:
+def upstream(transfers: DataFrame, of: DataFrame, time: Any = None, bitset_accounts: int = BITSET_ACCOUNTS, task_links: int = TASK_LINKS) -> DataFrame:
     """``case_id, account, ancestor``: accounts with a chain of active edges up to ``time`` into ``account``; order of times ignored.
 
     A case of up to ``bitset_accounts`` accounts is closed by bitsets, and only
-    the accounts asked for become rows. Larger cases go level by level.
+    the accounts asked for become rows. A larger case is taken apart into accounts
+    that no edge connects; groups of such parts are closed by bitsets, and only a
+    part that is still too large goes level by level.
     """
     known = as_of(transfers, time) if time is not None else active(transfers)
     links = cut_lineage(known.select("case_id", F.col("sender").alias("ancestor"), F.col("receiver").alias("via")).where("ancestor <> via").distinct())
     of = of.select("case_id", "account").distinct()
     ends = links.select("case_id", F.explode(F.array("ancestor", "via")).alias("account"))
-    large = cut_lineage(ends.groupBy("case_id").agg(F.count_distinct("account").alias("n")).where(F.col("n") > bitset_accounts).select("case_id"))
-    some_large = not large.isEmpty()
-    small, asked = (links.join(large, "case_id", "left_anti"), of.join(large, "case_id", "left_anti")) if some_large else (links, of)
+    sizes = ends.groupBy("case_id").agg(F.count_distinct("account").alias("accounts"), (F.count("*") / 2).alias("links"))
+    large = cut_lineage(sizes.where(F.col("accounts") > bitset_accounts).select("case_id", (F.col("links") > task_links).alias("huge")))
+    if large.isEmpty():
+        return _by_bitsets(links, of)
+    whole = _by_bitsets(links.join(large, "case_id", "left_anti"), of.join(large, "case_id", "left_anti"))
+    links, of = links.join(large, "case_id"), of.join(large, "case_id")
+    plain, asked = links.where("NOT huge").drop("huge"), of.where("NOT huge").drop("huge")
     asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
     kind = dict(links.dtypes)["via"]
-    found = small.groupBy("case_id").cogroup(asked.groupBy("case_id")).applyInArrow(_ancestors, f"case_id string, account {kind}, ancestor {kind}")
-    if not some_large:
+
+    def parts(links_: pa.Table, asked_: pa.Table) -> pa.Table:
+        return _parts(links_, asked_, bitset_accounts)
+
+    placed = plain.groupBy("case_id").cogroup(asked.groupBy("case_id")).applyInArrow(parts, f"case_id string, part bigint, ancestor {kind}, via {kind}")
+    if not large.where("huge").isEmpty():
+        placed = placed.unionByName(_parts_by_joins(links.where("huge").drop("huge"), of.where("huge").drop("huge"), bitset_accounts))
+    placed = cut_lineage(placed)
+    found = whole.unionByName(placed.where("part IS NOT NULL").groupBy("case_id", "part").applyInArrow(_part_ancestors, f"case_id string, account {kind}, ancestor {kind}"))
+    rest = placed.where("part IS NULL").drop("part")
+    if rest.isEmpty():
         return found
-    return found.unionByName(_upstream_by_levels(links.join(large, "case_id", "left_semi"), of.join(large, "case_id", "left_semi")))
+    return found.unionByName(_upstream_by_levels(rest.where("ancestor IS NOT NULL"), rest.where("ancestor IS NULL").select("case_id", F.col("via").alias("account"))))
+
+
+def _by_bitsets(links: DataFrame, of: DataFrame) -> DataFrame:
+    of = of.select(*(F.col(c).alias(c) for c in of.columns))
+    kind = dict(links.dtypes)["via"]
+    return links.groupBy("case_id").cogroup(of.groupBy("case_id")).applyInArrow(_ancestors, f"case_id string, account {kind}, ancestor {kind}")
+
+
+def _parts(links: pa.Table, asked: pa.Table, most: int) -> pa.Table:
+    """Links and accounts asked for (no ancestor) of one case, with the group of connected parts that they belong to; none for a part of more than ``most`` accounts."""
+    kind = links.schema.field("via").type
+    schema = pa.schema([("case_id", links.schema.field("case_id").type), ("part", pa.int64()), ("ancestor", kind), ("via", kind)])
+    if not links.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    ends = pa.chunked_array([*links.column("ancestor").chunks, *links.column("via").chunks]).combine_chunks().dictionary_encode()
+    code = ends.indices.to_numpy(zero_copy_only=False)
+    a, b = code[: links.num_rows], code[links.num_rows :]
+    label = np.arange(len(ends.dictionary))
+    while not np.array_equal(label[a], label[b]):  # roots hook on to the least root around them
+        least = np.minimum(label[a], label[b])
+        hooked = label.copy()
+        np.minimum.at(hooked, label[a], least)
+        np.minimum.at(hooked, label[b], least)
+        while not np.array_equal(hooked[hooked], hooked):
+            hooked = hooked[hooked]
+        label = hooked[label]
+    size = np.bincount(label)
+    small = np.where(size <= most, size, 0)
+    part = (np.cumsum(small) - small) // min(PART_ACCOUNTS, most)
+    part = pa.array(part[label], mask=size[label] > most)
+    own = pc.index_in(asked.column("account").combine_chunks(), value_set=ends.dictionary)
+    known = pc.is_valid(own)
+    own, account = own.filter(known), asked.column("account").combine_chunks().filter(known)
+    rows = len(a) + len(own)
+    case = pa.array([links.column("case_id")[0].as_py()], schema.field("case_id").type).take(pa.array(np.zeros(rows, np.int64)))
+    return pa.table([
+        case, pa.chunked_array([part.take(pa.array(a)), part.take(own)]), pa.chunked_array([*links.column("ancestor").chunks, pa.nulls(len(own), kind)]), pa.chunked_array([*links.column("via").chunks, account]),
+    ], schema=schema)
+
+
+def _parts_by_joins(links: DataFrame, of: DataFrame, most: int) -> DataFrame:
+    """As ``_parts``, for cases with too many links for a task."""
+    roots = components(links.select("case_id", F.col("ancestor").alias("a"), F.col("via").alias("b")), ["case_id"])
+    sizes = roots.groupBy("case_id", "root").agg(F.count("*").alias("n"))
+    before = F.sum(F.when(F.col("n") <= most, F.col("n"))).over(Window.partitionBy("case_id").orderBy("root").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.when(F.col("n") <= most, F.floor(F.coalesce(before, F.lit(0)) / min(PART_ACCOUNTS, most)))
+    parts = cut_lineage(roots.join(sizes.withColumn("part", part), ["case_id", "root"]).select("case_id", F.col("node").alias("via"), "part"))
+    columns = ["case_id", "part", "ancestor", "via"]
+    asked = of.select("case_id", F.col("account").alias("via"), F.lit(None).cast(dict(links.dtypes)["via"]).alias("ancestor"))
+    return links.join(parts, ["case_id", "via"]).select(columns).unionByName(asked.join(parts, ["case_id", "via"]).select(columns))
+
+
+def _part_ancestors(rows: pa.Table) -> pa.Table:
+    link = pc.is_valid(rows.column("ancestor"))
+    asked = rows.filter(pc.invert(link))
+    return _ancestors(rows.filter(link), asked.select(["case_id", "via"]).rename_columns(["case_id", "account"]))
 
 
 def _ancestors(links: pa.Table, asked: pa.Table) -> pa.Table:
