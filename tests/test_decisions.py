@@ -286,3 +286,30 @@ def test_pairs_of_an_institution_are_not_shuffled(spark):
     want = {(f"a{i}", f"a{j}") for i in range(9) for j in range(9) if i != j and i % 2 == j % 2} - {("a0", "a2")}
     rows = met.collect()
     assert len(rows) == len(want) and {(r.source, r.candidate) for r in rows} == want and {r.candidate: r.candidate_width for r in rows} == {f"a{i}": i for i in range(9)}
+
+
+def test_pairs_of_one_institution_are_weights_and_places(spark):
+    """Training rows count as many pairs as the list of all pairs has, and the ranks are those over all pairs."""
+    rng = random.Random(4)
+    rows = [(f"e{i}", *(f"a{rng.randint(0, 19):02d}" for _ in range(2)), i, rng.randrange(1, 900)) for i in range(45)]
+    g = graph(spark, *rows).unionByName(graph(spark, *rows[:9], case="d"))
+    times = at(spark, 20).unionByName(at(spark, 20, case="d"))
+    banks = spark.createDataFrame([(f"a{i:02d}", f"b{i % 3}" if i % 7 else None) for i in range(20)], "account string, institution string")
+    later = g.join(times, "case_id").where("occurred_at > as_of").select("case_id", F.col("sender").alias("source"), F.col("receiver").alias("candidate"))
+    every = traverse.cut_lineage(next_hop_features(g, times, None, banks))
+    related = traverse.cut_lineage(next_hop_features(g, times, None, banks, alike_alone=False))
+    candidates = traverse.cut_lineage(features.institution_candidates(g, times, banks))
+    assert 0 < related.count() < every.count()
+    labelled = every.join(later.distinct().withColumn("label", F.lit(1)), ["case_id", "source", "candidate"], "left").fillna(0, ["label"])
+    columns = ["case_id", "candidate", *risk.NEXT_HOP_FEATURES, "label"]
+    weighted = traverse.cut_lineage(risk.weighted_pairs(related, candidates, later))
+    tally = lambda d, n: {tuple(r)[:-1]: r.n for r in d.groupBy(columns).agg(n.alias("n")).collect()}
+    assert tally(weighted, F.sum("weight")) == tally(labelled, F.count("*"))
+    model = risk.next_hop_model()
+    model.rounds = 3
+    model.fit(weighted, weight="weight")
+    known = g.join(times, "case_id").where("occurred_at <= as_of").drop("as_of")
+    ancestors = traverse.cut_lineage(upstream(known, scan.accounts(known)))
+    want = risk.fitted_next_hops(every, model, ancestors, top_k=3).drop("signals").collect()
+    got = risk.fitted_next_hops_by_institution(related, candidates, model, ancestors, top_k=3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.probability for r in got}) > 3
