@@ -313,3 +313,14 @@ def test_pairs_of_one_institution_are_weights_and_places(spark):
     want = risk.fitted_next_hops(every, model, ancestors, top_k=3).drop("signals").collect()
     got = risk.fitted_next_hops_by_institution(related, candidates, model, ancestors, top_k=3).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.probability for r in got}) > 3
+
+
+def test_ranks_without_lists_of_what_dominates(spark):
+    rng = random.Random(6)
+    rows = [("c", f"i{n:02d}", *(rng.randrange(4) for _ in range(4))) for n in range(40)]
+    options = spark.createDataFrame(rows, "case_id string, intervention_id string, intercepted bigint, legitimate bigint, affected_accounts int, affected_edges bigint")
+    limits = pareto.Limits(maximum_affected_edges=2)
+    plain, named_ = pareto.ranked(options, limits, named=False), pareto.ranked(options, limits)
+    assert "dominated_by" not in plain.columns
+    columns = ["intervention_id", "pareto_rank", "selected", "feasible"]
+    assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, named_.select(columns).collect()))

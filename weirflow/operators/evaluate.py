@@ -96,7 +96,8 @@ def strategies(world: DataFrame, seeds: DataFrame, times: DataFrame, limits: par
     """Every strategy's choice in each case, and all evaluations (with ranks) they choose from."""
     allocated = cut_lineage(taint.allocations(world, seeds))
     options = cut_lineage(counterfactual.with_id(counterfactual.candidates(world, allocated, times), times))
-    rows = cut_lineage(pareto.ranked(counterfactual.outcomes(world, seeds, allocated, options, times), limits))
+    found = cut_lineage(counterfactual.outcomes(world, seeds, allocated, options, times).drop("accounts", "blocked_event_ids"))
+    rows = cut_lineage(pareto.ranked(found, limits, named=False))
     target = ["case_id", "target_account"]
     named = lambda d, c: d.select("case_id", F.col("account").alias("target_account"), c)
     later = active(world).join(times.select("case_id", "as_of"), "case_id").where("occurred_at > as_of").groupBy("case_id", F.col("sender").alias("account")).agg(F.max("amount_minor_units").alias("largest_later"))

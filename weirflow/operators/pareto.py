@@ -135,23 +135,31 @@ def selection_order() -> list[Column]:
     return [F.desc("intercepted"), F.asc("legitimate"), F.desc("efficiency"), F.asc("affected_accounts"), F.asc("affected_edges"), F.asc("intervention_id")]
 
 
-def ranked(evaluations: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def ranked(evaluations: DataFrame, limits: Limits = Limits(), named: bool = True) -> DataFrame:
     """All rows with ``pareto_rank`` (0 frontier, 1 dominated, null infeasible), ``dominated_by`` and ``selected``.
 
-    Infeasible rows have no rank, but frontier rows that dominate them are listed.
+    Infeasible rows have no rank, but frontier rows that dominate them are listed;
+    without ``named`` there is no such list, which is as long as the frontier.
     """
     rows = judged(evaluations, limits)
     front = frontier(rows.where("feasible")).select("case_id", "intervention_id", *OBJECTIVES)
+    if not named:
+        return _placed(rows, front)
     over = rows.alias("b").join(front.alias("a"), (F.col("a.case_id") == F.col("b.case_id")) & _dominates("a", "b"))
     by = over.groupBy(F.col("b.case_id").alias("case_id"), F.col("b.intervention_id").alias("intervention_id")).agg(F.array_sort(F.collect_list("a.intervention_id")).alias("dominated_by"))
+    out = _placed(rows, front).join(by, ["case_id", "intervention_id"], "left")
+    return out.withColumn("dominated_by", F.coalesce("dominated_by", F.array().cast("array<string>")))
+
+
+def _placed(rows: DataFrame, front: DataFrame) -> DataFrame:
+    """``rows`` with ``pareto_rank`` and ``selected``."""
     marked = front.select("case_id", "intervention_id", F.lit(True).alias("on_front"))
-    out = rows.join(marked, ["case_id", "intervention_id"], "left").join(by, ["case_id", "intervention_id"], "left")
+    out = rows.join(marked, ["case_id", "intervention_id"], "left")
     on = F.coalesce("on_front", F.lit(False))
     place = F.row_number().over(Window.partitionBy("case_id", on).orderBy(*selection_order()))
     return (
         out.withColumn("selected", on & (place == 1))
-        .withColumn("pareto_rank", F.when(on, 0).when(F.col("feasible"), 1))
-        .withColumn("dominated_by", F.coalesce("dominated_by", F.array().cast("array<string>"))).drop("on_front")
+        .withColumn("pareto_rank", F.when(on, 0).when(F.col("feasible"), 1)).drop("on_front")
     )
 
 

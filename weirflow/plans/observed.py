@@ -130,7 +130,7 @@ _CHOSEN = f"""{_OPTIONS}, ow AS (SELECT *, row_number() OVER (PARTITION BY case_
 
 
 def _chosen(spark: SparkSession, d: str) -> DataFrame:
-    rows = traverse.cut_lineage(pareto.ranked(_options(spark, d), LIMITS))
+    rows = traverse.cut_lineage(pareto.ranked(_options(spark, d), LIMITS, named=False))
     picks = rows.where("selected").withColumn("strategy", F.lit(evaluate.OWN))
     for name, measure in _MEASURES.items():
         picks = picks.unionByName(pareto.baseline_choice(rows, measure, account_holds_only=False).withColumn("strategy", F.lit(name)))

@@ -760,7 +760,7 @@ def forecast_benchmark(spark: SparkSession, d: str) -> DataFrame:
     expected = pareto.judged(forecast.evaluate(moves, marked, paths, holds, times))
     own = counterfactual.candidates(moves, allocated, times)
     known = traverse.cut_lineage(counterfactual.outcomes(moves, marked, allocated, counterfactual.with_id(own.unionByName(holds).distinct(), times), times))
-    best = pareto.ranked(known.join(counterfactual.with_id(own, times).select("case_id", "intervention_id"), ["case_id", "intervention_id"], "left_semi")).where("selected")
+    best = pareto.ranked(known.join(counterfactual.with_id(own, times).select("case_id", "intervention_id"), ["case_id", "intervention_id"], "left_semi"), named=False).where("selected")
     compared = traverse.cut_lineage(evaluate.forecast_comparison(best, pareto.robust_choice(expected.where("forecast_status = 'ready'")), known, times))
     notes = compared.select("strategy", F.explode("notes").alias("note")).groupBy("strategy", "note").count()
     noted = notes.groupBy("strategy").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "note", "count"))), ",").alias("notes"))
