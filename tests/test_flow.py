@@ -117,3 +117,9 @@ def test_flow_of_nothing_and_of_same_times(spark):
     assert flowed.count() == side.count() == flow.least_cut(none, flowed, side).count() == 0
     same = graph(spark, *[(f"e{i}", "A", "B", 5) for i in range(8)], *[(f"f{i}", "B", "C", 5) for i in range(8)])
     assert [r.status for r in chokepoint.min_cut(same, costs, named(spark, "A"), named(spark, "C"), region_arcs=3).collect()] == ["no_path_exists"]
+
+
+def test_a_case_of_a_hundred_thousand_arcs_is_one_region(spark):
+    """Such a case took rounds of border labels between regions."""
+    arcs = spark.range(100_000).selectExpr("'c' AS case_id", "id AS tail_t", "id + 1 AS head_t")
+    assert flow.placed(arcs).agg({"head_region": "max"}).first()[0] == 1

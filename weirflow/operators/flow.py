@@ -38,7 +38,7 @@ from weirflow.operators.traverse import cut_lineage
 
 WIDE = "decimal(38,0)"
 #: Arcs of a region, and the equal spans of a case's time from which regions are made up.
-REGION_ARCS, SPANS = 50_000, 4096
+REGION_ARCS, SPANS = 500_000, 4096
 _ARC = ("case_id", "arc", "tail", "tail_t", "tail_region", "head", "head_t", "head_region", "capacity", "flow")
 _NEWS = "case_id string, region int, what string, name string, value string"
 
