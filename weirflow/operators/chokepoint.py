@@ -52,7 +52,8 @@ def encoded_costs(events: DataFrame, eligible: DataFrame, collateral: DataFrame)
     """
     open_ = events.select("case_id", "event_id").join(eligible.select("case_id", "event_id"), ["case_id", "event_id"], "left_semi")
     known = open_.join(collateral.select("case_id", "event_id", "collateral"), ["case_id", "event_id"], "left")
-    n = F.count("*").over(Window.partitionBy("case_id"))
+    known = known.join(F.broadcast(known.groupBy("case_id").agg(F.count("*").alias("n"))), "case_id")  # a number for each case
+    n = F.col("n")
     amount = F.coalesce(F.col("collateral"), F.lit(0))
     checked = F.when(amount < 0, F.raise_error(F.lit("collateral must not be negative")).cast("bigint")).otherwise(amount)
     return known.select("case_id", "event_id", checked.alias("collateral"), (checked.cast("decimal(19,0)") * (n + 1).cast("decimal(18,0)") + 1).cast(WIDE).alias("cost"))
@@ -69,10 +70,11 @@ def network_arcs(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks:
     node = lambda account, t: F.concat(F.lit("v:"), F.col(account).cast("string"), F.lit(":"), F.col(t).cast("string"))
     enter, leave = F.concat(F.lit("i:"), F.col("event_id").cast("string")), F.concat(F.lit("o:"), F.col("event_id").cast("string"))
     infinite = costs.groupBy("case_id").agg((F.sum("cost") + 1).cast(WIDE).alias("infinite"))
-    moves = moves.join(infinite, "case_id", "left").withColumn("infinite", F.coalesce("infinite", F.lit(1).cast(WIDE)))
-    times = moves.select("case_id", "infinite", F.explode(F.array("sender", "receiver")).alias("account"), "t").distinct()
+    endless = lambda d: d.join(F.broadcast(infinite), "case_id", "left").withColumn("infinite", F.coalesce("infinite", F.lit(1).cast(WIDE)))
+    times = moves.select("case_id", F.explode(F.array("sender", "receiver")).alias("account"), "t").distinct()
     of = Window.partitionBy("case_id", "account").orderBy("t")
-    times = times.withColumns({"before": F.lag("t").over(of), "after": F.lead("t").over(of)})
+    times = endless(times.withColumns({"before": F.lag("t").over(of), "after": F.lead("t").over(of)}))
+    moves = endless(moves)
     none = F.lit(None).cast(dict(events.dtypes)["event_id"])
     arc = lambda d, kind, a, b, cap, event, cut: d.select("case_id", F.lit(kind).alias("kind"), a.alias("from_node"), b.alias("to_node"), cap.cast(WIDE).alias("capacity"), event.alias("event_id"), cut.alias("cuttable"))
     inf, no = F.col("infinite"), F.lit(False)
