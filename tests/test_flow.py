@@ -119,6 +119,19 @@ def test_flow_of_nothing_and_of_same_times(spark):
     assert [r.status for r in chokepoint.min_cut(same, costs, named(spark, "A"), named(spark, "C"), region_arcs=3).collect()] == ["no_path_exists"]
 
 
+def test_only_events_on_paths_make_a_network(spark):
+    """Dead ends, what cannot be entered and what is too early are left out; a sink and a source end and begin ways."""
+    rows = [("ab", "A", "B", 1), ("bd", "B", "D", 2), ("early", "B", "D", 1), ("dead", "B", "Q", 3), ("other", "P", "B", 0), ("ba", "B", "A", 2), ("dc", "D", "C", 5), ("cd", "C", "D", 9), ("ac", "A", "C", 3), ("late", "C", "D", 3), ("failed", "A", "D", 4, 10, "failed")]
+    g = graph(spark, *rows)
+    kept = flow.on_paths(g, named(spark, "A"), named(spark, "D"))
+    assert {r.event_id for r in kept.collect()} == {"ab", "bd", "ac", "cd"}
+    assert flow.entered(g, named(spark, "A"), named(spark, "D")).first().events == flow.contracted(g, costs_of(spark), named(spark, "A"), named(spark, "D")).where("event_id IS NOT NULL").count()
+
+
+def costs_of(spark):
+    return spark.createDataFrame([("c", "bd", 3)], "case_id string, event_id string, cost bigint").withColumn("cost", F.col("cost").cast("decimal(38,0)"))
+
+
 def test_a_case_of_a_hundred_thousand_arcs_is_one_region(spark):
     """Such a case took rounds of border labels between regions."""
     arcs = spark.range(100_000).selectExpr("'c' AS case_id", "id AS tail_t", "id + 1 AS head_t")

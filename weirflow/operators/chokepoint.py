@@ -115,7 +115,7 @@ def min_cut(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: Data
         sizes = cut_lineage(budgets(network_arcs(moves, costs, sources, sinks), limits))
         over = sizes.where("exceeded").select("case_id")
         moves = moves.join(over, "case_id", "left_anti")
-    found = flow.least_cut(moves, *flow.max_flow(flow.contracted(moves, costs, sources, sinks), region_arcs))
+    found = flow.least_cut(moves, *flow.max_flow(flow.contracted(flow.on_paths(moves, sources, sinks), costs, sources, sinks), region_arcs))
     if over is None:
         return found
     event = dict(events.dtypes)["event_id"]

@@ -101,6 +101,51 @@ class FlowGraph:
         return total
 
 
+def _sided(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``case_id, event_id, sender, receiver, t`` of active events, and whether one ``begins`` at a source or ``ends`` at a sink."""
+    moves = active(events).select("case_id", "event_id", "sender", "receiver", micros("occurred_at").alias("t"))
+    for accounts, side, flag in ((sources, "sender", "begins"), (sinks, "receiver", "ends")):
+        marked = accounts.select("case_id", F.col("account").alias(side)).distinct().withColumn(flag, F.lit(True))
+        moves = moves.join(marked, ["case_id", side], "left")
+    return moves.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("begins", "ends")})
+
+
+def _best_times(moves: DataFrame, start: str, here: str, there: str, sign: int) -> DataFrame:
+    """``case_id, account, best``: the least ``sign * t`` of events at an account's ``there`` side on ways of events that leave each other ``here``, from those of ``start`` on.
+
+    Rounds of a join with the accounts that got a better time, until there is none.
+    """
+    t = F.col("t") * sign
+    of = lambda d: d.groupBy("case_id", F.col(there).alias("account")).agg(F.min(t).alias("best"))
+    now = fresh = cut_lineage(of(moves.where(start)))
+    between = moves.where("NOT begins AND NOT ends")
+    while not fresh.isEmpty():
+        found = of(between.join(fresh.withColumnsRenamed({"account": here, "best": "since"}), ["case_id", here]).where(t > F.col("since")))
+        found = found.join(now.withColumnRenamed("best", "known"), ["case_id", "account"], "left").where("known IS NULL OR best < known")
+        fresh = cut_lineage(found.select("case_id", "account", "best"))
+        now = cut_lineage(now.unionByName(fresh).groupBy("case_id", "account").agg(F.min("best").alias("best")))
+    return now
+
+
+def on_paths(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """The active ``events`` on a path of strictly later hops from a source to a sink; no other carries flow or is cut."""
+    moves = cut_lineage(_sided(events, sources, sinks))
+    arrival = _best_times(moves, "begins AND NOT ends", "sender", "receiver", 1)
+    moves = moves.join(arrival.withColumnRenamed("account", "sender"), ["case_id", "sender"], "left").where("begins OR t > best").drop("best")
+    moves = cut_lineage(moves)
+    departure = _best_times(moves, "ends AND NOT begins", "receiver", "sender", -1)
+    kept = moves.join(departure.withColumnRenamed("account", "receiver"), ["case_id", "receiver"], "left").where("ends OR -t > best")
+    return active(events).join(cut_lineage(kept.select("case_id", "event_id")), ["case_id", "event_id"], "left_semi")
+
+
+def entered(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``case_id, events``: how many events ``contracted`` has an arc for: those of a source, or after an arrival at their sender."""
+    moves = _sided(events, sources, sinks)
+    first = moves.where("NOT ends").groupBy("case_id", F.col("receiver").alias("sender")).agg(F.min("t").alias("first"))
+    known = moves.join(first, ["case_id", "sender"], "left")
+    return known.groupBy("case_id").agg(F.count_if(F.col("begins") | F.coalesce(F.col("first") < F.col("t"), F.lit(False))).alias("events"))
+
+
 def contracted(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """``case_id, arc, event_id, tail, tail_t, head, head_t, capacity, cuttable``: null tails are the source, null heads the sink.
 
@@ -108,12 +153,7 @@ def contracted(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: D
     waiting have more than all of them together. Events that no money from a
     source can enter by the first hop's account are left out.
     """
-    moves = active(events).select("case_id", "event_id", "sender", "receiver", micros("occurred_at").alias("t"))
-    moves = moves.join(costs.select("case_id", "event_id", "cost"), ["case_id", "event_id"], "left")
-    for accounts, side, flag in ((sources, "sender", "begins"), (sinks, "receiver", "ends")):
-        named = accounts.select("case_id", F.col("account").alias(side)).distinct().withColumn(flag, F.lit(True))
-        moves = moves.join(named, ["case_id", side], "left")
-    moves = moves.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("begins", "ends")})
+    moves = _sided(events, sources, sinks).join(costs.select("case_id", "event_id", "cost"), ["case_id", "event_id"], "left")
     infinite = costs.groupBy("case_id").agg((F.sum("cost") + 1).cast(WIDE).alias("infinite"))
     spot = lambda side, kind: moves.select("case_id", F.col(side).alias("account"), "t", F.lit(kind).alias("kind"))
     marks = spot("sender", 0).where(~moves["begins"]).unionByName(spot("receiver", 1).where(~moves["ends"])).distinct()
@@ -129,7 +169,7 @@ def contracted(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: D
         hops.select("case_id", F.concat(F.lit("e:"), F.col("event_id").cast("string")).alias("arc"), "event_id", node("sender", "tail_t").alias("tail"), "tail_t", node("receiver", "head_t").alias("head"), "head_t", F.col("cost").cast(WIDE).alias("capacity")),
         waits.select("case_id", F.concat(F.lit("w:"), node("account", "head_t")).alias("arc"), none.alias("event_id"), node("account", "tail_t").alias("tail"), "tail_t", node("account", "head_t").alias("head"), "head_t", F.lit(None).cast(WIDE).alias("capacity")),
     ]
-    arcs = parts[0].unionByName(parts[1]).join(infinite, "case_id", "left")
+    arcs = parts[0].unionByName(parts[1]).join(F.broadcast(infinite), "case_id", "left")  # a number for each case
     most = F.coalesce("infinite", F.lit(1).cast(WIDE))
     return arcs.select("case_id", "arc", "event_id", "tail", "tail_t", "head", "head_t", F.coalesce("capacity", most).alias("capacity"), F.col("capacity").isNotNull().alias("cuttable"), most.alias("infinite"))
 
@@ -139,11 +179,11 @@ def placed(arcs: DataFrame, region_arcs: int = REGION_ARCS) -> DataFrame:
     times = arcs.select("case_id", F.coalesce("tail_t", "head_t").alias("t")).where("t IS NOT NULL")
     case = arcs.groupBy("case_id").agg(F.min(F.least("tail_t", "head_t")).alias("first"), F.max(F.greatest("tail_t", "head_t")).alias("last"))
     span = lambda t: F.floor((t - F.col("first")) * SPANS / (F.col("last") - F.col("first") + 1)).cast("int")
-    counts = times.join(case, "case_id").groupBy("case_id", span(F.col("t")).alias("span")).agg(F.count("*").alias("n"))
+    counts = times.join(F.broadcast(case), "case_id").groupBy("case_id", span(F.col("t")).alias("span")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("case_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("case_id", "span", F.floor(before / region_arcs).cast("int").alias("region")).groupBy("case_id", "region").agg(F.min("span").alias("span"))
     cuts = starts.groupBy("case_id").agg(F.array_sort(F.collect_list("span")).alias("regions"))  # SPANS entries at most
-    known = arcs.join(case, "case_id", "left").join(cuts, "case_id", "left")
+    known = arcs.join(F.broadcast(case), "case_id", "left").join(F.broadcast(cuts), "case_id", "left")
     region = lambda t: F.when(F.col(t).isNotNull(), F.size(F.filter("regions", lambda s: s <= span(F.col(t)))))
     return known.select(*arcs.columns, region("tail_t").alias("tail_region"), region("head_t").alias("head_region"))
 
@@ -366,16 +406,20 @@ def least_cut(cases: DataFrame, flowed: DataFrame, side: DataFrame) -> DataFrame
     return totals.join(cut, ["case_id", "status"], "left").select("case_id", "status", "cost", "residual_path", "event_id")
 
 
-def certificate(flowed: DataFrame, cut: DataFrame) -> DataFrame:
+def certificate(flowed: DataFrame, cut: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """A row a case that proves flow and cut: arcs whose flow is negative or above capacity, nodes where in and out differ, and cut less flow, all zero.
 
-    No flow is greater than any cut, so equal amounts prove both.
+    No flow is greater than any cut, so equal amounts prove both. ``events`` is that of
+    ``counts`` (``case_id, events``), if given: events left out of ``flowed`` carry nothing.
     """
     arcs = flowed.groupBy("case_id").agg(F.count("event_id").alias("events"), F.count_if((F.col("flow") < 0) | (F.col("flow") > F.col("capacity"))).alias("over_capacity"), F.coalesce(F.sum(F.when(F.col("tail").isNull(), F.col("flow"))), F.lit(0)).alias("value"))
     ends = flowed.select("case_id", F.explode(F.array(F.struct(F.col("tail").alias("node"), (-F.col("flow")).alias("f")), F.struct(F.col("head").alias("node"), F.col("flow").alias("f")))).alias("e")).select("case_id", "e.*").where("node IS NOT NULL")
     unequal = ends.groupBy("case_id", "node").agg(F.sum("f").alias("f")).groupBy("case_id").agg(F.count_if(F.col("f") != 0).alias("unbalanced"))
     paid = cut.where("event_id IS NOT NULL").join(flowed.where("event_id IS NOT NULL").select("case_id", "event_id", "capacity"), ["case_id", "event_id"]).groupBy("case_id").agg(F.sum("capacity").alias("paid"))
     told = cut.select("case_id", "status").distinct()
+    if counts is not None:
+        arcs = counts.join(arcs.drop("events"), "case_id", "left")
     out = told.join(arcs, "case_id").join(unequal, "case_id", "left").join(paid, "case_id", "left")
-    gap = F.when(F.col("status") == "no_feasible_cut", F.lit(0)).otherwise(F.coalesce("paid", F.lit(0)) - F.col("value"))
-    return out.select("case_id", "status", "events", "over_capacity", F.coalesce("unbalanced", F.lit(0)).alias("unbalanced"), gap.cast(WIDE).alias("gap"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    gap = F.when(F.col("status") == "no_feasible_cut", F.lit(0)).otherwise(zero("paid") - zero("value"))
+    return out.select("case_id", "status", "events", zero("over_capacity").alias("over_capacity"), zero("unbalanced").alias("unbalanced"), gap.cast(WIDE).alias("gap"))

@@ -606,9 +606,9 @@ def min_cut(spark: SparkSession, d: str) -> DataFrame:
 )
 def flow_certificate(spark: SparkSession, d: str) -> DataFrame:
     """The flow of every case proves the cut of every case: nothing above capacity, nothing lost, as much as the cut costs."""
-    network = _network(spark, d)
-    flowed, side = flow.max_flow(flow.contracted(*network))
-    found = flow.certificate(flowed, flow.least_cut(network[0], flowed, side))
+    moves, costs, *ends = _network(spark, d)
+    flowed, side = flow.max_flow(flow.contracted(flow.on_paths(moves, *ends), costs, *ends))
+    found = flow.certificate(flowed, flow.least_cut(moves, flowed, side), flow.entered(moves, *ends))
     return found.select("case_id", "events", "over_capacity", "unbalanced", F.col("gap").cast("bigint").alias("gap"))
 
 
