@@ -171,3 +171,11 @@ def test_a_case_is_folded_in_batches(spark):
         assert got() == want and len(want) == 70
     finally:
         spark.conf.set(rows_a_batch, before)
+
+
+def test_a_case_of_250_000_events_is_read_in_batches(spark, monkeypatch):
+    """It went by parts, each a data frame of up to 400 000 events."""
+    monkeypatch.setattr(taint, "_in_parts", lambda *_: pytest.fail("taken apart"))
+    rows = spark.range(250_000).selectExpr("'c' AS case_id", "id AS event_id", "concat('t', id) AS transaction_id", "id AS ingest_seq", "id % 7 AS sender", "id % 5 AS receiver", "100L + id % 9 AS amount_minor_units", "timestamp_ntz'2026-01-01' AS occurred_at", "'completed' AS status")
+    none = spark.createDataFrame([], "case_id string, transaction_id string, tainted_amount bigint, source_id string")
+    assert taint.allocations(rows, none).where("sequence = event_id").count() == 250_000

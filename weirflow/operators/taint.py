@@ -4,10 +4,10 @@ The fold is not associative, since proportions depend on the order of events,
 but events that share no account do not wait for each other. A case of up to
 ``fold_events`` events is one fold, in (time, ingestion) order, read a batch at a time. A larger one is
 taken apart: accounts that are connected by no transfer are folds of their own;
-a connected part that is still too large is cut into stretches of as many
-events, folded one after another, and within a stretch again the accounts that
+a connected part that is still too large is cut into stretches of ``PART_EVENTS``
+events (``fold_events``, if fewer), folded one after another, and within a stretch again the accounts that
 its events connect are folds of their own, which begin with the balances that
-the stretch before has left. So no fold has more than twice ``fold_events``.
+the stretch before has left. So no fold of a part has more than twice as many.
 Everything derived from the allocations is built-in operations.
 """
 
@@ -123,8 +123,10 @@ def seeds_of(pdf: pd.DataFrame) -> dict[str, dict[str, int]]:
 
 
 _COLUMNS = ["case_id", "event_id", "transaction_id", "ingest_seq", "sender", "receiver", "amount_minor_units", "occurred_at"]
-#: Events of one fold.
-FOLD_EVENTS = 200_000
+#: Events of one fold. A whole case is read in batches, so this bounds the time of a task and, for parts of a case, their data frames.
+FOLD_EVENTS = 2_000_000
+#: Events of a part of a larger case, a data frame each.
+PART_EVENTS = 200_000
 
 
 def _fold(ledger: Ledger, events: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +155,7 @@ def allocations(transfers: DataFrame, seeds: DataFrame, fold_events: int = FOLD_
     if large.isEmpty():
         return _in_order(moves, marked, schema, names)
     whole = _in_order(moves.join(large, "case_id", "left_anti"), marked, schema, names)
-    return whole.unionByName(_in_parts(moves.join(large, "case_id", "left_semi"), marked, fold_events, schema, names))
+    return whole.unionByName(_in_parts(moves.join(large, "case_id", "left_semi"), marked, min(fold_events, PART_EVENTS), schema, names))
 
 
 def _marks_of(events: pd.DataFrame) -> pd.DataFrame:
