@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by a five-word similarity of 0.8."""
+    """The document with the smallest id of each group linked by a five-word similarity of 0.8; the byte-position index of ``op2`` proposes first."""
     ship(spark)
     return keep_first(docs)
 

@@ -38,3 +38,16 @@ def test_one_long_list_is_not_one_task(spark):
     got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs, 5, long=16).collect()}
     assert {i for i, c in got.items() if i == c} == set(brute_kept(dict(rows)))
     assert near.near_copies(docs).select("component_id").distinct().count() == len(set(got.values()))
+
+
+def test_the_byte_index_proposes_links_and_shingles_decide(spark, monkeypatch):
+    """Without any list of the sketches, copies with near fingerprints are found; unlike texts with near fingerprints are not linked."""
+    posted = hyperminhash._posted
+    monkeypatch.setattr(hyperminhash, "_posted", lambda *a: posted(*a).where("false"))
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(2500))
+    cycle = "ant bee cow dog elk " * 200
+    texts = [long, long + " more", cycle, cycle + " ".join(f"v{i}" for i in range(12)), "something else"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.u: r.v for r in near._alike(docs, "doc_id", "text").collect()} == {0: 1, 2: 3}
+    assert {r.doc_id: r.component_id for r in near.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}

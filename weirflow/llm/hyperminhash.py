@@ -373,18 +373,25 @@ def _joined(docs: DataFrame, nodes: DataFrame, posts: DataFrame, n: int, thresho
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = 4, threshold: float = 0.8, rounds: int = ROUNDS, long: int = LONG, link_empty: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, n: int = 4, threshold: float = 0.8, rounds: int = ROUNDS, long: int = LONG, link_empty: bool = False, id_col: str = "doc_id", text_col: str = "text", pairs: DataFrame | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
     ``component_id`` is the smallest id among documents reachable over links of
-    at least that Jaccard similarity of their ``n``-word shingle sets.
+    at least that Jaccard similarity of their ``n``-word shingle sets. ``pairs``
+    (``u, v``, one ``u`` for each ``v``) are verified first; the lists then look for
+    links between the groups that those make.
     """
     all_ = cut(prints(docs, n, id_col, text_col))
     known = all_.where("doc_id IS NOT NULL")
     nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
     full = nodes.where("n_shingles > 0").select("node", "n_shingles", "registers")
     links, roots = None, None
+    if pairs is not None:
+        of = lambda end: full.select(F.col("node").alias(end))
+        known = pairs.join(of("u"), "u", "left_semi").join(of("v"), "v", "left_semi")
+        links = _verified(docs, _promising(known, full, threshold), n, threshold, id_col, text_col)
+        roots = cut(connected_components(links))
     for step in range(rounds + 1):
         labelled = full.withColumn("label", F.col("node")) if roots is None else full.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
         if step < rounds:
