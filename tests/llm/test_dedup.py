@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 from itertools import combinations
 
@@ -140,6 +141,31 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}}
 
 
+def test_few_links_need_no_rounds_and_give_the_same_groups(spark):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(200)] + [(None, "n1"), ("é", "z")]
+    links = spark.createDataFrame(edges, "u string, v string")
+    tracker, found = spark.sparkContext.statusTracker(), []
+    for few in (0, 1_000):
+        spark.sparkContext.setJobGroup(f"components-{few}", "")
+        found.append((sorted(map(tuple, connected_components(links, few).collect())), len(tracker.getJobIdsForGroup(f"components-{few}"))))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0][0] == found[1][0] and ("é", "z") in found[0][0]
+    assert found[1][1] <= 6 < found[0][1]
+    assert connected_components(links.where("u = v")).collect() == []
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(disk.getAllFiles().mkString(",")).split(",") if "/shuffle_" in f}
+    before = files()
+    connected_components(spark.range(500).selectExpr("id AS u", "id DIV 7 AS v"), 0).count()
+    end = time.monotonic() + 20  # files go in the background
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert files() <= before
+
+
 def reference_print(text):
     words = (text or "").encode().translate(_words.LOWER).split()
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -204,9 +204,8 @@ def _promising(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("u", "v", "n", "m", "a", "b").mapInArrow(check, f"u {kind}, v {kind}")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns of ``wanted`` (written rows, with ``node``) and the node's ``text``; texts stay where they are unless many are wanted."""
-    small = wanted.count() <= SENT_IDS
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, small: bool) -> DataFrame:
+    """The columns of ``wanted`` (with ``node``) and the node's ``text``; texts stay where they are if ``wanted`` is ``small``."""
     source = _source(docs, id_col, text_col)
     return source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
 
@@ -214,8 +213,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 def _verified(docs: DataFrame, links: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """The ``links`` (``u, v``) whose shingle sets have the similarity; a ``v`` has one ``u``, so its text is sent once."""
     links = cut(links)
-    led = _texts(docs, links.select("u", F.col("v").alias("node")), id_col, text_col).select("u", F.col("node").alias("v"), F.col("text").alias("b"))
-    leaders = _texts(docs, cut(links.select(F.col("u").alias("node")).distinct()), id_col, text_col).select(F.col("node").alias("u"), F.col("text").alias("a"))
+    small = links.count() <= SENT_IDS
+    led = _texts(docs, links.select("u", F.col("v").alias("node")), id_col, text_col, small).select("u", F.col("node").alias("v"), F.col("text").alias("b"))
+    leaders = _texts(docs, links.select(F.col("u").alias("node")).distinct(), id_col, text_col, small).select(F.col("node").alias("u"), F.col("text").alias("a"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,7 +354,8 @@ def _joined(docs: DataFrame, nodes: DataFrame, posts: DataFrame, n: int, thresho
 
     members = rows.join(nodes.select("node", "n_shingles", "registers"), "node").select("key", "node", "label", "n_shingles", "registers")
     members = cut(_lists(members, possible, f"key bigint, node {kind}, label {kind}"))
-    texts = _texts(docs, cut(members.select("node").distinct()), id_col, text_col).dropDuplicates(["node"])
+    wanted = cut(members.select("node").distinct())
+    texts = _texts(docs, wanted, id_col, text_col, wanted.count() <= SENT_IDS).dropDuplicates(["node"])
     full = members.join(nodes.select("node", "n_shingles", "registers"), "node").join(texts, "node")
 
     def links(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -386,12 +387,16 @@ def near_duplicates(
     known = all_.where("doc_id IS NOT NULL")
     nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
     full = nodes.where("n_shingles > 0").select("node", "n_shingles", "registers")
-    links, roots = None, None
+    roots = None
+
+    def joined(new: DataFrame) -> DataFrame:
+        """Groups that ``new`` links make of those so far."""
+        return cut(connected_components(new if roots is None else new.unionByName(roots.toDF("u", "v"))))
+
     if pairs is not None:
         of = lambda end: full.select(F.col("node").alias(end))
         known = pairs.join(of("u"), "u", "left_semi").join(of("v"), "v", "left_semi")
-        links = _verified(docs, _promising(known, full, threshold), n, threshold, id_col, text_col)
-        roots = cut(connected_components(links))
+        roots = joined(_verified(docs, _promising(known, full, threshold), n, threshold, id_col, text_col))
     for step in range(rounds + 1):
         labelled = full.withColumn("label", F.col("node")) if roots is None else full.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
         if step < rounds:
@@ -399,10 +404,9 @@ def near_duplicates(
             new = _verified(docs, _promising(_led(_posted(labelled, range(at, at + LED))), full, threshold), n, threshold, id_col, text_col)
         else:
             new = _joined(docs, full, _posted(labelled), n, threshold, long, id_col, text_col)
-        if links is not None and new.isEmpty():
+        if roots is not None and new.isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
-        roots = cut(connected_components(links))
+        roots = joined(new)
     placed = nodes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("component_id"))
     own = F.col("n_shingles") == 0
     return all_.join(placed, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(own & F.lit(not link_empty), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

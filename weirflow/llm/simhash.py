@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm._shared import cut, partitions, without
 from weirflow.llm._words import LOWER, chunks
-from weirflow.llm.components import connected_components
+from weirflow.llm.components import Forest, connected_components
 
 BYTES = 8
 SEED = 42
@@ -109,26 +109,6 @@ def shared_bytes(difference: np.ndarray) -> np.ndarray:
     return np.packbits(equal, axis=1, bitorder="little").ravel()
 
 
-class _Forest:
-    """Labels of some rows; hooks roots together in bulk."""
-
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.label[i], self.label[j]
-            apart = a != b
-            if not apart.any():
-                return
-            np.minimum.at(self.label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-            while True:
-                jumped = self.label[self.label]
-                if np.array_equal(jumped, self.label):
-                    break
-                self.label = jumped
-
-
 def _reorder(prints: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, BYTES)[:, order]).view(np.uint64).ravel()
 
@@ -160,7 +140,7 @@ def _pairs(prints: np.ndarray, k: int, lists: np.ndarray | None, i: np.ndarray,
     return i[good], j[good]
 
 
-def _link_list(prints: np.ndarray, k: int, forest: _Forest, at: np.ndarray) -> None:
+def _link_list(prints: np.ndarray, k: int, forest: Forest, at: np.ndarray) -> None:
     """Link the members (rows ``at``) of one list."""
     m = len(at)
     if m <= SHORT:
@@ -190,7 +170,7 @@ def link_lists(orders: np.ndarray, packed: np.ndarray, k: int, across: int = 32)
     new[1:] = (orders[1:] != orders[:-1]) | (key[1:] != key[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(packed)))
-    forest, run = _Forest(len(packed)), np.repeat(np.arange(len(first)), size)
+    forest, run = Forest(len(packed)), np.repeat(np.arange(len(first)), size)
     few = np.repeat(size <= across, size)
     lists = np.where(orders < len(PLANES), orders, 0)
     for shift in range(1, min(across, int(size.max(initial=1)))):
