@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,22 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path, True)] == want
 
 
+def test_pieces_of_words_go_to_the_model_once():
+    path = tokenizer_path()
+    tokenizer = packing._tokenizer(path)[0]
+    assert packing.cuts_alike(tokenizer)
+    rng = random.Random(11)
+    plain = [c for c in map(chr, range(0x21, 0x2060)) if not packing._ODD.search(c) and not c.isspace()]
+    words = {"".join(rng.choice(plain if rng.random() < 0.5 else "ab'sdtré12,._") for _ in range(rng.randrange(1, 12))).lower() for _ in range(4000)}
+    words = sorted({w for w in {*words, *(c.lower() for c in plain)} if len(w.split()) == 1 and "<|" not in w})
+    got = packing.piece_ids(tokenizer, words)
+    assert [got[w] for w in words] == packing._ids(tokenizer, words)
+    asked = []
+    model = SimpleNamespace(tokenize=lambda p: asked.append(p) or tokenizer.model.tokenize(p))
+    packing.piece_ids(SimpleNamespace(model=model), ["beta", "alpha", "alpha,", "(alpha)!", "beta,"], {"beta": got["a"]})
+    assert sorted(asked) == sorted(["alpha", ",", "(", ")!"])
+
+
 def test_plan_is_best_fit():
     rng = random.Random(1)
     for capacity in (10, 64, 100):

@@ -11,9 +11,12 @@ Rows with a null id and repeated rows are packed like any other.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +37,14 @@ LONG_WORD = 64
 #: A word of one token that stands between words encoded together, and how many are.
 BETWEEN, TOGETHER = "~", 512
 _loaded: dict[str, list] = {}
+_cut_alike: dict[str, bool | None] = {}
+#: How ``word_bpe_49k.json`` cuts lower-case words, in its own terms and for the characters of ``_ODD``; its bytes as characters.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LOWER = sorted({c for x in range(0x21, 0x2060) for c in chr(x).lower()})  # two of them lie beyond
+_KINDS = {k: "".join(re.escape(c) for c in _LOWER if unicodedata.category(c)[0] == k) for k in "LN"}
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_KINDS['L']}]+|[{_KINDS['N']}]|[^\\s{_KINDS['L']}{_KINDS['N']}]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 def _tokenizer(path: str) -> list:
@@ -57,6 +68,33 @@ def _ids(tokenizer, texts: list[str]) -> list[bytes]:  # noqa: ANN001
     return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def cuts_alike(tokenizer) -> bool:  # noqa: ANN001
+    """Whether the tokenizer cuts words by ``SPLIT`` into runs of bytes that its model takes one by one."""
+    how = json.loads(tokenizer.to_str())
+    steps = (how["pre_tokenizer"] or {}).get("pretokenizers") or []
+    split = [(s["type"], s.get("pattern"), s.get("invert"), s.get("add_prefix_space"), s.get("use_regex")) for s in steps]
+    return split == [("Split", {"Regex": SPLIT}, True, None, None), ("ByteLevel", None, None, False, False)] and how["model"]["type"] == "BPE" and not how["model"]["dropout"]
+
+
+def piece_ids(tokenizer, words: Iterable[str], *known: dict[str, bytes]) -> dict[str, bytes]:  # noqa: ANN001
+    """The ids of each word from those of its pieces, each of which goes to the model once; pieces that are ``known`` words do not."""
+    model, out, made = tokenizer.model.tokenize, {}, {}
+    for word in words:
+        pieces = _PIECES.findall(word)
+        for piece in pieces:
+            if piece in made:
+                continue
+            for k in known:
+                if piece in k:
+                    made[piece] = k[piece]
+                    break
+            else:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_AS_CHARACTERS)
+                made[piece] = array("I", [t.id for t in model(shown)]).tobytes()
+        out[word] = made[pieces[0]] if len(pieces) == 1 else b"".join([made[p] for p in pieces])
+    return out
+
+
 def word_ids(tokenizer, words: list[str]) -> dict[str, bytes]:  # noqa: ANN001
     """The ids of each word, many words to a text, cut where the word between them is."""
     mark, out = tokenizer.encode(BETWEEN, add_special_tokens=False).ids, {}
@@ -90,7 +128,9 @@ def encode(texts: list[str], path: str, by_word: bool, cached: int = CACHED) ->
     missing = set().union(*(w for w in words if w)).difference(newer)
     known = missing.intersection(older)
     newer.update(zip(known, map(older.__getitem__, known)))
-    newer.update(word_ids(tokenizer, list(missing - known)))
+    if _cut_alike.setdefault(path, None) is None:
+        _cut_alike[path] = cuts_alike(tokenizer)
+    newer.update(piece_ids(tokenizer, missing - known, newer, older) if _cut_alike[path] else word_ids(tokenizer, list(missing - known)))
     out = [b"".join(map(newer.__getitem__, w)) if w is not None else next(odd) for w in words]
     for w in missing:
         if len(w) > LONG_WORD:
