@@ -324,3 +324,13 @@ def test_ranks_without_lists_of_what_dominates(spark):
     assert "dominated_by" not in plain.columns
     columns = ["intervention_id", "pareto_rank", "selected", "feasible"]
     assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, named_.select(columns).collect()))
+
+
+def test_fits_of_a_boosted_model_run_side_by_side(spark, monkeypatch):
+    from threading import Barrier
+
+    meet, fit = Barrier(4), risk.Pipeline.fit
+    monkeypatch.setattr(risk.Pipeline, "fit", lambda self, rows: (meet.wait(60), fit(self, rows))[1])
+    rows = spark.range(80).selectExpr("CAST(id % 2 AS int) AS label", "CAST(id % 2 AS double) AS x", "id")
+    model = risk.BoostedModel(("x",), 1).fit(rows)
+    assert {(r.label, r.score > 0.5) for r in model.score(rows).collect()} == {(0, False), (1, True)}
