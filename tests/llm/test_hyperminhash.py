@@ -137,3 +137,21 @@ def test_sets_are_distinct_and_sorted():
     items, bounds = hmh.shingle_sets(pa.array(["a b c d a b c d", None, "A b", "a  B", "x"]), 4)
     assert np.diff(bounds).tolist() == [4, 0, 1, 1, 1] and items[bounds[2]] == items[bounds[3]]
     assert all((np.diff(items[a:b].astype(object)) > 0).all() for a, b in zip(bounds[:-1], bounds[1:]))
+
+
+def test_rows_of_a_long_list_grow_with_its_blocks_alone(spark, monkeypatch):
+    """Dealing a long list out by more bands made up to 32 * 32 rows of one, and looked at a pair in every list that it shares."""
+    rng = random.Random(4)
+    text, rows = [f"w{rng.randint(0, 9999)}" for _ in range(120)], []
+    for i in range(120):
+        copy = list(text)
+        for at in rng.sample(range(len(copy)), 5):
+            copy[at] = f"x{rng.randint(0, 9999)}"
+        rows.append((i, " ".join(copy)))
+    sent, lists = [], hmh._lists
+    monkeypatch.setattr(hmh, "_lists", lambda posted, *rest: sent.append(posted.count()) or lists(posted, *rest))
+    got = groups_of(hmh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=0, long=16))
+    assert got == brute(rows) and len({c for _, c in got.values()}) > 100
+    assert max(sent) <= len(rows) * hmh.BANDS * 16  # at most: each row once for each of its list's 120 / 8 blocks
+    pairs = len(rows) * (len(rows) - 1) // 2
+    assert sent[1] <= 2 * pairs  # a pair brings its two rows to one task

@@ -21,8 +21,9 @@ A group of m copies would make m * m pairs. What is asked for are groups, so:
    as nodes at most, are estimated, verified and joined to groups. Done ``ROUNDS``
    times, each with other bands.
 2. Lists of all bands whose members are still in different groups are looked at
-   pair by pair in tasks. A list longer than ``LONG`` is first dealt out by a second band, and
-   by a third: its near copies meet again there, texts that share little do not.
+   pair by pair in tasks, a pair in the list of the first band that it shares and in no
+   other. A list longer than ``LONG`` is cut into blocks of half as many rows, and each
+   two blocks are a task: every pair is still looked at, once, by tasks of bounded size.
    Rows are sent with their registers first; rows with a partner of another
    group that could reach the threshold come again with their texts, are
    verified inside the task, and links that join groups leave it.
@@ -270,107 +271,122 @@ def _lists(rows: DataFrame, links: Callable[[pa.Table], Iterator[pa.RecordBatch]
     return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(find, schema)
 
 
-def _candidates(registers: np.ndarray, sizes: np.ndarray, group: np.ndarray, i: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of other groups that row ``i`` could be linked with, most similar first, and their estimates."""
-    j = np.flatnonzero(group != group[i])
-    value = estimate(np.count_nonzero(registers[j] == registers[i], axis=1), np.full(len(j), sizes[i]), sizes[j])
-    order = np.argsort(-value, kind="stable")
-    order = order[value[order] >= least]
-    return j[order], value[order]
-
-
-def _apart(label: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Group numbers of a list's rows, and the rows outside its largest group."""
-    group = label.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    return group, np.flatnonzero(group != np.bincount(group).argmax())
-
-
-def list_links(registers: np.ndarray, sizes: np.ndarray, group: np.ndarray, outside: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+class _Rows:
+    """The rows of one task of a list: registers, sizes of their sets, groups, and which pairs the task looks at."""
+
+    def __init__(self, rows: pa.Table, sizes: np.ndarray | None = None) -> None:
+        self.registers = _rows_of(rows.column("registers"), np.uint16, BUCKETS)
+        self.sizes = rows.column("n_shingles").to_numpy() if sizes is None else sizes
+        self.group = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        self.outside = np.flatnonzero(self.group != np.bincount(self.group).argmax())
+        self.side = rows.column("side").to_numpy()
+        keys = band_keys(self.registers)
+        #: Keys of the bands before the list's own: a pair that shares one of them meets in that list.
+        self.earlier = keys[:, : int((keys == rows.column("list").to_numpy().view(np.uint64)[0]).any(axis=0).argmax())]
+        size, self._kind = np.unique(self.sizes, return_inverse=True)
+        levels = _levels(size)
+        self._chance = levels @ levels.T / (1 << MANTISSA)
+
+    def candidates(self, i: int, group: np.ndarray, threshold: float) -> np.ndarray:
+        """Rows of another ``group`` that row ``i`` could be linked with and meets here, most similar first."""
+        least = lowest(threshold)
+        equal = np.add.reduce((self.registers == self.registers[i]).view(np.uint8), axis=1, dtype=np.uint8)
+        # chance only lowers an estimate, and a similarity is no greater than the lesser size over the greater one
+        j = np.flatnonzero((equal >= least * BUCKETS) & (group != group[i]))
+        j = j[(self.side[j] == 0) | (self.side[j] != self.side[i])]
+        low, high = np.minimum(self.sizes[j], self.sizes[i]), np.maximum(self.sizes[j], self.sizes[i])
+        j = j[similar(low, low, high, threshold)]
+        j = j[~(self.earlier[j] == self.earlier[i]).any(axis=1)]
+        c = self._chance[self._kind[i], self._kind[j]]
+        value = (equal[j] / BUCKETS - c) / (1 - c)
+        order = np.argsort(-value, kind="stable")
+        return j[order[value[order] >= least]]
+
+
+def list_links(rows: _Rows, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Verified links that join the groups of one list; every pair of different groups is looked at or made needless by another link."""
-    group, links, least = group.copy(), [], lowest(threshold)
-    for i in outside.tolist():
-        j, _ = _candidates(registers, sizes, group, i, least)
-        while len(j) and len(sets[i]):
+    group, links = rows.group.copy(), []
+    # numbers in place of hashes, so that one row's set is a mask and its common part with others is a sum of looked-up bits
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(rows.sizes)
+    numbers = [number[e - n : e] for e, n in zip(ends.tolist(), rows.sizes.tolist())]
+    mask = np.zeros(len(names), bool)
+    for i in rows.outside.tolist():
+        j = rows.candidates(i, group, threshold)
+        if not len(j) or not len(numbers[i]):
+            continue
+        mask[numbers[i]] = True
+        while len(j):
             some, j = j[:64], j[64:]
-            flat = np.concatenate([sets[x] for x in some])
-            at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
-            both = np.bincount(np.repeat(np.arange(len(some)), sizes[some]), sets[i][at] == flat, minlength=len(some))
-            for x in some[similar(both.astype(np.int64), sizes[i], sizes[some], threshold)].tolist():
-                if group[x] != group[i]:
-                    links.append((i, x))
-                    group[group == group[x]] = group[i]
+            some = some[rows.sizes[some] > 0]
+            if len(some):
+                size = rows.sizes[some]
+                both = np.add.reduceat(mask[np.concatenate([numbers[x] for x in some.tolist()])], np.cumsum(size) - size, dtype=np.int64)
+                for x in some[similar(both, rows.sizes[i], size, threshold)].tolist():
+                    if group[x] != group[i]:
+                        links.append((i, x))
+                        group[group == group[x]] = group[i]
             j = j[group[j] != group[i]]
+        mask[numbers[i]] = False
     return links
 
 
-def _mixed(posts: DataFrame) -> DataFrame:
-    """The rows (``key, node, label``) of lists that hold different labels."""
-    keys = posts.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("rows")).where("a <> b")
-    return posts.join(keys.select("key", "rows"), "key")
-
+def _dealt(posts: DataFrame, long: int) -> DataFrame:
+    """``key, list, node, label, side`` of the rows of lists that hold different labels: a ``key`` is a task's share of a ``list``.
 
-def _dealt(posts: DataFrame, nodes: DataFrame, long: int) -> DataFrame:
-    """``key, node, label`` of mixed lists; those of over ``long`` rows dealt out by a second band, and a third."""
-    now = cut(_mixed(posts))
-    done = now.where(F.col("rows") <= long).drop("rows")
-    kind = dict(nodes.dtypes)["node"]
-    for _ in range(2):
-        over = now.where(F.col("rows") > long)
-        if over.isEmpty():
-            return done
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    key = part.column("key").to_numpy().view(np.uint64)
-                    keys = mix(key[:, None] ^ mix(band_keys(_rows_of(part.column("registers"), np.uint16, BUCKETS)))).view(np.int64)
-                    for b in range(BANDS):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, b])), part.column("node"), part.column("label")], ["key", "node", "label"])
-
-        finer = over.join(nodes.select("node", "registers"), "node").select("key", "node", "label", "registers").mapInArrow(deal, f"key bigint, node {kind}, label {kind}")
-        now = cut(_mixed(finer))
-        done = done.unionByName(now.where(F.col("rows") <= long).drop("rows"))
-    return done.unionByName(now.where(F.col("rows") > long).drop("rows"))
+    A list of over ``long`` rows is cut into blocks of about half of that, and each
+    two blocks are a share, in which rows of ``side`` 1 meet those of 2; within a block (0) all meet.
+    """
+    keys = posts.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("rows")).where("a <> b")
+    rows = posts.join(keys.select("key", "rows"), "key").withColumn("list", F.col("key"))
+    rows = cut(rows.select("key", "list", "node", "label", "rows"))
+    columns = ("key", "list", "node", "label", "side")
+    done = rows.where(F.col("rows") <= long).withColumn("side", F.lit(0)).select(*columns)
+    over = rows.where(F.col("rows") > long)
+    if over.isEmpty():
+        return done
+    blocks = F.ceil(F.col("rows") / max(1, long // 2)).cast("int")
+    over = over.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    over = over.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    share = F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other"))
+    return done.unionByName(over.withColumns({"key": share, "side": side}).select(*columns))
 
 
 def _joined(docs: DataFrame, nodes: DataFrame, posts: DataFrame, n: int, threshold: float, long: int, id_col: str, text_col: str) -> DataFrame:
     """``u, v``: verified links between nodes of different labels that share a list."""
     kind = dict(nodes.dtypes)["node"]
-    least = lowest(threshold)
-    rows = cut(_dealt(posts, nodes, long))
+    rows = cut(_dealt(posts, long))
 
     def possible(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
-        registers, sizes = _rows_of(rows_.column("registers"), np.uint16, BUCKETS), rows_.column("n_shingles").to_numpy()
-        group, outside = _apart(rows_.column("label").combine_chunks())
-        wanted = np.zeros(len(group), bool)
-        for i in outside.tolist():
-            j, _ = _candidates(registers, sizes, group, i, least)
+        here = _Rows(rows_)
+        wanted = np.zeros(rows_.num_rows, bool)
+        for i in here.outside.tolist():
+            j = here.candidates(i, here.group, threshold)
             wanted[j] = True
             wanted[i] |= len(j) > 0
-        kept = rows_.select(["key", "node", "label"]).filter(pa.array(wanted))
+        kept = rows_.select(["key", "list", "node", "label", "side"]).filter(pa.array(wanted))
         if kept.num_rows:
             yield from kept.to_batches()
 
-    members = rows.join(nodes.select("node", "n_shingles", "registers"), "node").select("key", "node", "label", "n_shingles", "registers")
-    members = cut(_lists(members, possible, f"key bigint, node {kind}, label {kind}"))
+    sketch = nodes.select("node", "n_shingles", "registers")
+    members = rows.join(sketch, "node").select("key", "list", "node", "label", "side", "n_shingles", "registers")
+    members = cut(_lists(members, possible, f"key bigint, list bigint, node {kind}, label {kind}, side int"))
     wanted = cut(members.select("node").distinct())
     texts = _texts(docs, wanted, id_col, text_col, wanted.count() <= SENT_IDS).dropDuplicates(["node"])
-    full = members.join(nodes.select("node", "n_shingles", "registers"), "node").join(texts, "node")
+    full = members.join(sketch, "node").join(texts, "node")
 
     def links(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
-        registers = _rows_of(rows_.column("registers"), np.uint16, BUCKETS)
-        group, outside = _apart(rows_.column("label").combine_chunks())
         sets_: list[np.ndarray] = []
         for part in chunks(rows_.to_batches()[0]):
             items, bounds = shingle_sets(part.column("text"), n)
             sets_ += [items[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        sizes = np.fromiter(map(len, sets_), np.int64, len(sets_))
-        found = np.array(list_links(registers, sizes, group, outside, sets_, threshold), np.int64).reshape(-1, 2)
+        found = list_links(_Rows(rows_, np.fromiter(map(len, sets_), np.int64, len(sets_))), sets_, threshold)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         node = rows_.column("node").combine_chunks()
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(np.ascontiguousarray(found[:, c]))) for c in range(2)], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(np.ascontiguousarray(pairs[:, c]))) for c in range(2)], ["u", "v"])
 
-    return cut(_lists(full.select("key", "node", "label", "n_shingles", "registers", "text"), links, f"u {kind}, v {kind}"))
+    return cut(_lists(full.select("key", "list", "node", "label", "side", "n_shingles", "registers", "text"), links, f"u {kind}, v {kind}"))
 
 
 def near_duplicates(
