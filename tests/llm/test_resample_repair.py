@@ -4,9 +4,11 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from weirflow.llm import repair, resample
@@ -91,6 +93,16 @@ def test_matrix_blocks_hold_every_count(spark):
     assert sums.sum() == sum(len(brute_features(t, 1)[1]) for _, t in docs)
 
 
+def test_a_row_group_of_the_matrix_is_a_few_blocks(spark):
+    """A reader holds a row group's rows together: with all of a task's blocks in one, memory followed from the size of the split."""
+    folder = new_folder(spark, "matrix")
+    docs = spark.range(10, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 200000) AS text")
+    assert resample.write_matrix(docs, folder).count() == 10
+    groups = [pq.ParquetFile(f).metadata for f in Path(folder.removeprefix("file:")).glob("*.parquet")]
+    assert sum(m.num_rows for m in groups) == 10
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 4
+
+
 def test_crc_of_long_words_and_runs():
     texts = ["ab " + "q" * 100 + " é", "", "x"]
     words = split(pa.array(texts), lower=True, separator=PUNCTUATION)

@@ -6,7 +6,8 @@ a feature's column is the unsigned crc32 of its UTF-8 bytes modulo ``buckets``.
 
 1. One scan counts features and writes the document-by-bucket matrix as CSR
    blocks: a row of the table holds some documents' ids, word counts, row
-   bounds, column numbers and counts. Nothing reads the texts again.
+   bounds, column numbers and counts. Row groups are a few blocks, so what a task
+   holds does not follow from how much it reads. Nothing reads the texts again.
 2. Column sums of the blocks, summed up within each task before the shuffle, give
    the corpus' and the target's distributions; ``buckets`` sums reach the driver.
    A bucket's gain is floor(1000 ln(p_target / p_corpus)) with add-one smoothing.
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from weirflow.llm._shared import cut, new_folder
 from weirflow.llm._words import PUNCTUATION, Words, chunks, split
 
+#: Blocks of a row group of the matrix. A reader holds a whole row group of up to 4096 rows at once, and a block is up to a million cells.
+GROUP_BLOCKS = 4
 #: Bytes of a word that go through the table in step with other words'; the rest of longer ones is done alone.
 IN_STEP = 24
 
@@ -102,7 +105,7 @@ def write_matrix(docs: DataFrame, folder: str, buckets: int = 10_000, max_n: int
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source.mapInArrow(block, f"ids array<{kind}>, n_words array<bigint>, bounds array<int>, buckets array<int>, counts array<bigint>").write.parquet(folder)
+    source.mapInArrow(block, f"ids array<{kind}>, n_words array<bigint>, bounds array<int>, buckets array<int>, counts array<bigint>").write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
