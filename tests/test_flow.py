@@ -1,10 +1,15 @@
 import random
+import tracemalloc
 from collections import defaultdict, deque
+from decimal import Decimal
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import graph, named
 from weirflow.operators import chokepoint, flow
+from weirflow.sources.transfers import transfers
 
 
 def brute_cut(events, costs, sources, sinks):
@@ -136,3 +141,32 @@ def test_a_case_of_a_hundred_thousand_arcs_is_one_region(spark):
     """Such a case took rounds of border labels between regions."""
     arcs = spark.range(100_000).selectExpr("'c' AS case_id", "id AS tail_t", "id + 1 AS head_t")
     assert flow.placed(arcs).agg({"head_region": "max"}).first()[0] == 1
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_sizes_are_counted_without_the_arcs(spark, ties):
+    moves = transfers(spark, "/root/testdata/sf0.001", dense=True, ties=ties)
+    lone = graph(spark, ("e1", "1", "2", 0), ("e2", "2", "2", 0), ("e3", "3", "4", 5), ("e4", "4", "3", 9), ("e5", "3", "4", 9), case="lone").withColumns({c: F.col(c).cast("bigint") for c in ("sender", "receiver")})
+    moves = moves.select(*(c for c in lone.columns if c != "event_id"), F.col("event_id").cast("string").alias("event_id")).unionByName(lone)
+    costs = moves.select("case_id", "event_id", F.lit(1).alias("cost"))
+    cases = moves.select("case_id").distinct()
+    side = lambda *accounts: cases.select("case_id", F.explode(F.array(*(F.lit(a).cast("bigint") for a in accounts))).alias("account"))
+    for a, b in ((side(1, 7), side(2, 9)), (side(3), side(90))):
+        want = chokepoint.budgets(chokepoint.network_arcs(moves, costs, a, b)).drop("exceeded")
+        got = chokepoint.network_sizes(moves, a, b).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_case_of_one_region_is_solved_in_little_memory():
+    """A case at six times the driver's 1 GB has some 650 000 arcs, a task each."""
+    n = 20_000
+    rows = pd.DataFrame({"arc": [f"e:{i}" for i in range(n)], "tail": [None if i % 100 == 0 else f"{i}:{i}" for i in range(n)], "tail_t": [None if i % 100 == 0 else i for i in range(n)], "head": [None if i % 100 == 99 else f"{i + 1}:{i + 1}" for i in range(n)], "head_t": [None if i % 100 == 99 else i + 1 for i in range(n)], "capacity": [Decimal(1 + i % 7) for i in range(n)]})
+    tracemalloc.start()
+    said = flow.solved(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800 * n
+    moved = {r.name_: int(r.value) for r in said.rename(columns={"name": "name_"}).itertuples() if r.what == "arc"}
+    for first in range(0, n, 100):  # a chain of a hundred arcs carries what its least one can
+        least = min(1 + i % 7 for i in range(first, first + 100))
+        assert all(moved[f"e:{i}"] == least for i in range(first, first + 99)) and 1 + (first + 99) % 7 + moved.get(f"e:{first + 99}", 0) == least

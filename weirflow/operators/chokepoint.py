@@ -102,6 +102,24 @@ def budgets(arcs: DataFrame, limits: Budgets = Budgets()) -> DataFrame:
     return sizes.withColumn("exceeded", (F.col("events") > limits.events) | (F.col("vertices") > limits.vertices) | (F.col("arcs") > limits.arcs))
 
 
+def network_sizes(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``case_id, events, vertices, arcs`` of the network that ``network_arcs`` lists, counted from events and times without its arcs or names."""
+    moves = active(events).select("case_id", "sender", "receiver", micros("occurred_at").alias("t"))
+    for accounts, side, flag in ((sources, "sender", "begins"), (sinks, "receiver", "ends")):
+        marked = accounts.select("case_id", F.col("account").alias(side)).distinct().withColumn(flag, F.lit(1))
+        moves = moves.join(F.broadcast(marked), ["case_id", side], "left")  # terminals of the cases
+    count = moves.groupBy("case_id").agg(F.count("*").alias("events"), F.count("begins").alias("begins"), F.count("ends").alias("ends"))
+    leg = lambda side, sent: F.struct(F.col(side).alias("account"), F.lit(sent).alias("sent"))
+    legs = moves.select("case_id", "t", F.explode(F.array(leg("sender", 1), leg("receiver", 0))).alias("leg")).select("case_id", "leg.account", "t", "leg.sent")
+    times = legs.groupBy("case_id", "account", "t").agg(F.sum("sent").alias("sent"), F.min("sent").alias("alone"))
+    of = Window.partitionBy("case_id", "account").orderBy("t")
+    times = times.withColumns({"first": F.lag("t").over(of).isNull(), "last": F.lead("t").over(of).isNull()})
+    # an account's only time is a node if something arrives then
+    spots = times.groupBy("case_id").agg(F.count_if(~F.col("last")).alias("waits"), F.sum(F.when(~F.col("first"), F.col("sent")).otherwise(0)).alias("departs"), F.count_if(~(F.col("first") & F.col("last")) | (F.col("alone") == 0)).alias("spots"))
+    ends = F.signum("begins").cast("bigint") + F.signum("ends").cast("bigint")
+    return count.join(spots, "case_id").select("case_id", "events", (2 * F.col("events") + F.col("spots") + ends).alias("vertices"), (2 * F.col("events") + F.col("waits") + F.col("departs") + F.col("begins") + F.col("ends")).alias("arcs"))
+
+
 def min_cut(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: DataFrame, limits: Budgets | None = None, region_arcs: int = flow.REGION_ARCS) -> DataFrame:
     """``case_id, status, cost, residual_path, event_id``: one row per cut edge, or one with a null event.
 
@@ -191,7 +209,7 @@ def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sourc
     asked = sides.where("NOT invalid")
     side = lambda c: asked.select("case_id", F.explode(c).alias("account"))
     costs = cut_lineage(encoded_costs(moves, eligible, collateral))
-    arcs = cut_lineage(network_arcs(moves.join(asked.select("case_id"), "case_id", "left_semi"), costs, side("sources"), side("sinks")))
+    sizes = network_sizes(moves.join(asked.select("case_id"), "case_id", "left_semi"), side("sources"), side("sinks"))
     most = (limits or Budgets()).paths
     cut = cut_lineage(min_cut(moves.join(asked.select("case_id"), "case_id", "left_semi"), costs, side("sources"), side("sinks"), limits))
     edges = _detailed(events, costs, cut)
@@ -213,7 +231,7 @@ def reports(events: DataFrame, eligible: DataFrame, collateral: DataFrame, sourc
         return pd.DataFrame(counts, columns=["case_id", "initial_paths", "residual_paths"])
 
     paths = rows.groupBy("case_id").cogroup(solved.groupBy("case_id")).applyInPandas(verify, "case_id string, initial_paths bigint, residual_paths bigint")
-    out = sides.join(totals, "case_id", "left").join(paths, "case_id", "left").join(budgets(arcs).drop("exceeded"), "case_id", "left").join(costs.groupBy("case_id").agg(F.count("*").alias("eligible")), "case_id", "left")
+    out = sides.join(totals, "case_id", "left").join(paths, "case_id", "left").join(sizes, "case_id", "left").join(costs.groupBy("case_id").agg(F.count("*").alias("eligible")), "case_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     optimal = F.col("status") == "optimal_cut_found"
     out = out.withColumn("status", F.when(F.col("invalid"), "invalid_input").otherwise(F.coalesce("status", F.lit("no_path_exists"))))

@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from weirflow.operators.traverse import cut_lineage
 
 WIDE = "decimal(38,0)"
 #: Arcs of a region, and the equal spans of a case's time from which regions are made up.
-REGION_ARCS, SPANS = 500_000, 4096
+REGION_ARCS, SPANS = 1_000_000, 4096
 _ARC = ("case_id", "arc", "tail", "tail_t", "tail_region", "head", "head_t", "head_region", "capacity", "flow")
 _NEWS = "case_id string, region int, what string, name string, value string"
 
@@ -58,11 +59,12 @@ class FlowGraph:
         self.room += [capacity, back]
         return len(self.to) - 2
 
-    def levels(self, start: int) -> list[int]:
+    def levels(self, start: int, end: int) -> list[int]:
+        """Steps from ``start``, of no more nodes once ``end`` is reached: no shortest path holds them."""
         level = [-1] * len(self.out)
         level[start] = 0
         queue = deque([start])
-        while queue:
+        while queue and level[end] < 0:
             u = queue.popleft()
             for e in self.out[u]:
                 if self.room[e] and level[self.to[e]] < 0:
@@ -72,7 +74,7 @@ class FlowGraph:
 
     def max_flow(self, start: int, end: int) -> int:
         total = 0
-        while (level := self.levels(start))[end] >= 0:
+        while (level := self.levels(start, end))[end] >= 0:
             turn, path, u = [0] * len(self.out), [], start
             while True:
                 if u == end:
@@ -102,11 +104,11 @@ class FlowGraph:
 
 
 def _sided(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """``case_id, event_id, sender, receiver, t`` of active events, and whether one ``begins`` at a source or ``ends`` at a sink."""
-    moves = active(events).select("case_id", "event_id", "sender", "receiver", micros("occurred_at").alias("t"))
+    """``case_id, event_id, sender, receiver, occurred_at, status, t`` of active events, and whether one ``begins`` at a source or ``ends`` at a sink."""
+    moves = active(events).select("case_id", "event_id", "sender", "receiver", "occurred_at", "status", micros("occurred_at").alias("t"))
     for accounts, side, flag in ((sources, "sender", "begins"), (sinks, "receiver", "ends")):
         marked = accounts.select("case_id", F.col("account").alias(side)).distinct().withColumn(flag, F.lit(True))
-        moves = moves.join(marked, ["case_id", side], "left")
+        moves = moves.join(F.broadcast(marked), ["case_id", side], "left")  # terminals of the cases
     return moves.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("begins", "ends")})
 
 
@@ -128,14 +130,14 @@ def _best_times(moves: DataFrame, start: str, here: str, there: str, sign: int)
 
 
 def on_paths(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """The active ``events`` on a path of strictly later hops from a source to a sink; no other carries flow or is cut."""
+    """``case_id, event_id, sender, receiver, occurred_at, status`` of the active ``events`` on a path of strictly later hops from a source to a sink; no other carries flow or is cut."""
     moves = cut_lineage(_sided(events, sources, sinks))
     arrival = _best_times(moves, "begins AND NOT ends", "sender", "receiver", 1)
     moves = moves.join(arrival.withColumnRenamed("account", "sender"), ["case_id", "sender"], "left").where("begins OR t > best").drop("best")
     moves = cut_lineage(moves)
     departure = _best_times(moves, "ends AND NOT begins", "receiver", "sender", -1)
     kept = moves.join(departure.withColumnRenamed("account", "receiver"), ["case_id", "receiver"], "left").where("ends OR -t > best")
-    return active(events).join(cut_lineage(kept.select("case_id", "event_id")), ["case_id", "event_id"], "left_semi")
+    return cut_lineage(kept.select("case_id", "event_id", "sender", "receiver", "occurred_at", "status"))
 
 
 def entered(events: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -177,6 +179,9 @@ def contracted(events: DataFrame, costs: DataFrame, sources: DataFrame, sinks: D
 def placed(arcs: DataFrame, region_arcs: int = REGION_ARCS) -> DataFrame:
     """``arcs`` with ``tail_region`` and ``head_region``: spans of time with about ``region_arcs`` arcs each."""
     times = arcs.select("case_id", F.coalesce("tail_t", "head_t").alias("t")).where("t IS NOT NULL")
+    if times.groupBy("case_id").count().where(F.col("count") > region_arcs).isEmpty():
+        one = lambda t: F.when(F.col(t).isNotNull(), 1)
+        return arcs.select(*arcs.columns, one("tail_t").alias("tail_region"), one("head_t").alias("head_region"))
     case = arcs.groupBy("case_id").agg(F.min(F.least("tail_t", "head_t")).alias("first"), F.max(F.greatest("tail_t", "head_t")).alias("last"))
     span = lambda t: F.floor((t - F.col("first")) * SPANS / (F.col("last") - F.col("first") + 1)).cast("int")
     counts = times.join(F.broadcast(case), "case_id").groupBy("case_id", span(F.col("t")).alias("span")).agg(F.count("*").alias("n"))
@@ -304,6 +309,65 @@ class Region:
         return out
 
 
+def solved(rows: pd.DataFrame) -> pd.DataFrame:
+    """``what, name, value`` of a case that is one region: changes of its arcs' flow (``arc``), and the nodes on the source's side (``side``).
+
+    The steps of ``Region``, of which a case takes each once, over numbers in
+    place of names, which takes two thirds of the memory.
+    """
+    count = len(rows)
+    ends = pd.concat([rows["tail"], rows["head"]], ignore_index=True)
+    code, names = pd.factorize(ends)
+    tail, head = (code[:count] + 2).tolist(), (code[count:] + 2).tolist()  # 1 is none: the source, or the sink
+    when = np.zeros(len(names) + 2, np.int64)
+    times = pd.concat([rows["tail_t"], rows["head_t"]], ignore_index=True)
+    there = code >= 0
+    when[code[there] + 2] = times[there].to_numpy(np.int64)
+    del ends, times, code
+    capacity = [int(c) for c in rows["capacity"]]
+    graph, held, own = FlowGraph(len(names) + 2), {}, []
+    for k, (a, b) in enumerate(zip(tail, head)):
+        if b == 1:
+            if a != 1:
+                held[a] = held.get(a, 0) + capacity[k]
+        else:
+            own.append(k)
+            graph.arc(b, a, capacity[k])  # arcs from the source end at it
+    starts = {u: graph.arc(0, u, amount) for u, amount in held.items() if amount}
+    graph.max_flow(0, 1)
+    room = graph.room
+    moved = [0] * count
+    for place, k in enumerate(own):
+        moved[k] = room[2 * place + 1]
+    near, queue = {1}, deque([1])
+    while queue:
+        y = queue.popleft()
+        for e in graph.out[y]:
+            z = graph.to[e]
+            if z > 1 and room[e ^ 1] and z not in near:
+                near.add(z)
+                queue.append(z)
+    near.discard(1)
+    left = {u: room[e] for u, e in starts.items() if room[e]}
+    if left:  # what cannot reach the source goes back along the arcs that it came from, in order of time
+        leaving: dict[int, list[int]] = {}
+        for k, a in enumerate(tail):
+            if a != 1:
+                leaving.setdefault(a, []).append(k)
+        for u in np.argsort(when, kind="stable").tolist():
+            need = left.pop(u, 0) if u > 1 else 0
+            for k in leaving.get(u, ()) if need else ():
+                back = min(need, moved[k] + (capacity[k] if head[k] == 1 else 0))
+                if back:
+                    need -= back
+                    moved[k] -= back
+                    if head[k] != 1:
+                        left[head[k]] = left.get(head[k], 0) + back
+    changed = [k for k in range(count) if moved[k]]
+    arcs = pd.DataFrame({"what": "arc", "name": rows["arc"].to_numpy()[changed], "value": [str(moved[k]) for k in changed]})
+    return pd.concat([arcs, pd.DataFrame({"what": "side", "name": names[[z - 2 for z in near]], "value": "0"})])
+
+
 def _halves(arcs: DataFrame) -> DataFrame:
     """A row of each arc for every region that it touches, as ``region``."""
     touched = F.array_distinct(F.array_compact(F.array("tail_region", "head_region")))
@@ -350,21 +414,17 @@ def _distances(halves: DataFrame, borders: DataFrame) -> DataFrame:
 def max_flow(arcs: DataFrame, region_arcs: int = REGION_ARCS) -> tuple[DataFrame, DataFrame]:
     """``arcs`` (of ``contracted``) with the ``flow`` of each; and the nodes ``case_id, node`` on the sources' side of the least cut."""
     full = F.col("head").isNull()
-    arcs = placed(arcs, region_arcs).withColumn("flow", F.when(full, F.col("capacity")).otherwise(F.lit(0)).cast(WIDE))
+    arcs = placed(cut_lineage(arcs), region_arcs).withColumn("flow", F.when(full, F.col("capacity")).otherwise(F.lit(0)).cast(WIDE))
     arcs = cut_lineage(arcs)
     tails = arcs.where("head IS NULL AND tail IS NOT NULL")
     excess = tails.groupBy("case_id", F.col("tail_region").alias("region"), F.lit("excess").alias("what"), F.col("tail").alias("name")).agg(F.sum("capacity").cast(WIDE).cast("string").alias("value"))
     many = cut_lineage(_halves(arcs).groupBy("case_id").agg(F.count_distinct("region").alias("regions")).where("regions > 1").select("case_id"))
 
-    def alone(region: Region) -> list[tuple]:
-        """All steps of a case that is one region."""
-        first = region.discharge()
-        side = region.labels(every=True)
-        region.excess = {name: int(value) for _, what, name, value in first if what == "excess"}
-        return [*first, *side, *region.take_back()]
+    def alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return solved(rows).assign(case_id=key[0], region=1)[["case_id", "region", "what", "name", "value"]]
 
-    one = _halves(arcs).join(many, "case_id", "left_anti")
-    said = _rounds(one, excess.join(many, "case_id", "left_anti"), alone)
+    one = arcs.join(many, "case_id", "left_anti").select("case_id", "arc", "tail", "tail_t", "head", "head_t", "capacity")
+    said = cut_lineage(one.groupBy("case_id").applyInPandas(alone, _NEWS))
     sides = said.where("what = 'side'")
     arcs = _applied(arcs, said)
     if not many.isEmpty():
