@@ -3,8 +3,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tests.helpers import CHAIN, T0, graph, named
-from weirflow.operators import motifs, scan, traverse
+from tests.helpers import CHAIN, T0, at, graph, named
+from weirflow.operators import features, motifs, scan, traverse
 
 
 def depths(df):
@@ -143,3 +143,17 @@ def test_ancestors_of_large_cases_by_connected_parts(spark, monkeypatch):
             levels.clear()
             got = traverse.upstream(g, of, bitset_accounts=most, task_links=task_links).select("account", "ancestor").collect()
             assert (sorted(map(tuple, got)), len(levels)) == (want, by_levels)
+
+
+def test_pairs_of_an_institution_alone_are_made_of_finished_features(spark):
+    """Rounding ten features of every pair took most of the time; they are those of the candidate."""
+    g = graph(spark, ("e1", "A", "B", 0), ("e2", "C", "D", 1), ("e3", "C", "A", 2))
+    banks = spark.createDataFrame([(a, "X") for a in "ABCD"], "account string, institution string")
+    found = features.next_hop_features(g, at(spark, 5), None, banks, digits=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    met = next(i for i, line in enumerate(plan) if "strategy=merge" in line)
+    assert not any("round(" in line for line in plan[met - 4 : met + 1]) and any("round(" in line for line in plan[met:])
+    whole = features.next_hop_features(g, at(spark, 5), None, banks)
+    keys = ("case_id", "source", "candidate")
+    rounded = whole.select(*keys, *(F.round(c, 1).alias(c) for c in whole.columns if c not in keys))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rounded.collect())) and found.count() == 12
